@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, pii, quality_rules
+from . import decontaminate, jaccard_join, pii, quality_rules, toxicity
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6}
+    return {"op2_decontaminate": decontaminate.op2, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op9_toxicity": toxicity.op9}
 
 
 ORACLE = {}
