@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, toxicity
+from . import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10}
+    return {"op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10}
 
 
 ORACLE = {}
