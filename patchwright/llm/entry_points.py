@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, toxicity, url_filter
+from . import decontaminate, jaccard_join, packing, pii, quality_rules, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10}
+    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10}
 
 
 ORACLE = {}
@@ -51,5 +51,19 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN its USING (r)
 """
 
 
+# base32 of SHA-1 by 5-bit steps over the blob's bits
+ORACLE["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT hex, string_agg(bin, '' ORDER BY i) AS bits FROM (SELECT hex, i, (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])[strpos('0123456789abcdef', substr(hex, i, 1))] AS bin
+  FROM (SELECT DISTINCT hex FROM p), range(1, 41) t(i)) GROUP BY hex),
+d AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, k, 1)::INT + 8 * substr(bits, k + 1, 1)::INT + 4 * substr(bits, k + 2, 1)::INT + 2 * substr(bits, k + 3, 1)::INT + substr(bits, k + 4, 1)::INT, 1), '' ORDER BY k) AS b32
+  FROM b, range(1, 161, 5) t(k) GROUP BY hex),
+m AS (SELECT hex, max(page_id) AS top FROM p GROUP BY hex)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, b32 AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM p JOIN d USING (hex) JOIN m USING (hex)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
