@@ -22,6 +22,7 @@ holds; a null doc_id counts as held out; repeated rows come back as often as the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> pa.Table:
-    """(text, toxic, part) on the driver: at most max_docs rows for each of two classes and two parts."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(text, toxic, part, doc_id): at most max_docs rows for each of two classes and two parts, each text once."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(F.col("doc_id")) != 0).withColumn("part", (remainder(F.col("doc_id")) == 4).cast("int"))
     order = [F.xxhash64(F.lit(9), "doc_id"), F.col("doc_id")]
@@ -52,7 +53,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
             picked = some if picked is None else picked.unionByName(some)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", "part", "doc_id").distinct()  # at most 4 * max_docs ids
-    return rows.groupBy("text", "toxic", "part").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").select("text", "toxic", "part").toArrow()
+    return rows.groupBy("text", "toxic", "part").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,9 +172,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    rows = training_rows(docs, labels, max_docs)
-    text, toxic, part = rows.column("text").combine_chunks(), rows.column("toxic").to_numpy(), rows.column("part").to_numpy()
+def fit_table(text: pa.Array, toxic: np.ndarray, part: np.ndarray) -> Model:
     model = Model()
     rate = toxic.mean() if len(toxic) else 0.5
     if {*toxic[part == 0]} == {0, 1} and {*toxic[part == 1]} == {0, 1}:
@@ -185,6 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+    """Fitted in one task over the bounded training rows; only the model comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            t = pa.Table.from_batches(got)
+            text = t.column("text").cast(pa.large_string()).combine_chunks()
+            model = fit_table(text, t.column("toxic").to_numpy(), t.column("part").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
+
+    rows = training_rows(docs, labels, max_docs).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic", "part")
+    found = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit_table(pa.array([], pa.large_string()), np.zeros(0), np.zeros(0))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted, in one pass over the texts."""
     at = [f.name for f in docs.schema].index("text")
