@@ -300,10 +300,10 @@ def box_mean_3(spark, sf):
     return rounded(_cells(r.select("vec_id", raster.box_mean(F.col("a"), 8, 3).alias("m")), "m"), 5)
 
 
-@query(RASTER_SQL + ", " + ", ".join([_near_sql(3, "b.x", "m3"), _near_sql(3, "b.x * b.x", "s3"), _near_sql(7, "b.x", "m7"), _near_sql(7, "b.x * b.x", "s7")]) + " SELECT m3.vec_id, m3.r * 8 + m3.c AS i, round(greatest(s3.m - m3.m * m3.m, 0), 3) AS var3, round(greatest(s7.m - m7.m * m7.m, 0), 3) AS var7 FROM m3 JOIN s3 USING (vec_id, r, c) JOIN m7 USING (vec_id, r, c) JOIN s7 USING (vec_id, r, c)")
+@query(RASTER_SQL + ", " + ", ".join([_near_sql(3, "b.x", "m3"), _near_sql(3, "b.x * b.x", "s3"), _near_sql(7, "b.x", "m7"), _near_sql(7, "b.x * b.x", "s7")]) + " SELECT m3.vec_id, m3.r * 8 + m3.c AS i, round(greatest(s3.m - m3.m * m3.m, 0), 2) AS var3, round(greatest(s7.m - m7.m * m7.m, 0), 2) AS var7 FROM m3 JOIN s3 USING (vec_id, r, c) JOIN m7 USING (vec_id, r, c) JOIN s7 USING (vec_id, r, c)")
 def local_var_3_7(spark, sf):
     r = _rasters(spark, sf).select("vec_id", F.arrays_zip(raster.local_variance(F.col("a"), 8, 3).alias("var3"), raster.local_variance(F.col("a"), 8, 7).alias("var7")).alias("z"))
-    return rounded(r.select("vec_id", F.posexplode("z").alias("i", "z")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("z.var3").alias("var3"), F.col("z.var7").alias("var7")), 3)
+    return rounded(r.select("vec_id", F.posexplode("z").alias("i", "z")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("z.var3").alias("var3"), F.col("z.var7").alias("var7")), 2)
 
 
 def _sobel_sql() -> str:
@@ -366,11 +366,11 @@ def classification_report(spark, sf):
 
 
 @query("""WITH x AS (SELECT l_orderkey AS patch_id, l_quantity AS b, l_linenumber * 100.0::DOUBLE AS g, l_discount * 1000 AS r, l_tax * 5000 AS n FROM lineitem)
-SELECT patch_id, round(avg((n / 10000 - r / 10000) / (n / 10000 + r / 10000 + 1e-6::DOUBLE)), 6) AS ndvi, round(avg((g / 10000 - n / 10000) / (g / 10000 + n / 10000 + 1e-6::DOUBLE)), 6) AS ndwi,
-round(avg(b / 10000), 6) AS b02_mean, round(stddev_pop(b / 10000), 6) AS b02_std, round(avg(g / 10000), 6) AS b03_mean, round(stddev_pop(g / 10000), 6) AS b03_std, round(avg(r / 10000), 6) AS b04_mean, round(stddev_pop(r / 10000), 6) AS b04_std, round(avg(n / 10000), 6) AS b08_mean, round(stddev_pop(n / 10000), 6) AS b08_std FROM x GROUP BY 1""")
+SELECT patch_id, round(avg((n / 10000 - r / 10000) / (n / 10000 + r / 10000 + 1e-6::DOUBLE)), 9) AS ndvi, round(avg((g / 10000 - n / 10000) / (g / 10000 + n / 10000 + 1e-6::DOUBLE)), 9) AS ndwi,
+round(avg(b / 10000), 9) AS b02_mean, round(stddev_pop(b / 10000), 9) AS b02_std, round(avg(g / 10000), 9) AS b03_mean, round(stddev_pop(g / 10000), 9) AS b03_std, round(avg(r / 10000), 9) AS b04_mean, round(stddev_pop(r / 10000), 9) AS b04_std, round(avg(n / 10000), 9) AS b08_mean, round(stddev_pop(n / 10000), 9) AS b08_std FROM x GROUP BY 1""")
 def legacy_features(spark, sf):
     px = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "patch_id")
-    return rounded(legacy.legacy_features(px, ["patch_id"], F.col("l_quantity"), F.col("l_linenumber") * 100.0, F.col("l_discount") * 1000, F.col("l_tax") * 5000))
+    return rounded(legacy.legacy_features(px, ["patch_id"], F.col("l_quantity"), F.col("l_linenumber") * 100.0, F.col("l_discount") * 1000, F.col("l_tax") * 5000), 9)
 
 
 @query("SELECT o_orderpriority AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS index FROM orders GROUP BY 1")
