@@ -209,7 +209,7 @@ def pseudonym(value: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """docs with `text` pseudonymised, and pii: array of struct(kind, value) of the new values in order (null for a null text)."""
     text, secret = F.col("text"), F.lit(key)
-    some = F.coalesce(text.rlike("[0-9]{2}|@"), F.lit(False))
+    some = F.coalesce(text.rlike("[0-9][0-9.]|@"), F.lit(False))
     empty = F.array().cast("array<struct<kind:string,value:string>>")
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, secret))).when(text.isNotNull(), empty)
     pii, kept = "__pii", [c for c in docs.columns]
