@@ -271,10 +271,10 @@ def change_points(spark, sf):
 
 
 def _rasters(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000, 3)).alias("a"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000, 0)).alias("a"))
 
 
-RASTER_SQL = """WITH v AS (SELECT vec_id, (unnest(range(64))) AS i, round(unnest(embedding)::DOUBLE * 1000, 3) AS x FROM embeddings), g AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, x FROM v)"""
+RASTER_SQL = """WITH v AS (SELECT vec_id, (unnest(range(64))) AS i, round(unnest(embedding)::DOUBLE * 1000, 0) AS x FROM embeddings), g AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, x FROM v)"""
 
 
 def _near_sql(k: int, expr: str, name: str) -> str:
@@ -288,7 +288,7 @@ def _cells(df, column):
     return df.select("vec_id", F.posexplode(column).alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), "v")
 
 
-@query("WITH s AS (SELECT unnest(range(20)) AS t) SELECT vec_id, (a.t * 20 + b.t)::BIGINT AS i, round(round(embedding[(floor(a.t * 7 / 19.0 + 0.5) * 8 + floor(b.t * 7 / 19.0 + 0.5) + 1)::INT]::DOUBLE * 1000, 3), 6) AS v FROM embeddings, s a, s b WHERE vec_id < 50")
+@query("WITH s AS (SELECT unnest(range(20)) AS t) SELECT vec_id, (a.t * 20 + b.t)::BIGINT AS i, round(round(embedding[(floor(a.t * 7 / 19.0 + 0.5) * 8 + floor(b.t * 7 / 19.0 + 0.5) + 1)::INT]::DOUBLE * 1000, 0), 6) + 0.0::DOUBLE AS v FROM embeddings, s a, s b WHERE vec_id < 50")
 def upsample_nearest(spark, sf):
     r = _rasters(spark, sf).where("vec_id < 50")
     return rounded(_cells(r.select("vec_id", raster.upsample(F.col("a"), 8, 20).alias("u")), "u"))
@@ -397,7 +397,7 @@ def breakdown_grouping_sets(spark, sf):
     return rounded(spark.sql("SELECT tile, country, count(*) AS n, avg(label) AS rate FROM _cells GROUP BY GROUPING SETS ((tile, country), (country), ())"))
 
 
-@query("""WITH g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v - avg(v) OVER (PARTITION BY vec_id) AS z FROM (SELECT vec_id, unnest(range(64)) AS i, round(unnest(embedding)::DOUBLE * 1000, 3) AS v FROM embeddings)),
+@query("""WITH g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v - avg(v) OVER (PARTITION BY vec_id) AS z FROM (SELECT vec_id, unnest(range(64)) AS i, round(unnest(embedding)::DOUBLE * 1000, 0) AS v FROM embeddings)),
 p AS (SELECT a.vec_id, sum(a.z * b.z) AS s, count(*) AS w FROM g a JOIN g b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1), q AS (SELECT vec_id, sum(z * z) AS s, count(*) AS n FROM g GROUP BY 1)
 SELECT p.vec_id, round(q.n / p.w::DOUBLE * p.s / q.s, 6) AS moran FROM p JOIN q USING (vec_id)""")
 def morans_i(spark, sf):
