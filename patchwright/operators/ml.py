@@ -8,12 +8,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import seeded_int
 from ..functions.labels import class_weight, evaluated_roles
 from ..schema import require_features
 
@@ -120,3 +123,31 @@ def grid(base: Run) -> list[Run]:
 def index_labels(df: DataFrame, label: str, out: str) -> DataFrame:
     """Labels numbered by falling frequency."""
     return StringIndexer(inputCol=label, outputCol=out, stringOrderType="frequencyDesc", handleInvalid="keep").fit(df).transform(df)
+
+
+def hash_split(df: DataFrame, share: float, seed: int, patch: str = "patch_id") -> tuple[DataFrame, DataFrame]:
+    """(train, test) by seeded hash: the same rows under any partitioning."""
+    low = seeded_int(seed, F.col(patch)) < int(share * 2**32)
+    return df.where(low), df.where(~low)
+
+
+def single_label(train: DataFrame, columns: Sequence[str], label: str, learner: str = "rf", trees: int = 100, depth: int = 20, seed: int = 42) -> PipelineModel:
+    """The older path: labels indexed, features assembled, one multi-class forest or logistic model, as one pipeline."""
+    common = dict(featuresCol="features", labelCol="label_index", predictionCol="prediction")
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common) if learner == "rf" else LogisticRegression(family="multinomial", **common)
+    steps = [StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip"), VectorAssembler(inputCols=list(columns), outputCol="features"), model]
+    return Pipeline(stages=steps).fit(train)
+
+
+def single_label_metrics(predicted: DataFrame) -> dict[str, float]:
+    """F1, accuracy, weighted precision and recall, each by an evaluator of its own."""
+    names = ("f1", "accuracy", "weightedPrecision", "weightedRecall")
+    return {n: MulticlassClassificationEvaluator(labelCol="label_index", predictionCol="prediction", metricName=n).evaluate(predicted) for n in names}
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -320,6 +320,16 @@ def run_stats(spark, sf):
     return ml.binary_relevance(v, labels[:1], ml.Run("s2", max_iter=3), classes[:1])[1]
 
 
+@query()
+def single_label_forest(spark, sf):
+    """The older single-label path: order priority from four pixel statistics, on the quarter held out by hash."""
+    px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.max("l_discount").alias("c"), F.count("*").cast("double").alias("d"))
+    rows = px.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("patch_id"), "o_orderpriority"), "patch_id")
+    train, test = ml.hash_split(rows, 0.75, SEED)
+    model = ml.single_label(train, ["a", "b", "c", "d"], "o_orderpriority", trees=5, depth=4)
+    return model.transform(test).select("patch_id", "o_orderpriority", "label_index", "prediction")
+
+
 @query("SELECT user_id, true AS complete FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def complete_groups_stream(spark, sf):
     """The events as a stream that ends (AvailableNow), with the seen kinds as state."""

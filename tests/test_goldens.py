@@ -198,3 +198,12 @@ def test_runs():
     assert len(ml.ladder({"s1": [None], "s2": [None], "s3": [str(k) for k in range(5)], "s4": list("abcdefghij")}, base)) == 17
     assert len(ml.grid(base)) == 6
     assert config.fold_arguments(base, ["--reg-param", "0.1", "--nothing", "x", "--num-trees", "7"]).num_trees == 7
+
+
+def test_single_label_path(spark, small, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("patch_id"), (F.col("id") % 3).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
+    train, test = ml.hash_split(rows, 0.75, 42)
+    assert train.count() + test.count() == 400 and 60 < test.count() < 140
+    model = ml.single_label(train, ["x"], "y", trees=3, depth=3)
+    ml.save_model(model, f"{tmp_path}/m")
+    assert ml.single_label_metrics(ml.load_model(f"{tmp_path}/m").transform(test))["accuracy"] == 1.0
