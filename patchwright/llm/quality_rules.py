@@ -83,9 +83,12 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float
 def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: base counts, line_chars, removed_chars, depleted, kept."""
     frequent = materialise(frequent_lines(docs, min_docs, host_share), "frequent-lines").withColumnRenamed("source", "host")
-    lines = docs.select("doc_id", "source", text_key("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "source", "text_key"])
-    lines = lines.select("doc_id", "source", "text_key", F.inline(F.transform(lines_of(F.col("text")), lambda x: F.struct(hashed(x).alias("line"), F.length(x).alias("chars")))))
+    lines = docs.select("doc_id", "source", text_key("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = lines.select("doc_id", "source", "text_key", F.posexplode(F.transform(lines_of(F.col("text")), lambda x: F.struct(hashed(x).alias("line"), F.length(x).alias("chars")))).alias("at", "x"))
+    lines = lines.select("doc_id", "source", "text_key", "at", "x.line", "x.chars")
     hit = lines.join(frequent, (lines["line"] == frequent["line"]) & lines["source"].eqNullSafe(frequent["host"]))
+    # repeated rows bring the same lines at the same places: each place counts once, and texts need no shuffle
+    hit = hit.groupBy("doc_id", "source", "text_key", "at").agg(F.first("chars").alias("chars"))
     removed = hit.groupBy("doc_id", "source", "text_key").agg(F.sum("chars").alias("removed_chars")).select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "source", "text_key")), "removed_chars")
     base = base_rules(docs)
     same = [base[c].eqNullSafe(removed[f"r_{c}"]) for c in ("doc_id", "source", "text_key")]
