@@ -141,6 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents that are not contaminated, in their columns."""
     bad = scored(docs, benchmark, **parameters).where("contaminated").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
+    bad = bounded(materialise(bad, "contaminated"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k_id"]) & (text_key(docs["text"]) == bad["k_key"]), "left_anti")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import bounded, components, materialise, table
 from .textops import blocks, mix, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -196,6 +196,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
     place = materialise(units(sets.select("digest", "prefixes"), unit), "units")
 
     wanted = sets.join(place.select("digest").distinct(), "digest", "left_semi").select(F.col("first_id").alias("k_id")).distinct()
+    wanted = bounded(materialise(wanted, "wanted"))  # few ids are broadcast, so that texts need no shuffle
     chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     values = set_values(chosen, shingle).dropDuplicates(["digest"])
     rows = place.join(sets.select("digest", "copies", "prefixes"), "digest").join(values, "digest")
@@ -217,7 +218,7 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     Of rows with one doc_id one stays. Rows without a doc_id stay, each text once."""
     keep = classes(docs, **parameters).where("doc_id = class_id").groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("k_n"))
     keep = materialise(keep, "keep")
-    once, more = (docs.join(keep.where(c).select("k_id"), docs["doc_id"] == F.col("k_id"), "left_semi") for c in ("k_n = 1", "k_n > 1"))
+    once, more = (docs.join(bounded(keep.where(c).select("k_id")), docs["doc_id"] == F.col("k_id"), "left_semi") for c in ("k_n = 1", "k_n > 1"))
     return once.unionByName(more.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
