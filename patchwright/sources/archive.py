@@ -47,7 +47,7 @@ class TarReader(DataSourceReader):
     def read(self, partition: Archive) -> Iterator[tuple]:
         if not partition.path:
             return
-        least = int(self.options.get("minDepth", 3))
+        least = int(self.options.get("mindepth", 3))
         with open(partition.path, "rb") as raw:
             stream = zstandard.ZstdDecompressor().stream_reader(raw) if partition.path.endswith(".zst") else raw
             with tarfile.open(fileobj=stream, mode="r|") as tar:
@@ -72,7 +72,7 @@ class TarSource(DataSource):
         return COLUMNS
 
     def reader(self, schema: StructType) -> TarReader:
-        return TarReader(schema, dict(self.options))
+        return TarReader(schema, {k.lower(): v for k, v in self.options.items()})
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, min_depth: int = 3) -> DataFrame:
