@@ -122,8 +122,8 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.names, self.options = schema.names, options
         self.wanted: dict[str, set] = {}
-        if "recordTypes" in options:
-            self.wanted["record_type"] = set(options["recordTypes"].split(","))
+        if "recordtypes" in options:
+            self.wanted["record_type"] = set(options["recordtypes"].split(","))
 
     def pushFilters(self, filters):
         """Equality and membership of header columns are checked before a payload is touched; the rest goes back to Spark."""
@@ -141,7 +141,7 @@ class WarcReader(DataSourceReader):
         where, base = store(self.options["path"])
         found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
         files = sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
-        limit, out, size = int(self.options.get("partitionBytes", PARTITION_BYTES)), [], 0
+        limit, out, size = int(self.options.get("partitionbytes", PARTITION_BYTES)), [], 0
         for f in files:
             if not out or size + f.size > limit:
                 out.append([])
@@ -188,7 +188,7 @@ class WarcWriter(DataSourceWriter):
         task = TaskContext.get()
         where, base = store(self.options["path"])
         where.create_dir(f"{base}/_temporary-{self.job}", recursive=True)
-        limit, done, out, n = int(self.options.get("recordsPerFile", RECORDS_PER_FILE)), [], None, 0
+        limit, done, out, n = int(self.options.get("recordsperfile", RECORDS_PER_FILE)), [], None, 0
         try:
             for row in rows:
                 if out is None or n >= limit:
@@ -240,6 +240,11 @@ def record(row: dict) -> bytes:
     return out.getvalue()
 
 
+def lowered(options) -> dict[str, str]:
+    """Options by lower-case names, as Spark takes them in any case."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -249,10 +254,10 @@ class WarcSource(DataSource):
         return COLUMNS
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(schema, dict(self.options))
+        return WarcReader(schema, lowered(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(schema, dict(self.options))
+        return WarcWriter(schema, lowered(self.options))
 
 
 def register(spark: SparkSession) -> None:

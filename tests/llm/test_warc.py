@@ -69,3 +69,11 @@ def test_empty(spark, tmp_path):
     path = f"{tmp_path}/w"
     warc.write(warc.records(pages(spark, ROWS).limit(0)), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_the_query_counts_each_page_once(spark, tmp_path):
+    rows = [(i, f"u{i}", f"h{i % 3}", "x") for i in range(9)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = warc.op1(spark, str(tmp_path)).collect()
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in out}
+    assert len(out) == 9 and got == {i: ("response", None) if i >= 6 else ("revisit", 6 + i % 3) for i in range(9)}
