@@ -1,13 +1,13 @@
 """Secret scans: fixed forms, and dictionary-primed zstandard novelty.
 
-Base spans are the three fixed forms. The method looks at the other candidates, runs of MIN_CHARS to
-MAX_CHARS token characters with a letter and a digit, or mixed case, that have a sensitive word up to REACH characters
+Base spans are the three fixed forms. The method looks at the other candidates, runs of MIN_CHARS or more
+token characters with a letter and a digit, or mixed case, that have a sensitive word up to REACH characters
 before them. Zstandard is primed with an identifier dictionary and the code around the candidate
-(CONTEXT characters before and behind it, without it); the bytes that the candidate adds to the
-compressed form of its surroundings, over its length, are its novelty, as written or as lower-case words,
-whichever is less. A candidate that hardly
-compresses (novelty of MIN_NOVELTY or more) is reported as `novel`. A candidate that overlaps a base span is not
-looked at again.
+(CONTEXT characters before and behind it, with it and its copies blanked); the bytes that the candidate adds to the
+compressed form of its surroundings, over those of a random string of its length and alphabet, are its novelty,
+as written or as lower-case words, whichever is less. A candidate that hardly
+compresses more than that (novelty of MIN_NOVELTY or more) is reported as `novel`. A candidate that overlaps a base
+span is not looked at again.
 
 Documents without any such form are recognised by one pattern in the JVM, and their texts never
 reach Python.
@@ -18,6 +18,7 @@ repeated rows come back as often as they came; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MIN_CHARS, MAX_CHARS, REACH, CONTEXT, MIN_NOVELTY, LEVEL = 16, 200, 48, 256, 0.85, 9
+MIN_CHARS, REACH, CONTEXT, MIN_NOVELTY, LEVEL = 16, 48, 256, 0.85, 9
+#: Shorter strings zstandard leaves as literals, so a random one costs its length; random strings that price a longer one.
+CODED, PRICES = 64, 4
 KINDS = ("assign", "access", "hex", "novel")
 # The base forms and the words that make a context sensitive.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -46,15 +49,46 @@ IDENTIFIERS = (
     "import from return function class public static final string value const let var null none true false http https localhost example.com index name type data key file path"
 ).encode()
 
+# Alphabets of one case in which secrets are written, narrowest first, and the classes of the others.
+ALPHABETS = ("0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567")
+MARKS = "+/_=- "
+CLASSES = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def novelty(candidate: str, before: str, behind: str) -> float:
-    """Marginal compressed bytes of the candidate in its primed surroundings, over its length."""
+    """Marginal compressed bytes of the candidate in its primed surroundings, over those of a random string; the lesser of both spellings."""
     # no content size, checksum or dictionary id: the frame is all payload
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + before.encode() + b"\n" + behind.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
     press = zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
-    raw = candidate.encode()
-    return (len(press.compress(raw)) - len(press.compress(b""))) / max(len(raw), 1)
+    none = len(press.compress(b""))
+
+    def cost(s: str) -> float:
+        return (len(press.compress(s.encode())) - none) / max(len(s), 1)
+
+    def relative(s: str) -> float:
+        own = cost(s)
+        if own >= MIN_NOVELTY or len(s) < CODED:
+            return own
+        return own / min(1.0, *(cost(alike(s, k)) for k in range(PRICES)))
+
+    return min(relative(candidate), relative(spelled(candidate)))
+
+
+def alike(s: str, seed: int) -> str:
+    """A random string of the length and alphabet of s; marks and blanks stay in place."""
+    own = set(s) - set(MARKS)
+    narrow = next((a for a in ALPHABETS if own <= set(a)), None)
+    alphabet = narrow or "".join(a for a in CLASSES if own & set(a))
+    draw = random.Random(seed)
+    return "".join(c if c in MARKS else draw.choice(alphabet) for c in s)
+
+
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """CONTEXT characters before and behind text[a:b]; its copies there, in any case and cut by the border or not, are blank."""
+    copy, n = re.compile(re.escape(text[a:b]), re.IGNORECASE), b - a
+    before = copy.sub(" " * n, text[max(0, a - CONTEXT - n) : a])
+    return before[-CONTEXT:], copy.sub(" " * n, text[b : b + CONTEXT + n])[:CONTEXT]
 
 
 def spelled(candidate: str) -> str:
@@ -84,9 +118,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             while k < len(taken) and taken[k][0] < b:
                 reach = max(reach, taken[k][1])
                 k += 1
-            if w and a - words[w - 1] <= REACH and reach <= a and b - a <= MAX_CHARS and mixed(m[0]):
-                around = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
-                if min(novelty(m[0], *around), novelty(spelled(m[0]), *around)) >= MIN_NOVELTY:
+            if w and a - words[w - 1] <= REACH and reach <= a and mixed(m[0]):
+                if novelty(m[0], *surroundings(text, a, b)) >= MIN_NOVELTY:
                     spans.append((a, b, "novel"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

@@ -1,3 +1,6 @@
+import random
+import string
+
 import duckdb
 
 from patchwright.llm import secrets
@@ -81,6 +84,26 @@ def test_novelty():
     assert kinds("token=aB3dE5fG7hJ9kL2mN4pQ6rS8tU") == ["assign"], "a base span is not looked at again"
 
 
+def test_long_random_secrets():
+    draw = random.Random(7)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "+/"):
+        for n in (16, 32, 64, 96, 128, 172, 200, 344, 400):
+            secret = ["".join(draw.choice(alphabet) for _ in range(n)) for _ in range(20)]
+            caught = sum([k for _, _, k in secrets.find(f"Authorization: Bearer {s} end")] == ["novel"] for s in secret)
+            assert caught >= 19, (alphabet, n, caught)
+    assert secrets.find("private_key of " + "x" * 300 + "1") == []
+    assert secrets.find("private_key of " + "setPasswordForUserNameInTheApplicationConfigSettings" * 4) == []
+    assert secrets.find("private_key of " + "path/to/your/config/settings/example/token/data/file/index1/" * 4) == []
+
+
+def test_repeated_secret():
+    secret = "aB3dE5fG7hJ9kL2mN4pQ6rS8tU"
+    kinds = [k for _, _, k in secrets.find(f"Authorization: Bearer {secret}\nAuthorization: Bearer {secret}\nsignature of {secret.lower()}")]
+    assert kinds == ["novel"] * 3
+    apart = f"{secret} {'z' * 235} credential is {secret}"  # the border of the context cuts the first copy
+    assert [k for _, _, k in secrets.find(apart)] == ["novel"]
+
+
 def test_edge_cases(spark, odd):
     assert secrets.scan(odd).count() == 9 and secrets.scan(odd.limit(0)).count() == 0
     assert all(r["spans"] == [] for r in secrets.scan(odd).collect())
