@@ -20,6 +20,23 @@ def test_copies_are_one_document(spark):
     assert all(r["kept"] for r in Q.apply_rules(df, min_docs=5, host_share=0.0).collect())
 
 
+def test_low_limits_on_small_and_hot_hosts(spark):
+    own = lambda i: " ".join(f"d{chr(97 + i % 26)}{chr(97 + i // 26)}w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(i, f"small host footer\n{own(i)}", "small") for i in range(8)]
+    rows += [(100 + i, f"rare header\n{own(100 + i)}" if i < 8 else own(100 + i), "hot") for i in range(400)]
+    rows += [(600 + i, f"wide notice\n{own(600 + i)}", f"host{i}") for i in range(24)]
+    rows += [(700 + i, f"mass copy line\n{own(700)}", "copies") for i in range(8)]
+    rows += [(800 + i, f"said four times\n{own(800 + i)}", "few") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["removed_chars"] for r in Q.apply_rules(df, **Q.LOW).collect()}
+    assert all(got[i] == len("small host footer") for i in range(8))
+    assert all(got[100 + i] == (len("rare header") if i < 8 else 0) for i in range(400))
+    assert all(got[600 + i] == len("wide notice") for i in range(24))
+    assert all(got[700 + i] == len("mass copy line") + len(own(700)) for i in range(8))
+    assert all(got[800 + i] == 0 for i in range(4))
+    assert {r["removed_chars"] for r in Q.apply_rules(df).collect()} == {0}
+
+
 def test_edge_cases(spark, odd):
     rows = Q.apply_rules(odd).collect()
     assert len(rows) == 9 and sum(r["kept"] for r in rows) == 1
