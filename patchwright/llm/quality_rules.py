@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from .common import bind, materialise, space_words, table, text_key
 
 MIN_DOCS, HOST_SHARE, MIN_LEFT = 100, 0.01, 0.5
+BLANKS = " \t\x0b\x0c\r"
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars", "depleted", "kept")
 #: Limits that do not rise with the host: for corpora; the query keeps to those of its SQL.
 LOW = {"min_docs": 5, "host_share": 0.0, "any_host": 20, "copies": True}
 
 
 def lines_of(text: Column) -> Column:
     """The lines with anything but white space, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def hashed(line: Column) -> Column:
@@ -32,7 +34,7 @@ def hashed(line: Column) -> Column:
 
 def worded(text: Column) -> Column:
     """The lines with a word, as they are."""
-    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -56,11 +58,12 @@ def repeat_words(words: Column) -> Column:
 def base_rules(docs: DataFrame) -> DataFrame:
     """The document-level counts and base_failed; map side only."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", "source", text_key("text").alias("text_key"), text.alias("text"), space_words(text).alias("words"))
+    out = docs.select("doc_id", "source", text_key("text").alias("text_key"), F.col("text").alias("raw"), text.alias("text"), space_words(text).alias("words"))
     out = out.select(
         "doc_id",
         "source",
         "text_key",
+        "raw",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -92,23 +95,34 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float
 
 
 def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT, any_host: int | None = None, copies: bool = False) -> DataFrame:
-    """One row per document: base counts, line_chars, removed_chars, depleted, kept."""
+    """One row per document: base counts, line_chars, removed_chars, depleted, kept, and text without its frequent lines (null stays null)."""
     frequent = materialise(frequent_lines(docs, min_docs, host_share, any_host, copies), "frequent-lines").withColumnRenamed("source", "host")
     lines = docs.select("doc_id", "source", text_key("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = lines.select("doc_id", "source", "text_key", F.posexplode(F.transform(lines_of(F.col("text")), lambda x: F.struct(hashed(x).alias("line"), F.length(x).alias("chars")))).alias("at", "x"))
-    lines = lines.select("doc_id", "source", "text_key", "at", "x.line", "x.chars")
+    core = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(BLANKS)).alias("core"), i.alias("at"))), lambda x: x["core"] != "")
+    lines = lines.select("doc_id", "source", "text_key", F.explode(F.transform(core, lambda x: F.struct(x["at"].alias("at"), hashed(x["core"]).alias("line"), F.length(x["core"]).alias("chars")))).alias("x"))
+    lines = lines.select("doc_id", "source", "text_key", "x.at", "x.line", "x.chars")
     hit = lines.join(frequent, (lines["line"] == frequent["line"]) & lines["source"].eqNullSafe(frequent["host"]))
     # repeated rows bring the same lines at the same places: each place counts once, and texts need no shuffle
     hit = hit.groupBy("doc_id", "source", "text_key", "at").agg(F.first("chars").alias("chars"))
-    removed = hit.groupBy("doc_id", "source", "text_key").agg(F.sum("chars").alias("removed_chars")).select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "source", "text_key")), "removed_chars")
+    removed = hit.groupBy("doc_id", "source", "text_key").agg(F.sum("chars").alias("removed_chars"), F.collect_list("at").alias("places"))
+    removed = removed.select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "source", "text_key")), "removed_chars", "places")
     base = base_rules(docs)
     same = [base[c].eqNullSafe(removed[f"r_{c}"]) for c in ("doc_id", "source", "text_key")]
     out = base.join(removed, same[0] & same[1] & same[2], "left")
     removed_chars = F.coalesce("removed_chars", F.lit(0)).cast("long")
     out = out.withColumn("removed_chars", removed_chars).withColumn("depleted", F.col("removed_chars") > (1 - min_left) * F.col("line_chars"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars", "depleted", "kept")
+    return out.select(*COLUMNS, F.when(F.col("places").isNull(), F.col("raw")).otherwise(without(F.coalesce("raw", F.lit("")), F.col("places"))).alias("text"))
+
+
+def without(text: Column, places: Column) -> Column:
+    """The text without the lines at these places; the others in order, blank ones too."""
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return bind(F.split(text, "\n"), rest)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents"))
+    return apply_rules(table(spark, sf_dir, "documents")).select(*COLUMNS)

@@ -37,6 +37,19 @@ def test_low_limits_on_small_and_hot_hosts(spark):
     assert {r["removed_chars"] for r in Q.apply_rules(df).collect()} == {0}
 
 
+def test_lines_are_removed_from_the_text(spark):
+    rows = [(i, f"Menu 2{i}\r\n\n first {i}x{chr(97 + i)}\nsame {i}\n\nlast {chr(97 + i)} y\n menu 77", "a") for i in range(8)]
+    rows += [(50, "alone\nand whole\n", "b"), (51, None, "a"), (52, "", "a"), (53, "menu 11", "a"), (0, rows[0][1], "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = Q.apply_rules(df, min_docs=5, host_share=0.0, min_left=0.4).collect()
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == len(rows)
+    assert all(text[i] == f"\n first {i}x{chr(97 + i)}\n\nlast {chr(97 + i)} y" for i in range(8))
+    assert (text[50], text[51], text[52], text[53]) == ("alone\nand whole\n", None, "", "")
+    for r in got:
+        assert r["line_chars"] - r["removed_chars"] == sum(len(x.strip(" \t\x0b\x0c\r")) for x in (r["text"] or "").split("\n"))
+
+
 def test_edge_cases(spark, odd):
     rows = Q.apply_rules(odd).collect()
     assert len(rows) == 9 and sum(r["kept"] for r in rows) == 1
