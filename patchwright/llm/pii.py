@@ -11,7 +11,8 @@ equal value gets an equal pseudonym in every document and no two values share on
 - date: a day of the calendar, permuted over its 400 years; year-first, or day- or month-first before the year
 - email: letters and digits of the part before the @ permuted within their class, the domain stays
 
-A value that fails its validation stays as it is. Separators stay. The permutation is a Feistel network
+A match of digits that is no card as a whole may hold cards: rows of groups in one of SHAPES, with the first digits
+of ISSUER and a valid Luhn digit. A printed IBAN may have other words behind it. A value that fails its validation stays as it is. Separators stay. The permutation is a Feistel network
 over two halves, added in the ring of each half, so it needs no cycle walking; rounds take SHA-2 of key,
 kind, round and the other half.
 
@@ -32,13 +33,16 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 # The forms of the seven kinds, in the order in which they are tried.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,4})(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,4})(?![0-9]|\.[0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+",
 }
+#: Group lengths and first digits of a card that stands among other digits.
+SHAPES = "^(?:1[3-9]|4-4-4-4(?:-[1-3])?|4-4-4-[1-3]|4-4-5|4-6-[45]|6-10|6-13|8-8|2(?:-2){6,8}|1(?:-1){12,18})$"
+ISSUER = "^(?:2[2-7]|[3-6])"
 ANY = "|".join(FORMS.values())
 LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -122,14 +126,18 @@ def card(v: Column, key: Column) -> Column:
         body = permute_characters(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
         return bind(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
 
-    return bind(digits_of(v), lambda d: F.when((luhn(d) == 0) & (F.length(F.regexp_replace(d, F.substr(d, F.lit(1), F.lit(1)), F.lit(""))) > 0), fill(v, new(d))))
+    return bind(digits_of(v), lambda d: F.when(F.length(d).between(13, 19) & (luhn(d) == 0) & (F.length(F.regexp_replace(d, F.substr(d, F.lit(1), F.lit(1)), F.lit(""))) > 0), fill(v, new(d))))
 
 
 def iban(v: Column, key: Column) -> Column:
-    ok = mod97(F.concat(F.substr(v, F.lit(5)), F.substr(v, F.lit(1), F.lit(4)))) == 1
-    land = F.substr(v, F.lit(1), F.lit(2))
-    new = permute_characters(F.substr(v, F.lit(5)), key, "iban")
-    return F.when(ok, bind(new, lambda b: F.concat(land, F.lpad((98 - mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b)))
+    def whole(c: Column) -> Column:
+        ok = F.length(c).between(15, 34) & (mod97(F.concat(F.substr(c, F.lit(5)), F.substr(c, F.lit(1), F.lit(4)))) == 1)
+        land = F.substr(c, F.lit(1), F.lit(2))
+        new = permute_characters(F.substr(c, F.lit(5)), key, "iban")
+        made = bind(new, lambda b: F.concat(land, F.lpad((98 - mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
+        return F.when(ok, bind(made, lambda m: F.when(F.instr(v, " ") > 0, F.btrim(F.regexp_replace(m, "(.{4})", "$1 "))).otherwise(m)))
+
+    return bind(F.replace(v, F.lit(" "), F.lit("")), whole)
 
 
 def ip(v: Column, key: Column) -> Column:
@@ -206,17 +214,97 @@ def pseudonym(value: Column, key: Column) -> Column:
     return F.coalesce(*tries, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
 
 
+PARTS = "array<struct<kind:string,value:string>>"
+
+
+def steps(key: Column):
+    """Functions over one match, each applied to what the one before it made; apart, as the analyzer bounds the depth of one expression.
+
+    A match is taken as a whole if it is valid. Else a printed IBAN is its longest row of groups that is valid, and
+    of digits (those behind the IBAN too) the rows of groups in a card's SHAPES that are valid are replaced, from the left."""
+    def whole(v: Column) -> Column:
+        return F.struct(v.alias("old"), pseudonym(v, key).alias("p"))
+
+    def heads(x: Column) -> Column:
+        groups = F.split(x["old"], " ")
+        each = F.transform(F.sequence(F.size(groups) - 1, F.lit(4), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        printed = x["p"]["kind"].isNull() & x["old"].rlike("^[A-Z]{2}[0-9]{2}( [A-Z0-9]+){4,}$")
+        return F.struct(x["old"].alias("old"), x["p"].alias("p"), F.when(printed, each).alias("heads"))
+
+    def tried(x: Column) -> Column:
+        made = F.transform(x["heads"], lambda h: F.struct(h.alias("old"), iban(h, key).alias("new")))
+        return F.struct(x["old"].alias("old"), x["p"].alias("p"), made.alias("made"))
+
+    def headed(x: Column) -> Column:
+        return F.struct(x["old"].alias("old"), x["p"].alias("p"), F.get(F.filter(x["made"], lambda y: y["new"].isNotNull()), 0).alias("head"))
+
+    def grouped(x: Column) -> Column:
+        left = F.substr(x["old"], F.coalesce(F.length(x["head"]["old"]), F.lit(0)) + 1)
+        some = x["p"]["kind"].isNull() & x["old"].rlike("^[A-Z0-9 -]{14,}$")
+        v = F.when(some, left)
+        groups = F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0))
+        return F.struct(x["old"].alias("old"), x["p"].alias("p"), x["head"].alias("head"), v.alias("v"), groups.alias("g"), F.split(v, "[0-9]+", -1).alias("gaps"))
+
+    def rows(x: Column) -> Column:
+        def row(i: Column, n: Column) -> Column:
+            part = F.slice(x["g"], i, n)
+            shape = F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-")
+            return F.struct(i.alias("i"), n.alias("n"), F.when(shape.rlike(SHAPES), F.array_join(part, "")).alias("d"))
+
+        size = F.size(x["g"])
+        each = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), size - i + 1)), lambda n: row(i, n))))
+        return F.struct(*(x[c].alias(c) for c in ("old", "p", "head", "v", "g", "gaps")), F.when(size > 0, F.filter(each, lambda y: y["d"].rlike(ISSUER))).alias("rows"))
+
+    def valid(x: Column) -> Column:
+        made = F.transform(x["rows"], lambda y: F.struct(y["i"].alias("i"), y["n"].alias("n"), card(y["d"], key).alias("new")))
+        return F.struct(*(x[c].alias(c) for c in ("old", "p", "head", "v", "g", "gaps")), made.alias("rows"))
+
+    def chosen(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<i:int,n:int,new:string>>").alias("hits"))
+        step = lambda a, y: F.when(y["new"].isNotNull() & (y["i"] > a["last"]), F.struct((y["i"] + y["n"] - 1).alias("last"), F.concat(a["hits"], F.array(y)).alias("hits"))).otherwise(a)
+        return F.struct(*(x[c].alias(c) for c in ("old", "p", "head", "v", "g", "gaps")), F.aggregate(x["rows"], start, step, lambda a: a["hits"]).alias("hits"))
+
+    def dressed(x: Column) -> Column:
+        """Each hit with the text between its groups."""
+        def old(y: Column) -> Column:
+            return F.array_join(F.transform(F.slice(x["g"], y["i"], y["n"]), lambda g, k: F.concat(F.when(k > 0, F.get(x["gaps"], y["i"] - 1 + k)).otherwise(""), g)), "")
+
+        hits = F.transform(x["hits"], lambda y: F.struct(y["i"].alias("i"), y["n"].alias("n"), fill(old(y), y["new"]).alias("new")))
+        return F.struct(*(x[c].alias(c) for c in ("old", "p", "head", "v", "g", "gaps")), hits.alias("hits"))
+
+    def built(x: Column) -> Column:
+        def between(a: Column, z: Column) -> Column:
+            """The groups a to z - 1 with the gap before each."""
+            return F.array_join(F.transform(F.slice(x["g"], a, z - a), lambda g, k: F.concat(F.get(x["gaps"], a + k - 1), g)), "")
+
+        first = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
+        step = lambda s, y: F.struct(F.concat(s["text"], between(s["at"], y["i"]), F.get(x["gaps"], y["i"] - 1), y["new"]).alias("text"), (y["i"] + y["n"]).alias("at"))
+        end = F.size(x["g"])
+        rest = F.aggregate(x["hits"], first, step, lambda s: F.concat(s["text"], between(s["at"], end + 1), F.get(x["gaps"], end)))
+        text = F.concat(F.coalesce(x["head"]["new"], F.lit("")), F.coalesce(rest, x["v"]))
+        named = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+        none = F.array().cast(PARTS)
+        own = F.when(x["p"]["kind"].isNotNull(), F.array(x["p"]).cast(PARTS)).otherwise(none)
+        head = F.when(x["head"].isNotNull(), F.array(named("iban", x["head"]["new"])).cast(PARTS)).otherwise(none)
+        inner = F.coalesce(F.transform(x["hits"], lambda y: named("card", y["new"])).cast(PARTS), none)
+        return F.struct(F.coalesce(F.when(x["v"].isNotNull(), text), x["p"]["value"]).alias("value"), F.concat(own, head, inner).alias("parts"))
+
+    return (whole, heads, tried, headed, grouped, rows, valid, chosen, dressed, built)
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """docs with `text` pseudonymised, and pii: array of struct(kind, value) of the new values in order (null for a null text)."""
     text, secret = F.col("text"), F.lit(key)
-    some = F.coalesce(text.rlike("[0-9][0-9.]|@"), F.lit(False))
-    empty = F.array().cast("array<struct<kind:string,value:string>>")
-    found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, secret))).when(text.isNotNull(), empty)
+    some = F.coalesce(text.rlike("[0-9][0-9.]|[0-9][ -][0-9]|@"), F.lit(False))
+    empty = F.array().cast("array<struct<value:string,parts:array<struct<kind:string,value:string>>>>")
     pii, kept = "__pii", [c for c in docs.columns]
-    out = docs.withColumn(pii, found)
+    out = docs.withColumn(pii, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    for step in steps(secret):
+        out = out.withColumn(pii, F.transform(pii, step))
+    out = out.withColumn(pii, F.when(some, F.col(pii)).when(text.isNotNull(), empty))
     joined = bind(F.split(text, ANY, -1), lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(pii), i)["value"], F.lit("")))), ""))
     out = out.withColumn("__text", F.when(F.size(pii) > 0, joined).otherwise(text))
-    return out.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept), F.filter(pii, lambda x: x["kind"].isNotNull()).alias("pii"))
+    return out.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept), F.flatten(F.transform(pii, lambda x: x["parts"])).alias("pii"))
 
 
 def key_of(spark: SparkSession) -> str:

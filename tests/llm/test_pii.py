@@ -66,6 +66,22 @@ def test_permutations_are_one_to_one(spark):
     assert digits.distinct().count() == 1000
 
 
+def test_values_among_other_digits(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"card {card} 12/25", "4111111111111111 123", "2 4111111111111111 x", f"12 34 {card} 99 88", f"{card} 5500 0000 0000 0004", f"to {iban}, x", "BE68 5390 0754 7034 EUR 5", "BE68 5390 0754 7034 4111 1111 1111 1111", "call 555 123 4567 now", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"]
+    kinds = ["card", "card", "card", "card", "card card", "iban", "iban", "iban card", "phone", "card"]
+    out = run(spark, [*texts, card, "BE68539007547034", "1990 1991 1992 1993 1994 1995"])
+    for i, (t, k) in enumerate(zip(texts, kinds, strict=True)):
+        assert " ".join(x["kind"] for x in out[i]["pii"]) == k, t
+        assert len(out[i]["text"]) == len(t) and all(x["value"] in out[i]["text"] for x in out[i]["pii"])
+        assert not any(v in out[i]["text"].replace(" ", "").replace("-", "") for v in ("4111111111111111", "WEST12345698765432", "539007547034", "5551234567", "5500000000000004"))
+    new = out[len(texts)]["text"]
+    assert out[0]["text"] == f"card {new} 12/25" and out[3]["text"] == f"12 34 {new} 99 88"
+    assert out[1]["text"] == new.replace(" ", "") + " 123"
+    assert out[6]["pii"][0]["value"].replace(" ", "") == out[len(texts) + 1]["text"]
+    assert out[len(texts) + 2]["text"] == "1990 1991 1992 1993 1994 1995"
+
+
 def test_edge_cases(spark, odd):
     out = pii.pseudonymise(odd)
     assert out.columns == [*odd.columns, "pii"]
