@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ SPACE_SEPARATOR = r"[\x20\x09-\x0D]+"
 SPACE_TRIM = " \t\n\x0b\x0c\r"
 #: A side of a join that is broadcast by hint has been counted to have no more rows than this.
 BROADCAST_ROWS = 2_000_000
+#: The same for rows of texts or arrays, by their bytes.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or (unset, as in tests) one made here."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`.
+
+    Unset, one is made here if the master is local (as in tests, where all run on this machine); a cluster without one is refused."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="patchwright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -81,32 +88,73 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has no more rows than allowed (counting stops there), else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """The frame with a broadcast hint if it is small, else left to a shuffle join.
+
+    Small: no more rows than allowed (counting stops there); where rows hold texts or arrays, `weight`
+    is a row's bytes, and their sum may be BROADCAST_BYTES at most."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
+
+
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the frame's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with keys (doc_id, text_key), nulls being equal; docs keep their columns, whatever their names."""
+    k_id, k_key, own = apart(docs, "k_id", "k_key", "own_key")
+    keys = bounded(keys.select(F.col("doc_id").alias(k_id), F.col("text_key").alias(k_key)))
+    keyed = docs.withColumn(own, text_key("text"))
+    return keyed.join(keys, F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(own) == F.col(k_key)), how).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b): (node, root), root the least node of the component.
 
-    Min-label propagation with pointer jumping; each round is a written table, so lineage stays
-    short and a lost executor costs one round. Rounds grow with the logarithm of the diameter.
-    An edge list without rows gives none. Null ends are dropped.
+    Contraction: in each round every node goes to the end of least hash among its neighbours and itself,
+    the ends of all edges are replaced, equal edges and loops go. So the edge list shrinks by a share of
+    its nodes a round, and a hub's edges meet in its one name. Hub keys are aggregated per task before the
+    shuffle, and their joins are split by AQE. Each round is a written table: a lost executor costs one round.
+    An edge list without rows gives none. Null ends and loops are dropped.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").where("a <> b")
-    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "label")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = materialise(step.join(up, "root", "left").select("node", "old", F.least("root", "above").alias("root")), "label")
-        done = step.where("root < old").isEmpty()
-        discard(label)
-        label = step
-        if done:
+    left = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    left = materialise(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    maps = []
+    for k in range(rounds):
+        if left.isEmpty():
             break
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("near"))
+        to = materialise(to.select("node", F.least("near", rank("node"))["x"].alias("to")), "labels")
+        one = left.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("a"), "b")
+        two = one.join(to.withColumnRenamed("node", "b"), "b").select("a", F.col("to").alias("b")).where("a <> b")
+        smaller = materialise(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(left)
+        left = smaller
+        maps.append(to)
     else:
         raise RuntimeError("components: not settled, raise rounds")
-    discard(both)
-    return label.select("node", "root")
+    root = None
+    for to in reversed(maps):  # a node of this round goes where its name of the next round goes
+        if root is None:
+            root = to.select("node", F.col("to").alias("root"))
+        else:
+            later = root.select(F.col("node").alias("to"), "root")
+            root = materialise(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
+    if root is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    least = root.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("least"))
+    return root.join(least, "root").select("node", F.col("least").alias("root"))

@@ -49,32 +49,67 @@ def test_edge_cases(spark, odd):
     kept = J.deduplicate(odd)
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == [1, 2, 3, 4, 6]
+    assert kept.where("doc_id IS NULL").count() == 2
+    assert J.deduplicate(odd.limit(0)).count() == 0
 
 
-def test_large_near_group_loses_no_link(spark):
-    """Distinct near copies of one text, beyond the unit size, so that blocks and trees are used."""
-    rng = np.random.default_rng(5)
-    base = [f"w{k}" for k in range(120)]
-    docs = []
-    for i in range(60):
+def test_documents_are_told_apart_by_id_and_text(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    schema = "doc_id bigint, text string, k_id int, K_KEY int, own_key int, class_id int, digest int"
+
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in J.deduplicate(spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], schema)).collect()), key=repr)
+
+    assert kept([(7, a), (7, b)]) == [(7, a), (7, b)]
+    assert kept([(3, a), (7, a), (7, b), (None, a), (3, a)]) == [(3, a), (7, b)]
+
+
+def near_copies(n, edits, rng, words=120):
+    base = [f"w{k}" for k in range(words)]
+    for i in range(n):
         w = list(base)
-        w[rng.integers(0, 120)] = f"x{i}"
-        docs.append((i, " ".join(w)))
-    docs.append((99, "something else entirely that nobody wrote before"))
+        for k in rng.choice(words, edits(i), replace=False):
+            w[k] = f"x{i}y{k}"
+        yield i, " ".join(w)
+
+
+def test_large_near_group_loses_no_link(spark):
+    """Distinct near copies of one text, in one block and in many."""
+    docs = [*near_copies(60, lambda i: 1, np.random.default_rng(5)), (99, "something else entirely that nobody wrote before")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert got(J.classes(df, unit=16)) == brute(docs) == got(J.classes(df))
+    whole, want = got(J.classes(df)), brute(docs)
+    assert got(J.classes(df, block=7)) == whole
+    assert [r[:2] for r in whole] == [r[:2] for r in want]
+    assert sum(r[2] for r in want) >= sum(r[2] for r in whole) >= 0.998 * sum(r[2] for r in want)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity from 0.8: alone, and in one large group where sets stop at longer prefixes."""
+    rng = np.random.default_rng(1)
+    pairs = [(2 * i + k, " ".join(f"p{i}w{j}" if k == 0 or j not in (20, 60) else f"q{i}w{j}" for j in range(95))) for i in range(150) for k in (0, 1)]  # 81 of 101 shingles
+    group = [(1000 + i, t) for i, t in near_copies(150, lambda i: i % 3, rng)]
+    links = {i: n for i, _, n in got(J.classes(spark.createDataFrame(pairs + group, "doc_id bigint, text string")))}
+    for docs in (pairs, group):
+        want = {i: n for i, _, n in brute(docs)}
+        assert all(links[i] <= want[i] for i in want)
+        assert sum(links[i] for i in want) >= 0.99 * sum(want.values()) > 0
 
 
 def test_real_rows_by_brute_force(spark, small, documents):
     assert got(J.classes(table(spark, small, "documents"))) == brute(list(documents.items()))
 
 
-def test_depth_meets_the_recall():
-    d = J.depth_for(0.8)
-    assert 1 - (1 - 0.8**d) ** J.TREES >= J.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** J.TREES
+def test_depths_meet_the_recall():
+    d = J.depths_for(0.8)
+    assert d[0] == J.LONGEST and d == sorted(d, reverse=True)
+    assert J.chance(0.8, d[-1], J.TREES) >= J.TARGET_RECALL > J.chance(0.8, d[-1] + 1, J.TREES)
 
 
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (None, 3)], "a bigint, b bigint")
     root = {r["node"]: r["root"] for r in components(chain).collect()}
     assert {root[k] for k in range(41)} == {0} and root[101] == 100
+    star = spark.createDataFrame([(5000, k) for k in range(300)] + [(k, 5001) for k in range(300, 400)], "a bigint, b bigint")
+    root = {r["node"]: r["root"] for r in components(star).collect()}
+    assert {root[k] for k in (*range(300), 5000)} == {0} and {root[k] for k in (*range(300, 400), 5001)} == {300}
+    assert components(chain.limit(0)).count() == 0
