@@ -7,100 +7,143 @@ dealt by hash into shards of about SHARD_TOKENS tokens, which pack on their own,
 no task grows with the input and a shard's loss repeats only that shard.
 
 Inside a shard pieces go in falling length to the open bin with the least room left that holds
-them. Where none does, a bin opens with the capacity of the least cost: the cost of a size is its own
-length plus, for the room it leaves, what the shard's remaining pieces could not fill; at last every bin is downsized
-to the smallest permitted length that holds its contents.
+them. Where none does, a bin opens at the size of the least cost: for each permitted size the room that the
+piece leaves is filled, longest first, from the lengths that the shard still has, and the cost is the price of the
+smallest size that holds this filling, by filled token. So all sizes compete at every opening, by what they
+could really hold. At last every bin is downsized to the smallest permitted length that holds its contents.
+The price of a sequence is its length, or with `attention` length * (1 + length / attention), as
+the work on a sequence has a part that grows with its square.
 
 Defined cases: null or empty texts have no tokens and come out as one piece of length 0 in no bin;
-equal lengths go by doc_id, then piece; repeated rows are separate pieces; other columns are ignored.
+equal lengths go by doc_id, then piece; repeated rows are separate pieces, dealt apart; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bind, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_TOKENS, CHARS_PER_TOKEN = 4_000_000, 4
+TOKEN = r"[\p{L}\p{N}]{1,%d}|[^\p{L}\p{N}\s]" % CHARS_PER_TOKEN
 
 
 def tokens(text: Column) -> Column:
-    """The number of tokens of a text: that of `[\\p{L}\\p{N}]{1,4}|[^\\p{L}\\p{N}\\s]`, counted in the JVM."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]{1,%d}|[^\p{L}\p{N}\s]" % CHARS_PER_TOKEN)), F.lit(0)).cast("bigint")
+    """The number of tokens of a text, counted in the JVM."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
 
 
-def pack(lengths: Sequence[int], capacities: Sequence[int]) -> list[tuple[int, int, int]]:
+def price(size: int, attention: float | None = None) -> float:
+    """The cost of a sequence of this length."""
+    return size * (1 + size / attention) if attention else float(size)
+
+
+class Lengths:
+    """The lengths that are still to be placed, as counts and as the bits of one number."""
+
+    def __init__(self, lengths: Sequence[int]) -> None:
+        self.count = Counter(lengths)
+        self.bits = sum(1 << n for n in self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.bits ^= 1 << n
+
+    def filling(self, room: int) -> int:
+        """How much of the room they fill, longest first."""
+        left, bits = room, self.bits
+        while left and (n := (bits & ((2 << left) - 1)).bit_length() - 1) > 0:
+            left -= n * min(left // n, self.count[n])
+            bits &= (1 << n) - 1
+        return room - left
+
+
+def pack(lengths: Sequence[int], capacities: Sequence[int], attention: float | None = None) -> list[tuple[int, int, int]]:
     """(bin, offset, capacity) for each length, given in falling order, each at least 1 and at most the largest capacity."""
     sizes = sorted(capacities)
-    rest = sum(lengths)
+    rest = Lengths(lengths)
     room: list[tuple[int, int]] = []  # (left, bin), sorted: the open bins with room
     fill: list[int] = []
-    cap: list[int] = []
     place: list[tuple[int, int]] = []
-    for i, n in enumerate(lengths):
+
+    def fitting(n: int) -> int:
+        return sizes[bisect_left(sizes, n)]
+
+    def cost(size: int, n: int) -> tuple[float, int]:
+        held = n + rest.filling(size - n)
+        return price(fitting(held), attention) / held, -size
+
+    for n in lengths:
+        rest.take(n)
         at = bisect_left(room, (n, -1))
         if at < len(room):
             left, b = room.pop(at)
         else:
-            shortest = lengths[-1]
-
-            def cost(c: int) -> tuple[float, int]:
-                """Padding per token, if the room takes what is left as far as it goes; ties open the largest."""
-                spare = c - n
-                waste = spare if spare < shortest else max(0, spare - (rest - n))
-                return (c - spare + waste) / n, -c
-
-            c = min((c for c in sizes if c >= n), key=cost)
-            b, left = len(fill), c
+            left, b = min((c for c in sizes if c >= n), key=lambda c: cost(c, n)), len(fill)  # noqa: B023
             fill.append(0)
-            cap.append(c)
         place.append((b, fill[b]))
         fill[b] += n
-        rest -= n
         if left > n:
             insort(room, (left - n, b))
-    fitted = [sizes[bisect_left(sizes, f)] for f in fill]
-    return [(b, o, fitted[b]) for b, o in place]
+    return [(b, o, fitting(fill[b])) for b, o in place]
 
 
 def pieces(docs: DataFrame, largest: int) -> DataFrame:
-    """(doc_id, piece, start, length): a text in pieces of at most `largest` tokens; one of length 0 where there are none."""
-    lengths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("n"))
-    each = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("n") / largest) - 1).cast("bigint"))
-    out = lengths.select("doc_id", "n", F.explode(each).alias("piece"))
-    start = F.col("piece") * largest
-    return out.select("doc_id", "piece", start.alias("start"), F.least(F.lit(largest).cast("bigint"), F.col("n") - start).alias("length"))
+    """(doc_id, piece, start, length, text): a text in pieces of at most `largest` tokens; one of length 0 where there are none.
+
+    start and length count tokens. A piece's text begins behind the last token of the piece before it, blanks included; joined
+    they are the text. Only longer texts are cut into tokens. A null text is one piece of a null text."""
+    lengths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", tokens(F.col("text")).alias("n"))
+    words = F.concat(F.regexp_extract_all("text", F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)), F.array(F.regexp_extract("text", r"\s*\z", 0)))
+    last = F.ceil(F.col("n") / largest).cast("int") - 1
+
+    def cut(w: Column) -> Column:
+        def one(i: Column) -> Column:
+            size = F.when(i < last, F.lit(largest)).otherwise(F.size(w) - i * largest)
+            return F.struct(i.cast("bigint").alias("piece"), F.array_join(F.slice(w, i * largest + 1, size), "").alias("text"))
+
+        return F.transform(F.sequence(F.lit(0), last), one)
+
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("piece"), F.col("text")))
+    out = lengths.select("doc_id", "n", F.explode(F.when(F.col("n") > largest, bind(words, cut)).otherwise(whole)).alias("x"))
+    start = F.col("x.piece") * largest
+    return out.select("doc_id", "x.piece", start.alias("start"), F.least(F.lit(largest).cast("bigint"), F.col("n") - start).alias("length"), "x.text")
 
 
-def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, bin, offset, capacity."""
+def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD_TOKENS, attention: float | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, text, bin, offset, capacity."""
     largest = max(capacities)
-    cut = materialise(pieces(docs, largest), "pieces")
-    total = cut.where(F.col("length") < largest).agg(F.sum("length")).first()[0] or 0
+    n = tokens(F.col("text"))
+    total = docs.agg(F.sum(n % largest)).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    schema = "doc_id bigint, piece bigint, start bigint, length bigint, bin string, offset bigint, capacity int"
+    cut = pieces(docs, largest)
+    schema = "doc_id bigint, piece bigint, start bigint, length bigint, text string, bin string, offset bigint, capacity int"
 
     def run(key, rows):
         rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        put = pack(rows.column("length").to_pylist(), capacities)
+        put = pack(rows.column("length").to_pylist(), capacities, attention)
         out = [pa.array([f"{key[0].as_py()}-{b}" for b, _, _ in put], pa.string()), pa.array([o for _, o, _ in put], pa.int64()), pa.array([c for _, _, c in put], pa.int32())]
         return pa.table([*rows.columns, *out], names=[*rows.column_names, "bin", "offset", "capacity"])
 
     loose = cut.where((F.col("length") > 0) & (F.col("length") < largest))
-    # the row itself is hashed: a document's pieces and repeated rows go apart at random, whatever their source
-    sharded = loose.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    # dealt by the row's number, so that repeated rows go apart too; it is the same when a task is run again
+    sharded = loose.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     some = sharded.groupBy("shard").applyInArrow(run, schema)
-    none = F.lit(None)
-    full = cut.where(F.col("length") == largest).select("doc_id", "piece", "start", "length", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", F.monotonically_increasing_id()).alias("bin"), F.lit(0).cast("bigint").alias("offset"), F.lit(largest).alias("capacity"))
-    empty = cut.where("length <= 0").select("doc_id", "piece", "start", "length", none.cast("string").alias("bin"), none.cast("bigint").alias("offset"), none.cast("int").alias("capacity"))
-    return some.unionByName(full).unionByName(empty)
+    alone = (F.col("length") >= largest) | (F.col("length") <= 0)  # a bin of its own, or none
+    name = F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id())
+    own = [F.when(F.col("length") > 0, x).alias(c) for c, x in (("bin", name), ("offset", F.lit(0).cast("bigint")), ("capacity", F.lit(largest)))]
+    return some.unionByName(cut.where(alone).select("*", *own))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    """The pieces, with the code points of each in place of its text."""
+    out = packed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.length("text").cast("bigint").alias("n_chars"), "bin", "offset", "capacity")
