@@ -22,9 +22,9 @@ raw_line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 ln AS (SELECT r, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS core FROM raw_line),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n, sum(length(core)) AS chars FROM ln WHERE core <> '' GROUP BY r),
 norm AS (SELECT r, regexp_replace(lower(core), '[0-9]', '0', 'g') AS line, length(core) AS chars FROM ln WHERE core <> ''),
-host AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-freq AS (SELECT d.source, line, count(DISTINCT d.text) AS n FROM norm JOIN d USING (r) GROUP BY 1, 2),
-bad AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > greatest(100.0, 0.01 * h.n)),
+freq AS (SELECT d.source, line, count(DISTINCT (d.doc_id, d.text)) AS n FROM norm JOIN d USING (r) GROUP BY 1, 2),
+wide AS (SELECT line, sum(n) AS n FROM freq GROUP BY 1),
+bad AS (SELECT f.source, f.line FROM freq f JOIN wide w USING (line) WHERE f.n > 5 OR w.n > 20),
 gone AS (SELECT norm.r, sum(chars) AS chars FROM norm JOIN d USING (r) JOIN bad ON bad.line = norm.line AND bad.source IS NOT DISTINCT FROM d.source GROUP BY 1),
 base AS (SELECT d.doc_id, len(w.words)::BIGINT AS n_words, length(array_to_string(w.words, ''))::BIGINT AS word_chars,
   length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

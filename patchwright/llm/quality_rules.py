@@ -1,9 +1,10 @@
 """Quality rules [native]: cross-document line frequency over hashed normalised lines.
 
 A line is normalised (lower case, digits as 0, outer white space off) and hashed to 64 bits. For
-each host (here `source`) the distinct documents holding it are counted, copies with one text as
-one document. A line is removed where more than max(min_docs, host_share * documents of the host)
-hold it (with LOW: more than a few documents of the host or of all hosts, copies counted), and a document is rejected as depleted if under min_left of its line characters stay.
+each host (here `source`) the distinct documents that hold it are counted; a document is a row's doc_id,
+host and text, so copies under other ids count and repeated rows do not. A line is removed where more than
+MIN_DOCS documents of the host hold it, or more than ANY_HOST over all hosts. The limits are numbers of
+documents and do not rise with the host. A document is rejected as depleted if under MIN_LEFT of its line characters stay.
 
 Defined cases: null or empty text has no words, fails the base and is not kept; a null host is a
 host of its own; repeated rows come back as often as they came; other columns are ignored.
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import bind, materialise, space_words, table, text_key
 
-MIN_DOCS, HOST_SHARE, MIN_LEFT = 100, 0.01, 0.5
+MIN_DOCS, ANY_HOST, MIN_LEFT = 5, 20, 0.5
 BLANKS = " \t\x0b\x0c\r"
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars", "depleted", "kept")
-#: Limits that do not rise with the host: for corpora; the query keeps to those of its SQL.
-LOW = {"min_docs": 5, "host_share": 0.0, "any_host": 20, "copies": True}
 
 
 def lines_of(text: Column) -> Column:
@@ -74,29 +73,18 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, any_host: int | None = None, copies: bool = False) -> DataFrame:
-    """(source, line, n_docs) of the lines above their limit. Distinct counts merge per task before each shuffle.
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, any_host: int = ANY_HOST) -> DataFrame:
+    """(source, line, n_docs) of the lines above a limit. Counts merge per task before each shuffle."""
+    keyed = docs.select("source", F.xxhash64("doc_id", text_key("text")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = keyed.select("source", "doc", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), hashed))).alias("line"))
+    every = materialise(lines.groupBy("source", "line").agg(F.count_distinct("doc").alias("n_docs")), "line-counts")
+    wide = every.groupBy("line").agg(F.sum("n_docs").alias("all_docs")).where(F.col("all_docs") > any_host).select("line", F.lit(True).alias("wide"))
+    return every.join(wide, "line", "left").where((F.col("n_docs") > min_docs) | F.col("wide")).select("source", "line", "n_docs")
 
-    any_host: lines of more documents than that over all hosts go on every host that has them.
-    copies: documents of one text and several ids count each, else once."""
-    key = F.xxhash64("doc_id", text_key("text")) if copies else text_key("text")
-    keyed = docs.select("source", key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    hosts = keyed.groupBy("source").agg(F.count_distinct("text_key").alias("host_docs"))
-    lines = keyed.select("source", "text_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), hashed))).alias("line"))
-    every = lines.groupBy("source", "line").agg(F.count_distinct("text_key").alias("n_docs"))
-    counts = every.where(F.col("n_docs") > min_docs)
-    limit = F.greatest(F.lit(float(min_docs)), host_share * F.col("host_docs"))
-    hosts = hosts.withColumnRenamed("source", "host")
-    out = counts.join(hosts, counts["source"].eqNullSafe(hosts["host"])).where(F.col("n_docs") > limit).select("source", "line", "n_docs")
-    if any_host is None:
-        return out
-    wide = lines.groupBy("line").agg(F.count_distinct("text_key").alias("all_docs")).where(F.col("all_docs") > any_host)
-    return out.unionByName(every.join(wide, "line").select("source", "line", "n_docs")).distinct()
 
-
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT, any_host: int | None = None, copies: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, any_host: int = ANY_HOST, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: base counts, line_chars, removed_chars, depleted, kept, and text without its frequent lines (null stays null)."""
-    frequent = materialise(frequent_lines(docs, min_docs, host_share, any_host, copies), "frequent-lines").withColumnRenamed("source", "host")
+    frequent = materialise(frequent_lines(docs, min_docs, any_host), "frequent-lines").withColumnRenamed("source", "host")
     lines = docs.select("doc_id", "source", text_key("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     core = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(BLANKS)).alias("core"), i.alias("at"))), lambda x: x["core"] != "")
     lines = lines.select("doc_id", "source", "text_key", F.explode(F.transform(core, lambda x: F.struct(x["at"].alias("at"), hashed(x["core"]).alias("line"), F.length(x["core"]).alias("chars")))).alias("x"))

@@ -8,16 +8,17 @@ def test_lines_across_documents(spark):
     rows += [(100 + i, f"{shared.replace('2024', '1999')}\n t{i}", "a") for i in range(3)]
     rows += [(200, f"{shared}\n t", "b")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r["doc_id"]: r for r in Q.apply_rules(df, min_docs=5, host_share=0.0).collect()}
+    got = {r["doc_id"]: r for r in Q.apply_rules(df, min_docs=5).collect()}
     assert all(got[100 + i]["depleted"] and not got[100 + i]["kept"] for i in range(3))
     assert not got[200]["depleted"], "another host has its own count"
     assert all(got[i]["kept"] for i in range(12)) and got[0]["removed_chars"] == len(shared)
 
 
-def test_copies_are_one_document(spark):
+def test_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{k}" for k in range(60))
-    df = spark.createDataFrame([(i, text, "a") for i in range(30)], "doc_id bigint, text string, source string")
-    assert all(r["kept"] for r in Q.apply_rules(df, min_docs=5, host_share=0.0).collect())
+    schema = "doc_id bigint, text string, source string"
+    assert all(r["kept"] for r in Q.apply_rules(spark.createDataFrame([(1, text, "a")] * 30, schema)).collect())
+    assert not any(r["kept"] for r in Q.apply_rules(spark.createDataFrame([(i, text, "a") for i in range(6)], schema)).collect())
 
 
 def test_low_limits_on_small_and_hot_hosts(spark):
@@ -28,20 +29,19 @@ def test_low_limits_on_small_and_hot_hosts(spark):
     rows += [(700 + i, f"mass copy line\n{own(700)}", "copies") for i in range(8)]
     rows += [(800 + i, f"said four times\n{own(800 + i)}", "few") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r["doc_id"]: r["removed_chars"] for r in Q.apply_rules(df, **Q.LOW).collect()}
+    got = {r["doc_id"]: r["removed_chars"] for r in Q.apply_rules(df).collect()}
     assert all(got[i] == len("small host footer") for i in range(8))
     assert all(got[100 + i] == (len("rare header") if i < 8 else 0) for i in range(400))
     assert all(got[600 + i] == len("wide notice") for i in range(24))
     assert all(got[700 + i] == len("mass copy line") + len(own(700)) for i in range(8))
     assert all(got[800 + i] == 0 for i in range(4))
-    assert {r["removed_chars"] for r in Q.apply_rules(df).collect()} == {0}
 
 
 def test_lines_are_removed_from_the_text(spark):
     rows = [(i, f"Menu 2{i}\r\n\n first {i}x{chr(97 + i)}\nsame {i}\n\nlast {chr(97 + i)} y\n menu 77", "a") for i in range(8)]
     rows += [(50, "alone\nand whole\n", "b"), (51, None, "a"), (52, "", "a"), (53, "menu 11", "a"), (0, rows[0][1], "a")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = Q.apply_rules(df, min_docs=5, host_share=0.0, min_left=0.4).collect()
+    got = Q.apply_rules(df, min_docs=5, min_left=0.4).collect()
     text = {r["doc_id"]: r["text"] for r in got}
     assert len(got) == len(rows)
     assert all(text[i] == f"\n first {i}x{chr(97 + i)}\n\nlast {chr(97 + i)} y" for i in range(8))
@@ -50,6 +50,13 @@ def test_lines_are_removed_from_the_text(spark):
         assert r["line_chars"] - r["removed_chars"] == sum(len(x.strip(" \t\x0b\x0c\r")) for x in (r["text"] or "").split("\n"))
 
 
+def test_the_method_decides_on_the_real_rows(spark, small):
+    """Lines go that the base rules would leave, and most documents stay."""
+    rows = Q.op6(spark, small).collect()
+    assert sum(r["removed_chars"] > 0 for r in rows) > 20
+    assert sum(r["kept"] for r in rows) > 0.5 * len(rows)
+
+
 def test_edge_cases(spark, odd):
     rows = Q.apply_rules(odd).collect()
     assert len(rows) == 9 and sum(r["kept"] for r in rows) == 1
