@@ -1,48 +1,54 @@
 """Toxicity: class-conditional Kneser-Ney models with shared backoff counts.
 
-Two bigram models, toxic and ordinary, are fitted on labelled documents. Counts are continuation
-counts (a word by the distinct words before it) and never more than the documents that hold the
-expression, so that one repetitive text cannot vouch for its own words. Each count loses up to
-DISCOUNT. What both classes lose on an expression is pooled and given back to both alike: these
-shared backoff counts make a rare expression as likely under either model, and fade beside the
-counts of a frequent one. A bigram gets its shared counts back in the same way and
-backs off to its word with a weight from the pooled counts of its first word. Words that neither class holds carry no evidence.
-
-A document's score is a logistic curve over its length-normalised log-likelihood ratios: per word
-over the text, per word over its best stretch of WINDOW words, and over its PEAK strongest distinct words (in
-long texts an insult must not drown). The curve is fitted on labelled documents whose counts are
+Two bigram models, toxic and ordinary, are fitted on labelled documents over one vocabulary. A bigram counts
+once a document. A word counts by the distinct words before it (its continuation count), but
+no more than the documents that hold it, so that one repetitive text cannot vouch for its own words. For
+class c with counts n_c, totals T_c, and each count losing up to DISCOUNT (as in the modified form of
+Kneser-Ney, where a count k loses up to k), L_c in all:
+
+- word:   P_c(w)   = (n_c(w) - lost_c(w)) / T_c + L_c / T_c * S(w)
+- bigram: P_c(w|v) = (n_c(vw) - lost_c(vw)) / T_c(v) + L_c(v) / T_c(v) * (S_v(w) + b(v) * P_c(w))
+
+S are the shared backoff counts: what both classes lost on an expression, pooled. S(w) is its share of all
+that was lost; S_v takes one count off each bigram, and b(v) is the mass of those. So a rare expression is
+about as likely under either model, and all probabilities of a class sum to one. Words that neither class holds carry no evidence.
+
+A document's score is a logistic curve over its length-normalised log-likelihood differences: per word of
+its most toxic stretch of SPAN words (in long texts an insult must not drown), under the word model and under
+the bigram model. The curve is fitted on labelled documents whose counts are
 not in the models. Learning uses labels, and only from rows with crc32(doc_id as text) mod 5 not 0:
 remainders 1 to 3 give the counts, 4 the curve. At most max_docs documents a class and part are
-used, those with the least hash of doc_id; scoring reads every text whole.
+used, those with the least hash of doc_id, as long as a part's texts have no more than max_bytes bytes; scoring reads every text whole.
 
 Defined cases: null or wordless texts score as a text without evidence; without labels of both
-classes every score is the base rate (0.5 without any); of several labels of a doc_id the largest
+classes every score is the base rate, at most 0.49, so that nothing is rejected unread; of several labels of a doc_id the largest
 holds; a null doc_id counts as held out; repeated rows come back as often as they came.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import table
+from .common import apart, table
 from .textops import blocks, mix
 
-MAX_DOCS, WINDOW, PEAK = 4000, 50, 3
-DISCOUNT = 4.0
+MAX_DOCS, MAX_BYTES, SPAN = 4000, 32_000_000, 3
+DISCOUNT, SHARED_DISCOUNT = 4.0, 1.0
 
 
 def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(text, toxic, part, doc_id): at most max_docs rows for each of two classes and two parts, each text once."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(text, toxic, part, doc_id): at most max_docs rows and max_bytes of text for each of two classes and two parts, each text once."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(remainder(F.col("doc_id")) != 0).withColumn("part", (remainder(F.col("doc_id")) == 4).cast("int"))
     order = [F.xxhash64(F.lit(9), "doc_id"), F.col("doc_id")]
@@ -53,7 +59,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
             picked = some if picked is None else picked.unionByName(some)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", "part", "doc_id").distinct()  # at most 4 * max_docs ids
-    return rows.groupBy("text", "toxic", "part").agg(F.min("doc_id").alias("doc_id"))
+    rows = rows.groupBy("text", "toxic", "part").agg(F.min("doc_id").alias("doc_id"))
+    # no more than the picked rows in a group
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic", "part").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).drop("so_far")
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,17 +88,19 @@ def _once(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.unique(mix(item + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)[1]
 
 
-class Model:
-    """Sorted hashes of known words and bigrams with their log ratios (toxic to ordinary), and the curve."""
+def _at(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each wanted hash among the sorted known ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
-    def __init__(self) -> None:
-        self.words = self.pairs = np.zeros(0, np.uint64)
-        self.word_ratio = self.pair_ratio = np.zeros(0, np.float32)
-        self.curve = np.zeros(4)
 
-    def fit_counts(self, texts: list[pa.Array]) -> None:
-        """texts: of the ordinary, then of the toxic class."""
-        words, pairs, first = [], [], []
+class Counts:
+    """Of the ordinary, then of the toxic class: sorted words with continuation counts; sorted bigrams with their words and documents."""
+
+    def __init__(self, texts: list[pa.Array]) -> None:
+        words, pairs = [], []
         for t in texts:
             doc, v, w = _grams(t)
             g = pair(v, w)
@@ -99,66 +110,87 @@ class Model:
             after, continued = np.unique(bw, return_counts=True)
             held, in_docs = np.unique(w[_once(doc, w)], return_counts=True)
             words.append((after, np.minimum(continued, in_docs[np.searchsorted(held, after)])))
-            pairs.append((bigram, n))
-            first.append((bigram, bv, bw))
-        self.words = np.unique(np.concatenate([x[0] for x in words]))
-        n = np.zeros((2, len(self.words)))
-        for c, (h, k) in enumerate(words):
-            n[c, np.searchsorted(self.words, h)] = k
-        total = np.maximum(n.sum(axis=1, keepdims=True), 1)
-        lost = np.minimum(n, DISCOUNT)
-        p = (n - lost) / total + lost.sum(axis=0) / total.sum()
-        self.word_ratio = np.log(p[1] / p[0]).astype(np.float32)
-        every, at = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
-        bv, bw = np.concatenate([x[1] for x in first])[at], np.concatenate([x[2] for x in first])[at]
-        m = np.zeros((2, len(every)))
-        for c, (h, k) in enumerate(pairs):
-            m[c, np.searchsorted(every, h)] = k
-        heads, head = np.unique(bv, return_inverse=True)
-        of_head = np.stack([np.bincount(head, m[c], len(heads)) for c in (0, 1)]) if len(every) else np.zeros((2, 0))
+            pairs.append((bigram, bv, bw, n))
+        self.words = np.unique(np.concatenate([h for h, _ in words]))
+        self.pairs, at = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
+        self.before, self.after = (np.concatenate([x[k] for x in pairs])[at] for k in (1, 2))
+        self.of_words, self.of_pairs = np.zeros((2, len(self.words))), np.zeros((2, len(self.pairs)))
+        for c in (0, 1):
+            self.of_words[c, np.searchsorted(self.words, words[c][0])] = words[c][1]
+            self.of_pairs[c, np.searchsorted(self.pairs, pairs[c][0])] = pairs[c][3]
+
+    def word_model(self) -> np.ndarray:
+        """P_c(w), a row a class."""
+        n = self.of_words
+        total, lost = n.sum(axis=1, keepdims=True), np.minimum(n, DISCOUNT)
+        return (n - lost) / total + lost.sum(axis=1, keepdims=True) / total * lost.sum(axis=0) / lost.sum()
+
+    def pair_model(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(P_c(w|v) of each pair, heads v, weight of the shared level after v by class, b(v))."""
+        m = self.of_pairs
+        heads, head = np.unique(self.before, return_inverse=True)
+        add = lambda x: np.bincount(head, x, len(heads))
         lost = np.minimum(m, DISCOUNT)
-        left = m - lost
-        some = left.sum(axis=0) > 0
-        head, lower = head[some], p[:, np.searchsorted(self.words, bw[some])]
-        pooled = np.maximum(of_head.sum(axis=0), 1)
-        back = np.bincount(head, lost[:, some].sum(axis=0), len(heads)) / pooled
-        q = left[:, some] / np.maximum(of_head[:, head], 1) + lost[:, some].sum(axis=0) / pooled[head] + back[head] * lower
-        self.pairs, self.pair_ratio = every[some], np.log(q[1] / q[0]).astype(np.float32)
-
-    def ratios(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log ratio of each word after the one before it."""
-        if not len(h) or not len(self.words):
-            return np.zeros(len(h), np.float32)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        out = np.where(self.words[at] == h, self.word_ratio[at], np.float32(0))
+        total = np.stack([add(x) for x in m])
+        weight = np.where(total > 0, np.stack([add(x) for x in lost]) / np.maximum(total, 1), 1.0)
+        pooled = lost.sum(axis=0)
+        of_head = add(pooled)
+        back = add(np.minimum(pooled, SHARED_DISCOUNT)) / of_head
+        lower = (pooled - np.minimum(pooled, SHARED_DISCOUNT)) / of_head[head] + back[head] * p[:, np.searchsorted(self.words, self.after)]
+        return (m - lost) / np.maximum(total[:, head], 1) + weight[:, head] * lower, heads, weight, back
+
+
+class Model:
+    """Sorted hashes of known words, bigrams and first words with their log ratios (toxic to ordinary), and the curve."""
+
+    def __init__(self) -> None:
+        self.words = self.pairs = self.heads = np.zeros(0, np.uint64)
+        self.word_ratio = self.pair_ratio = self.head_ratio = np.zeros(0, np.float32)
+        self.curve = np.zeros(3)
+
+    def fit_counts(self, texts: list[pa.Array]) -> None:
+        """texts: of the ordinary, then of the toxic class."""
+        counts = Counts(texts)
+        p = counts.word_model()
+        q, heads, weight, _ = counts.pair_model(p)
+        ratio = lambda x: np.log(x[1] / x[0]).astype(np.float32)
+        some = np.minimum(counts.of_pairs, DISCOUNT).sum(axis=0) > SHARED_DISCOUNT  # the others are as if unseen
+        self.words, self.word_ratio = counts.words, ratio(p)
+        self.heads, self.head_ratio = heads, ratio(weight)
+        self.pairs, self.pair_ratio = counts.pairs[some], ratio(q[:, some])
+
+    def ratios(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log ratio of each word under the word models, and after the word before it under the bigram models."""
+        at, known = _at(self.words, h)
+        if not known.any():
+            return (np.zeros(len(h), np.float32),) * 2
+        word = np.where(known, self.word_ratio[at], np.float32(0))
+        before = np.concatenate([[np.uint64(0)], h[:-1]])
+        before[bounds[:-1][np.diff(bounds) > 0]] = 0
+        at, after_known = _at(self.heads, before)
+        both = np.where(known & after_known, word + self.head_ratio[at], word)
         if len(self.pairs):
-            v = np.concatenate([[np.uint64(0)], h[:-1]])
-            v[bounds[:-1][np.diff(bounds) > 0]] = 0
-            g = pair(v, h)
-            at = np.minimum(np.searchsorted(self.pairs, g), len(self.pairs) - 1)
-            out = np.where(self.pairs[at] == g, self.pair_ratio[at], out)
-        return out
+            at, seen = _at(self.pairs, pair(before, h))
+            both = np.where(seen, self.pair_ratio[at], both)
+        return word, both
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean ratio, best mean over a stretch of WINDOW words, mean of its PEAK strongest distinct words."""
-        out = np.zeros((len(texts), 3))
+        """Per text: the greatest mean over a stretch of SPAN words, under the word and the bigram models."""
+        out = np.zeros((len(texts), 2))
         for i, _, h, bounds in blocks(texts):
-            r = self.ratios(h, bounds)
-            for k in range(len(bounds) - 1):
-                x = r[bounds[k] : bounds[k + 1]]
-                if len(x):
-                    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-                    size = min(WINDOW, len(x))
-                    out[i + k, 0] = total[-1] / len(x)
-                    out[i + k, 1] = (total[size:] - total[:-size]).max() / WINDOW
-                    top = np.argpartition(x, -min(64, len(x)))[-min(64, len(x)) :] if len(x) > 64 else np.arange(len(x))
-                    out[i + k, 2] = np.maximum(np.sort(x[top])[-PEAK:], 0).sum() / PEAK
+            for c, r in enumerate(self.ratios(h, bounds)):
+                total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
+                for k in range(len(bounds) - 1):
+                    x = total[bounds[k] : bounds[k + 1] + 1]
+                    if len(x) > 1:
+                        size = min(SPAN, len(x) - 1)
+                        out[i + k, c] = (x[size:] - x[:-size]).max() / size
         return out
 
     def fit_curve(self, texts: pa.Array, toxic: np.ndarray) -> None:
         """Logistic regression by Newton steps with a small ridge."""
         x = np.column_stack([self.features(texts), np.ones(len(toxic))])
-        b, ridge = np.zeros(4), np.diag([1e-2, 1e-2, 1e-2, 1e-3])
+        b, ridge = np.zeros(3), np.diag([1e-2, 1e-2, 1e-3])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
             step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ b)
@@ -180,7 +212,8 @@ def fit_table(text: pa.Array, toxic: np.ndarray, part: np.ndarray) -> Model:
         model.fit_counts([take((part == 0) & (toxic == c)) for c in (0, 1)])
         model.fit_curve(take(part == 1), toxic[part == 1])
     else:
-        model.curve[3] = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+        rate = np.clip(rate, 1e-6, 0.49)
+        model.curve[2] = np.log(rate / (1 - rate))
     return model
 
 
@@ -199,23 +232,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return pickle.loads(found[0][0]) if found else fit_table(pa.array([], pa.large_string()), np.zeros(0), np.zeros(0))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted, in one pass over the texts."""
+def scored(docs: DataFrame, model: Model, names: Sequence[str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted (under these names), in one pass over the texts."""
     at = [f.name for f in docs.schema].index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["score double", "predicted int"])
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """The documents that are not predicted toxic, in their columns."""
-    return scored(docs, fit(docs, labels, max_docs)).where("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted toxic, in their columns, whatever their names."""
+    names = apart(docs, "score", "predicted")
+    return scored(docs, fit(docs, labels, max_docs), names).where(F.col(names[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Toxicity, LM scoring and URL filters: held-out quality and edge cases."""
 
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -15,6 +18,10 @@ from patchwright.llm.entry_points import queries
 MIDDLE = "/root/testdata/sf0.01"
 
 
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
 def auc(score, label):
     s, y = np.asarray(score), np.asarray(label)
     p, n = s[y == 1], s[y == 0]
@@ -45,12 +52,94 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["predicted"] == 1 for r in rows if len(insults.findall(text[r["doc_id"]])) >= 4)
 
 
+def plain_models(texts):
+    """P_c(w) and P_c(w|v) by the formulas, over strings and dictionaries; texts: of both classes."""
+    n, m, held = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for t in texts[c]:
+            w = words(t)
+            m[c].update(set(zip([None, *w], w, strict=False)))
+            held[c].update(set(w))
+        n[c].update(w for _, w in m[c])
+        for w in n[c]:
+            n[c][w] = min(n[c][w], held[c][w])
+    lost = lambda k: min(k, toxicity.DISCOUNT)
+    share = {w: lost(n[0][w]) + lost(n[1][w]) for w in n[0] | n[1]}
+    whole, total, gone = sum(share.values()), [sum(x.values()) for x in n], [sum(map(lost, x.values())) for x in n]
+
+    def word(c, w):
+        return (n[c][w] - lost(n[c][w])) / total[c] + gone[c] / total[c] * share[w] / whole
+
+    by_head = defaultdict(set)
+    for v, w in m[0] | m[1]:
+        by_head[v].add(w)
+
+    @lru_cache(None)
+    def head(v):
+        some = [(v, w) for w in by_head[v]]
+        t = [sum(m[c][x] for x in some) for c in (0, 1)]
+        g = [sum(lost(m[c][x]) for x in some) for c in (0, 1)]
+        pooled = {x: lost(m[0][x]) + lost(m[1][x]) for x in some}
+        return t, g, pooled, sum(pooled.values()), sum(min(1, k) for k in pooled.values())
+
+    def after(c, v, w):
+        t, g, pooled, of_head, back = head(v)
+        lower = (max(pooled.get((v, w), 0) - 1, 0) + back * word(c, w)) / of_head
+        return (m[c][v, w] - lost(m[c][v, w])) / t[c] + g[c] / t[c] * lower if t[c] else lower
+
+    return share, by_head, word, after
+
+
+def test_kneser_ney_sums_to_one_and_is_the_model(spark):
+    texts = [["a b c a b d", "a b e f", "c a b"] * 2 + ["z y", "a b c d e f g"], ["a b x", "x x x a", "k a b x c", "a c"]]
+    share, by_head, word, after = plain_models(texts)
+    for c in (0, 1):
+        assert abs(sum(word(c, w) for w in share) - 1) < 1e-9
+        for v in by_head:
+            assert abs(sum(after(c, v, w) for w in share) - 1) < 1e-9
+    model = toxicity.Model()
+    model.fit_counts([pa.array(t, pa.large_string()) for t in texts])
+    for t in ("a b x", "x x c a unknown b", "d e f a z"):
+        w = words(t)
+        _, _, h, bounds = next(textops.blocks(pa.array([t])))
+        one, two = model.ratios(h, bounds)
+        want = [(math.log(word(1, x) / word(0, x)), math.log(after(1, v, x) / after(0, v, x)) if v in by_head else math.log(word(1, x) / word(0, x))) if x in share else (0, 0) for v, x in zip([None, *w], w, strict=False)]
+        assert np.allclose(np.c_[one, two], want, atol=1e-5)
+    assert np.allclose(model.features(pa.array(["x", "x x x x x x x"])), [[r[0] for r in model.ratios(*next(textops.blocks(pa.array(["x"])))[2:])], model.features(pa.array(["x x x"]))[0]])
+
+
+def test_toxicity_by_brute_force(spark, small, documents):
+    """Every score of the query, from plain models and a plain curve."""
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{small}/labels.parquet'").fetchall())
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    train = [sorted({documents[i] for i, y in labels.items() if y == c and part(i) in (1, 2, 3) and i in documents}) for c in (0, 1)]
+    curve = sorted({(documents[i], y) for i, y in labels.items() if part(i) == 4 and i in documents})
+    share, by_head, word, after = plain_models(train)
+
+    def features(t):
+        w = words(t)
+        one = [math.log(word(1, x) / word(0, x)) if x in share else 0 for x in w]
+        two = [math.log(after(1, v, x) / after(0, v, x)) if x in share and v in by_head else o for v, x, o in zip([None, *w], w, one, strict=False)]
+        k = min(3, len(w))
+        return [max(sum(r[i : i + k]) / k for i in range(len(r) - k + 1)) if w else 0 for r in (one, two)]
+
+    x, y = np.array([[*features(t), 1] for t, _ in curve]), np.array([c for _, c in curve])
+    b, ridge = np.zeros(3), np.array([1e-2, 1e-2, 1e-3])
+    for _ in range(20000):  # plain ascent to the same optimum
+        b += 0.05 * (x.T @ (y - 1 / (1 + np.exp(-x @ b))) - ridge * b) / len(y)
+    got = {r["doc_id"]: r["score"] for r in queries()["op9_toxicity"](spark, small).collect()}
+    close = [abs(got[i] - 1 / (1 + math.exp(-np.dot([*features(t), 1], b)))) for i, t in documents.items()]
+    assert len({*y}) == 2 and max(close) < 0.05 and sum(close) / len(close) < 0.01
+
+
 def test_toxicity_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1)], "doc_id bigint, toxic int")
     for lab in (labels, labels.limit(0)):
         rows = toxicity.scored(odd, toxicity.fit(odd, lab)).collect()
         assert len(rows) == 9 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.reject_toxic(odd, labels).columns == odd.columns
+    clash = odd.selectExpr("*", "1 AS score", "2 AS Predicted", "3 AS toxic", "4 AS _score")
+    assert toxicity.reject_toxic(clash, labels).columns == clash.columns and toxicity.reject_toxic(clash, labels).count() == 9
     assert toxicity.scored(odd.limit(0), toxicity.Model()).count() == 0
 
 
