@@ -22,13 +22,16 @@ ignored by the query; repeated rows come back as often as they came.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, table
+from .common import apart, bind, table
 
 ROUNDS = 8
-KEY_CONF, DEFAULT_KEY = "spark.patchwright.pii.key", "patchwright"
+KEY_CONF = "spark.patchwright.pii.key"
+_session_keys: dict[str, str] = {}
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 # The forms of the seven kinds, in the order in which they are tried.
 FORMS = {
@@ -292,23 +295,35 @@ def steps(key: Column):
     return (whole, heads, tried, headed, grouped, rows, valid, chosen, dressed, built)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """docs with `text` pseudonymised, and pii: array of struct(kind, value) of the new values in order (null for a null text)."""
-    text, secret = F.col("text"), F.lit(key)
-    some = F.coalesce(text.rlike("[0-9][0-9.]|[0-9][ -][0-9]|@"), F.lit(False))
+def pseudonymise(docs: DataFrame, key: str, column: str = "pii") -> DataFrame:
+    """docs with `text` pseudonymised, and `column`: array of struct(kind, value) of the new values in order (null for a null text).
+
+    The key reaches the executors as a broadcast row, so neither plan nor event log shows it."""
+    secret, found, made = apart(docs, "key", "found", "made")
+    text, kept = F.col("text"), [F.col(f"`{c}`") for c in docs.columns]
+    some = F.coalesce(text.rlike("[0-9][0-9.]|[0-9][ -][0-9]|@"), F.lit(False))  # any form has one of these
     empty = F.array().cast("array<struct<value:string,parts:array<struct<kind:string,value:string>>>>")
-    pii, kept = "__pii", [c for c in docs.columns]
-    out = docs.withColumn(pii, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    for step in steps(secret):
-        out = out.withColumn(pii, F.transform(pii, step))
-    out = out.withColumn(pii, F.when(some, F.col(pii)).when(text.isNotNull(), empty))
-    joined = bind(F.split(text, ANY, -1), lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(pii), i)["value"], F.lit("")))), ""))
-    out = out.withColumn("__text", F.when(F.size(pii) > 0, joined).otherwise(text))
-    return out.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept), F.flatten(F.transform(pii, lambda x: x["parts"])).alias("pii"))
+    out = docs.crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(key,)], f"{secret} string")))
+    out = out.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    for step in steps(F.col(secret)):
+        out = out.withColumn(found, F.transform(found, step))
+    out = out.withColumn(found, F.when(some, F.col(found)).when(text.isNotNull(), empty))
+    joined = bind(F.split(text, ANY, -1), lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(found), i)["value"], F.lit("")))), ""))
+    out = out.withColumn(made, F.when(F.size(found) > 0, joined).otherwise(text))
+    new = [F.col(made).alias("text") if c == "text" else k for c, k in zip(docs.columns, kept, strict=True)]
+    return out.select(*new, F.flatten(F.transform(found, lambda x: x["parts"])).alias(column))
+
+
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs in their columns, whatever their names, with `text` pseudonymised."""
+    (found,) = apart(docs, "pii")
+    return pseudonymise(docs, key, found).drop(found)
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF, DEFAULT_KEY)
+    """The key in KEY_CONF; unset, a random one of this application: pseudonyms then are linked within it only."""
+    key = spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF)
+    return key or _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def count_of(kind: str) -> Column:

@@ -28,7 +28,7 @@ def test_stages(spark, small):
     pure = stages["decontamination"](spark, single, small).cache()
     assert ids(pure) == {r[0] for r in contaminated(pairs(single), bench) if not r[5]}
     private = stages["pii"](spark, pure, small).cache()
-    assert dict(pairs(private)) == {r["doc_id"]: r["text"] for r in pii.pseudonymise(pure).collect()}
+    assert dict(pairs(private)) == {r["doc_id"]: r["text"] for r in pii.pseudonymise(pure, pii.key_of(spark)).collect()}
     for df in (clean, single, pure, private):
         assert df.columns == docs.columns
     rows = stages["packing"](spark, private, small).collect()
