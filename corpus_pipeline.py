@@ -12,7 +12,7 @@ from patchwright.llm.common import discard, materialise, table
 from patchwright.llm.decontaminate import decontaminate
 from patchwright.llm.jaccard_join import deduplicate
 from patchwright.llm.packing import packed
-from patchwright.llm.pii import key_of, pseudonymise
+from patchwright.llm.pii import key_of, replaced
 from patchwright.llm.toxicity import reject_toxic
 
 
@@ -33,11 +33,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values are replaced by pseudonyms of their format."""
-    return pseudonymise(docs, key_of(spark)).select(*docs.columns)
+    return replaced(docs, key_of(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are packed into sequences: one row per piece."""
+    """Texts are packed into sequences: one row per piece, with its text."""
     return packed(docs)
 
 
