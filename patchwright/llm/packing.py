@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, table
+from .common import bind, materialise, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_TOKENS, CHARS_PER_TOKEN = 4_000_000, 4
@@ -121,10 +121,10 @@ def pieces(docs: DataFrame, largest: int) -> DataFrame:
 def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD_TOKENS, attention: float | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, text, bin, offset, capacity."""
     largest = max(capacities)
-    n = tokens(F.col("text"))
-    total = docs.agg(F.sum(n % largest)).first()[0] or 0
+    # written, as texts are counted once so; the row's number tells repeated rows apart
+    cut = materialise(pieces(docs, largest).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    total = cut.where(F.col("length") < largest).agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    cut = pieces(docs, largest)
     schema = "doc_id bigint, piece bigint, start bigint, length bigint, text string, bin string, offset bigint, capacity int"
 
     def run(key, rows):
@@ -134,13 +134,12 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_tokens
         return pa.table([*rows.columns, *out], names=[*rows.column_names, "bin", "offset", "capacity"])
 
     loose = cut.where((F.col("length") > 0) & (F.col("length") < largest))
-    # dealt by the row's number, so that repeated rows go apart too; it is the same when a task is run again
-    sharded = loose.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    sharded = loose.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
     some = sharded.groupBy("shard").applyInArrow(run, schema)
     alone = (F.col("length") >= largest) | (F.col("length") <= 0)  # a bin of its own, or none
-    name = F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id())
+    name = F.concat_ws("-", F.lit("full"), "row")
     own = [F.when(F.col("length") > 0, x).alias(c) for c, x in (("bin", name), ("offset", F.lit(0).cast("bigint")), ("capacity", F.lit(largest)))]
-    return some.unionByName(cut.where(alone).select("*", *own))
+    return some.unionByName(cut.where(alone).select("*", *own).drop("row"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
