@@ -1,15 +1,29 @@
-"""LM scoring: cross-entropy difference of matched n-gram models.
-
-Two models of ORDER symbols, one of the target documents and one of all documents (background), share
-one vocabulary: 64 classes of UTF-8 bytes (letters without case, digit, blank, line break, each ASCII
-mark, and bytes beyond ASCII). Their counts come from every document; each task adds up its own
-before the shuffle, so what is gathered grows with the input while the models keep to 64^ORDER
-cells, which is their proven bound. The models are matched in vocabulary, order, smoothing and size:
-background counts and numbers of types are those expected in a sample as large as the target.
-Smoothing is Witten-Bell, down to even odds. A document's score is its cross-entropy under the target model less that under
-the background model, in nats a token: low is target-like.
-
-Defined cases: null or empty texts have no tokens and score 0; without a target all scores are 0; of
+"""LM scoring: cross-entropy difference of matched n-gram models, each document left out of its own.
+
+Tokens are words as they are written, runs of marks and line breaks. Two bigram models, one of the target
+documents and one of all documents (background), share one vocabulary: the WORDS tokens of most documents, one
+symbol for the others of each shape (capitals, digits, marks), one for a text's begin. They are matched in
+vocabulary, smoothing and size. With background counts scaled to the target's tokens, b(.), and the target's t(.):
+
+    background: c = (1 + MIX) * b        target: c = t + MIX * b
+    P(w)   = (c(w) + 1) / (N + vocabulary)
+    P(w|v) = (c(vw) + PRIOR * P(w)) / (c(v) + PRIOR)
+
+So the target model is interpolated with the background; else what is seen once in the background and, being rare, not
+in the smaller target would count as if it were absent from it.
+
+Counts come from every document, less the scored document's own (of the target's, if it is one). A document's
+score is its mean loss per token under the target model less that under the background model, in nats: low is target-like.
+
+How it runs: words are counted, and the vocabulary comes to the driver (WORDS rows). Each task takes its texts in chunks
+of about CHUNK tokens and sends the different bigrams of each document, packed, to slots by bigram; the number of slots
+follows the tokens. A slot adds up its bigrams and scores them, and each chunk gets its sums back. So all that is gathered
+grows with the input, the text itself is not shuffled, and a slot or chunk holds a fixed number of bigrams.
+Bigrams that many documents have would fill one slot: those of HOT or more documents among SAMPLE are counted by the tasks
+and scored in place, at most SAMPLE * (mean different bigrams) / HOT of them. That list decides where a bigram
+is counted, not how.
+
+Defined cases: null or wordless texts have no tokens and score 0; without a target all scores are 0; of
 several labels of a doc_id any of quality 1 makes it target; a null doc_id is never target; repeated rows count and come
 back as often as they came; other columns are ignored.
 """
@@ -17,118 +31,265 @@ back as often as they came; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, table
-from .textops import BLOCK, utf8
-
-SYMBOLS, ORDER = 64, 4
-FLUSH = 1 << 31  # tokens after which a task hands on its 32-bit counts
-
-_CLASS = np.zeros(256, np.int32)
-_CLASS[97:123] = _CLASS[65:91] = np.arange(26)
-_CLASS[48:58] = 26
-_CLASS[[32, 9]] = 27
-_CLASS[[10, 13]] = 28
-_marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-_CLASS[_marks] = 29 + np.arange(len(_marks))
-_CLASS[128:192] = 61 + np.arange(64) % 2
-_CLASS[192:] = 63
-PAD = 28
-
-
-def grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, n-grams, bounds of each text) in blocks; a text begins after line breaks."""
-    data, offsets = utf8(texts)
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1))
-        lo, hi = int(offsets[i]), int(offsets[j])
-        lengths = np.diff(offsets[i : j + 1])
-        place = np.arange(hi - lo) + (ORDER - 1) * (1 + np.repeat(np.arange(j - i), lengths))
-        padded = np.full(hi - lo + (ORDER - 1) * (j - i), PAD, np.int32)
-        padded[place] = _CLASS[data[lo:hi]]
-        g = np.zeros(hi - lo, np.int32)
-        for k in range(ORDER - 1, -1, -1):
-            g = g * SYMBOLS + padded[place - k]
-        yield i, g, np.concatenate([[0], np.cumsum(lengths)])
-        i = j
-
-
-def counts(marked: DataFrame) -> DataFrame:
-    """(gram, background, target) over all documents; marked: text, is_target."""
+from .common import bounded, materialise, table, text_key
+from .textops import SHAPES, blocks, mix, token_hashes
+
+BEGIN = SHAPES  # symbols: the shapes of unknown tokens, a text's begin, then the words
+WORDS, PRIOR, MIX = (1 << 16) - BEGIN - 1, 100.0, 1.0
+CHUNK, SLOT, SAMPLE, HOT = 2_000_000, 1_000_000, 5_000, 10
+
+
+@dataclass
+class Chunk:
+    """Some documents of a task: the word hashes of all, the bounds of each, ids and marks."""
+
+    number: int
+    ids: list = field(default_factory=list)
+    target: list = field(default_factory=list)
+    hashes: list = field(default_factory=list)
+    sizes: list = field(default_factory=list)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, document, target mark of the document) of each word."""
+        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        doc = np.repeat(np.arange(len(self.ids)), np.concatenate(self.sizes) if self.sizes else 0)
+        return h, doc, np.array(self.target, bool)[doc]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
+    """Of batches of (doc_id, text, is_target)."""
+    part, seen, n = TaskContext.get().partitionId(), 0, 0
+    chunk = Chunk(part << 32)
+    for batch in batches:
+        ids, target = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for i, j, h, bounds in blocks(batch.column(1), token_hashes):
+            chunk.ids += ids[i:j]
+            chunk.target += target[i:j]
+            chunk.hashes.append(h)
+            chunk.sizes.append(np.diff(bounds))
+            n += len(h)
+            if n >= size:
+                yield chunk
+                seen, n = seen + 1, 0
+                chunk = Chunk((part << 32) + seen)
+    if chunk.ids:
+        yield chunk
+
+
+@dataclass
+class Vocabulary:
+    """Sorted word hashes with their symbols; by symbol the tokens of the background and of the target."""
+
+    hashes: np.ndarray
+    symbols: np.ndarray
+    counts: np.ndarray  # 2 x symbols
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    hot_counts: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+
+    def symbols_of(self, h: np.ndarray) -> np.ndarray:
+        unknown = (h % np.uint64(SHAPES)).astype(np.uint32)
+        if not len(self.hashes):
+            return unknown
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.symbols[at], unknown).astype(np.uint32)
+
+    def is_hot(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hot, key), max(len(self.hot) - 1, 0))
+        return at, (self.hot[at] == key) if len(self.hot) else np.zeros(len(key), bool)
+
+
+def bigrams(words: tuple[np.ndarray, np.ndarray, np.ndarray], voc: Vocabulary) -> tuple[np.ndarray, ...]:
+    """The different bigrams of each document: (key, document, times, tokens of the first word in the document, of the second)."""
+    h, doc, _ = words
+    if not len(h):
+        return np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(4))
+    w = voc.symbols_of(h)
+    v = np.concatenate([[BEGIN], w[:-1]]).astype(np.uint32)
+    v[np.flatnonzero(np.diff(doc, prepend=-1))] = BEGIN
+    d = doc.astype(np.uint64)
+    each, n = np.unique((d << np.uint64(32)) | (v.astype(np.uint64) << np.uint64(16)) | w, return_counts=True)
+    own, of_word = np.unique((d << np.uint64(16)) | w, return_counts=True)
+    at, key = each >> np.uint64(32), (each & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def tokens(symbol: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(own, (at << np.uint64(16)) | symbol), len(own) - 1)
+        return np.where(symbol == BEGIN, 1, of_word[k])
+
+    return key, at.astype(np.int64), n, tokens(key >> np.uint32(16)), tokens(key & np.uint32(0xFFFF))
+
+
+def losses(key: np.ndarray, n: np.ndarray, nv: np.ndarray, nw: np.ndarray, target: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Per entry: loss under the target model less that under the background model, n times. pair: counts of the key by model, word: by symbol."""
+    v, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
+    tokens = word.sum(axis=1) - word[:, BEGIN]
+    scale = tokens[1] / tokens[0]
+    p = []
+    for rate, share in (((1 + MIX) * scale, 0.0), (MIX * scale, 1.0)):
+        count = lambda c, own: rate * (c[0] - own) + share * (c[1] - target * own)  # noqa: B023, E731
+        one = (count(word[:, w], nw) + 1) / ((1 + MIX) * tokens[1] + word.shape[1])
+        p.append((count(pair, n) + PRIOR * one) / (count(word[:, v], nv) + PRIOR))
+    return n * np.log(p[0] / p[1])
+
+
+def vocabulary(marked: DataFrame, words: int = WORDS, chunk: int = CHUNK) -> Vocabulary:
+    """The words of most documents, with token counts of both models; counts of all words merge per chunk before the shuffle."""
+    schema = "word bigint, docs bigint, background bigint, target bigint"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target, seen = np.zeros(SYMBOLS**ORDER, np.uint32), np.zeros(SYMBOLS**ORDER, np.uint32), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(every)
-            for k in range(0, len(at), 1 << 16):
-                part = at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(every[part].astype(np.int64)), pa.array(target[part].astype(np.int64))], names=["gram", "background", "target"])
-
-        for batch in batches:
-            mark = np.asarray(batch.column(1).fill_null(False))
-            for i, g, bounds in grams(batch.column(0)):
-                np.add.at(every, g, np.uint32(1))
-                np.add.at(target, g[np.repeat(mark[i : i + len(bounds) - 1], np.diff(bounds))], np.uint32(1))
-                seen += len(g)
-                if seen >= FLUSH:
-                    yield from flush()
-                    every[:], target[:], seen = 0, 0, 0
-        yield from flush()
-
-    part = marked.select("text", "is_target").mapInArrow(run, "gram int, background bigint, target bigint")
-    return part.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def difference(gram: np.ndarray, background: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Per n-gram: log probability of its last symbol under the background less that under the target; zeros without a target."""
-    out = np.zeros(SYMBOLS**ORDER, np.float32)
-    if not target.sum():
-        return out
-    order = np.argsort(gram, kind="stable")
-    gram, share, slab = gram[order], target.sum() / background.sum(), SYMBOLS ** (ORDER - 1)
-    cuts = np.searchsorted(gram, np.arange(SYMBOLS + 1) * slab)
-    for sign, n, rate in ((1, background[order], share), (-1, target[order], 1.0)):
-        lower = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        for k in range(1, ORDER):
-            lower = smoothed(np.bincount(gram % SYMBOLS**k, n, SYMBOLS**k).reshape(-1, SYMBOLS), rate, np.tile(lower, (SYMBOLS if k > 1 else 1, 1)))
-        for a in range(SYMBOLS):  # the highest order by its first symbol, to hold one slab at a time
-            some = slice(cuts[a], cuts[a + 1])
-            cell = np.bincount(gram[some] - a * slab, n[some], slab).reshape(-1, SYMBOLS)
-            out[a * slab : (a + 1) * slab] += sign * np.log(smoothed(cell, rate, lower)).ravel()
+        for c in chunks(batches, chunk):
+            h, doc, mark = c.words()
+            word, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            held = np.unique((doc.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+            docs, target = np.bincount(held.astype(np.int64), minlength=len(word)), np.bincount(at, mark, len(word)).astype(np.int64)
+            # a row without a word: the documents, for the begin of a text
+            full = np.unique(doc)
+            word, cols = np.append(word.view(np.int64), 0), (np.append(docs, -1), np.append(n, len(full)), np.append(target, np.array(c.target, bool)[full].sum()))
+            for k in range(0, len(word), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].astype(np.int64)) for x in (word, *cols)], names=["word", "docs", "background", "target"])
+
+    part = marked.mapInArrow(run, schema)
+    sums = [F.sum(c).alias(c) for c in ("docs", "background", "target")]
+    counted = materialise(part.groupBy("word", (F.col("docs") > 0).alias("is_word")).agg(*sums), "word-counts")
+    top = counted.where("is_word").orderBy(F.desc("docs"), "word").limit(words)
+    top = top.select("word", "background", "target").toArrow()
+    word, background, target = (top.column(k).to_numpy() for k in range(3))
+    counts = np.zeros((2, len(word) + BEGIN + 1))
+    counts[:, BEGIN + 1 :] = background, target
+    of_shape = counted.groupBy("is_word", F.pmod("word", F.lit(SHAPES)).cast("int").alias("shape")).agg(*sums[1:])
+    for r in of_shape.collect():  # tokens of each shape, and the begun texts
+        counts[:, r["shape"] if r["is_word"] else BEGIN] = r["background"], r["target"]
+    shape = (word.view(np.uint64) % np.uint64(SHAPES)).astype(np.int64)
+    for m in (0, 1):
+        counts[m, :SHAPES] -= np.bincount(shape, counts[m, BEGIN + 1 :], SHAPES)
+    order = np.argsort(word.view(np.uint64))
+    return Vocabulary(word.view(np.uint64)[order], (order + BEGIN + 1).astype(np.uint32), counts)
+
+
+def find_hot(marked: DataFrame, voc: Vocabulary, sample: int, hot: int, chunk: int) -> np.ndarray:
+    """The bigrams that at least `hot` of about `sample` documents have; marked: with the column h."""
+    shared = marked.sparkSession.sparkContext.broadcast(voc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, chunk):
+            key, docs = np.unique(bigrams(c.words(), shared.value)[0], return_counts=True)
+            for k in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].astype(np.int64)) for x in (key, docs)], names=["key", "docs"])
+
+    n = max(1, marked.count())
+    some = marked.where(F.pmod("h", F.lit(n)) < sample).select("doc_id", "text", "is_target")
+    found = some.mapInArrow(run, "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= hot)
+    return np.sort(found.select("key").toArrow().column(0).to_numpy()).astype(np.uint32)
+
+
+def count_hot(marked: DataFrame, voc: Vocabulary, chunk: int) -> np.ndarray:
+    """Counts of the hot bigrams by model: each task adds up its own."""
+    shared = marked.sparkSession.sparkContext.broadcast(voc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(shared.value.hot)))
+        for c in chunks(batches, chunk):
+            key, doc, n, _, _ = bigrams(c.words(), shared.value)
+            at, is_hot = shared.value.is_hot(key)
+            for m, mark in enumerate((np.ones(len(c.ids)), np.array(c.target, float))):
+                sums[m] += np.bincount(at[is_hot], (n * mark[doc])[is_hot], sums.shape[1])
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (some, sums[0, some], sums[1, some])], names=["at", "background", "target"])
+
+    out = np.zeros((2, len(voc.hot)))
+    if len(voc.hot):
+        got = marked.mapInArrow(run, "at bigint, background bigint, target bigint").groupBy("at").agg(F.sum("background"), F.sum("target")).toArrow()
+        out[:, got.column(0).to_numpy()] = got.column(1).to_numpy(), got.column(2).to_numpy()
     return out
 
 
-def smoothed(cell: np.ndarray, rate: float, lower: np.ndarray) -> np.ndarray:
-    """Witten-Bell probabilities from counts at a sampling rate: counts and types are those expected; no counts: the lower order."""
-    types = np.maximum((1 - np.power(1 - rate, cell) if rate < 1 else cell > 0).sum(axis=1, keepdims=True), 1e-12)
-    return (cell * rate + types * lower) / (cell.sum(axis=1, keepdims=True) * rate + types)
+PACKED = "slot int, chunk bigint, entries binary, ids array<bigint>, n_tokens array<bigint>, sums array<double>"
 
 
-def scored(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def send(voc, slots: int, chunk: int):
+    """Per chunk a row of entries for each slot, and one of its documents with the sums of their hot bigrams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, chunk):
+            words, target = c.words(), np.array(c.target, np.int64)
+            key, doc, n, nv, nw = bigrams(words, voc.value)
+            at, k = voc.value.is_hot(key)
+            own = np.zeros(len(c.ids))
+            if k.any():
+                own += np.bincount(doc[k], losses(key[k], n[k], nv[k], nw[k], target[doc[k]], voc.value.hot_counts[:, at[k]], voc.value.counts), len(own))
+            cold = np.flatnonzero(~k)
+            slot = (mix(key[cold].astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+            order = cold[np.lexsort((key[cold], slot))]
+            present, cuts = np.unique(np.sort(slot), return_index=True)
+            packed = np.stack([key, (2 * doc + target[doc]).astype(np.uint32), n.astype(np.uint32), nv.astype(np.uint32), nw.astype(np.uint32)])
+            parts = np.split(order, cuts[1:])
+            rows = [(int(s), c.number, packed[:, k].tobytes(), None, None, None) for s, k in zip(present, parts, strict=False)]
+            sizes = np.bincount(words[1], minlength=len(c.ids))
+            rows.append((int(mix(np.array([c.number], np.uint64))[0] % np.uint64(slots)), c.number, None, c.ids, sizes.tolist(), own.tolist()))
+            for k in range(0, len(rows), 64):
+                yield batch_of(rows[k : k + 64])
+
+    return run
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def score_slot(voc):
+    """Adds up a slot's bigrams over all chunks and scores them: per chunk a row of documents (as entries) and their sums."""
+    def run(key, rows):
+        out, given = [], sorted(rows.to_pylist(), key=lambda r: (r["chunk"], r["entries"] is None))
+        packed = [np.frombuffer(r["entries"], np.uint32).reshape(5, -1) for r in given if r["entries"] is not None]
+        if packed:
+            k, at, n, nv, nw = np.concatenate(packed, axis=1)
+            doc, target, n, nv, nw = at >> np.uint32(1), (at & np.uint32(1)).astype(np.int64), n.astype(np.int64), nv.astype(np.int64), nw.astype(np.int64)
+            each, place = np.unique(k, return_inverse=True)
+            pair = np.stack([np.bincount(place, n, len(each)), np.bincount(place, n * target, len(each))])
+            loss = losses(k, n, nv, nw, target, pair[:, place], voc.value.counts)
+        start = 0
+        for r in given:
+            if r["entries"] is None:
+                out.append((r["slot"], r["chunk"], None, r["ids"], r["n_tokens"], r["sums"]))
+            else:
+                some = slice(start, start := start + len(r["entries"]) // 20)
+                docs, where = np.unique(doc[some], return_inverse=True)
+                out.append((r["slot"], r["chunk"], docs.astype(np.uint32).tobytes(), None, None, np.bincount(where, loss[some]).tolist()))
+        return pa.Table.from_batches([batch_of(out)])
+
+    return run
+
+
+def join_chunk(key, rows):
+    """The documents of a chunk with the sums of all slots."""
+    given = sorted(rows.to_pylist(), key=lambda r: (r["entries"] is not None, r["slot"]))
+    ids, n, total = given[0]["ids"], np.array(given[0]["n_tokens"]), np.array(given[0]["sums"])
+    for r in given[1:]:
+        total[np.frombuffer(r["entries"], np.uint32)] += r["sums"]
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(total / np.maximum(n, 1))})
+
+
+def scored(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, chunk: int = CHUNK, slot: int = SLOT, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, score. target_ids: doc_id of the target documents."""
     ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
     ids = bounded(materialise(ids, "target-ids"))
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("is_target"))
-    got = materialise(counts(marked), "gram-counts").toArrow()  # at most 64^ORDER rows
-    table_of = difference(*(got.column(c).to_numpy() for c in ("gram", "background", "target")))
-    shared = docs.sparkSession.sparkContext.broadcast(table_of)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, g, bounds in grams(batch.column(1)):
-                sums = np.concatenate([[0.0], np.cumsum(shared.value[g], dtype=np.float64)])
-                n[i : i + len(bounds) - 1] = np.diff(bounds)
-                total[i : i + len(bounds) - 1] = sums[bounds[1:]] - sums[bounds[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_tokens", "score"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, score double")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    joined = plain.join(ids, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
+    voc = vocabulary(joined, words, chunk)
+    voc.hot = find_hot(joined.withColumn("h", F.xxhash64("doc_id", text_key("text"))), voc, sample, hot, chunk)
+    voc.hot_counts = count_hot(joined, voc, chunk)
+    slots = max(1, -(-int(voc.counts[0].sum()) // slot))
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    sent = joined.mapInArrow(send(shared, slots, chunk), PACKED)
+    part = sent.groupBy("slot").applyInArrow(score_slot(shared), PACKED)
+    return part.groupBy("chunk").applyInArrow(join_chunk, "doc_id bigint, n_tokens bigint, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

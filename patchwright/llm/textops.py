@@ -51,36 +51,66 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def _runs(b: np.ndarray, off: np.ndarray, kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, last byte, hash) of the longest runs of one kind above 0 inside the texts b[off[i]:off[i + 1]]."""
+    first, last = kind > 0, kind > 0
+    same = kind[1:] == kind[:-1]
+    first[1:] &= ~same
+    last[:-1] &= ~same
+    full = np.diff(off) > 0
+    first[off[:-1][full]] = kind[off[:-1][full]] > 0
+    last[off[1:][full] - 1] = kind[off[1:][full] - 1] > 0
+    s, e = np.flatnonzero(first), np.flatnonzero(last)
+    power, back = _power(len(b))
+    total = np.cumsum(value[b] * power)
+    before = np.where(s > 0, total[np.maximum(s - 1, 0)], np.uint64(0))
+    return s, e, mix((total[e] - before) * back[s] + (e - s).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the end) for the texts data[offsets[i]:offsets[i + 1]]."""
     lo = int(offsets[0])
     b, off = data[lo : int(offsets[-1])], offsets - lo
-    n = len(b)
-    if not n:
+    if not len(b):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    m = _IS_WORD[b]
-    first, last = m.copy(), m.copy()
-    first[1:] &= ~m[:-1]
-    last[:-1] &= ~m[1:]
-    full = off[:-1][np.diff(off) > 0]
-    first[full] = m[full]
-    ends = off[1:][np.diff(off) > 0] - 1
-    last[ends] = m[ends]
-    s, e = np.flatnonzero(first), np.flatnonzero(last)
-    power, back = _power(n)
-    total = np.cumsum(_VALUE[b] * power)
-    before = np.where(s > 0, total[np.maximum(s - 1, 0)], np.uint64(0))
-    h = mix((total[e] - before) * back[s] + (e - s).astype(np.uint64))
+    s, _, h = _runs(b, off, _IS_WORD[b].astype(np.uint8), _VALUE)
     return h, np.searchsorted(s, off)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, hashes, bounds): the words of texts i to j; text i + k has hashes[bounds[k]:bounds[k + 1]]."""
+#: Kinds of bytes for tokens: blanks part them; words; marks; line breaks.
+_TOKEN_KIND = np.where(_IS_WORD, 1, 2).astype(np.uint8)
+_TOKEN_KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 0
+_TOKEN_KIND[0x0A] = 3
+_RAW_VALUE = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_UPPER = np.zeros(256, np.int64)
+_UPPER[65:91] = 1
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[48:58] = 1
+SHAPES = 8
+
+
+def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for tokens as they are written: words, runs of marks, runs of line breaks.
+
+    A hash's value modulo SHAPES is the token's shape: 0 marks, 1 line breaks, else 2 and more by capitals (none, one, several) and digits."""
+    lo = int(offsets[0])
+    b, off = data[lo : int(offsets[-1])], offsets - lo
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    kind = _TOKEN_KIND[b]
+    s, e, h = _runs(b, off, kind, _RAW_VALUE)
+    within = lambda x: (t := np.concatenate([[0], np.cumsum(x[b])]))[e + 1] - t[s]
+    shape = np.where(kind[s] == 1, 2 + np.minimum(within(_UPPER), 2) + 3 * (within(_DIGIT) > 0), kind[s] == 3).astype(np.uint64)
+    return (h & ~np.uint64(SHAPES - 1)) | shape, np.searchsorted(s, off)
+
+
+def blocks(texts: pa.Array, hashes=word_hashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, hashes, bounds): the words (or tokens) of texts i to j; text i + k has hashes[bounds[k]:bounds[k + 1]]."""
     data, offsets = utf8(texts)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1))
-        yield i, j, *word_hashes(data, offsets[i : j + 1])
+        yield i, j, *hashes(data, offsets[i : j + 1])
         i = j
 
 
