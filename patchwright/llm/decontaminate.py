@@ -17,10 +17,12 @@ null item_id counts as an item but is left out of the joined ids; other columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, bind, bounded, materialise, table, text_key
+from .common import alnum_words, ascii_lower, bind, bounded, matching, materialise, table, text_key
 
 WINDOW, SHINGLE = 13, 5
 MIN_SHARE_OF = 20  # contaminated: n_hit * 20 >= n_words
@@ -36,19 +38,18 @@ def shingles(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, run).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(items: item, item_id, words, width, size) and (item_shingles: item, at, size, h). Item is the row's own key."""
-    items = benchmark.select("item_id", lower_words(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
-    items = items.groupBy("item_id", "words").agg(F.count("*").alias("copies"))
-    items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "copies", "words", F.least(F.lit(window), F.size("words")).alias("width"), F.least(F.lit(shingle), F.size("words")).alias("size"))
-    parts = [
-        items.where(F.col("size") == k).select("item", "size", "width", F.size("words").alias("n_item"), F.posexplode(shingles(F.col("words"), k)).alias("at", "h"))
-        for k in range(1, shingle + 1)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return items, out
+def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items of equal words are one item until the ids are told.
+
+    (items: item, words, width, size), (names: item, item_id, copies) and (item_shingles: item, size, width, n_item, at, h)."""
+    rows = benchmark.select("item_id", lower_words(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
+    rows = rows.select(F.xxhash64("words").alias("item"), "item_id", "words")
+    names = rows.groupBy("item", "item_id").agg(F.count("*").alias("copies"))
+    items = rows.groupBy("item").agg(F.first("words").alias("words"))
+    items = items.select("item", "words", F.least(F.lit(window), F.size("words")).alias("width"), F.least(F.lit(shingle), F.size("words")).alias("size"))
+    own = ["item", "size", "width", F.size("words").alias("n_item")]
+    parts = [items.where(F.col("size") == k).select(*own, F.posexplode(shingles(F.col("words"), k)).alias("at", "h")) for k in range(1, shingle + 1)]
+    return items, names, reduce(DataFrame.unionByName, parts)
 
 
 def document_matches(docs: DataFrame, item_shingles: DataFrame, sizes: list[int]) -> DataFrame:
@@ -72,26 +73,30 @@ def prefix_shingles(item_shingles: DataFrame, frequency: DataFrame) -> DataFrame
 
 
 def hits_in(words: Column, alignments: Column) -> Column:
-    """Per alignment (item, start, width, words of the item): the document positions where one of its windows begins."""
-    def found(w: Column, a: Column) -> Column:
-        # same[i]: length of the run of equal words that ends with item word i
+    """Per item (item, starts, width, words): the document positions where one of its windows begins."""
+    def found(w: Column, a: Column, start: Column) -> Column:
+        # run: length of the run of equal words that ends with item word i
         runs = F.aggregate(
             F.sequence(F.lit(0), F.size(a["words"]) - 1),
             F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("at")),
             lambda s, i: bind(
-                F.when((i + a["start"] >= 0) & F.coalesce(F.get(w, i + a["start"]) == F.get(a["words"], i), F.lit(False)), s["run"] + 1).otherwise(0),
-                lambda r: F.struct(r.alias("run"), F.when(r >= a["width"], F.concat(s["at"], F.array(i + a["start"] - a["width"] + 1))).otherwise(s["at"]).alias("at")),
+                F.when((i + start >= 0) & F.coalesce(F.get(w, i + start) == F.get(a["words"], i), F.lit(False)), s["run"] + 1).otherwise(0),
+                lambda r: F.struct(r.alias("run"), F.when(r >= a["width"], F.concat(s["at"], F.array(i + start - a["width"] + 1))).otherwise(s["at"]).alias("at")),
             ),
         )
         return runs["at"]
 
-    return bind(words, lambda w: F.transform(alignments, lambda a: F.struct(a["item"].alias("item"), a["width"].alias("width"), found(w, a).alias("at"))))
+    def one(w: Column, a: Column) -> Column:
+        at = F.flatten(F.transform(a["starts"], lambda start: found(w, a, start)))
+        return F.struct(a["item"].alias("item"), a["width"].alias("width"), at.alias("at"))
+
+    return bind(words, lambda w: F.transform(alignments, lambda a: one(w, a)))
 
 
 def scored(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, min_share_of: int = MIN_SHARE_OF) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, items, contaminated."""
-    items, item_shingles = item_windows(benchmark, window, shingle)
-    items, item_shingles = materialise(items, "items"), materialise(item_shingles, "item-shingles")
+    items, names, item_shingles = item_windows(benchmark, window, shingle)
+    items, names, item_shingles = materialise(items, "items"), materialise(names, "item-names"), materialise(item_shingles, "item-shingles")
     sizes = [r["size"] for r in items.select("size").distinct().collect()] or [shingle]  # at most `shingle` numbers
     matches = materialise(document_matches(docs, item_shingles, sizes), "shingle-matches")
     frequency = matches.groupBy("h", "size").agg(F.count("*").alias("n"))
@@ -103,17 +108,26 @@ def scored(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     keys = near.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).distinct()
     touched = words.join(keys, words["doc_id"].eqNullSafe(keys["k_id"]) & (words["text_key"] == keys["k_key"]), "left_semi")
     touched = touched.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", lower_words(F.col("text")).alias("words"))
-    # verification by document: its alignments come as one list, no longer than its own matches
-    listed = near.join(bounded(items.select("item", "width", F.col("words").alias("item_words"))), "item")
-    listed = listed.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"), F.struct("item", "start", "width", F.col("item_words").alias("words")).alias("a"))
-    listed = listed.groupBy("k_id", "k_key").agg(F.collect_list("a").alias("alignments"))
+    # verification by document: its alignments by item, each with the item's words once; no more than its own matches
+    held = near.groupBy("doc_id", "text_key", "item").agg(F.collect_list("start").alias("starts"))
+    item_words = items.select("item", "width", F.col("words").alias("item_words"))
+    size_of = F.aggregate("item_words", F.lit(64), lambda n, w: n + 16 + F.octet_length(w))
+    listed = held.join(bounded(item_words, weight=size_of), "item")
+    listed = listed.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).agg(
+        F.collect_list(F.struct("item", "starts", "width", F.col("item_words").alias("words"))).alias("alignments")
+    )
     hit = touched.join(listed, touched["doc_id"].eqNullSafe(listed["k_id"]) & (touched["text_key"] == listed["k_key"]))
     hit = hit.select("k_id", "k_key", hits_in(F.col("words"), F.col("alignments")).alias("found"))
     spans = F.sort_array(F.flatten(F.transform("found", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["width"].alias("width"))))))
-    covered = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["p"] + x["width"] - F.greatest(s["end"], x["p"]))).alias("n"), F.greatest(s["end"], x["p"] + x["width"]).alias("end")), lambda s: s["n"])
+
+    def cover(s: Column, x: Column) -> Column:
+        end = x["p"] + x["width"]
+        return F.struct((s["n"] + F.greatest(F.lit(0), end - F.greatest(s["end"], x["p"]))).alias("n"), F.greatest(s["end"], end).alias("end"))
+
+    covered = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), cover, lambda s: s["n"])
     hit = hit.select("k_id", "k_key", covered.cast("long").alias("n_hit"), F.array_distinct(F.transform(F.filter("found", lambda x: F.size(x["at"]) > 0), lambda x: x["item"])).alias("items"))
     hit = materialise(hit.where("n_hit > 0"), "hits")
-    names = bounded(items.select("item", "item_id", "copies"))
+    names = bounded(names)
     owned = hit.select("k_id", "k_key", F.explode("items").alias("item")).join(names, "item").groupBy("k_id", "k_key")
     owned = owned.agg(F.sum("copies").alias("n_items"), F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col("item_id").cast("string"), F.col("copies").cast("int"))))).alias("item_ids"))
     hit = hit.select("k_id", "k_key", "n_hit").join(owned.select(F.col("k_id").alias("o_id"), F.col("k_key").alias("o_key"), "n_items", "item_ids"), F.col("k_id").eqNullSafe(F.col("o_id")) & (F.col("k_key") == F.col("o_key"))).drop("o_id", "o_key")
@@ -140,9 +154,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents that are not contaminated, in their columns."""
-    bad = scored(docs, benchmark, **parameters).where("contaminated").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
-    bad = bounded(materialise(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k_id"]) & (text_key(docs["text"]) == bad["k_key"]), "left_anti")
+    bad = scored(docs, benchmark, **parameters).where("contaminated").select("doc_id", "text_key")
+    return matching(docs, materialise(bad, "contaminated"), "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

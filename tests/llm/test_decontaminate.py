@@ -43,6 +43,19 @@ def test_edge_cases(spark, odd):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [2, 3, 4, 6]
 
 
+def test_equal_items_and_clashing_names(spark):
+    """Many ids of one text, also several times in a document, and columns named as inner ones."""
+    text = " ".join(f"b{k}" for k in range(30))
+    items = [(k, text) for k in range(40)] + [(7, text), (None, text), (50, text + " more"), (51, "b1 b2 b3")]
+    docs = [(1, f"{text} x {text} y {text}"), (2, "b1 b2 b3 " * 5 + "z " * 200), (3, "clean words only")]
+    df = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id bigint, text string, k_id int, k_key int, Own_Key int, item int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(*r[:4], hashlib.sha256(",".join(sorted([str(k) for k in range(40)] + ["7", "50", "51"])).encode()).hexdigest(), r[5]) if r[0] == 1 else r for r in brute(docs, items)]
+    assert got(decontaminate.contamination(df, bench)) == want
+    kept = decontaminate.decontaminate(df, bench)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect() if r["doc_id"] != 2] == [3]
+
+
 def test_real_rows_by_brute_force(spark, small, documents):
     bench = table(spark, small, "benchmark")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
