@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -37,8 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is left there when the driver's Python ends is deleted."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep, spark.sparkContext._gateway.jvm)
+    _made.add(path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    _made.discard(path)
+
+
+def _sweep(jvm) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; a folder that is left harms nothing
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        for path in [*_made]:
+            _delete(jvm, conf, path)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -51,10 +74,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes a materialised table."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        path = next((p for p in _made if p.rpartition("/")[2] == name.rpartition("/")[2]), name)
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
 
 
 def text_key(text: Column | str = "text") -> Column:

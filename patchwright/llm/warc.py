@@ -3,9 +3,10 @@
 Reading plans whole files into partitions of about `partitionBytes`, takes record-type and header
 predicates from the plan (`pushFilters`, where `spark.sql.python.filterPushdown.enabled` is set)
 or from options, parses the headers of a record first, and steps over the payloads of records that fail or
-whose schema has no payload column. Writing gives each task its own files of at most
-`recordsPerFile` records under a temporary name; the driver's commit moves them in place, so a task that
-is repeated or lost leaves nothing behind.
+whose schema has no payload column. Writing gives each task attempt its own files of at most
+`recordsPerFile` records and about `bytesPerFile` bytes. The driver's commit is one small file, renamed into place, that lists the
+files that count; readers pass over written files that no such list has. So a write is there as a whole
+or not at all, and a task that is repeated or lost leaves nothing that is read.
 
 Columns: record_id, record_type, target_uri, date, content_type, refers_to, payload_digest,
 payload_bytes, page_id (a header of its own) and payload. Folders are local or anything that
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +34,8 @@ from pyspark.sql.types import StructType
 from .common import materialise, new_path, table
 
 FORMAT = "patchwright_warc"
-PARTITION_BYTES, RECORDS_PER_FILE, MIN_BYTES = 32 << 20, 20_000, 0
+PARTITION_BYTES, RECORDS_PER_FILE, BYTES_PER_FILE, MIN_BYTES = 32 << 20, 20_000, 64 << 20, 0
+OWN_FILE = re.compile(r"part-[0-9]{5}-[0-9]{3}-[0-9a-f]{32}-[0-9]+\.warc\.gz")
 COLUMNS = "record_id string, record_type string, target_uri string, date string, content_type string, refers_to string, payload_digest string, payload_bytes bigint, page_id bigint, payload binary"
 # The headers of WARC 1.1 behind the columns; the last two are our own.
 HEADERS = {
@@ -140,7 +144,13 @@ class WarcReader(DataSourceReader):
 
         where, base = store(self.options["path"])
         found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        files = sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
+        whole = set()
+        for f in found:
+            if f.base_name.startswith("_committed-"):
+                with where.open_input_stream(f.path, compression=None) as lists:
+                    whole.update(json.loads(lists.read()))
+        files = (f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and (f.base_name in whole or not OWN_FILE.fullmatch(f.base_name)))
+        files = sorted(files, key=lambda f: f.path)
         limit, out, size = int(self.options.get("partitionbytes", PARTITION_BYTES)), [], 0
         for f in files:
             if not out or size + f.size > limit:
@@ -174,7 +184,7 @@ def value_of(name: str, text: str | None):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]) -> None:
+    def __init__(self, files: list[str]) -> None:
         self.files = files
 
 
@@ -187,18 +197,19 @@ class WarcWriter(DataSourceWriter):
 
         task = TaskContext.get()
         where, base = store(self.options["path"])
-        where.create_dir(f"{base}/_temporary-{self.job}", recursive=True)
-        limit, done, out, n = int(self.options.get("recordsperfile", RECORDS_PER_FILE)), [], None, 0
+        where.create_dir(base, recursive=True)
+        most, most_bytes = int(self.options.get("recordsperfile", RECORDS_PER_FILE)), int(self.options.get("bytesperfile", BYTES_PER_FILE))
+        done, out, n, size = [], None, 0, 0
         try:
             for row in rows:
-                if out is None or n >= limit:
+                if out is None or n >= most or size >= most_bytes:
                     if out is not None:
                         out.close()
-                    name = f"part-{task.partitionId():05d}-{len(done):03d}-{self.job[:8]}.warc.gz"
-                    done.append((f"{base}/_temporary-{self.job}/{name}.{task.taskAttemptId()}", f"{base}/{name}"))
-                    out, n = where.open_output_stream(done[-1][0], compression=None), 0
-                out.write(gzip.compress(record(row.asDict()), 3, mtime=0))
-                n += 1
+                    done.append(f"part-{task.partitionId():05d}-{len(done):03d}-{self.job}-{task.taskAttemptId()}.warc.gz")
+                    out, n, size = where.open_output_stream(f"{base}/{done[-1]}", compression=None), 0, 0
+                packed = gzip.compress(record(row.asDict()), 3, mtime=0)
+                out.write(packed)
+                n, size = n + 1, size + len(packed)
         finally:
             if out is not None:
                 out.close()
@@ -207,20 +218,15 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         where, base = store(self.options["path"])
         where.create_dir(base, recursive=True)
-        for m in messages:
-            for temporary, final in m.files if m else []:
-                where.move(temporary, final)
-        self._clean()
+        with where.open_output_stream(f"{base}/_new-{self.job}", compression=None) as out:
+            out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        where.move(f"{base}/_new-{self.job}", f"{base}/_committed-{self.job}")
 
     def abort(self, messages) -> None:
-        self._clean()
-
-    def _clean(self) -> None:
-        from pyarrow import fs
-
         where, base = store(self.options["path"])
-        if where.get_file_info(f"{base}/_temporary-{self.job}").type != fs.FileType.NotFound:
-            where.delete_dir(f"{base}/_temporary-{self.job}")
+        for m in messages:
+            for f in m.files if m else []:
+                where.delete_file(f"{base}/{f}")
 
 
 def record(row: dict) -> bytes:
@@ -316,8 +322,12 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, **opt
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(records(table(spark, sf_dir, "pages")), path)
-    full = read(spark, path, ["record_type", "payload_digest", "page_id", "payload"], recordTypes="response")
-    seen = full.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), digest(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
-    again = read(spark, path, ["record_type", "payload_digest", "payload_bytes", "page_id", "refers_to"]).where("record_type = 'revisit'")
-    again = again.select("page_id", "payload_bytes", "payload_digest", "record_type", F.substring_index("refers_to", ":", -1).cast("bigint").alias("refers_to"))
-    return seen.unionByName(again)
+    seen = read(spark, path, ["record_type", "payload_digest", "payload_bytes", "page_id", "refers_to", "payload"])
+    own = F.col("record_type") == "response"  # of a response the figures of the payload that is there, of a revisit its headers'
+    return seen.select(
+        "page_id",
+        F.when(own, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, digest(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(~own, F.substring_index("refers_to", ":", -1).cast("bigint")).alias("refers_to"),
+    )

@@ -18,7 +18,7 @@ ROWS = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, None), (
 def test_round_trip(spark, tmp_path):
     path = f"{tmp_path}/w"
     warc.write(warc.records(pages(spark, ROWS)).repartition(3), path)
-    assert all(f.endswith(".warc.gz") for f in os.listdir(path))
+    assert all(f.endswith(".warc.gz") or f.startswith("_committed-") for f in os.listdir(path) if not f.endswith(".crc"))
     rows = warc.read(spark, path).collect()
     assert len(rows) == len(ROWS)
     by = {}
@@ -32,6 +32,20 @@ def test_round_trip(spark, tmp_path):
         assert all(r["payload_digest"] == want and r["payload_bytes"] == len((h or "").encode()) for r in by[i])
 
 
+def test_a_write_counts_as_a_whole_or_not_at_all(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    warc.write(warc.records(pages(spark, ROWS)), path)
+    warc.write(warc.records(pages(spark, ROWS[:2])), path)
+    assert warc.read(spark, path).count() == len(ROWS) + 2
+    (last,) = [f for f in os.listdir(path) if f.startswith("_committed-") and len(open(f"{path}/{f}").read().split(",")) == min(len(open(f"{path}/{x}").read().split(",")) for x in os.listdir(path) if x.startswith("_committed-"))][:1]
+    os.remove(f"{path}/{last}")  # as if the driver had gone before its commit
+    assert 0 < warc.read(spark, path).count() < len(ROWS) + 2
+    many = f"{tmp_path}/many"
+    warc.register(spark)
+    warc.records(pages(spark, ROWS)).coalesce(1).write.format(warc.FORMAT).mode("append").option("bytesPerFile", "1").save(many)
+    assert sum(f.endswith(".gz") for f in os.listdir(many)) == len(ROWS) == warc.read(spark, many).count()
+
+
 def test_smaller_payloads_are_all_responses(spark):
     rows = warc.records(pages(spark, ROWS), min_bytes=5).collect()
     assert {r["record_type"] for r in rows} == {"response"}
