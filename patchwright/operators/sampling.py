@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,59 +13,116 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded, seeded_int
 from .metrics import ranking
 
+#: bootstrap_many sends at most this many counts to a task; beyond it, joins do the same.
+MAX_COUNTS = 5_000_000
+
+
+def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, ids: Sequence[str]) -> DataFrame:
+    """df with _rank (from 1) in hash order within its keys, ties by the last id, and _n, the rows of the keys.
+
+    Ranks are taken within 256 ranges of the hash, to which the sizes of the ranges before are added: a large stratum is spread over 256 tasks."""
+    hashed = df.withColumn("_h", seeded(seed, *(F.col(c) for c in ids))).withColumn("_range", F.substring("_h", 1, 2))
+    sizes = hashed.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(*keys)  # at most 256 rows
+    sizes = sizes.withColumn("_before", F.sum("_size").over(w.orderBy("_range")) - F.col("_size")).withColumn("_n", F.sum("_size").over(w)).drop("_size")
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_h", ids[-1]))
+    placed = hashed.withColumn("_within", within).join(sizes, [*keys, "_range"])
+    return placed.withColumn("_rank", F.col("_before") + F.col("_within")).select(*df.columns, "_h", "_rank", "_n")
+
 
 def stratified_fraction(df: DataFrame, by: str, fraction: float, seed: int, patch: str = "patch_id") -> DataFrame:
     """round-half-even(fraction * size) rows of each stratum, the first in hash order."""
-    w = Window.partitionBy(by)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(seeded(seed, F.col(patch)), patch))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_rank") <= F.bround(F.col("_n") * fraction)).drop("_rank", "_n")
+    ranked = hash_rank(df, [by], seed, [patch])
+    return ranked.where(F.col("_rank") <= F.bround(F.col("_n") * fraction)).select(*df.columns)
 
 
 def stratified_quota(df: DataFrame, by: str, target: int, seed: int, patch: str = "patch_id") -> DataFrame:
     """floor(target * share) rows of each stratum, topped up from the rest to exactly target rows (all if there are fewer)."""
-    size = df.groupBy(by).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_total"))
-    quota = size.crossJoin(F.broadcast(total)).select(by, F.floor(F.lit(target) * (F.col("_n") / F.col("_total"))).alias("_quota"))  # one row
-    order = Window.partitionBy(by).orderBy(seeded(seed, F.col(patch)), patch)
-    ranked = df.join(F.broadcast(quota), by).withColumn("_rank", F.row_number().over(order))
+    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
+    ranked = hash_rank(df, [by], seed, [patch]).crossJoin(total)
+    quota = F.floor(F.lit(target) * (F.col("_n") / F.col("_total")))
     # rows within quota come first; the limit is the feature
-    ordered = ranked.select(*df.columns, (F.col("_rank") > F.col("_quota")).alias("_extra"), seeded(seed, F.col(patch)).alias("_h"))
+    ordered = ranked.select(*df.columns, (F.col("_rank") > quota).alias("_extra"), "_h")
     return ordered.orderBy("_extra", "_h", patch).limit(target).drop("_extra", "_h")
 
 
-def prior_matched(pred: DataFrame, target: DataFrame, keys: Sequence[str], on: Sequence[str], draws: int, seed: int, patch: str = "patch_id") -> DataFrame:
-    """(keys, raw_ap, mean_ap, mode, n_kept): AP after the class in excess is thinned to the target prevalence, over several draws.
+def primes(count: int, above: int = 2**31) -> list[int]:
+    """The first primes above a number, by trial division."""
+    small = [p for p in range(2, int(above**0.5) + 1000) if all(p % q for q in range(2, int(p**0.5) + 1))]
+    out, n = [], above + 1
+    while len(out) < count:
+        if all(n % p for p in small if p * p <= n):
+            out.append(n)
+        n += 1
+    return out
+
+
+def thinning(draws: int, seed: int) -> list[tuple[int, int, int]]:
+    """(draw, factor, shift): draw d keeps the ranks r with (factor * r + shift) mod n below what it takes.
+
+    Factors are primes above any n, so each draw is a permutation of the ranks: no sort and no hash per draw."""
+    shift = lambda d: int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:8], 16)
+    return [(d, p, shift(d)) for d, p in enumerate(primes(draws))]
 
-    pred: keys, patch, true_label, score. target: on, prevalence. Cells that thinning cannot reach are left out."""
+
+def thinning_plan(pred: DataFrame, target: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """(keys, mode, take_pos, take_neg): how a cell reaches the target prevalence by thinning the class in excess; cells that cannot are left out."""
     size = pred.groupBy(*keys).agg(F.sum("true_label").cast("bigint").alias("pos"), F.sum(1 - F.col("true_label")).cast("bigint").alias("neg"))
     t = F.col("prevalence")
-    plan = size.join(F.broadcast(target), list(on)).where((F.col("pos") > 0) & (F.col("neg") > 0) & (t > 0) & (t < 1))
-    plan = plan.withColumn("need_neg", F.bround(F.col("pos") * (1 - t) / t).cast("bigint")).withColumn("need_pos", F.bround(F.col("neg") * t / (1 - t)).cast("bigint"))
+    plan = size.join(F.broadcast(target), list(on))  # one row a class
+    plan = plan.where((F.col("pos") > 0) & (F.col("neg") > 0) & (t > 0) & (t < 1))
+    plan = plan.withColumn("need_neg", F.bround(F.col("pos") * (1 - t) / t).cast("bigint"))
+    plan = plan.withColumn("need_pos", F.bround(F.col("neg") * t / (1 - t)).cast("bigint"))
     thin_neg = F.col("need_neg") <= F.col("neg")
     plan = plan.where(thin_neg | ((F.col("need_pos") > 0) & (F.col("need_pos") <= F.col("pos"))))
-    plan = plan.select(*keys, F.when(thin_neg, "subsample_neg").otherwise("subsample_pos").alias("mode"), F.when(thin_neg, F.col("pos")).otherwise(F.col("need_pos")).alias("take_pos"), F.when(thin_neg, F.col("need_neg")).otherwise(F.col("neg")).alias("take_neg"))
-    each = pred.join(F.broadcast(plan), list(keys)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = Window.partitionBy(*keys, "draw", "true_label").orderBy(seeded(seed, F.col("draw"), *(F.col(k) for k in keys), F.col(patch)), patch)
-    kept = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("true_label") == 1, F.col("take_pos")).otherwise(F.col("take_neg")))
-    ap = ranking(kept, [*keys, "draw"]).groupBy(*keys).agg(F.avg("ap").alias("mean_ap"))
+    return plan.select(
+        *keys,
+        F.when(thin_neg, "subsample_neg").otherwise("subsample_pos").alias("mode"),
+        F.when(thin_neg, F.col("pos")).otherwise(F.col("need_pos")).alias("take_pos"),
+        F.when(thin_neg, F.col("need_neg")).otherwise(F.col("neg")).alias("take_neg"),
+    )
+
+
+def prior_matched(pred: DataFrame, target: DataFrame, keys: Sequence[str], on: Sequence[str], draws: int, seed: int, patch: str = "patch_id") -> DataFrame:
+    """(keys, raw_ap, mean_ap, mode, n_kept): AP after the class in excess is thinned to the target prevalence, over several draws.
+
+    pred: keys, patch, true_label, score. target: on, prevalence. Patches are ranked once; rows are multiplied by draws
+    only inside a task, where they add up to counts by score at once."""
+    plan = thinning_plan(pred, target, keys, on)
+    ranked = hash_rank(pred.select(*keys, patch, "true_label", "score"), [*keys, "true_label"], seed, [*keys, patch]).join(F.broadcast(plan), list(keys))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("draw"), F.lit(p).cast("bigint").alias("factor"), F.lit(c).cast("bigint").alias("shift")) for d, p, c in thinning(draws, seed))))
+    kept = ranked.withColumn("d", each).where(
+        F.pmod((F.col("_rank") - 1) * F.col("d.factor") + F.col("d.shift"), F.col("_n")) < F.when(F.col("true_label") == 1, F.col("take_pos")).otherwise(F.col("take_neg"))
+    )
+    ap = ranking(kept.select(*keys, F.col("d.draw").alias("draw"), "true_label", "score"), [*keys, "draw"]).groupBy(*keys).agg(F.avg("ap").alias("mean_ap"))
     raw = ranking(pred, keys).select(*keys, F.col("ap").alias("raw_ap"))
     return ap.join(raw, list(keys)).join(F.broadcast(plan), list(keys)).select(*keys, "raw_ap", "mean_ap", "mode", (F.col("take_pos") + F.col("take_neg")).alias("n_kept"))
 
 
+def prior_gap(matched: DataFrame, reference: DataFrame, cls: str = "class") -> DataFrame:
+    """One row (raw_gap, matched_gap, explained) in points: how much of the gap between a reference and other cells their priors explain.
+
+    matched: the cells of prior_matched; reference: cls, ap. Both sides are means over classes of the means of their cells."""
+    per_class = matched.groupBy(cls).agg(F.avg("raw_ap").alias("raw"), F.avg("mean_ap").alias("matched"))
+    both = per_class.join(reference.select(cls, F.col("ap").alias("reference")), cls).where(F.col("reference").isNotNull())
+    gap = lambda c: 100 * (F.avg("reference") - F.avg(c))
+    return both.agg(gap("raw").alias("raw_gap"), gap("matched").alias("matched_gap"), (gap("raw") - gap("matched")).alias("explained"))
+
+
 def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], cluster: str, replicates: int, seed: int, cls: str = "class") -> DataFrame:
     """(keys, replicate, ap_macro, auroc_macro): whole clusters drawn with replacement, as row weights; classes undefined in a replicate are skipped there.
 
-    Draw j of a replicate takes cluster number hash(seed, replicate, j) mod n; multiplicities are one small table."""
-    names = pred.select(*keys, cluster).distinct()
-    named = names.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(cluster)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    Clusters are numbered in hash order. Draw j of a replicate takes cluster number hash(seed, replicate, j) mod n."""
+    named = hash_rank(pred.select(*keys, cluster).distinct(), keys, seed, [cluster]).select(*keys, cluster, (F.col("_rank") - 1).alias("number"), F.col("_n").alias("n"))
     size = named.groupBy(*keys).agg(F.max("n").alias("n"))
     draws = size.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draws = draws.withColumn("number", seeded_int(seed, F.col("replicate"), F.col("j")) % F.col("n"))
     times = draws.groupBy(*keys, "replicate", "number").agg(F.count("*").alias("times")).join(named.drop("n"), [*keys, "number"]).select(*keys, "replicate", cluster, "times")
-    # one row per (cluster, class, score) before replicates multiply them
+    # one row per (cluster, class, score) before replicates multiply them; the joins pick their own form by size
     small = pred.groupBy(*keys, cluster, cls, "score").agg(F.sum("true_label").alias("pos"), F.count("*").alias("n"))
-    weighted = small.join(F.broadcast(times), [*keys, cluster])
-    rows = weighted.withColumn("true_label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.col("times") * F.when(F.col("true_label") == 1, F.col("pos")).otherwise(F.col("n") - F.col("pos"))).where("w > 0")
+    weighted = small.join(times, [*keys, cluster])
+    weight = F.col("times") * F.when(F.col("true_label") == 1, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
+    rows = weighted.withColumn("true_label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", weight).where("w > 0")
     cells = ranking(rows, [*keys, "replicate", cls], weight="w")
     return cells.groupBy(*keys, "replicate").agg(F.avg("ap").alias("ap_macro"), F.avg("auroc").alias("auroc_macro"))
 
@@ -78,18 +136,21 @@ def interval(replicates: DataFrame, keys: Sequence[str], values: Sequence[str] =
     return replicates.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *out)
 
 
-def bootstrap_many(pred: DataFrame, cluster: str, replicates: int, seed: int, cls: str = "class") -> DataFrame:
-    """cluster_bootstrap for a thousand replicates: counts per (cluster, class, score) go once to each task as arrays.
+def bootstrap_many(pred: DataFrame, cluster: str, replicates: int, seed: int, cls: str = "class", max_counts: int = MAX_COUNTS) -> DataFrame:
+    """cluster_bootstrap without keys for a thousand replicates, with the same draws: counts per (cluster, class, score) go once to each task as arrays.
 
-    The arrays are as large as clusters x classes x distinct scores, which is checked; each task scores its own replicates."""
+    The arrays are as large as clusters x classes x distinct scores, which is counted; beyond max_counts cluster_bootstrap does it."""
     small = pred.groupBy(cluster, cls, "score").agg(F.sum("true_label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    limit = 5_000_000
-    if small.limit(limit + 1).count() > limit:
-        raise ValueError("too many distinct scores for one task: round the scores, or use cluster_bootstrap")
+    if small.limit(max_counts + 1).count() > max_counts:
+        return cluster_bootstrap(pred, [], cluster, replicates, seed, cls)
     t = small.orderBy(cls, F.desc("score"), cluster).toArrow()
-    codes = {c: np.unique(t.column(c).to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in (cluster, cls)}
-    same = np.concatenate([[True], (np.diff(codes[cls]) != 0) | (np.diff(t.column("score").to_numpy()) != 0)])
-    shared = pred.sparkSession.sparkContext.broadcast((codes[cluster], codes[cls], np.cumsum(same) - 1, t.column("pos").to_numpy(), t.column("n").to_numpy()))
+    names, at = np.unique(t.column(cluster).to_numpy(zero_copy_only=False), return_inverse=True)
+    order = sorted(range(len(names)), key=lambda k: (hashlib.md5(f"{seed}:{names[k]}".encode()).hexdigest(), names[k]))
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names))
+    kinds = np.unique(t.column(cls).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    same = np.concatenate([[True], (np.diff(kinds) != 0) | (np.diff(t.column("score").to_numpy()) != 0)])[: len(kinds)]
+    shared = pred.sparkSession.sparkContext.broadcast((number[at], kinds, np.cumsum(same) - 1, t.column("pos").to_numpy(), t.column("n").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, kind, group, pos, n = shared.value
@@ -98,8 +159,9 @@ def bootstrap_many(pred: DataFrame, cluster: str, replicates: int, seed: int, cl
         for batch in batches:
             out = []
             for r in batch.column(0).to_pylist():
-                times = np.bincount(np.random.default_rng([seed, r]).integers(0, clusters, clusters), minlength=clusters).astype(float)
-                p, m = (np.add.reduceat(x * times[where], first) for x in (pos, n))
+                drawn = [int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:8], 16) % clusters for j in range(clusters)]
+                times = np.bincount(drawn, minlength=clusters).astype(float)
+                p, m = (np.add.reduceat(x * times[where], first) for x in (pos, n)) if len(first) else (pos, n)
                 ap, auc = [], []
                 for k in np.unique(kinds):
                     a, b = p[kinds == k], m[kinds == k]

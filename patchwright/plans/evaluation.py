@@ -218,29 +218,41 @@ def spearman_rho(spark, sf):
     return rounded(stats.spearman(table(spark, sf, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"]))
 
 
-DRAWS = 5
+DRAWS, REPS = 100, 1000
 
-
-@query(SQL + ", e AS (SELECT country, class, patch_id, true_label, score FROM pred), tg AS (SELECT class, avg(true_label) AS t FROM pred WHERE s2_split = 'test' GROUP BY 1)" + ranking_sql("e", "country, class", "raw") + f""", sz AS (SELECT country, class, sum(true_label)::BIGINT AS pos, sum(1 - true_label)::BIGINT AS neg FROM e GROUP BY 1, 2),
+#: CTE `mean` (country, class, mean_ap) beside raw and pk: the thinned cells.
+MATCHED = SQL + ", e AS (SELECT country, class, patch_id, true_label, score FROM pred), tg AS (SELECT class, avg(true_label) AS t FROM pred WHERE s2_split = 'test' GROUP BY 1)" + ranking_sql("e", "country, class", "raw") + f""", sz AS (SELECT country, class, sum(true_label)::BIGINT AS pos, sum(1 - true_label)::BIGINT AS neg FROM e GROUP BY 1, 2),
 pl AS (SELECT *, round_even(pos * (1 - t) / t, 0)::BIGINT AS nn, round_even(neg * t / (1 - t), 0)::BIGINT AS np FROM sz JOIN tg USING (class) WHERE pos > 0 AND neg > 0 AND t > 0 AND t < 1),
 pk AS (SELECT country, class, CASE WHEN nn <= neg THEN 'subsample_neg' ELSE 'subsample_pos' END AS mode, CASE WHEN nn <= neg THEN pos ELSE np END AS tp, CASE WHEN nn <= neg THEN nn ELSE neg END AS tn FROM pl WHERE nn <= neg OR (np > 0 AND np <= pos)),
-dr AS (SELECT e.*, draw, pk.tp AS take_pos, pk.tn AS take_neg, row_number() OVER (PARTITION BY country, class, draw, true_label ORDER BY md5('{SEED}:' || draw || ':' || country || ':' || class || ':' || patch_id), patch_id) AS r FROM e JOIN pk USING (country, class), (SELECT unnest(range({DRAWS})) AS draw)),
-kp AS (SELECT * FROM dr WHERE r <= CASE WHEN true_label = 1 THEN take_pos ELSE take_neg END)""" + ranking_sql("kp", "country, class, draw", "dc") + """, mean AS (SELECT country, class, avg(ap) AS mean_ap FROM dc GROUP BY 1, 2)
-SELECT country, class, round(raw.ap, 6) AS raw_ap, round(mean_ap, 6) AS mean_ap, mode, (pk.tp + pk.tn)::BIGINT AS n_kept FROM mean JOIN raw USING (country, class) JOIN pk USING (country, class)""")
-def prior_matched_ap(spark, sf):
+rk AS (SELECT e.*, pk.tp AS take_pos, pk.tn AS take_neg, row_number() OVER (PARTITION BY country, class, true_label ORDER BY md5('{SEED}:' || country || ':' || class || ':' || patch_id), patch_id) - 1 AS r, count(*) OVER (PARTITION BY country, class, true_label) AS n FROM e JOIN pk USING (country, class)),
+kp AS (SELECT * FROM rk, (VALUES {", ".join(f"({d}, {p}::BIGINT, {c}::BIGINT)" for d, p, c in sampling.thinning(DRAWS, SEED))}) x(draw, factor, shift) WHERE (r * factor + shift) % n < CASE WHEN true_label = 1 THEN take_pos ELSE take_neg END)""" + ranking_sql("kp", "country, class, draw", "dc") + ", mean AS (SELECT country, class, avg(ap) AS mean_ap FROM dc GROUP BY 1, 2)"
+
+
+def matched(spark, sf):
     pred = standin.predictions(spark, sf, standin.patches(spark, sf).select("patch_id", "country", "s2_split"))
     target = pred.where("s2_split = 'test'").groupBy("class").agg(F.avg("true_label").alias("prevalence"))
-    return rounded(sampling.prior_matched(pred, target, ["country", "class"], ["class"], DRAWS, SEED))
+    return sampling.prior_matched(pred, target, ["country", "class"], ["class"], DRAWS, SEED)
+
+
+@query(MATCHED + " SELECT country, class, round(raw.ap, 6) AS raw_ap, round(mean_ap, 6) AS mean_ap, mode, (pk.tp + pk.tn)::BIGINT AS n_kept FROM mean JOIN raw USING (country, class) JOIN pk USING (country, class)")
+def prior_matched_ap(spark, sf):
+    return rounded(matched(spark, sf))
 
 
-REPS = 20
+@query(MATCHED + ", t2 AS (SELECT * FROM pred WHERE s2_split = 'test')" + ranking_sql("t2", "class", "rf") + """, g AS (SELECT class, avg(raw.ap) AS raw, avg(mean_ap) AS matched FROM mean JOIN raw USING (country, class) GROUP BY 1)
+SELECT round(100 * (avg(rf.ap) - avg(raw)), 6) AS raw_gap, round(100 * (avg(rf.ap) - avg(matched)), 6) AS matched_gap, round(100 * (avg(matched) - avg(raw)), 6) AS explained FROM g JOIN rf USING (class) WHERE rf.ap IS NOT NULL""")
+def prior_matched_gap(spark, sf):
+    """The gap between the official test part and the countries, raw, after matching priors, and what that explains."""
+    test = metrics.ranking(s2(spark, sf).where("role = 'test'"), ["class"])
+    return rounded(sampling.prior_gap(matched(spark, sf), test))
 
 
 def _boot_sql(cluster: str, source: str) -> str:
-    return f""", e AS ({source}), nm AS (SELECT {cluster} AS cl, row_number() OVER (ORDER BY {cluster}) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT {cluster} FROM e)),
+    return f""", e AS ({source}), nm AS (SELECT {cluster} AS cl, row_number() OVER (ORDER BY md5('{SEED}:' || {cluster}), {cluster}) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT {cluster} FROM e)),
 dw AS (SELECT rep, ('0x' || substr(md5('{SEED}:' || rep || ':' || j), 1, 8))::BIGINT % n AS k FROM (SELECT unnest(range({REPS})) AS rep), (SELECT n, unnest(range(n)) AS j FROM (SELECT max(n) AS n FROM nm))),
 tm AS (SELECT rep, cl, count(*) AS w FROM dw JOIN nm USING (k) GROUP BY 1, 2),
-c0 AS (SELECT rep, class, score, sum(w * true_label) AS pos, sum(w) AS n FROM e JOIN tm ON cl = {cluster} GROUP BY 1, 2, 3), c1 AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k FROM c0 WINDOW w AS (PARTITION BY rep, class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+small AS (SELECT {cluster}, class, score, sum(true_label) AS pos, count(*) AS n FROM e GROUP BY 1, 2, 3),
+c0 AS (SELECT rep, class, score, sum(w * pos) AS pos, sum(w * n) AS n FROM small JOIN tm ON cl = {cluster} GROUP BY 1, 2, 3), c1 AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k FROM c0 WINDOW w AS (PARTITION BY rep, class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 c2 AS (SELECT rep, class, sum(pos * (tp::DOUBLE / k)) / nullif(sum(pos), 0)::DOUBLE AS ap, sum((n - pos) * (tp - pos / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * (sum(n) - sum(pos)), 0) AS auroc FROM c1 GROUP BY 1, 2),
 c3 AS (SELECT rep, avg(ap) AS ap_macro, avg(auroc) AS auroc_macro FROM c2 GROUP BY 1)
 SELECT count(*) AS n_replicates, round(avg(ap_macro), 6) AS ap_macro_mean, round(quantile_cont(ap_macro, 0.025), 6) AS ap_macro_low, round(quantile_cont(ap_macro, 0.975), 6) AS ap_macro_high, round(avg(auroc_macro), 6) AS auroc_macro_mean, round(quantile_cont(auroc_macro, 0.025), 6) AS auroc_macro_low, round(quantile_cont(auroc_macro, 0.975), 6) AS auroc_macro_high FROM c3"""
@@ -250,19 +262,25 @@ def _s2_test(spark, sf):
     return standin.predictions(spark, sf, standin.patches(spark, sf).where("s2_split = 'test'").select("patch_id", "tile"))
 
 
+def _s2_interval(spark, sf, cluster):
+    return rounded(sampling.interval(sampling.bootstrap_many(_s2_test(spark, sf), cluster, REPS, SEED), []))
+
+
 @query(SQL + _boot_sql("tile", "SELECT patch_id, tile, class, true_label, score FROM pred WHERE s2_split = 'test'"))
 def tile_bootstrap_ci(spark, sf):
-    return rounded(sampling.interval(sampling.cluster_bootstrap(_s2_test(spark, sf), [], "tile", REPS, SEED), []))
+    return _s2_interval(spark, sf, "tile")
 
 
 @query(SQL + _boot_sql("patch_id", "SELECT patch_id, tile, class, true_label, score FROM pred WHERE s2_split = 'test'"))
 def patch_bootstrap_ci(spark, sf):
-    return rounded(sampling.interval(sampling.cluster_bootstrap(_s2_test(spark, sf), [], "patch_id", REPS, SEED), []))
+    return _s2_interval(spark, sf, "patch_id")
 
 
-@query()
+@query(SQL + _boot_sql("tile", "SELECT patch_id, tile, class, true_label, score FROM pred WHERE s1_split = 'test'"))
 def tile_bootstrap_1000(spark, sf):
-    return rounded(sampling.interval(sampling.bootstrap_many(_s2_test(spark, sf), "tile", 1000, SEED), []))
+    """The same on the test part of the random split."""
+    test = standin.split(spark, sf).where("s1_split = 'test'").select("patch_id", "tile")
+    return rounded(sampling.interval(sampling.bootstrap_many(standin.predictions(spark, sf, test), "tile", REPS, SEED), []))
 
 
 @query(S2SQL + """, t AS (SELECT *, rank() OVER (PARTITION BY patch_id ORDER BY score DESC, class) AS r FROM v WHERE role = 'test'), q AS (SELECT patch_id, max(CASE WHEN true_label = 1 THEN r END) AS deepest, max(CASE WHEN r = 1 THEN 1 - true_label END) AS miss FROM t GROUP BY 1),
