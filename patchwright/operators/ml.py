@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_int
-from ..functions.labels import class_weight, evaluated_roles
+from ..functions.labels import class_weight, evaluated_roles, role
 from ..schema import require_features
+from ..sources.tables import parquet_or_none
 
 
 @dataclass(frozen=True)
@@ -71,42 +73,93 @@ def estimator(run: Run, label: str):
     raise ValueError(f"unknown learner {run.learner}")
 
 
-def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(predictions, run record): one weighted classifier per label with a training positive and negative.
+PREDICTIONS = "patch_id string, role string, label_idx int, label_name string, true_label double, probability double"
 
-    The vectors are kept once for all fits; fits run in a bounded number of threads, each in its own scheduler pool."""
+
+def fitted(vectors: DataFrame, labels: Sequence[str], run: Run, counts: dict[str, tuple[int, int]]) -> dict[str, object]:
+    """label -> model of every label with a training positive, in a bounded number of threads, each in its own scheduler pool."""
+    spark = vectors.sparkSession
+
+    def one(c: str):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", c)
+        n, pos = counts[c]
+        weighted = vectors.withColumn("weight", class_weight(F.col(c), F.lit(n), F.lit(pos))).withColumn(c, F.col(c).cast("double"))
+        return c, estimator(run, c).fit(weighted.where("role = 'train'"))
+
+    with ThreadPoolExecutor(max_workers=run.threads) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(one), [c for c in labels if counts[c][1] > 0]))
+
+
+def scored(vectors: DataFrame, models: dict[str, object], labels: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long predictions of all models, from one pass over the vectors."""
+    if not models:
+        return vectors.sparkSession.createDataFrame([], PREDICTIONS)
+    out, cells = vectors, []
+    for k, c in enumerate(labels):
+        if c in models:
+            out = models[c].setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_y{k}").transform(out)
+            value = vector_to_array(F.col(f"_p{k}"))[1]
+            cells.append(F.struct(F.lit(k).alias("label_idx"), F.lit(names[k]).alias("label_name"), F.col(c).cast("double").alias("true_label"), value.alias("probability")))
+    return out.select(F.col("patch_id").cast("string").alias("patch_id"), "role", F.inline(F.array(*cells)))
+
+
+def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names: Sequence[str] | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(predictions, run record): one weighted classifier per label with a training positive.
+
+    The vectors are kept for all fits. All labels are scored in one pass, lazily, or, with a path, written there, so
+    that the record's times hold the scoring too."""
     spark = vectors.sparkSession
     kept = vectors.select("patch_id", "role", "features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
-    began = time.time()
+    began, cpu = time.time(), executor_cpu_seconds(spark)
     try:
         counts = class_counts(kept, labels)
         n_rows = kept.count()
-
-        def one(k: int) -> DataFrame:
-            c = labels[k]
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", c)
-            n, pos = counts[c]
-            weighted = kept.withColumn("weight", class_weight(F.col(c), F.lit(n), F.lit(pos))).withColumn(c, F.col(c).cast("double"))
-            model = estimator(run, c).fit(weighted.where("role = 'train'"))
-            out = model.transform(weighted.where(F.col("role").isin(*evaluated_roles(run.regime))).select("patch_id", "role", "features", c))
-            return out.select("patch_id", "role", F.lit(k).alias("label_idx"), F.lit((names or labels)[k]).alias("label_name"), F.col(c).alias("true_label"), vector_to_array("probability")[1].alias("probability"))
-
-        able = [k for k, c in enumerate(labels) if 0 < counts[c][1] < counts[c][0]]
-        with ThreadPoolExecutor(max_workers=run.threads) as pool:
-            parts = list(pool.map(inheritable_thread_target(spark)(one), able))
+        models = fitted(kept, labels, run, counts)
+        if path is not None:
+            wanted = kept.where(F.col("role").isin(*evaluated_roles(run.regime)))
+            scored(wanted, models, labels, names or labels).write.mode("overwrite").parquet(path)
     finally:
         kept.unpersist()
-    if not parts:
-        return spark.createDataFrame([], "patch_id string, role string, label_idx int, label_name string, true_label double, probability double"), _record(spark, run, n_rows, counts, began)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, _record(spark, run, n_rows, counts, began)
+    if path is not None:
+        out = spark.read.schema(PREDICTIONS).parquet(path)
+    else:
+        source = vectors.select("patch_id", "role", "features", *labels).where(F.col("role").isin(*evaluated_roles(run.regime)))
+        out = scored(source, models, labels, names or labels)
+    times = {"wall_clock_seconds": time.time() - began, "total_executor_cpu_time_seconds": executor_cpu_seconds(spark) - cpu}
+    return out, _record(spark, run, n_rows, counts, times)
+
+
+def executor_cpu_seconds(spark: SparkSession) -> float:
+    """CPU seconds of all tasks of this application so far, from Spark's own record of its stages."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(k).executorCpuTime() for k in range(stages.size())) / 1e9
 
 
-def _record(spark: SparkSession, run: Run, rows: int, counts: dict[str, tuple[int, int]], began: float) -> DataFrame:
+def _record(spark: SparkSession, run: Run, rows: int, counts: dict[str, tuple[int, int]], times: dict[str, float]) -> DataFrame:
     n_train = max((n for n, _ in counts.values()), default=0)
-    return spark.createDataFrame([{**{k: v for k, v in asdict(run).items() if v is not None}, "run_id": run.run_id, "fold": run.fold or "", "n_joined_rows": rows, "n_train_rows": n_train, "wall_clock_seconds": time.time() - began}])
+    own = {k: v for k, v in asdict(run).items() if v is not None}
+    return spark.createDataFrame([{**own, "run_id": run.run_id, "fold": run.fold or "", "n_joined_rows": rows, "n_train_rows": n_train, **times}])
+
+
+def run_all(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], labels: Sequence[str], names: Sequence[str], runs: Sequence[Run], root: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions with run_id, run records) of several runs over rows with the split columns; each run's predictions go to a folder of its own under root.
+
+    A run whose folder has been written whole is not trained again: a ladder that broke off goes on where it stopped."""
+    out, records = [], []
+    for run in runs:
+        path = f"{root}/{run.run_id}"
+        with_role = rows.withColumn("role", role(run.regime, run.fold)).where(F.col("role").isNotNull())
+        if parquet_or_none(rows.sparkSession, path) is None:
+            vectors = feature_vectors(with_role, columns, [*metadata, "role"], ["patch_id", "role", *labels])
+            predictions, record = binary_relevance(vectors, labels, run, names, path)
+            records.append(record)
+        else:
+            predictions = rows.sparkSession.read.schema(PREDICTIONS).parquet(path)
+        out.append(predictions.withColumn("run_id", F.lit(run.run_id)))
+    return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, records) if records else None
 
 
 def ladder(regimes: dict[str, Sequence[str | None]], base: Run) -> list[Run]:

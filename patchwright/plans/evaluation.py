@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import io
-import os
 import tarfile
-import tempfile
+from functools import reduce
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, metrics, ml, sampling, stats
+from ..sources.storage import new_path
 from . import standin
 from .registry import query, rounded
 from .standin import SEED, SQL, ranking_sql, table
@@ -179,7 +179,8 @@ def paired_region_delta(spark, sf):
     return rounded(deltas(spark, sf))
 
 
-@query(PAIRED + "SELECT 0::BIGINT AS unpaired, 0::BIGINT AS repeated, 0::BIGINT AS label_differs")
+@query(PAIRED + """, j AS (SELECT a.patch_id AS x, b.patch_id AS y, a.true_label AS t, b.true_label AS u FROM a FULL JOIN b ON a.country = b.country AND a.patch_id = b.patch_id AND a.class = b.class)
+SELECT count(*) FILTER (x IS NULL OR y IS NULL) AS unpaired, (SELECT count(*) - count(DISTINCT (country, patch_id, class)) FROM a) + (SELECT count(*) - count(DISTINCT (country, patch_id, class)) FROM b) AS repeated, count(*) FILTER (t <> u) AS label_differs FROM j""")
 def paired_identity(spark, sf):
     left, right = _sides(spark, sf)
     return audit.pairing_faults(left, right, ["country", "patch_id", "class"])
@@ -297,45 +298,87 @@ def ranking_loss_coverage(spark, sf):
     return rounded(lists.agg(F.avg((1 - F.get("l", 0)["true_label"]).cast("double")).alias("one_error"), F.avg(deepest.cast("double")).alias("coverage"), F.avg(loss(F.col("l"))).alias("ranking_loss")))
 
 
-def _vectors(spark, sf):
-    """Four pixel statistics per patch as features, six labels, official roles."""
+PIXELS = ("f_000", "f_001", "f_002", "f_003")
+
+
+def _training(spark, sf):
+    """(rows, label columns, classes): four pixel statistics per patch as features, six labels, all split columns."""
     px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("f_000"), F.avg("l_extendedprice").alias("f_001"), F.max("l_discount").alias("f_002"), F.count("*").cast("double").alias("f_003"))
     classes = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the class vocabulary
     lists = standin.labels(spark, sf).groupBy("patch_id").agg(F.collect_set("class").alias("labels"))
     hot = [F.array_contains("labels", c).cast("int").alias(f"lbl_{i:02d}") for i, c in enumerate(classes)]
-    rows = px.join(lists, "patch_id").join(standin.patches(spark, sf).select("patch_id", F.col("s2_split").alias("role")), "patch_id").select("patch_id", "role", *px.columns[1:], *hot)
+    splits = standin.split(spark, sf).select("patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold")
+    rows = px.join(lists, "patch_id").join(splits, "patch_id")
     names = [f"lbl_{i:02d}" for i in range(len(classes))]
-    return ml.feature_vectors(rows, px.columns[1:], ["patch_id", "role"], ["patch_id", "role", *names]), names, classes
+    return rows.select("patch_id", *PIXELS, "s1_split", "s2_split", F.col("s3_fold").cast("string").alias("s3_fold"), "s4_fold", *hot), names, classes
+
+
+def _vectors(spark, sf):
+    """The same as scaled vectors, with the official roles."""
+    rows, names, classes = _training(spark, sf)
+    rows = rows.withColumn("role", F.col("s2_split"))
+    return ml.feature_vectors(rows, PIXELS, ["patch_id", "role"], ["patch_id", "role", *names]), names, classes
 
 
 @query()
 def binary_relevance_lr(spark, sf):
     v, labels, classes = _vectors(spark, sf)
-    return ml.binary_relevance(v, labels, ml.Run("s2", learner="lr", max_iter=10), classes)[0]
+    return ml.binary_relevance(v, labels, ml.Run("s2", learner="lr"), classes)[0]
 
 
 @query()
 def binary_relevance_rf(spark, sf):
     v, labels, classes = _vectors(spark, sf)
-    return ml.binary_relevance(v, labels[:2], ml.Run("s2", learner="rf", num_trees=5, max_depth=4), classes[:2])[0]
+    return ml.binary_relevance(v, labels, ml.Run("s2", learner="rf"), classes)[0]
+
+
+@query(SQL + "SELECT class AS label_name, role, count(*) AS n, sum(true_label)::DOUBLE AS n_pos FROM (SELECT class, s2_split AS role, true_label, max(true_label) FILTER (s2_split = 'train') OVER (PARTITION BY class) AS able FROM pred) WHERE able = 1 AND role <> 'train' GROUP BY 1, 2")
+def training_scored(spark, sf):
+    """What a run scores: each label with a training positive, on its validation and test rows."""
+    v, labels, classes = _vectors(spark, sf)
+    out = ml.binary_relevance(v, labels, ml.Run("s2", learner="lr"), classes)[0]
+    inside = out.where("probability > 0 AND probability < 1")
+    return inside.groupBy("label_name", "role").agg(F.count("*").alias("n"), F.sum("true_label").alias("n_pos"))
 
 
 @query()
 def hp_grid(spark, sf):
-    """Macro AP on the validation part for each point of the logistic grid."""
+    """Macro AP on the validation part for each point of the grid of both learners, over all labels."""
     v, labels, classes = _vectors(spark, sf)
-    out = None
-    for run in [r for r in ml.grid(ml.Run("s2", max_iter=5)) if r.learner == "lr"]:
-        p = ml.binary_relevance(v, labels[:2], run, classes[:2])[0].where("role = 'validation'").withColumn("score", F.round("probability", 6))
-        one = metrics.macro(metrics.ranking(p, ["label_name"]), [], ["ap"]).withColumn("run_id", F.lit(run.run_id))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    kept = v.persist()
+    out = []
+    for run in ml.grid(ml.Run("s2")):
+        p = ml.binary_relevance(kept, labels, run, classes, new_path(spark, run.run_id))[0]
+        p = p.where("role = 'validation'").withColumn("score", F.round("probability", 6))
+        out.append(metrics.macro(metrics.ranking(p, ["label_name"]), [], ["ap"]).withColumn("run_id", F.lit(run.run_id)))
+    kept.unpersist()
+    return rounded(reduce(DataFrame.unionByName, out))
 
 
 @query()
 def run_stats(spark, sf):
     v, labels, classes = _vectors(spark, sf)
-    return ml.binary_relevance(v, labels[:1], ml.Run("s2", max_iter=3), classes[:1])[1]
+    return ml.binary_relevance(v, labels, ml.Run("s2"), classes, new_path(spark, "run"))[1]
+
+
+LADDER = SQL + """, r AS (SELECT 's1' AS regime, '' AS fold, s1_split AS role, class, true_label FROM pred UNION ALL SELECT 's2', '', s2_split, class, true_label FROM pred
+UNION ALL SELECT 's3', f, CASE WHEN s3_fold::VARCHAR = f THEN 'test' ELSE 'train' END, class, true_label FROM pred, (SELECT DISTINCT s3_fold::VARCHAR AS f FROM split)
+UNION ALL SELECT 's4', f, CASE WHEN s4_fold = f THEN 'test' ELSE 'train' END, class, true_label FROM pred, (SELECT DISTINCT s4_fold AS f FROM split)),
+able AS (SELECT regime, fold, class FROM r WHERE role = 'train' GROUP BY ALL HAVING sum(true_label) > 0)
+SELECT regime || CASE WHEN fold = '' THEN '' ELSE '_' || fold END || '_lr_reg0.01_seed42' AS run_id, count(*) AS n_scored, count(DISTINCT class) AS n_labels, sum(true_label)::DOUBLE AS n_pos FROM r JOIN able USING (regime, fold, class) WHERE role <> 'train' GROUP BY 1
+"""
+
+
+@query(LADDER)
+def experiment_ladder(spark, sf):
+    """Every fold of every regime, trained and scored; what each run has scored."""
+    rows, labels, classes = _training(spark, sf)
+    rows = rows.persist()
+    folds = {c: [r[0] for r in rows.select(c).distinct().orderBy(c).collect()] for c in ("s3_fold", "s4_fold")}  # fold names
+    runs = ml.ladder({"s1": [None], "s2": [None], "s3": folds["s3_fold"], "s4": folds["s4_fold"]}, ml.Run("s1"))
+    out = ml.run_all(rows, PIXELS, ["patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold"], labels, classes, runs, new_path(spark, "ladder"))[0]
+    rows.unpersist()
+    return out.groupBy("run_id").agg(F.count("*").alias("n_scored"), F.count_distinct("label_name").alias("n_labels"), F.sum("true_label").alias("n_pos"))
 
 
 @query()
@@ -344,7 +387,7 @@ def single_label_forest(spark, sf):
     px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.max("l_discount").alias("c"), F.count("*").cast("double").alias("d"))
     rows = px.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("patch_id"), "o_orderpriority"), "patch_id")
     train, test = ml.hash_split(rows, 0.75, SEED)
-    model = ml.single_label(train, ["a", "b", "c", "d"], "o_orderpriority", trees=5, depth=4)
+    model = ml.single_label(train, ["a", "b", "c", "d"], "o_orderpriority")
     return model.transform(test).select("patch_id", "o_orderpriority", "label_index", "prediction")
 
 
@@ -355,8 +398,7 @@ def complete_groups_stream(spark, sf):
 
     batch = table(spark, sf, "events")
     kinds = [r[0] for r in batch.select("event_type").distinct().orderBy("event_type").collect()]  # the kinds of a complete group
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="patchwright-")
-    root = f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    root = new_path(spark, "stream")
     events = spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parque[t]").select("user_id", "event_type")
     out = stream(events, "user_id", "event_type", kinds)
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()

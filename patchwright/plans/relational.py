@@ -37,9 +37,9 @@ def folder_name(spark, sf):
     return scene_ids(spark, sf).select("o_orderkey", ids.folder_name(F.col("scene")).alias("folder"))
 
 
-@query(SCENES + ", m AS (SELECT unnest(['B02', 'B8A', 'B11']) AS band) SELECT 'top/' || regexp_replace(scene, '_[^_]*_[^_]*$', '') || '/' || scene || '/' || scene || '_' || band || '.tif' AS path, 4 AS depth, 'top' AS top, regexp_replace(scene, '_[^_]*_[^_]*$', '') AS folder, scene AS patch, band, '.tif' AS extension, band = 'B8A' AS is_wanted FROM scene, m WHERE o_orderkey < 500")
+@query(SCENES + ", m AS (SELECT unnest(['B02', 'B8A', 'B11']) AS band) SELECT 'top/' || regexp_replace(scene, '_[^_]*_[^_]*$', '') || '/' || scene || '/' || scene || '_' || band || '.tif' AS path, 4 AS depth, 'top' AS top, regexp_replace(scene, '_[^_]*_[^_]*$', '') AS folder, scene AS patch, band, '.tif' AS extension, band = 'B8A' AS is_wanted FROM scene, m")
 def member_paths(spark, sf):
-    s = scene_ids(spark, sf).where("o_orderkey < 500").select("scene", F.explode(F.array(F.lit("B02"), F.lit("B8A"), F.lit("B11"))).alias("b"))
+    s = scene_ids(spark, sf).select("scene", F.explode(F.array(F.lit("B02"), F.lit("B8A"), F.lit("B11"))).alias("b"))
     s = s.select(F.concat_ws("/", F.lit("top"), ids.folder_name(F.col("scene")), "scene", F.concat("scene", F.lit("_"), "b", F.lit(".tif"))).alias("path"))
     return s.select("path", ids.path_parts(F.col("path")).alias("p"), ids.has_suffix(F.col("path"), ["_B8A.tif"]).alias("is_wanted")).select("path", "p.*", "is_wanted")
 
@@ -147,7 +147,7 @@ def split_leave_tile_lpt(spark, sf):
     return splits.lpt_folds(standin.patches(spark, sf).groupBy("tile").agg(F.count("*").alias("n")), "tile", "n", 5)
 
 
-@query(SQL + "SELECT 0::BIGINT AS n_overlap, (SELECT count(*) FROM patch WHERE patch_id NOT IN (SELECT patch_id FROM s1))::BIGINT AS n_missing, 0::BIGINT AS n_foreign")
+@query(SQL + "SELECT (SELECT count(*) FROM (SELECT patch_id FROM s1 GROUP BY 1 HAVING count(DISTINCT s1_split) > 1)) AS n_overlap, (SELECT count(*) FROM patch WHERE patch_id NOT IN (SELECT patch_id FROM s1)) AS n_missing, (SELECT count(DISTINCT patch_id) FROM s1 WHERE patch_id NOT IN (SELECT patch_id FROM patch)) AS n_foreign")
 def split_validity(spark, sf):
     p = standin.patches(spark, sf)
     return splits.validity(splits.exact_random(p, SEED, "role"), p)
@@ -288,9 +288,9 @@ def _cells(df, column):
     return df.select("vec_id", F.posexplode(column).alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), "v")
 
 
-@query("WITH s AS (SELECT unnest(range(20)) AS t) SELECT vec_id, (a.t * 20 + b.t)::BIGINT AS i, round(round(embedding[(floor(a.t * 7 / 19.0 + 0.5) * 8 + floor(b.t * 7 / 19.0 + 0.5) + 1)::INT]::DOUBLE * 1000, 0), 6) + 0.0::DOUBLE AS v FROM embeddings, s a, s b WHERE vec_id < 50")
+@query("WITH s AS (SELECT unnest(range(20)) AS t) SELECT vec_id, (a.t * 20 + b.t)::BIGINT AS i, round(round(embedding[(floor(a.t * 7 / 19.0 + 0.5) * 8 + floor(b.t * 7 / 19.0 + 0.5) + 1)::INT]::DOUBLE * 1000, 0), 6) + 0.0::DOUBLE AS v FROM embeddings, s a, s b")
 def upsample_nearest(spark, sf):
-    r = _rasters(spark, sf).where("vec_id < 50")
+    r = _rasters(spark, sf)
     return rounded(_cells(r.select("vec_id", raster.upsample(F.col("a"), 8, 20).alias("u")), "u"))
 
 
