@@ -1,12 +1,14 @@
 """Rasters as row-major arrays: upsampling, box filters, gradients and their summaries.
 
 All work is on DOUBLE arrays inside one row, so it is map side only. Edges reflect (d c b a | a b c d | d c b a).
+The column forms are for a filter or two inside a plan; the array forms (of patches x n x n) for whole patches in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,34 @@ def sobel(a: Column, n: int) -> Column:
     return F.zip_with(_stencil(a, n, down), _stencil(a, n, right), lambda x, y: F.hypot(x, y))
 
 
+def _edged(grid: np.ndarray, k: int) -> np.ndarray:
+    return np.pad(grid, ((0, 0), (k, k), (k, k)), mode="symmetric")
+
+
+def mean_of(grid: np.ndarray, k: int) -> np.ndarray:
+    """box_mean of patches x n x n, by running sums."""
+    n, m = grid.shape[1:]
+    sums = np.zeros((len(grid), n + k, m + k))
+    sums[:, 1:, 1:] = _edged(grid, k // 2).cumsum(axis=1).cumsum(axis=2)
+    return (sums[:, k:, k:] - sums[:, :-k, k:] - sums[:, k:, :-k] + sums[:, :-k, :-k]) / (k * k)
+
+
+def variance_of(grid: np.ndarray, k: int) -> np.ndarray:
+    """local_variance of patches x n x n."""
+    mean = mean_of(grid, k)
+    return np.maximum(mean_of(grid * grid, k) - mean * mean, 0)
+
+
+def sobel_of(grid: np.ndarray) -> np.ndarray:
+    """sobel of patches x n x n."""
+    e = _edged(grid, 1)
+    across = e[:, :, 2:] - e[:, :, :-2]
+    down = e[:, 2:] - e[:, :-2]
+    gx = across[:, :-2] + 2 * across[:, 1:-1] + across[:, 2:]
+    gy = down[:, :, :-2] + 2 * down[:, :, 1:-1] + down[:, :, 2:]
+    return np.hypot(gx, gy)
+
+
 def array_percentile(a: Column, p: float) -> Column:
     """Percentile of an array by linear interpolation."""
     def at(s: Column) -> Column:

@@ -101,8 +101,8 @@ def band_stats(spark, sf):
 BAND_COLUMNS = {"B02": "l_quantity", "B03": "l_quantity * 7 + 100", "B04": "l_tax * 1000 + 50", "B05": "l_quantity + 200", "B06": "l_linenumber * 10 + 300", "B07": "l_quantity * 3 + 150", "B08": "l_discount * 2000 + 400", "B11": "l_linenumber * 40 + 90", "B12": "l_quantity * 2 + l_linenumber"}
 
 
-def _index_sql() -> str:
-    b = {k: f"({v})::DOUBLE" for k, v in BAND_COLUMNS.items()}
+def _index_sql(columns: dict[str, str] = BAND_COLUMNS) -> str:
+    b = {k: f"({v})::DOUBLE" for k, v in columns.items()}
     g = lambda num, den: f"(({num}) / CASE WHEN abs({den}) < 1e-6 THEN 1e-6 ELSE ({den}) END)"
     nd = lambda x, y: g(f"{b[x]} - {b[y]}", f"{b[x]} + {b[y]}")
     out = {"NDVI": nd("B08", "B04"), "NDWI": nd("B03", "B08"), "MNDWI": nd("B03", "B11"), "NDMI": nd("B08", "B11"), "NDBI": nd("B11", "B08"), "NBR": nd("B08", "B12"), "NDRE1": nd("B08", "B05"), "NDRE2": nd("B08", "B06"), "NDRE3": nd("B08", "B07")}
@@ -319,7 +319,49 @@ def sobel_mag(spark, sf):
 @query(_sobel_sql() + ", " + ", ".join([_near_sql(3, "b.x", "m3"), _near_sql(3, "b.x * b.x", "s3"), _near_sql(7, "b.x", "m7"), _near_sql(7, "b.x * b.x", "s7")]) + """, t AS (SELECT vec_id, greatest(s3.m - m3.m * m3.m, 0) AS v3, greatest(s7.m - m7.m * m7.m, 0) AS v7, sqrt(gx * gx + gy * gy) AS s FROM m3 JOIN s3 USING (vec_id, r, c) JOIN m7 USING (vec_id, r, c) JOIN s7 USING (vec_id, r, c) JOIN sob USING (vec_id, r, c))
 SELECT vec_id, """ + ", ".join(f"round(stddev_pop({c}), 3) AS B_{n}_std, round(quantile_cont({c}, 0.9), 3) AS B_{n}_p90" for c, n in (("v3", "var3x3"), ("v7", "var7x7"), ("s", "sobel"))) + " FROM t GROUP BY 1")
 def texture_summary(spark, sf):
-    return rounded(_rasters(spark, sf).select("vec_id", *features.texture("B", F.col("a"), 8)), 3)
+    return rounded(features.textures(_rasters(spark, sf), {"B": "a"}, 8, ["vec_id"]), 3)
+
+
+#: Bands of the composite: native edge length on a common grid of 8 x 8.
+NATIVE = {"B01": 2, "B02": 8, "B03": 8, "B04": 8, "B05": 4, "B06": 4, "B07": 4, "B08": 8, "B09": 2, "B11": 4, "B12": 4, "B8A": 4}
+
+
+def _composite_sql() -> str:
+    def source(e: str, n: int) -> str:
+        return e if n == 8 else f"floor({e} * {n - 1} / 7.0 + 0.5)"
+
+    value = lambda k, n: f"2000 + {37 * k} + round(e[({source('r', n)} * {n} + {source('c', n)} + 1)::INT]::DOUBLE * {1000 + 10 * k}, 0)"
+    px = "WITH e AS (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings), rc AS (SELECT vec_id, e, i // 8 AS r, i % 8 AS c FROM e), px AS (SELECT vec_id, r, c, "
+    px += ", ".join(f"({value(k, n)})::DOUBLE AS {b}" for k, (b, n) in enumerate(NATIVE.items())) + " FROM rc)"
+    parts, joins = [], ""
+    rough = lambda b: ", ".join(f"round(stddev_pop({c}), 2) AS {b}_{n}_std, round(quantile_cont({c}, 0.9), 2) AS {b}_{n}_p90" for c, n in (("v3", "var3x3"), ("v7", "var7x7"), ("s", "sobel")))
+    for b in ("B08", "B04"):
+        near = [_near_sql(3, "b.x", f"m3{b}"), _near_sql(3, "b.x * b.x", f"s3{b}"), _near_sql(7, "b.x", f"m7{b}"), _near_sql(7, "b.x * b.x", f"s7{b}")]
+        sob = _sobel_sql().split("GROUP BY 1, 2, 3)")[0].split("sob AS (")[1]
+        offsets = f"o{b} AS (SELECT unnest([-1, 0, 1]) AS d, unnest([1, 2, 1]) AS w)"
+        own = [f"g{b} AS (SELECT vec_id, r, c, {b} AS x FROM px)", offsets, *near, f"sob{b} AS ({sob} GROUP BY 1, 2, 3)"]
+        parts += [x.replace("FROM g a", f"FROM g{b} a").replace(" g b WHERE", f" g{b} b WHERE").replace(" o o1, o o2", f" o{b} o1, o{b} o2") for x in own]
+        parts.append(f"t{b} AS (SELECT vec_id, greatest(s3{b}.m - m3{b}.m * m3{b}.m, 0) AS v3, greatest(s7{b}.m - m7{b}.m * m7{b}.m, 0) AS v7, sqrt(gx * gx + gy * gy) AS s FROM m3{b} JOIN s3{b} USING (vec_id, r, c) JOIN m7{b} USING (vec_id, r, c) JOIN s7{b} USING (vec_id, r, c) JOIN sob{b} USING (vec_id, r, c))")
+        parts.append(f"x{b} AS (SELECT vec_id, {rough(b)} FROM t{b} GROUP BY 1)")
+        joins += f" JOIN x{b} USING (vec_id)"
+    parts.append(f"st AS (SELECT vec_id, {', '.join(_stats_sql(b).replace(', 6) AS', ', 3) AS') for b in NATIVE)}, {_index_sql({b: b for b in NATIVE})} FROM px GROUP BY 1)")
+    return px + ", " + ", ".join(parts) + f" SELECT * FROM st{joins}"
+
+
+def composite_rasters(spark, sf):
+    """(vec_id, the twelve bands in their native sizes), made from the embeddings."""
+    def band(k: int, n: int):
+        return F.transform(F.slice("embedding", 1, n * n), lambda x: F.round(x.cast("double") * (1000 + 10 * k), 0) + 2000.0 + 37 * k)
+
+    return table(spark, sf, "embeddings").select("vec_id", *(band(k, n).alias(b) for k, (b, n) in enumerate(NATIVE.items())))
+
+
+@query(_composite_sql())
+def composite_features(spark, sf):
+    """All 110 features of a patch from native rasters."""
+    out = features.composite(composite_rasters(spark, sf), {b: (b, n) for b, n in NATIVE.items()}, 8, ["vec_id"])
+    digits = lambda c: 2 if "var" in c or "sobel" in c else 3 if c[0] == "B" and c[1].isdigit() else 6
+    return out.select("vec_id", *((F.round(c, digits(c)) + F.lit(0.0)).alias(c) for c in out.columns[1:]))
 
 
 @query(f"WITH w AS (SELECT l_orderkey AS patch_id, {', '.join(_stats_sql(c) for c in BANDS)} FROM lineitem GROUP BY 1), u AS (UNPIVOT w ON COLUMNS(* EXCLUDE patch_id) INTO NAME feature VALUE v) SELECT patch_id, 'f_' || lpad((dense_rank() OVER (ORDER BY feature) - 1)::VARCHAR, 3, '0') AS code, round(v, 1) AS v FROM u")
