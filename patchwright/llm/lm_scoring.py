@@ -44,7 +44,7 @@ from .textops import SHAPES, blocks, mix, token_hashes
 
 BEGIN = SHAPES  # symbols: the shapes of unknown tokens, a text's begin, then the words
 WORDS, PRIOR, MIX = (1 << 16) - BEGIN - 1, 100.0, 1.0
-CHUNK, SLOT, SAMPLE, HOT = 2_000_000, 1_000_000, 5_000, 10
+CHUNK, SLOT, SAMPLE, HOT = 800_000, 800_000, 5_000, 10
 
 
 @dataclass
