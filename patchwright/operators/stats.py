@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PAIRS = 20  # the exact test enumerates 2^n sign patterns
+MAX_PAIRS = 200  # the exact test counts up to n (n + 1) rank sums
 
 
 def average_rank(value: Column, keys: Sequence[str] = ()) -> Column:
@@ -18,55 +18,82 @@ def average_rank(value: Column, keys: Sequence[str] = ()) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, rho); rho is null under two rows."""
+    """(keys, n, rho, p_value); rho is null under two rows, p under three."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.withColumn("_x", average_rank(F.col(x), keys)).withColumn("_y", average_rank(F.col(y), keys))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("_x", "_y")).alias("rho"))
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("_x", "_y")).alias("rho"))
+    df_ = F.col("n") - 2
+    t = F.col("rho") * F.sqrt(df_ / (1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.abs("rho") >= 1, 0.0).when(df_ >= 1, student_p(t, df_))
+    return out.withColumn("p_value", p)
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t on a whole number of degrees of freedom, by the finite sum of its distribution function."""
+    angle = F.atan2(F.abs(t), F.sqrt(df.cast("double")))
+    cos2 = F.cos(angle) * F.cos(angle)
+    odd = df % 2 == 1
+    # terms 1, 2/3 cos^2, 2/3 4/5 cos^4, ... (odd) or 1, 1/2 cos^2, 1/2 3/4 cos^4, ... (even)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    count = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * cos2 * F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    terms = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, start, step, lambda s: s["total"])
+    inside = F.when(df == 1, 2 / math.pi * angle).when(odd, 2 / math.pi * (angle + F.sin(angle) * F.cos(angle) * total)).otherwise(F.sin(angle) * total)
+    return F.greatest(F.lit(0.0), 1 - inside)
 
 
 def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
-    """One row (n, w_plus, w_minus, statistic, p_value): two-sided and exact, zeros left out, by enumerating the signs of at most MAX_PAIRS ranks."""
+    """One row (n, w_plus, w_minus, statistic, p_value, method): two-sided signed ranks, zeros left out.
+
+    Up to MAX_PAIRS pairs the test is exact: the sign patterns with each rank sum are counted, rank by rank (sums are whole
+    numbers of halves). Beyond, it is the normal approximation with the correction for ties; `method` says which."""
     ranked = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(F.col(delta).alias("d"))
     ranked = ranked.withColumn("r", average_rank(F.abs("d")))
-    one = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sort_array(F.collect_list("r")).alias("ranks"))
-    one = one.where(F.col("n") <= MAX_PAIRS).withColumn("statistic", F.least("w_plus", "w_minus"))
-    pattern = one.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.col("n")).cast("bigint") - 1)).alias("signs"))
-    chosen = F.aggregate(F.transform("ranks", lambda r, i: F.when(F.pmod(F.floor(F.col("signs") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1, r).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    tail = pattern.withColumn("w", chosen).groupBy("n", "w_plus", "w_minus", "statistic").agg(F.avg((F.col("w") <= F.col("statistic")).cast("double")).alias("tail"))
-    return tail.select("n", "w_plus", "w_minus", "statistic", F.least(F.lit(1.0), 2 * F.col("tail")).alias("p_value"))
+    one = ranked.agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
+        F.sum(F.col("r") * F.col("r")).alias("squares"),
+    )
+    one = one.where("n > 0").withColumn("statistic", F.least("w_plus", "w_minus"))
+    # few rows: no more than MAX_PAIRS ranks are listed
+    small = ranked.limit(MAX_PAIRS + 1).agg(F.sort_array(F.collect_list((2 * F.col("r")).cast("int"))).alias("ranks"))
+    one = one.crossJoin(F.broadcast(small))
+    size = (2 * (F.col("w_plus") + F.col("w_minus"))).cast("int")
+
+    def shifted(ways: Column, r: Column) -> Column:
+        return F.zip_with(ways, F.concat(F.array_repeat(F.lit(0.0), r), F.slice(ways, F.lit(1), F.size(ways) - r)), lambda a, b: a + b)
+
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size))
+    ways = F.aggregate("ranks", start, shifted)
+    below = F.aggregate(F.slice(ways, F.lit(1), (2 * F.col("statistic")).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+    exact = 2 * below / F.pow(F.lit(2.0), F.col("n"))
+    # mean and variance of the rank sum under the hypothesis: half, and a quarter of the sum of squared ranks (ties included)
+    z = (F.col("statistic") - (F.col("w_plus") + F.col("w_minus")) / 2) / F.sqrt(F.col("squares") / 4)
+    approximate = 2 * normal_tail(-z)
+    few = F.col("n") <= MAX_PAIRS
+    p = F.least(F.lit(1.0), F.when(few, exact).otherwise(approximate))
+    return one.select("n", "w_plus", "w_minus", "statistic", p.alias("p_value"), F.when(few, "exact").otherwise("normal").alias("method"))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) for z of 0 or more: the series of the error function below 6, the leading terms of its tail beyond."""
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * z * z / (2.0 * k + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    start = F.struct(z.alias("term"), z.alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["total"])
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    far = density / z * (1 - 1 / (z * z) + 3 / (z * z * z * z))
+    return F.when(z < 5, F.greatest(F.lit(0.0), 0.5 - density * total)).otherwise(far)
 
 
 def summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return df.groupBy(*keys).agg(F.count(value).alias("n"), q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"))
-
-
-def spearman_p(rho: float, n: int) -> float | None:
-    """Two-sided p of a rank correlation by Student's t on n - 2 degrees; None under three rows."""
-    if n < 3 or rho is None:
-        return None
-    if abs(rho) >= 1:
-        return 0.0
-    df = n - 2
-    x = df / (df + rho * rho * df / (1 - rho * rho))
-    return incomplete_beta(df / 2, 0.5, x)
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    out = d
-    for m in range(1, 500):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + top * d) or tiny)
-            c = (1 + top / c) or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * out

@@ -204,7 +204,7 @@ def _golden() -> str:
 @query(_golden() + """, r AS (SELECT list, v, rank() OVER (PARTITION BY list ORDER BY abs(v)) + (count(*) OVER (PARTITION BY list, abs(v)) - 1) / 2.0::DOUBLE AS r FROM d),
 o AS (SELECT list, count(*) AS n, sum(CASE WHEN v > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN v < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY 1), i AS (SELECT list, r, row_number() OVER (PARTITION BY list ORDER BY r) - 1 AS i FROM r),
 p AS (SELECT list, s, sum(CASE WHEN (s >> i::BIGINT) & 1 = 1 THEN r ELSE 0 END) AS w FROM i, (SELECT unnest(range(1024))::BIGINT AS s) GROUP BY 1, 2)
-SELECT o.list, o.n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(least(1.0::DOUBLE, 2 * avg((w <= least(w_plus, w_minus))::INT)), 9) AS p_value FROM o JOIN p USING (list) GROUP BY ALL""")
+SELECT o.list, o.n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(least(1.0::DOUBLE, 2 * avg((w <= least(w_plus, w_minus))::INT)), 9) AS p_value, 'exact' AS method FROM o JOIN p USING (list) GROUP BY ALL""")
 def wilcoxon_exact(spark, sf):
     out = None
     for name, values in DELTAS.items():
@@ -213,8 +213,10 @@ def wilcoxon_exact(spark, sf):
     return rounded(out, 9)
 
 
-@query("""WITH r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0::DOUBLE AS y FROM customer)
-SELECT c_mktsegment, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0::DOUBLE AS y FROM customer),
+c AS (SELECT c_mktsegment, count(*) AS n, corr(x, y) AS rho FROM r GROUP BY 1), a AS (SELECT *, n - 2 AS df, atan2(abs(rho * sqrt((n - 2) / (1 - rho * rho))), sqrt((n - 2)::DOUBLE)) AS th FROM c),
+t AS (SELECT *, list_sum(list_transform(range(0, (df - CASE WHEN df % 2 = 1 THEN 3 ELSE 2 END) // 2 + 1), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: cos(th) * cos(th) * CASE WHEN df % 2 = 1 THEN 2.0::DOUBLE * j / (2 * j + 1) ELSE (2.0::DOUBLE * j - 1) / (2 * j) END)), 1))) AS total FROM a)
+SELECT c_mktsegment, n, round(rho, 6) AS rho, round(greatest(0, 1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * total) ELSE sin(th) * total END), 6) AS p_value FROM t""")
 def spearman_rho(spark, sf):
     return rounded(stats.spearman(table(spark, sf, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"]))
 

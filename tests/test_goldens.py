@@ -70,7 +70,32 @@ def test_wilcoxon_goldens(spark):
     assert one(stats.wilcoxon(d(range(1, 11)), "d"))["p_value"] == pytest.approx(0.001953125)
     r = one(stats.wilcoxon(d([1, 2, 3, 4, -5, 6, 7, 8, 9, 10]), "d"))
     assert r["statistic"] == 5 and r["p_value"] == pytest.approx(0.01953125)
-    assert stats.spearman_p(0.9393939393939394, 10) == pytest.approx(5.484e-05, rel=1e-3)
+    rng = np.random.default_rng(4)
+    for n in (12, 25, 60):  # ties too; by counting the sums of all sign patterns
+        x = rng.integers(1, 15, n) * rng.choice([-1, 1, 1], n)
+        size = np.abs(x)
+        rank = np.array([(size < v).sum() + ((size == v).sum() + 1) / 2 for v in size])
+        ways = {0: 1}
+        for r in rank:
+            more = dict(ways)
+            for total, k in ways.items():
+                more[total + 2 * r] = more.get(total + 2 * r, 0) + k
+            ways = more
+        low = min(rank[x > 0].sum(), rank[x < 0].sum())
+        want = min(1, 2 * sum(k for total, k in ways.items() if total <= 2 * low) / 2**n)
+        got = one(stats.wilcoxon(d(x), "d"))
+        assert got["p_value"] == pytest.approx(want, rel=1e-9) and got["method"] == "exact" and got["n"] == n
+    many = one(stats.wilcoxon(d(rng.normal(0.2, 1, 1000)), "d"))
+    assert many["method"] == "normal" and 0 < many["p_value"] < 0.01 and stats.wilcoxon(d([0.0]), "d").count() == 0
+
+
+def test_student_and_normal_tails(spark):
+    """Against published values of the t and normal distributions."""
+    cases = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.776, 4, 0.05), (2.228, 10, 0.05), (2.042, 30, 0.05), (0.0, 7, 1.0), (7.7497, 8, 5.484e-05)]
+    df = spark.createDataFrame(cases, "t double, df bigint, p double").withColumn("got", stats.student_p(F.col("t"), F.col("df")))
+    assert all(r["got"] == pytest.approx(r["p"], rel=2e-3) for r in df.collect())
+    z = spark.createDataFrame([(0.0, 0.5), (1.0, 0.158655), (1.959964, 0.025), (3.0, 0.00134990), (4.9, 4.7918e-07), (6.0, 9.8659e-10)], "z double, p double")
+    assert all(r["got"] == pytest.approx(r["p"], rel=1e-3) for r in z.withColumn("got", stats.normal_tail(F.col("z"))).collect())
 
 
 def test_splits(spark, small):
