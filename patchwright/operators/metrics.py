@@ -13,25 +13,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def curve(pred: DataFrame, keys: Sequence[str], label: str = "true_label", score: str = "score", weight: str | None = None) -> DataFrame:
-    """(keys, score, pos, n, tp, k): weights at each distinct score, and cumulated from the highest score down."""
+def score_counts(pred: DataFrame, keys: Sequence[str], label: str = "true_label", score: str = "score", weight: str | None = None) -> DataFrame:
+    """(keys, score, pos, n): weights at each distinct score."""
     w = F.lit(1) if weight is None else F.col(weight)
-    counts = pred.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("n"))
+    return pred.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("n"))
+
+
+def cumulated(counts: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """counts with running sums from the highest score down; sums maps the new name to the column."""
     down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("tp", F.sum("pos").over(down)).withColumn("k", F.sum("n").over(down))
+    return counts.select("*", *(F.sum(c).over(down).alias(name) for name, c in sums.items()))
+
+
+def curve(pred: DataFrame, keys: Sequence[str], **columns) -> DataFrame:
+    """(keys, score, pos, n, tp, k): weights at each distinct score, and cumulated from the highest score down."""
+    return cumulated(score_counts(pred, keys, **columns), keys, {"tp": "pos", "k": "n"})
+
+
+def rank_sums(pos: str = "pos", n: str = "n", tp: str = "tp", k: str = "k") -> tuple[Column, Column]:
+    """(ap, auroc) of a curve, as aggregates."""
+    pos, n, tp, k = F.col(pos), F.col(n), F.col(tp), F.col(k)
+    gain = F.sum(pos * (tp / F.nullif(k.cast("double"), F.lit(0.0))))
+    below = F.sum((n - pos) * (tp - pos / 2.0))
+    positive, negative = F.sum(pos).cast("double"), (F.sum(n) - F.sum(pos)).cast("double")
+    return gain / F.nullif(positive, F.lit(0.0)), below / F.nullif(positive * negative, F.lit(0.0))
 
 
 def ranking(pred: DataFrame, keys: Sequence[str], **columns) -> DataFrame:
     """(keys, n, n_pos, ap, auroc). ap: step-wise average precision, null without positives; auroc: ties count half, null with one class."""
-    c = curve(pred, keys, **columns)
-    total = c.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.sum("pos").alias("n_pos"),
-        F.sum(F.col("pos") * (F.col("tp") / F.nullif(F.col("k").cast("double"), F.lit(0.0)))).alias("gain"),
-        F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2.0)).alias("below"),
-    )
-    pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
-    return total.select(*keys, "n", "n_pos", (F.col("gain") / F.nullif(pos, F.lit(0.0))).alias("ap"), (F.col("below") / F.nullif(pos * neg, F.lit(0.0))).alias("auroc"))
+    ap, auroc = rank_sums()
+    return curve(pred, keys, **columns).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), ap.alias("ap"), auroc.alias("auroc"))
 
 
 def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
@@ -51,24 +62,39 @@ def macro(cells: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataF
     return cells.groupBy(*keys).agg(*(f for v in values for f in (F.avg(v).alias(f"{v}_macro"), F.count(v).alias(f"{v}_used"))))
 
 
-def bundle(pred: DataFrame, keys: Sequence[str], threshold: Column, cls: str = "class", patch: str = "patch_id") -> DataFrame:
-    """One row per key: AP, AUROC and F1 macro and micro, Hamming loss, subset accuracy and the classes used.
+def hamming_subset(pred: DataFrame, keys: Sequence[str], threshold: Column, patch: str = "patch_id") -> DataFrame:
+    """(keys, hamming, subset_accuracy): the share of wrong cells, and of patches without one."""
+    wrong = ((F.col("score") >= threshold) != (F.col("true_label") == 1)).cast("bigint")
+    each = pred.groupBy(*keys, patch).agg(F.sum(wrong).alias("wrong"), F.count("*").alias("cells"))
+    return each.groupBy(*keys).agg((F.sum("wrong") / F.sum("cells")).alias("hamming"), F.avg((F.col("wrong") == 0).cast("double")).alias("subset_accuracy"))
+
+
+def macro_micro(pred: DataFrame, keys: Sequence[str], threshold: Column, cls: str = "class") -> DataFrame:
+    """One row per key: AP, AUROC and F1 macro and micro, and the classes used; all from one reduction of the cells to counts by score.
 
     Micro ranking pools only classes whose own cell is defined; micro F1 pools all."""
-    cells = ranking(pred, [*keys, cls])
-    per_class = confusion(pred, [*keys, cls], threshold).withColumn("f1", f1_of(F.col("tp"), F.col("fp"), F.col("fn")))
-    means = macro(cells, keys, ["ap", "auroc"])
-    f1 = per_class.groupBy(*keys).agg(F.avg("f1").alias("f1_macro"), f1_of(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f1_micro"), ((F.sum("fp") + F.sum("fn")) / F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("hamming"))
-    def pooled(value: str) -> DataFrame:
-        defined = cells.where(F.col(value).isNotNull()).select(*keys, cls)
-        return ranking(pred.join(F.broadcast(defined), [*keys, cls], "left_semi"), keys).select(*keys, F.col(value).alias(f"{value}_micro"))
-
-    exact = pred.groupBy(*keys, patch).agg(F.bool_and((F.col("score") >= threshold) == (F.col("true_label") == 1)).alias("same"))
-    exact = exact.groupBy(*keys).agg(F.avg(F.col("same").cast("double")).alias("subset_accuracy"))
-    out = means.join(f1, list(keys)).join(exact, list(keys))
-    for v in ("ap", "auroc"):
-        out = out.join(pooled(v), list(keys), "left")
-    return out
+    counts = score_counts(pred, [*keys, cls])
+    hit = F.col("score") >= threshold
+    count = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    ap, auroc = rank_sums()
+    wrong = {"tp": count(hit, F.col("pos")), "fp": count(hit, F.col("n") - F.col("pos")), "fn": count(~hit, F.col("pos"))}
+    cells = cumulated(counts, [*keys, cls], {"tp": "pos", "k": "n"}).groupBy(*keys, cls)
+    cells = cells.agg(ap.alias("ap"), auroc.alias("auroc"), *(v.alias(f"n_{c}") for c, v in wrong.items()))
+    f1 = f1_of(F.col("n_tp"), F.col("n_fp"), F.col("n_fn"))
+    used = [f for v in ("ap", "auroc") for f in (F.avg(v).alias(f"{v}_macro"), F.count(v).alias(f"{v}_used"))]
+    out = cells.groupBy(*keys).agg(*used, F.avg(f1).alias("f1_macro"), f1_of(F.sum("n_tp"), F.sum("n_fp"), F.sum("n_fn")).alias("f1_micro"))
+    # the counts again, by their exchange: pooled over the classes that are defined for each of both metrics
+    defined = F.broadcast(cells.select(*keys, cls, F.col("ap").isNotNull().alias("has_ap"), F.col("auroc").isNotNull().alias("has_auroc")))  # a row a class and key
+    sums = [count(F.col(f"has_{m}"), F.col(c)).alias(f"{c}_{m}") for m in ("ap", "auroc") for c in ("pos", "n")]
+    pooled = counts.join(defined, [*keys, cls]).groupBy(*keys, "score").agg(*sums)
+    pooled = cumulated(pooled, keys, {f"{t}_{m}": f"{c}_{m}" for m in ("ap", "auroc") for t, c in (("tp", "pos"), ("k", "n"))})
+    micro = {m: rank_sums(*(f"{c}_{m}" for c in ("pos", "n", "tp", "k")))[i] for i, m in enumerate(("ap", "auroc"))}
+    return out.join(pooled.groupBy(*keys).agg(*(v.alias(f"{m}_micro") for m, v in micro.items())), list(keys), "left")
+
+
+def bundle(pred: DataFrame, keys: Sequence[str], threshold: Column, cls: str = "class", patch: str = "patch_id") -> DataFrame:
+    """macro_micro with Hamming loss and subset accuracy."""
+    return macro_micro(pred, keys, threshold, cls).join(hamming_subset(pred, keys, threshold, patch), list(keys))
 
 
 def pr_points(pred: DataFrame, keys: Sequence[str], **columns) -> DataFrame:

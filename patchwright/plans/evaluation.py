@@ -62,12 +62,12 @@ mm AS (SELECT regime, fold, avg(ap) AS ap_macro, count(ap) AS ap_used, avg(auroc
 
 @query(BUNDLE + "SELECT regime, fold, round(ap_macro, 6) AS ap_macro, ap_used, round(auroc_macro, 6) AS auroc_macro, auroc_used, round(f1_macro, 6) AS f1_macro, round(f1_micro, 6) AS f1_micro, round(pa.ap, 6) AS ap_micro, round(pu.auroc, 6) AS auroc_micro FROM mm JOIN f USING (regime, fold) JOIN pa USING (regime, fold) JOIN pu USING (regime, fold)")
 def macro_micro_metrics(spark, sf):
-    return rounded(metrics.bundle(standin.evaluated(spark, sf), ["regime", "fold"], F.lit(500)).drop("hamming", "subset_accuracy"))
+    return rounded(metrics.macro_micro(standin.evaluated(spark, sf), ["regime", "fold"], F.lit(500)))
 
 
 @query(BUNDLE + "SELECT regime, fold, round(hamming, 6) AS hamming, round(subset_accuracy, 6) AS subset_accuracy FROM f JOIN ex USING (regime, fold)")
 def hamming_subset(spark, sf):
-    return rounded(metrics.bundle(standin.evaluated(spark, sf), ["regime", "fold"], F.lit(500)).select("regime", "fold", "hamming", "subset_accuracy"))
+    return rounded(metrics.hamming_subset(standin.evaluated(spark, sf), ["regime", "fold"], F.lit(500)))
 
 
 S2SQL = SQL + ", v AS (SELECT patch_id, s2_split AS role, class, true_label, score FROM pred WHERE s2_split <> 'train')"

@@ -132,6 +132,16 @@ def split_random_exact(spark, sf):
     return splits.exact_random(standin.patches(spark, sf), SEED)
 
 
+@query(SQL + "".join(f", r{k} AS (SELECT patch_id, CASE WHEN r <= round_even(n * 0.5, 0) THEN 'train' WHEN r <= round_even(n * 0.5, 0) + round_even(n * 0.25, 0) THEN 'validation' ELSE 'test' END AS s1_split_seed{k} FROM (SELECT patch_id, row_number() OVER (ORDER BY md5('{k}:' || patch_id), patch_id) AS r, count(*) OVER () AS n FROM patch))" for k in (123, 7)) + " SELECT patch_id, s1_split, s2_split, s3_fold, s4_fold, s1_split_seed123, s1_split_seed7 FROM split JOIN r123 USING (patch_id) JOIN r7 USING (patch_id)")
+def split_table(spark, sf):
+    """All regimes of every patch, with the random cut under two further seeds."""
+    p = standin.patches(spark, sf)
+    out = standin.split(spark, sf).select("patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold")
+    for seed in (123, 7):
+        out = out.join(splits.exact_random(p, seed, f"s1_split_seed{seed}"), "patch_id")
+    return out
+
+
 @query(SQL + "SELECT s2_split, count(*) AS n, round(count(*) / (SELECT count(*) FROM patch)::DOUBLE, 6) AS share FROM patch GROUP BY 1")
 def split_official(spark, sf):
     return rounded(splits.shares(standin.patches(spark, sf), ["s2_split"]))
@@ -202,9 +212,10 @@ def class_weights(spark, sf):
     return rounded(counts.select("n", "class", w(1).alias("w_pos"), w(0).alias("w_neg")))
 
 
-@query("""SELECT * FROM (SELECT 'unique_ids' AS check, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS passed UNION ALL SELECT 'all_joined', (SELECT count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
-UNION ALL SELECT 'finite', (SELECT count(*) = 0 FROM lineitem WHERE l_tax IS NULL OR isnan(l_tax) OR isinf(l_tax)) UNION ALL SELECT 'rates_close', true UNION ALL SELECT 'returned_dearer', (SELECT avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) > avg(CASE WHEN l_returnflag = 'N' THEN l_tax END) FROM lineitem))
-UNION ALL SELECT 'all', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AND (SELECT count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))""")
+@query(SQL + """, half AS (SELECT * FROM lab WHERE ('0x' || substr(md5('42:' || patch_id), 1, 8))::BIGINT % 2 = 0), rates AS (SELECT h, w FROM (SELECT class, count(*) / (SELECT count(DISTINCT patch_id) FROM half)::DOUBLE AS h FROM half GROUP BY 1) FULL JOIN (SELECT class, count(*) / (SELECT count(DISTINCT patch_id) FROM lab)::DOUBLE AS w FROM lab GROUP BY 1) USING (class))
+SELECT * FROM (SELECT 'unique_ids' AS check, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS passed UNION ALL SELECT 'all_joined', (SELECT count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
+UNION ALL SELECT 'finite', (SELECT count(*) = 0 FROM lineitem WHERE l_tax IS NULL OR isnan(l_tax) OR isinf(l_tax)) UNION ALL SELECT 'rates_close', (SELECT max(abs(coalesce(h, 0) - coalesce(w, 0))) < 0.05 FROM rates) UNION ALL SELECT 'returned_dearer', (SELECT avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) > avg(CASE WHEN l_returnflag = 'N' THEN l_tax END) FROM lineitem))
+UNION ALL SELECT 'all', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AND (SELECT count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AND (SELECT max(abs(coalesce(h, 0) - coalesce(w, 0))) < 0.05 FROM rates)""")
 def quality_gate(spark, sf):
     orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     lab = standin.labels(spark, sf)
