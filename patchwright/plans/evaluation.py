@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, metrics, ml, sampling, stats
-from ..sources.storage import new_path
+from ..sources.storage import new_path, store
 from . import standin
 from .registry import query, rounded
 from .standin import SEED, SQL, ranking_sql, table
@@ -423,19 +423,31 @@ def build_archive(path: str, patches: int = 6, bands: tuple[str, ...] = ("B02",
                 tar.addfile(info, io.BytesIO(body))
         note = tarfile.TarInfo("top/readme.txt")
         tar.addfile(note, io.BytesIO(b""))
-    with open(path, "wb") as f:
+    where, base = store(path)
+    where.create_dir(base.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(base, compression=None) as f:
         f.write(zstandard.compress(raw.getvalue()))
 
 
-@query()
+@query("SELECT 'folder' || f AS folder, '.tif' AS extension, count(*) AS n, 4 AS max_depth, count(DISTINCT p) AS n_patches, sum(4)::BIGINT AS rows_decoded, min('top/folder' || f || '/patch' || p || '/patch' || p || '_' || b || '.tif') AS first_path FROM (SELECT p, p % 2 AS f, b FROM range(6) t(p), (SELECT unnest(['B02', 'B8A', 'B11']) AS b)) GROUP BY f")
 def archive_inventory(spark, sf):
     """Members of a generated archive by folder and extension, with decoded sizes."""
     from ..sources import archive, tiff
 
-    folder = tempfile.mkdtemp(prefix="patchwright-")
+    folder = new_path(spark, "archive")
     build_archive(f"{folder}/a.tar.zst")
     members = archive.read(spark, folder)
     decoded = members.withColumn("image", tiff.decode_column(F.col("content")))
     return decoded.groupBy("folder", "extension").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"), F.count_distinct("patch_id").alias("n_patches"), F.sum("image.height").alias("rows_decoded"), F.min("path").alias("first_path"))
 
 
+@query("SELECT 'patch' || p AS patch_id, b AS band, min(100 * p + k)::DOUBLE AS low, max(100 * p + k)::DOUBLE AS high, 16::BIGINT AS cells FROM range(6) t(p), (SELECT unnest(['B02', 'B8A', 'B11']) AS b, unnest(range(3)) AS k) WHERE b <> 'B11' AND p % 2 = 0 GROUP BY ALL")
+def archive_bands(spark, sf):
+    """Pixels of the wanted bands of one folder, decoded from the archive; folder and bands are pushed to the reader."""
+    from ..sources import archive, tiff
+
+    folder = new_path(spark, "archive")
+    build_archive(f"{folder}/a.tar.zst")
+    members = archive.read(spark, folder).where("folder = 'folder0' AND band IN ('B02', 'B8A')")
+    cells = members.select("patch_id", "band", F.explode(tiff.decode_column(F.col("content"))["values"]).alias("v"))
+    return cells.groupBy("patch_id", "band").agg(F.min(F.col("v").cast("double")).alias("low"), F.max(F.col("v").cast("double")).alias("high"), F.count("*").alias("cells"))

@@ -1,4 +1,4 @@
-"""A data source over tar archives, plain or zstandard: one partition per archive, members in stream order.
+"""A data source over tar archives, plain or zstandard, in any store of `storage.store`: one partition per archive, members in stream order.
 
 Filters on folder, patch and band are pushed into the source, which skips a member before its bytes are read.
 Members that are no files or lie under depth 3 are skipped, as are bytes if the schema has no content.
@@ -6,7 +6,6 @@ Members that are no files or lie under depth 3 are skipped, as are bytes if the
 
 from __future__ import annotations
 
-import glob
 import os
 import tarfile
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
+from .storage import store
+
 FORMAT = "patchwright_tar"
 COLUMNS = "archive string, position bigint, path string, depth int, folder string, patch_id string, band string, extension string, size bigint, content binary"
 KEYS = ("folder", "patch_id", "band", "extension")
@@ -40,15 +41,19 @@ class TarReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Archive]:
-        path = self.options["path"].removeprefix("file://")
-        found = sorted(p for form in ("*.tar", "*.tar.zst") for p in glob.glob(os.path.join(path, form))) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [Archive(p) for p in found] or [Archive("")]
+        from pyarrow import fs
+
+        where, base = store(self.options["path"])
+        here = where.get_file_info(base)
+        found = where.get_file_info(fs.FileSelector(base)) if here.type == fs.FileType.Directory else [here]
+        return [Archive(p) for p in sorted(f.path for f in found if f.is_file and f.path.endswith((".tar", ".tar.zst")))] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         if not partition.path:
             return
         least = int(self.options.get("mindepth", 3))
-        with open(partition.path, "rb") as raw:
+        where, _ = store(self.options["path"])
+        with where.open_input_stream(partition.path, compression=None) as raw:
             stream = zstandard.ZstdDecompressor().stream_reader(raw) if partition.path.endswith(".zst") else raw
             with tarfile.open(fileobj=stream, mode="r|") as tar:
                 for k, m in enumerate(tar):
