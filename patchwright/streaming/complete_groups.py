@@ -24,7 +24,7 @@ def incomplete(events: DataFrame, key: str, kind: str, kinds: Sequence[str]) ->
 
 
 def complete_groups_stream(events: DataFrame, key: str, kind: str, kinds: Sequence[str], timeout: str | None = None) -> DataFrame:
-    """Streaming form: (key, n_events, complete) once per key when its last kind comes. State is the kinds seen and a count; a timeout drops keys that never fill."""
+    """Streaming form: (key, n_events, complete) once per key when its last kind comes. State is the kinds seen and a count; a timeout drops the state of keys without new events for that long, those that never fill and those that are done."""
     wanted = set(kinds)
     how = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
 
@@ -38,7 +38,7 @@ def complete_groups_stream(events: DataFrame, key: str, kind: str, kinds: Sequen
             n += len(b)
         full = seen == wanted
         state.update(("\x1f".join(sorted(seen)), n, done or full))
-        if timeout and not full:
+        if timeout:
             state.setTimeoutDuration(timeout)
         if full and not done:
             yield pd.DataFrame({key: [k[0]], "n_events": [n], "complete": [True]})
