@@ -232,3 +232,34 @@ def test_single_label_path(spark, small, tmp_path):
     model = ml.single_label(train, ["x"], "y", trees=3, depth=3)
     ml.save_model(model, f"{tmp_path}/m")
     assert ml.single_label_metrics(ml.load_model(f"{tmp_path}/m").transform(test))["accuracy"] == 1.0
+
+
+def test_weighted_logistic_by_newton(spark):
+    """One label's fit against plain Newton steps on the same weighted, penalised loss; labels without a training positive are skipped, one without a negative is not."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 3)) * [1, 3, 0.5] + [0, 2, 1]
+    y = (x @ [1.0, -0.4, 0.8] + rng.normal(size=400) > 0.3).astype(int)
+    role = np.where(np.arange(400) % 4 < 2, "train", np.where(np.arange(400) % 4 == 2, "validation", "test"))
+    rows = [(str(i), str(role[i]), *map(float, x[i]), int(y[i]), 0 if role[i] == "train" else 1, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "patch_id string, role string, f_0 double, f_1 double, f_2 double, lbl_00 int, lbl_01 int, lbl_02 int")
+    labels = ["lbl_00", "lbl_01", "lbl_02"]
+    vectors = ml.feature_vectors(df, ["f_0", "f_1", "f_2"], ["patch_id", "role"], ["patch_id", "role", *labels])
+    out, record = ml.binary_relevance(vectors, labels, ml.Run("s2", max_iter=100))
+    got = {(r["patch_id"], r["label_name"]): r["probability"] for r in out.collect()}
+    assert {k for _, k in got} == {"lbl_00", "lbl_02"} and len(got) == 400 and all(p > 0.999 for (_, k), p in got.items() if k == "lbl_02")
+    r = one(record)
+    assert (r["n_joined_rows"], r["n_train_rows"]) == (400, 200) and r["wall_clock_seconds"] > 0 and r["total_executor_cpu_time_seconds"] > 0
+    train = role == "train"
+    mean, std = x[train].mean(axis=0), x[train].std(axis=0, ddof=1)
+    z = (x - mean) / std
+    w = np.where(y == 1, train.sum() / (2 * y[train].sum()), train.sum() / (2 * (train.sum() - y[train].sum())))[train]
+    a = np.column_stack([z[train], np.ones(train.sum())])
+    # the penalty is on coefficients of weighted unit deviation, as the learner standardises
+    sd = np.sqrt((w[:, None] * (z[train] - (w[:, None] * z[train]).sum(axis=0) / w.sum()) ** 2).sum(axis=0) / w.sum() * len(w) / (len(w) - 1))
+    b, ridge = np.zeros(4), np.append(0.01 * sd**2, 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ b))
+        g = a.T @ (w * (y[train] - p)) / w.sum() - ridge * b
+        b = b + np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a / w.sum() + np.diag(ridge), g)
+    want = 1 / (1 + np.exp(-(np.column_stack([z, np.ones(400)]) @ b)))
+    assert max(abs(got[str(i), "lbl_00"] - want[i]) for i in range(400) if not train[i]) < 5e-3

@@ -11,7 +11,7 @@ def test_against_sql(spark, small, name):
     compare(spark, small, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"binary_relevance_rf", "hp_grid"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
