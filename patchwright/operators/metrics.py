@@ -8,6 +8,7 @@ so the window behind a curve sorts distinct scores within one key, after a parti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,28 @@ def score_counts(pred: DataFrame, keys: Sequence[str], label: str = "true_label"
     return pred.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("n"))
 
 
+def score_range(score: Column) -> Column:
+    """A whole number that rises with the score: eight steps within each power of two, mirrored for negative scores; null for null."""
+    x = F.abs(score.cast("double"))
+    power = F.floor(F.log2(x))
+    place = 8 * (power + 1100) + F.floor(x / F.pow(F.lit(2.0), power) * 8)  # rises steadily, also where the logarithm is rounded to the next power
+    sign = F.when(score < 0, -1).otherwise(1)
+    return F.when(F.isnan(score.cast("double")), F.lit(1 << 20)).when(x == 0, F.lit(0)).when(x == float("inf"), sign * (1 << 19)).otherwise(sign * place).cast("int")
+
+
 def cumulated(counts: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """counts with running sums from the highest score down; sums maps the new name to the column."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("*", *(F.sum(c).over(down).alias(name) for name, c in sums.items()))
+    """counts with running sums from the highest score down; sums maps the new name to the column.
+
+    Sums run within ranges of the score, to which the totals of the ranges above are added: a key with many distinct scores is spread over its ranges."""
+    ranged = counts.withColumn("_range", score_range(F.col("score")))
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a few hundred rows
+    own = [F.col(c).alias(f"_k_{c}") for c in (*keys, "_range")]
+    totals = totals.select(*own, *(F.coalesce(F.sum(f"_{name}").over(above), F.lit(0)).alias(f"_above_{name}") for name in sums))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_range")]
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(totals, reduce(lambda a, b: a & b, same))
+    return joined.select(*counts.columns, *((F.sum(c).over(down) + F.col(f"_above_{name}")).alias(name) for name, c in sums.items()))
 
 
 def curve(pred: DataFrame, keys: Sequence[str], **columns) -> DataFrame:
