@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 # Separators of a word as the contracts write it, in Java's syntax.
 ALNUM_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ALNUM_TRIM = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -20,25 +20,13 @@ SPACE_TRIM = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 2_000_000
 #: The same for rows of texts or arrays, by their bytes.
 BROADCAST_BYTES = 64_000_000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Unset, one is made here if the master is local (as in tests, where all run on this machine); a cluster without one is refused."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="patchwright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 _made: set[str] = set()
 
 
@@ -79,6 +67,13 @@ def discard(df: DataFrame) -> None:
         _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: Arrow batches of BATCH_ROWS rows in place of Spark's default keep workers small. A value that was set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_key(text: Column | str = "text") -> Column:
     """With doc_id, the key of a document: rows equal in both have equal results, whatever else they hold."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, components, discard, matching, materialise, table, text_key
+from .common import bounded, components, discard, matching, materialise, small_batches, table, text_key
 from .textops import blocks, mix, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -243,6 +243,7 @@ def links_of(alive: DataFrame, threshold: float, trees: int, depths: list[int],
 
 def members(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, text_key, class_id and class_key (those of the class's first document), n_copies, n_links."""
+    small_batches(docs.sparkSession)
     depths = depths_for(threshold, trees, LONGEST, recall)
     narrow = materialise(signatures(docs, shingle, trees, depths[-1]), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, table, text_key
+from .common import bounded, materialise, small_batches, table, text_key
 from .textops import SHAPES, blocks, mix, token_hashes
 
 BEGIN = SHAPES  # symbols: the shapes of unknown tokens, a text's begin, then the words
@@ -278,6 +278,7 @@ def join_chunk(key, rows):
 
 def scored(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, chunk: int = CHUNK, slot: int = SLOT, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, score. target_ids: doc_id of the target documents."""
+    small_batches(docs.sparkSession)
     ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
     ids = bounded(materialise(ids, "target-ids"))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MIN_CHARS, REACH, CONTEXT, MIN_NOVELTY, LEVEL = 16, 48, 256, 0.85, 9
 #: Shorter strings zstandard leaves as literals, so a random one costs its length; random strings that price a longer one.
@@ -134,6 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in find(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     hinted = F.when(F.col("text").rlike(HINT), F.col("text"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), hinted.alias("text")).mapInArrow(run, schema)
 

@@ -36,10 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import apart, table
+from .common import apart, small_batches, table
 from .textops import blocks, mix
 
 MAX_DOCS, MAX_BYTES, SPAN = 4000, 32_000_000, 3
+SLICE = 500  # texts counted at a time
 DISCOUNT, SHARED_DISCOUNT = 4.0, 1.0
 
 
@@ -96,25 +97,38 @@ def _at(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == wanted
 
 
+def _counted(texts: pa.Array) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of some texts: (bigrams with their words and documents), (words and documents)."""
+    doc, v, w = _grams(texts)
+    g = pair(v, w)
+    k = _once(doc, g)
+    bigram, at, n = np.unique(g[k], return_index=True, return_counts=True)
+    return (bigram, v[k][at], w[k][at], n), np.unique(w[_once(doc, w)], return_counts=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Parts of (sorted hashes, ..., counts) as one: counts add up, what lies between belongs to the hash."""
+    each = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    hashes, at, place = np.unique(each[0], return_index=True, return_inverse=True)
+    return [hashes, *(x[at] for x in each[1:-1]), np.bincount(place, each[-1], len(hashes)).astype(np.int64)]
+
+
 class Counts:
     """Of the ordinary, then of the toxic class: sorted words with continuation counts; sorted bigrams with their words and documents."""
 
     def __init__(self, texts: list[pa.Array]) -> None:
         words, pairs = [], []
         for t in texts:
-            doc, v, w = _grams(t)
-            g = pair(v, w)
-            k = _once(doc, g)
-            bigram, at, n = np.unique(g[k], return_index=True, return_counts=True)
-            bv, bw = v[k][at], w[k][at]
+            parts = [_counted(t.slice(i, SLICE)) for i in range(0, len(t), SLICE)]
+            bigram, bv, bw, n = _merged([p[0] for p in parts])
+            held, in_docs = _merged([p[1] for p in parts])
             after, continued = np.unique(bw, return_counts=True)
-            held, in_docs = np.unique(w[_once(doc, w)], return_counts=True)
             words.append((after, np.minimum(continued, in_docs[np.searchsorted(held, after)])))
             pairs.append((bigram, bv, bw, n))
         self.words = np.unique(np.concatenate([h for h, _ in words]))
         self.pairs, at = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
         self.before, self.after = (np.concatenate([x[k] for x in pairs])[at] for k in (1, 2))
-        self.of_words, self.of_pairs = np.zeros((2, len(self.words))), np.zeros((2, len(self.pairs)))
+        self.of_words, self.of_pairs = np.zeros((2, len(self.words))), np.zeros((2, len(self.pairs)), np.float32)
         for c in (0, 1):
             self.of_words[c, np.searchsorted(self.words, words[c][0])] = words[c][1]
             self.of_pairs[c, np.searchsorted(self.pairs, pairs[c][0])] = pairs[c][3]
@@ -126,7 +140,7 @@ class Counts:
         return (n - lost) / total + lost.sum(axis=1, keepdims=True) / total * lost.sum(axis=0) / lost.sum()
 
     def pair_model(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(P_c(w|v) of each pair, heads v, weight of the shared level after v by class, b(v))."""
+        """(which pairs, their P_c(w|v), heads v, weight of the shared level after v by class); the pairs left out have the probability of unseen ones."""
         m = self.of_pairs
         heads, head = np.unique(self.before, return_inverse=True)
         add = lambda x: np.bincount(head, x, len(heads))
@@ -136,8 +150,10 @@ class Counts:
         pooled = lost.sum(axis=0)
         of_head = add(pooled)
         back = add(np.minimum(pooled, SHARED_DISCOUNT)) / of_head
-        lower = (pooled - np.minimum(pooled, SHARED_DISCOUNT)) / of_head[head] + back[head] * p[:, np.searchsorted(self.words, self.after)]
-        return (m - lost) / np.maximum(total[:, head], 1) + weight[:, head] * lower, heads, weight, back
+        some = np.flatnonzero(pooled > SHARED_DISCOUNT)
+        m, lost, pooled, head = m[:, some], lost[:, some], pooled[some], head[some]
+        lower = (pooled - SHARED_DISCOUNT) / of_head[head] + back[head] * p[:, np.searchsorted(self.words, self.after[some])]
+        return some, (m - lost) / np.maximum(total[:, head], 1) + weight[:, head] * lower, heads, weight
 
 
 class Model:
@@ -152,12 +168,11 @@ class Model:
         """texts: of the ordinary, then of the toxic class."""
         counts = Counts(texts)
         p = counts.word_model()
-        q, heads, weight, _ = counts.pair_model(p)
+        some, q, heads, weight = counts.pair_model(p)
         ratio = lambda x: np.log(x[1] / x[0]).astype(np.float32)
-        some = np.minimum(counts.of_pairs, DISCOUNT).sum(axis=0) > SHARED_DISCOUNT  # the others are as if unseen
         self.words, self.word_ratio = counts.words, ratio(p)
         self.heads, self.head_ratio = heads, ratio(weight)
-        self.pairs, self.pair_ratio = counts.pairs[some], ratio(q[:, some])
+        self.pairs, self.pair_ratio = counts.pairs[some], ratio(q)
 
     def ratios(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log ratio of each word under the word models, and after the word before it under the bigram models."""
@@ -227,16 +242,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
             model = fit_table(text, t.column("toxic").to_numpy(), t.column("part").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
 
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_docs).repartition(1).sortWithinPartitions("doc_id").select("text", "toxic", "part")
     found = rows.mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0][0]) if found else fit_table(pa.array([], pa.large_string()), np.zeros(0), np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model, names: Sequence[str] = ("score", "predicted")) -> DataFrame:
-    """docs with score and predicted (under these names), in one pass over the texts."""
+    """docs with score and predicted under these names (columns of docs that have them are replaced), in one pass over the texts."""
+    docs = docs.drop(*names)
     at = [f.name for f in docs.schema].index("text")
     schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,7 +138,7 @@ def test_toxicity_edge_cases(spark, odd):
         rows = toxicity.scored(odd, toxicity.fit(odd, lab)).collect()
         assert len(rows) == 9 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.reject_toxic(odd, labels).columns == odd.columns
-    clash = odd.selectExpr("*", "1 AS score", "2 AS Predicted", "3 AS toxic", "4 AS _score")
+    clash = odd.selectExpr("*", "2 AS _Predicted", "4 AS _score")
     assert toxicity.reject_toxic(clash, labels).columns == clash.columns and toxicity.reject_toxic(clash, labels).count() == 9
     assert toxicity.scored(odd.limit(0), toxicity.Model()).count() == 0
 
