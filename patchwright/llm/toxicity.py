@@ -41,6 +41,7 @@ from .textops import blocks, mix
 
 MAX_DOCS, MAX_BYTES, SPAN = 4000, 32_000_000, 3
 SLICE = 500  # texts counted at a time
+_LOW = np.uint64(0xFFFFFFFF)
 DISCOUNT, SHARED_DISCOUNT = 4.0, 1.0
 
 
@@ -97,41 +98,45 @@ def _at(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == wanted
 
 
-def _counted(texts: pa.Array) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of some texts: (bigrams with their words and documents), (words and documents)."""
-    doc, v, w = _grams(texts)
-    g = pair(v, w)
-    k = _once(doc, g)
-    bigram, at, n = np.unique(g[k], return_index=True, return_counts=True)
-    return (bigram, v[k][at], w[k][at], n), np.unique(w[_once(doc, w)], return_counts=True)
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    for i in range(0, len(texts), SLICE):
+        yield texts.slice(i, SLICE)
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    """Parts of (sorted hashes, ..., counts) as one: counts add up, what lies between belongs to the hash."""
-    each = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    hashes, at, place = np.unique(each[0], return_index=True, return_inverse=True)
-    return [hashes, *(x[at] for x in each[1:-1]), np.bincount(place, each[-1], len(hashes)).astype(np.int64)]
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of (sorted hashes, counts) as one."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return hashes, np.bincount(place, np.concatenate([n for _, n in parts]), len(hashes)).astype(np.int64)
 
 
 class Counts:
-    """Of the ordinary, then of the toxic class: sorted words with continuation counts; sorted bigrams with their words and documents."""
+    """Of the ordinary, then of the toxic class: sorted words with continuation counts; bigrams, as numbers of both words, with their documents.
+
+    A bigram's key has the number of its word in the lower half and that of the word before it in the upper, from 1; 0 is the begin of a text."""
 
     def __init__(self, texts: list[pa.Array]) -> None:
-        words, pairs = [], []
+        held = []
         for t in texts:
-            parts = [_counted(t.slice(i, SLICE)) for i in range(0, len(t), SLICE)]
-            bigram, bv, bw, n = _merged([p[0] for p in parts])
-            held, in_docs = _merged([p[1] for p in parts])
-            after, continued = np.unique(bw, return_counts=True)
-            words.append((after, np.minimum(continued, in_docs[np.searchsorted(held, after)])))
-            pairs.append((bigram, bv, bw, n))
-        self.words = np.unique(np.concatenate([h for h, _ in words]))
-        self.pairs, at = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
-        self.before, self.after = (np.concatenate([x[k] for x in pairs])[at] for k in (1, 2))
+            grams = (_grams(part) for part in _slices(t))
+            held.append(_merged([np.unique(w[_once(doc, w)], return_counts=True) for doc, _, w in grams]))
+        self.words = np.unique(np.concatenate([h for h, _ in held]))
+        pairs = [_merged([self._keys(part) for part in _slices(t)]) for t in texts]
+        self.pairs = np.unique(np.concatenate([k for k, _ in pairs]))
         self.of_words, self.of_pairs = np.zeros((2, len(self.words))), np.zeros((2, len(self.pairs)), np.float32)
         for c in (0, 1):
-            self.of_words[c, np.searchsorted(self.words, words[c][0])] = words[c][1]
-            self.of_pairs[c, np.searchsorted(self.pairs, pairs[c][0])] = pairs[c][3]
+            self.of_words[c, np.searchsorted(self.words, held[c][0])] = held[c][1]
+            continued = np.bincount((pairs[c][0] & _LOW).astype(np.int64), minlength=len(self.words))
+            self.of_words[c] = np.minimum(self.of_words[c], continued)
+            self.of_pairs[c, np.searchsorted(self.pairs, pairs[c][0])] = pairs[c][1]
+
+    def _keys(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bigrams of some texts and in how many of them each is."""
+        doc, v, w = _grams(texts)
+        before = np.where(v == 0, 0, np.searchsorted(self.words, v) + 1).astype(np.uint64)
+        key = (before << np.uint64(32)) | np.searchsorted(self.words, w).astype(np.uint64)
+        return np.unique(key[_once(doc, mix(key))], return_counts=True)
 
     def word_model(self) -> np.ndarray:
         """P_c(w), a row a class."""
@@ -140,20 +145,22 @@ class Counts:
         return (n - lost) / total + lost.sum(axis=1, keepdims=True) / total * lost.sum(axis=0) / lost.sum()
 
     def pair_model(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(which pairs, their P_c(w|v), heads v, weight of the shared level after v by class); the pairs left out have the probability of unseen ones."""
-        m = self.of_pairs
-        heads, head = np.unique(self.before, return_inverse=True)
-        add = lambda x: np.bincount(head, x, len(heads))
+        """(hashes of pairs, their P_c(w|v), hashes of v, weight of the shared level after v by class); pairs that are left out have the probability of unseen ones."""
+        m, head = self.of_pairs, (self.pairs >> np.uint64(32)).astype(np.int64)
+        add = lambda x: np.bincount(head, x, len(self.words) + 1)
         lost = np.minimum(m, DISCOUNT)
-        total = np.stack([add(x) for x in m])
-        weight = np.where(total > 0, np.stack([add(x) for x in lost]) / np.maximum(total, 1), 1.0)
+        total, of_lost = np.stack([add(x) for x in m]), np.stack([add(x) for x in lost])
+        weight = np.where(total > 0, of_lost / np.maximum(total, 1), 1.0)
         pooled = lost.sum(axis=0)
-        of_head = add(pooled)
-        back = add(np.minimum(pooled, SHARED_DISCOUNT)) / of_head
+        of_head = of_lost.sum(axis=0)
+        back = add(np.minimum(pooled, SHARED_DISCOUNT)) / np.maximum(of_head, 1)
         some = np.flatnonzero(pooled > SHARED_DISCOUNT)
         m, lost, pooled, head = m[:, some], lost[:, some], pooled[some], head[some]
-        lower = (pooled - SHARED_DISCOUNT) / of_head[head] + back[head] * p[:, np.searchsorted(self.words, self.after[some])]
-        return some, (m - lost) / np.maximum(total[:, head], 1) + weight[:, head] * lower, heads, weight
+        word = (self.pairs[some] & _LOW).astype(np.int64)
+        lower = (pooled - SHARED_DISCOUNT) / of_head[head] + back[head] * p[:, word]
+        known, hashes = np.flatnonzero(of_head), np.concatenate([[np.uint64(0)], self.words])
+        q = (m - lost) / np.maximum(total[:, head], 1) + weight[:, head] * lower
+        return pair(hashes[head], self.words[word]), q, hashes[known], weight[:, known]
 
 
 class Model:
@@ -168,11 +175,12 @@ class Model:
         """texts: of the ordinary, then of the toxic class."""
         counts = Counts(texts)
         p = counts.word_model()
-        some, q, heads, weight = counts.pair_model(p)
+        pairs, q, heads, weight = counts.pair_model(p)
+        order = np.argsort(pairs)
         ratio = lambda x: np.log(x[1] / x[0]).astype(np.float32)
         self.words, self.word_ratio = counts.words, ratio(p)
         self.heads, self.head_ratio = heads, ratio(weight)
-        self.pairs, self.pair_ratio = counts.pairs[some], ratio(q)
+        self.pairs, self.pair_ratio = pairs[order], ratio(q[:, order])
 
     def ratios(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log ratio of each word under the word models, and after the word before it under the bigram models."""
