@@ -41,7 +41,7 @@ from .textops import blocks, mix, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, LONGEST, TARGET_RECALL = 24, 10, 0.999
-BLOCK, VALUES = 1024, 2_000_000
+BLOCK, VALUES = 512, 1_000_000
 
 
 def chance(s: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
