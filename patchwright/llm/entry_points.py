@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10}
+    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10, "op13_byte_bpe": byte_bpe.op13}
 
 
 ORACLE = {}
