@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10, "op13_byte_bpe": byte_bpe.op13}
+    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10, "op12_vector_codes": vector_codes.op12, "op13_byte_bpe": byte_bpe.op13}
 
 
 ORACLE = {}
@@ -65,5 +65,27 @@ FROM p JOIN d USING (hex) JOIN m USING (hex)
 """
 
 
+ORACLE["op12_vector_codes"] = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, q[4 * p + 1] AS a, q[4 * p + 2] AS b, q[4 * p + 3] AS c, q[4 * p + 4] AS d FROM v, range(16) t(p)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM v QUALIFY e < 64),
+book0 AS (SELECT p, e, a, b, c, d FROM parts JOIN first USING (r)),
+near0 AS (SELECT x.r, x.p, min({'m': (x.a - k.a) ** 2 + (x.b - k.b) ** 2 + (x.c - k.c) ** 2 + (x.d - k.d) ** 2, 'e': k.e}) AS n FROM parts x JOIN book0 k USING (p) GROUP BY ALL),
+mean1 AS (SELECT p, n.e AS e, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM near0 JOIN parts USING (r, p) GROUP BY ALL),
+book1 AS (SELECT p, k.e, coalesce((m.a - ((m.a % m.n) + m.n) % m.n) // m.n, k.a) AS a, coalesce((m.b - ((m.b % m.n) + m.n) % m.n) // m.n, k.b) AS b,
+  coalesce((m.c - ((m.c % m.n) + m.n) % m.n) // m.n, k.c) AS c, coalesce((m.d - ((m.d % m.n) + m.n) % m.n) // m.n, k.d) AS d FROM book0 k LEFT JOIN mean1 m USING (p, e)),
+near1 AS (SELECT x.r, x.p, min({'m': (x.a - k.a) ** 2 + (x.b - k.b) ** 2 + (x.c - k.c) ** 2 + (x.d - k.d) ** 2, 'e': k.e}) AS n FROM parts x JOIN book1 k USING (p) GROUP BY ALL),
+mean2 AS (SELECT p, n.e AS e, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM near1 JOIN parts USING (r, p) GROUP BY ALL),
+book2 AS (SELECT p, k.e, coalesce((m.a - ((m.a % m.n) + m.n) % m.n) // m.n, k.a) AS a, coalesce((m.b - ((m.b % m.n) + m.n) % m.n) // m.n, k.b) AS b,
+  coalesce((m.c - ((m.c % m.n) + m.n) % m.n) // m.n, k.c) AS c, coalesce((m.d - ((m.d % m.n) + m.n) % m.n) // m.n, k.d) AS d FROM book1 k LEFT JOIN mean2 m USING (p, e)),
+near2 AS (SELECT x.r, x.p, min({'m': (x.a - k.a) ** 2 + (x.b - k.b) ** 2 + (x.c - k.c) ** 2 + (x.d - k.d) ** 2, 'e': k.e}) AS n FROM parts x JOIN book2 k USING (p) GROUP BY ALL),
+coded AS (SELECT r, string_agg(lpad(lower(hex(n.e)), 2, '0'), '' ORDER BY p) AS code, sum(n.m)::BIGINT AS error FROM near2 GROUP BY r),
+sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN v USING (r) GROUP BY label),
+books AS (SELECT sha256(string_agg(a::BIGINT || ',' || b::BIGINT || ',' || c::BIGINT || ',' || d::BIGINT, ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN coded USING (r) JOIN sums ON v.label IS NOT DISTINCT FROM sums.label, books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
