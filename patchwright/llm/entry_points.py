@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, vector_codes, warc
+from . import byte_bpe, conversation_repair, decontaminate, jaccard_join, lm_scoring, packing, pii, quality_rules, secrets, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10, "op12_vector_codes": vector_codes.op12, "op13_byte_bpe": byte_bpe.op13}
+    return {"op1_warc": warc.op1, "op2_decontaminate": decontaminate.op2, "op3_url_filter": url_filter.op3, "op4_jaccard_join": jaccard_join.op4, "op5_pii": pii.op5, "op6_quality_rules": quality_rules.op6, "op7_secrets": secrets.op7, "op8_lm_scoring": lm_scoring.op8, "op9_toxicity": toxicity.op9, "op10_packing": packing.op10, "op11_conversation_repair": conversation_repair.op11, "op12_vector_codes": vector_codes.op12, "op13_byte_bpe": byte_bpe.op13}
 
 
 ORACLE = {}
@@ -65,7 +65,7 @@ FROM p JOIN d USING (hex) JOIN m USING (hex)
 """
 
 
-ORACLE["op12_vector_codes"] = r"""
+ORACLE["op11_conversation_repair": conversation_repair.op11, "op12_vector_codes"] = r"""
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS (SELECT r, p, q[4 * p + 1] AS a, q[4 * p + 2] AS b, q[4 * p + 3] AS c, q[4 * p + 4] AS d FROM v, range(16) t(p)),
