@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir
+from ..sources.storage import discard, materialise, new_path
+
+__all__ = ["discard", "materialise", "new_path"]
 
 # Separators of a word as the contracts write it, in Java's syntax.
 ALNUM_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,46 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_made: set[str] = set()
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path of its own in the shared folder; what is left there when the driver's Python ends is deleted."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep, spark.sparkContext._gateway.jvm)
-    _made.add(path)
-    return path
-
-
-def _delete(jvm, conf, path: str) -> None:
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-    _made.discard(path)
-
-
-def _sweep(jvm) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone; a folder that is left harms nothing
-        conf = jvm.org.apache.hadoop.conf.Configuration()
-        for path in [*_made]:
-            _delete(jvm, conf, path)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage by a written table in the shared folder: survives lost executors, gives Catalyst its size."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a materialised table."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = next((p for p in _made if p.rpartition("/")[2] == name.rpartition("/")[2]), name)
-        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Rows hold whole texts: Arrow batches of BATCH_ROWS rows in place of Spark's default keep workers small. A value that was set stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
