@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
@@ -20,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_int
 from ..functions.labels import class_weight, evaluated_roles, role
 from ..schema import require_features
-from ..sources.tables import parquet_or_none
+from ..sources.tables import json_documents, parquet_or_none, write_json
+from . import multilabel
+from .accounting import measured
 
 
 @dataclass(frozen=True)
@@ -77,11 +78,10 @@ PREDICTIONS = "patch_id string, role string, label_idx int, label_name string, t
 
 
 def fitted(vectors: DataFrame, labels: Sequence[str], run: Run, counts: dict[str, tuple[int, int]]) -> dict[str, object]:
-    """label -> model of every label with a training positive, in a bounded number of threads, each in its own scheduler pool."""
+    """label -> model of every label with a training positive, in a bounded number of threads."""
     spark = vectors.sparkSession
 
     def one(c: str):
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", c)
         n, pos = counts[c]
         weighted = vectors.withColumn("weight", class_weight(F.col(c), F.lit(n), F.lit(pos))).withColumn(c, F.col(c).cast("double"))
         return c, estimator(run, c).fit(weighted.where("role = 'train'"))
@@ -106,42 +106,46 @@ def scored(vectors: DataFrame, models: dict[str, object], labels: Sequence[str],
 def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names: Sequence[str] | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, run record): one weighted classifier per label with a training positive.
 
-    The vectors are kept for all fits. All labels are scored in one pass, lazily, or, with a path, written there, so
-    that the record's times hold the scoring too."""
+    Logistic models of all labels are fitted together, in as many passes as Newton steps (at most max_iter); forests
+    one by one, in a bounded pool. The vectors are kept for all fits. All labels are scored in one pass, lazily, or,
+    with a path, written there, so that the record's times hold the scoring too."""
     spark = vectors.sparkSession
-    kept = vectors.select("patch_id", "role", "features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
-    began, cpu = time.time(), executor_cpu_seconds(spark)
+    names = names or labels
+    wanted = lambda df: df.where(F.col("role").isin(*evaluated_roles(run.regime)))
+    source = vectors.select("patch_id", "role", "features", *labels)
+    kept = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = class_counts(kept, labels)
-        n_rows = kept.count()
-        models = fitted(kept, labels, run, counts)
-        if path is not None:
-            wanted = kept.where(F.col("role").isin(*evaluated_roles(run.regime)))
-            scored(wanted, models, labels, names or labels).write.mode("overwrite").parquet(path)
+        with measured(spark) as cost:
+            counts = class_counts(kept, labels)
+            n_rows = kept.count()
+            able = [c for c in labels if counts[c][1] > 0]
+            if run.learner == "lr" and able:
+                model = multilabel.fit(multilabel.training_table(kept, labels, 1), labels, [able], folds=1, reg=run.reg_param, passes=run.max_iter)
+
+                def score(df: DataFrame) -> DataFrame:
+                    return multilabel.predictions(multilabel.training_table(df, labels, 1), model, labels, names, evaluated_roles(run.regime))
+            else:
+                models = fitted(kept, labels, run, counts)
+
+                def score(df: DataFrame) -> DataFrame:
+                    return scored(wanted(df), models, labels, names)
+
+            if path is not None:
+                score(kept).write.mode("overwrite").parquet(path)
     finally:
         kept.unpersist()
-    if path is not None:
-        out = spark.read.schema(PREDICTIONS).parquet(path)
-    else:
-        source = vectors.select("patch_id", "role", "features", *labels).where(F.col("role").isin(*evaluated_roles(run.regime)))
-        out = scored(source, models, labels, names or labels)
-    times = {"wall_clock_seconds": time.time() - began, "total_executor_cpu_time_seconds": executor_cpu_seconds(spark) - cpu}
+    out = score(source) if path is None else spark.read.schema(PREDICTIONS).parquet(path)
+    used = cost.used
+    times = {"wall_clock_seconds": cost.wall_seconds, "total_executor_cpu_time_seconds": used.cpu_seconds, "energy_kwh": used.energy_kwh(), "co2e_grams": used.co2e_grams()}
     return out, _record(spark, run, n_rows, counts, times)
 
 
-def executor_cpu_seconds(spark: SparkSession) -> float:
-    """CPU seconds of all tasks of this application so far, from Spark's own record of its stages."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    sc._jsc.sc().listenerBus().waitUntilEmpty()
-    none = jvm.java.util.ArrayList()
-    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
-    return sum(stages.apply(k).executorCpuTime() for k in range(stages.size())) / 1e9
+RECORD = "run_id string, regime string, fold string, learner string, seed int, max_iter int, reg_param double, num_trees int, max_depth int, threads int, n_joined_rows bigint, n_train_rows bigint, wall_clock_seconds double, total_executor_cpu_time_seconds double, energy_kwh double, co2e_grams double"
 
 
 def _record(spark: SparkSession, run: Run, rows: int, counts: dict[str, tuple[int, int]], times: dict[str, float]) -> DataFrame:
     n_train = max((n for n, _ in counts.values()), default=0)
-    own = {k: v for k, v in asdict(run).items() if v is not None}
-    return spark.createDataFrame([{**own, "run_id": run.run_id, "fold": run.fold or "", "n_joined_rows": rows, "n_train_rows": n_train, **times}])
+    return spark.createDataFrame([{**asdict(run), "run_id": run.run_id, "fold": run.fold or "", "n_joined_rows": rows, "n_train_rows": n_train, **times}], RECORD)
 
 
 def run_all(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], labels: Sequence[str], names: Sequence[str], runs: Sequence[Run], root: str) -> tuple[DataFrame, DataFrame]:
@@ -150,11 +154,12 @@ def run_all(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], la
     A run whose folder has been written whole is not trained again: a ladder that broke off goes on where it stopped."""
     out, records = [], []
     for run in runs:
-        path = f"{root}/{run.run_id}"
+        path = f"{root}/predictions/{run.run_id}"
         with_role = rows.withColumn("role", role(run.regime, run.fold)).where(F.col("role").isNotNull())
         if parquet_or_none(rows.sparkSession, path) is None:
             vectors = feature_vectors(with_role, columns, [*metadata, "role"], ["patch_id", "role", *labels])
             predictions, record = binary_relevance(vectors, labels, run, names, path)
+            write_json(record, f"{root}/records/{run.run_id}")
             records.append(record)
         else:
             predictions = rows.sparkSession.read.schema(PREDICTIONS).parquet(path)
@@ -162,6 +167,11 @@ def run_all(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], la
     return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, records) if records else None
 
 
+def records(spark: SparkSession, root: str) -> DataFrame:
+    """The records that the runs under a root have left, one row a run."""
+    return json_documents(spark, f"{root}/records/*", RECORD)
+
+
 def ladder(regimes: dict[str, Sequence[str | None]], base: Run) -> list[Run]:
     """The runs of an experiment ladder: every fold of every regime."""
     return [replace(base, regime=r, fold=f) for r, folds in regimes.items() for f in folds]

@@ -36,6 +36,8 @@ from ..functions.hashing import seeded_int
 
 #: Tasks' sums are added in two steps, through so many groups a model.
 FAN = 64
+#: The intercept of a label that has one class only: no finite one is the best.
+ONE_CLASS = 30.0
 
 
 @dataclass(frozen=True)
@@ -151,6 +153,7 @@ def fit_layer(data: DataFrame, before: Layers, columns: Sequence[int], labels: S
         return loss, s[:, 1 : d + 2] + ridge * points, s[:, d + 2 :].reshape(n_models, d + 1, d + 1) + ridge[:, None] * np.eye(d + 1)
 
     points = np.zeros((n_models, d + 1))
+    points[:, -1] = np.where(n_neg == 0, ONE_CLASS, np.where(n_pos == 0, -ONE_CLASS, 0.0))
     loss, gradient, hessian = at(points)
     scale = np.ones(n_models)
     for _ in range(passes):

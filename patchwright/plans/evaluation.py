@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, metrics, ml, sampling, stats
+from ..operators import accounting, audit, metrics, ml, sampling, stats
 from ..sources.storage import new_path, store
 from . import standin
 from .registry import query, rounded
@@ -357,10 +357,18 @@ def hp_grid(spark, sf):
     return rounded(reduce(DataFrame.unionByName, out))
 
 
-@query()
+@query(SQL + """, t AS (SELECT count(DISTINCT patch_id) AS n, count(DISTINCT patch_id) FILTER (s2_split = 'train') AS n_train FROM pred)
+SELECT 's2_lr_reg0.01_seed42' AS run_id, 's2' AS regime, '' AS fold, 'lr' AS learner, 42 AS seed, 0.01::DOUBLE AS reg_param, n AS n_joined_rows, n_train AS n_train_rows, true AS cpu_bounded, true AS energy_follows FROM t""")
 def run_stats(spark, sf):
-    v, labels, classes = _vectors(spark, sf)
-    return ml.binary_relevance(v, labels, ml.Run("s2"), classes, new_path(spark, "run"))[1]
+    """The record of a run as it was written: parameters, rows, CPU time within cores x wall time, energy by its formula."""
+    rows, labels, classes = _training(spark, sf)
+    root = new_path(spark, "run")
+    ml.run_all(rows, PIXELS, ["patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold"], labels, classes, [ml.Run("s2", max_iter=10)], root)
+    cpu, cores = F.col("total_executor_cpu_time_seconds"), spark.sparkContext.defaultParallelism
+    bounded = (cpu > 0) & (cpu <= F.col("wall_clock_seconds") * cores * 1.05)
+    follows = F.abs(F.col("co2e_grams") - cpu * accounting.WATTS_PER_CORE * accounting.FACILITY / 3_600_000 * accounting.GRAMS_PER_KWH) < 1e-9
+    kept = ("run_id", "regime", "fold", "learner", "seed", "reg_param", "n_joined_rows", "n_train_rows")
+    return ml.records(spark, root).select(*kept, bounded.alias("cpu_bounded"), follows.alias("energy_follows"))
 
 
 LADDER = SQL + """, r AS (SELECT 's1' AS regime, '' AS fold, s1_split AS role, class, true_label FROM pred UNION ALL SELECT 's2', '', s2_split, class, true_label FROM pred

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import REGIMES, evaluated_roles
-from ..operators import ml
+from ..operators import accounting, ml
 from ..schema import prefixed, with_patch_id
 from ..sources import tables
 from ..sources.storage import new_path
@@ -41,7 +41,7 @@ def json_round_trip(spark, sf):
     path = new_path(spark, "json")
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     tables.write_json(nation.groupBy("r_name").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("r_name string, n bigint").json(path)
+    return tables.json_documents(spark, path, "r_name string, n bigint", lines=True)
 
 
 @query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys FROM orders GROUP BY 1")
@@ -108,9 +108,16 @@ def stream_rate(spark, sf):
     return spark.read.schema(events.schema).parquet(f"{root}/out").agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(seen))  # one row
 
 
-@query("SELECT true AS cpu_seen, count(*) AS n FROM lineitem")
+@query("SELECT count(*) AS n, 20 AS n_later, true AS grows, true AS bounded FROM lineitem")
 def cpu_time(spark, sf):
-    """CPU seconds of tasks are summed over the stages of a job."""
-    before = ml.executor_cpu_seconds(spark)
-    n = table(spark, sf, "lineitem").select(F.sha2(F.concat_ws(",", "*"), 256).alias("h")).agg(F.count("h").alias("n")).first()[0]
-    return spark.createDataFrame([(ml.executor_cpu_seconds(spark) > before, n)], "cpu_seen boolean, n bigint")
+    """CPU seconds of a job over lineitem: they grow by each of 20 further jobs, and stay within cores x wall time (a twentieth over for clocks)."""
+    cores = spark.sparkContext.defaultParallelism
+    with accounting.measured(spark) as one:
+        n = table(spark, sf, "lineitem").select(F.sha2(F.concat_ws(",", "*"), 256).alias("h")).agg(F.count("h").alias("n")).first()[0]
+    totals = [accounting.usage(spark).cpu_seconds]
+    for _ in range(20):
+        table(spark, sf, "nation").count()
+        totals.append(accounting.usage(spark).cpu_seconds)
+    steps = [a < b for a, b in zip(totals, totals[1:], strict=False)]
+    bounded = 0 < one.used.cpu_seconds <= 1.05 * cores * one.wall_seconds
+    return spark.createDataFrame([(n, len(steps), all(steps), bounded)], "n bigint, n_later int, grows boolean, bounded boolean")

@@ -34,8 +34,9 @@ def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def json_documents(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def json_documents(spark: SparkSession, path: str, schema: StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents: one a file, over any number of lines, or one a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
