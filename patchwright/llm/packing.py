@@ -119,27 +119,35 @@ def pieces(docs: DataFrame, largest: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_tokens: int = SHARD_TOKENS, attention: float | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, text, bin, offset, capacity."""
+    """One row per piece: doc_id, piece, start, length, text, bin, offset, capacity.
+
+    Only lengths are dealt to shards and packed; the texts are joined to the places. Equal rows are counted and told
+    apart by number, so bins do not depend on how the rows are partitioned."""
     largest = max(capacities)
-    # written, as texts are counted once so; the row's number tells repeated rows apart
-    cut = materialise(pieces(docs, largest).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    own = (F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("own"), "piece", F.xxhash64("doc_id", "text").alias("key"))
+    # written, as texts are counted once so
+    cut = materialise(pieces(docs, largest).select("*", own[0], own[2]), "pieces")
+    same = ["own", "piece", "key"]
+    counted = cut.groupBy(*same).agg(F.first("doc_id").alias("doc_id"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    each = counted.select("doc_id", *same, "length", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("number"))
     total = cut.where(F.col("length") < largest).agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    schema = "doc_id bigint, piece bigint, start bigint, length bigint, text string, bin string, offset bigint, capacity int"
+    schema = "own bigint, piece bigint, key bigint, length bigint, number bigint, bin string, offset bigint, capacity int"
 
     def run(key, rows):
-        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("own", "ascending"), ("piece", "ascending"), ("key", "ascending"), ("number", "ascending")])
         put = pack(rows.column("length").to_pylist(), capacities, attention)
         out = [pa.array([f"{key[0].as_py()}-{b}" for b, _, _ in put], pa.string()), pa.array([o for _, o, _ in put], pa.int64()), pa.array([c for _, _, c in put], pa.int32())]
         return pa.table([*rows.columns, *out], names=[*rows.column_names, "bin", "offset", "capacity"])
 
-    loose = cut.where((F.col("length") > 0) & (F.col("length") < largest))
-    sharded = loose.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
-    some = sharded.groupBy("shard").applyInArrow(run, schema)
-    alone = (F.col("length") >= largest) | (F.col("length") <= 0)  # a bin of its own, or none
-    name = F.concat_ws("-", F.lit("full"), "row")
-    own = [F.when(F.col("length") > 0, x).alias(c) for c, x in (("bin", name), ("offset", F.lit(0).cast("bigint")), ("capacity", F.lit(largest)))]
-    return some.unionByName(cut.where(alone).select("*", *own).drop("row"))
+    loose = each.where((F.col("length") > 0) & (F.col("length") < largest)).drop("doc_id")
+    some = loose.withColumn("shard", F.pmod(F.xxhash64(*same, "number"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+    name = F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "piece", F.hex("key"), "number")
+    places = [F.when(F.col("length") > 0, x).alias(c) for c, x in (("bin", name), ("offset", F.lit(0).cast("bigint")), ("capacity", F.lit(largest)))]
+    alone = each.where((F.col("length") >= largest) | (F.col("length") <= 0))  # a bin of its own, or none
+    placed = some.unionByName(alone.select("*", *places).drop("doc_id")).drop("length", "number")
+    texts = cut.groupBy(*same).agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "length", "text")))
+    return texts.join(placed, same).select("doc_id", "piece", "start", "length", "text", "bin", "offset", "capacity")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

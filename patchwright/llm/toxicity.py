@@ -258,18 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
 def scored(docs: DataFrame, model: Model, names: Sequence[str] = ("score", "predicted")) -> DataFrame:
     """docs with score and predicted under these names (columns of docs that have them are replaced), in one pass over the texts."""
-    docs = docs.drop(*names)
-    at = [f.name for f in docs.schema].index("text")
-    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, *names])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(text))
 
-    return docs.mapInArrow(run, schema)
+    out = docs.drop(*names).withColumn(names[0], score("text"))
+    return out.withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

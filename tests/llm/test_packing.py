@@ -136,3 +136,10 @@ def test_real_rows_are_whole(spark, small, documents):
     for r in sorted(rows, key=lambda r: r["piece"]):
         text[r["doc_id"]] += r["text"] or ""
     assert text == documents
+
+
+def test_places_do_not_depend_on_partitions(spark, odd):
+    """The same rows in 1 and in 7 partitions get the same bins; equal rows are told apart by number only."""
+    rows = odd.select("doc_id", "text").unionByName(odd.selectExpr("doc_id + 1 AS doc_id", "concat(text, ' more') AS text"))
+    one, seven = (sorted(map(tuple, packing.packed(d, (64, 256), 1000).collect()), key=repr) for d in (rows.coalesce(1), rows.repartition(7)))
+    assert one == seven
