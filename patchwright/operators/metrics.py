@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 
 def score_counts(pred: DataFrame, keys: Sequence[str], label: str = "true_label", score: str = "score", weight: str | None = None) -> DataFrame:
     """(keys, score, pos, n): weights at each distinct score."""
@@ -20,22 +22,38 @@ def score_counts(pred: DataFrame, keys: Sequence[str], label: str = "true_label"
     return pred.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w).alias("n"))
 
 
-def score_range(score: Column) -> Column:
-    """A whole number that rises with the score: eight steps within each power of two, mirrored for negative scores; null for null."""
-    x = F.abs(score.cast("double"))
-    power = F.floor(F.log2(x))
-    place = 8 * (power + 1100) + F.floor(x / F.pow(F.lit(2.0), power) * 8)  # rises steadily, also where the logarithm is rounded to the next power
-    sign = F.when(score < 0, -1).otherwise(1)
-    return F.when(F.isnan(score.cast("double")), F.lit(1 << 20)).when(x == 0, F.lit(0)).when(x == float("inf"), sign * (1 << 19)).otherwise(sign * place).cast("int")
+#: A range of scores within a key has about so many rows; a task holds some of them.
+RANGE_ROWS = 500_000
+
+
+def score_ranges(df: DataFrame, keys: Sequence[str], out: str = "_range", score: str = "score", rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the number of the range that its score is in, from 0 for the highest scores; a key's ranges have about as many rows each.
+
+    The borders are quantiles of a key's scores from a mergeable sketch, a row a key, written, as two runs of a sketch may
+    differ. There are as many ranges as the largest key needs; equal scores share one. NaN counts as highest, null as lowest. df is read twice: pass a written table."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // rows)
+    value = F.col(score).cast("double")
+    if parts <= 1:
+        return df.withColumn(out, F.when(value.isNull(), 1).otherwise(0))
+    cuts = [k / parts for k in range(1, parts)]
+    sketch = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.percentile_approx(value, cuts, 50 * parts).alias("_cuts"))
+    named = materialise(sketch.select(*(F.col(c).alias(f"_k_{c}") for c in keys), "_cuts"), "cuts")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    joined = df.join(named, reduce(lambda a, b: a & b, same), "left") if keys else df.crossJoin(F.broadcast(named))  # no keys: one row
+    above = F.size(F.filter("_cuts", lambda c: c > value))
+    number = F.when(value.isNull(), parts).when(F.col("_cuts").isNull() | F.isnan(value), 0).otherwise(above)
+    return joined.withColumn(out, number.cast("int")).drop("_cuts", *(f"_k_{c}" for c in keys))
 
 
 def cumulated(counts: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """counts with running sums from the highest score down; sums maps the new name to the column.
 
-    Sums run within ranges of the score, to which the totals of the ranges above are added: a key with many distinct scores is spread over its ranges."""
-    ranged = counts.withColumn("_range", score_range(F.col("score")))
+    Sums run within balanced ranges of the score, to which the totals of the ranges above are added: a key with many distinct
+    scores is spread over its ranges. counts are written once."""
+    ranged = score_ranges(materialise(counts, "counts"), keys)
     totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a few hundred rows
+    above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     own = [F.col(c).alias(f"_k_{c}") for c in (*keys, "_range")]
     totals = totals.select(*own, *(F.coalesce(F.sum(f"_{name}").over(above), F.lit(0)).alias(f"_above_{name}") for name in sums))
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_range")]
@@ -92,18 +110,18 @@ def macro_micro(pred: DataFrame, keys: Sequence[str], threshold: Column, cls: st
     """One row per key: AP, AUROC and F1 macro and micro, and the classes used; all from one reduction of the cells to counts by score.
 
     Micro ranking pools only classes whose own cell is defined; micro F1 pools all."""
-    counts = score_counts(pred, [*keys, cls])
+    counts = materialise(score_counts(pred, [*keys, cls]), "counts")  # all below comes from this
     hit = F.col("score") >= threshold
     count = lambda c, x: F.sum(F.when(c, x).otherwise(0))
     ap, auroc = rank_sums()
     wrong = {"tp": count(hit, F.col("pos")), "fp": count(hit, F.col("n") - F.col("pos")), "fn": count(~hit, F.col("pos"))}
     cells = cumulated(counts, [*keys, cls], {"tp": "pos", "k": "n"}).groupBy(*keys, cls)
-    cells = cells.agg(ap.alias("ap"), auroc.alias("auroc"), *(v.alias(f"n_{c}") for c, v in wrong.items()))
+    cells = materialise(cells.agg(ap.alias("ap"), auroc.alias("auroc"), *(v.alias(f"n_{c}") for c, v in wrong.items())), "cells")
     f1 = f1_of(F.col("n_tp"), F.col("n_fp"), F.col("n_fn"))
     used = [f for v in ("ap", "auroc") for f in (F.avg(v).alias(f"{v}_macro"), F.count(v).alias(f"{v}_used"))]
     out = cells.groupBy(*keys).agg(*used, F.avg(f1).alias("f1_macro"), f1_of(F.sum("n_tp"), F.sum("n_fp"), F.sum("n_fn")).alias("f1_micro"))
-    # the counts again, by their exchange: pooled over the classes that are defined for each of both metrics
-    defined = F.broadcast(cells.select(*keys, cls, F.col("ap").isNotNull().alias("has_ap"), F.col("auroc").isNotNull().alias("has_auroc")))  # a row a class and key
+    # pooled over the classes that are defined for each of both metrics
+    defined = cells.select(*keys, cls, F.col("ap").isNotNull().alias("has_ap"), F.col("auroc").isNotNull().alias("has_auroc"))
     sums = [count(F.col(f"has_{m}"), F.col(c)).alias(f"{c}_{m}") for m in ("ap", "auroc") for c in ("pos", "n")]
     pooled = counts.join(defined, [*keys, cls]).groupBy(*keys, "score").agg(*sums)
     pooled = cumulated(pooled, keys, {f"{t}_{m}": f"{c}_{m}" for m in ("ap", "auroc") for t, c in (("tp", "pos"), ("k", "n"))})

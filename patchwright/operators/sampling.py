@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded, seeded_int
-from .metrics import ranking
+from ..sources.storage import materialise
+from .metrics import ranking, score_ranges
 
 #: bootstrap_many sends at most this many counts to a task; beyond it, joins do the same.
 MAX_COUNTS = 5_000_000
@@ -86,17 +87,59 @@ def thinning_plan(pred: DataFrame, target: DataFrame, keys: Sequence[str], on: S
 def prior_matched(pred: DataFrame, target: DataFrame, keys: Sequence[str], on: Sequence[str], draws: int, seed: int, patch: str = "patch_id") -> DataFrame:
     """(keys, raw_ap, mean_ap, mode, n_kept): AP after the class in excess is thinned to the target prevalence, over several draws.
 
-    pred: keys, patch, true_label, score. target: on, prevalence. Patches are ranked once; rows are multiplied by draws
-    only inside a task, where they add up to counts by score at once."""
+    pred: keys, patch, true_label, score. target: on, prevalence. Patches are ranked once and sorted once, within balanced
+    ranges of the score; a range counts for all draws what it keeps (a row of numbers), and, given what the ranges above
+    keep, its share of each draw's AP. Rows are neither multiplied by draws nor sent to the driver."""
+    pred = materialise(pred.select(*keys, patch, "true_label", "score"), "scores")
     plan = thinning_plan(pred, target, keys, on)
-    ranked = hash_rank(pred.select(*keys, patch, "true_label", "score"), [*keys, "true_label"], seed, [*keys, patch]).join(F.broadcast(plan), list(keys))
-    each = F.explode(F.array(*(F.struct(F.lit(d).alias("draw"), F.lit(p).cast("bigint").alias("factor"), F.lit(c).cast("bigint").alias("shift")) for d, p, c in thinning(draws, seed))))
-    kept = ranked.withColumn("d", each).where(
-        F.pmod((F.col("_rank") - 1) * F.col("d.factor") + F.col("d.shift"), F.col("_n")) < F.when(F.col("true_label") == 1, F.col("take_pos")).otherwise(F.col("take_neg"))
-    )
-    ap = ranking(kept.select(*keys, F.col("d.draw").alias("draw"), "true_label", "score"), [*keys, "draw"]).groupBy(*keys).agg(F.avg("ap").alias("mean_ap"))
+    ranked = hash_rank(pred, [*keys, "true_label"], seed, [*keys, patch]).join(F.broadcast(plan), list(keys))  # a row a cell
+    take = F.when(F.col("true_label") == 1, F.col("take_pos")).otherwise(F.col("take_neg"))
+    rows = ranked.select(*keys, F.col("true_label").cast("bigint").alias("label"), F.col("score").cast("double").alias("score"), (F.col("_rank") - 1).alias("rank"), F.col("_n").alias("n"), take.alias("take"))
+    rows = materialise(score_ranges(rows, keys, "part"), "ranked")
+    how = thinning(draws, seed)
+
+    def kept(t: pa.Table, factor: int, shift: int) -> np.ndarray:
+        rank, n, few = (t.column(c).to_numpy() for c in ("rank", "n", "take"))
+        return (rank * factor + shift) % n < few
+
+    def count(t: pa.Table) -> pa.Table:
+        label = t.column("label").to_numpy() == 1
+        both = [(int((k & label).sum()), int(k.sum())) for k in (kept(t, f, s) for _, f, s in how)]
+        names = [*keys, "part"]
+        return pa.table([*(t.column(c)[:1] for c in names), pa.array([[b[0] for b in both]]), pa.array([[b[1] for b in both]])], names=[*names, "pos", "all"])
+
+    def share(t: pa.Table, above: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return t.select(list(keys)).append_column("ap", pa.array([], pa.list_(pa.float64())))
+        t = t.sort_by([("score", "descending")])
+        score, label = t.column("score").to_numpy(), t.column("label").to_numpy() == 1
+        ends = np.append(np.flatnonzero(np.diff(score) != 0), len(score) - 1)
+        pos_above, all_above = (above.column(c)[0].as_py() for c in ("pos_above", "all_above"))
+        sums = []
+        for d, f, s in how:
+            k = kept(t, f, s)
+            tp, seen = np.cumsum(k & label)[ends], np.cumsum(k)[ends]
+            own = np.diff(tp, prepend=0)
+            with np.errstate(invalid="ignore"):
+                sums.append(float(np.where(own > 0, own * ((tp + pos_above[d]) / np.maximum(seen + all_above[d], 1)), 0.0).sum()))
+        return pa.table([*(t.column(c)[:1] for c in keys), pa.array([sums], pa.list_(pa.float64()))], names=[*keys, "ap"])
+
+    types = dict(rows.dtypes)
+    names = ", ".join(f"`{c}` {types[c]}" for c in keys)
+    counted = rows.groupBy(*keys, "part").applyInArrow(count, f"{names}, part int, pos array<bigint>, all array<bigint>")  # a row a range
+    ahead = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def added(lists: Column, kind: str) -> Column:
+        """Sums by place of a list of lists, one list a range."""
+        return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.aggregate(lists, F.lit(0).cast(kind), lambda a, x: a + x[d]))
+
+    offsets = counted.select(*keys, "part", *(added(F.collect_list(c).over(ahead), "bigint").alias(f"{c}_above") for c in ("pos", "all")))
+    shares = rows.groupBy(*keys, "part").cogroup(offsets.groupBy(*keys, "part")).applyInArrow(share, f"{names}, ap array<double>")
+    total = shares.groupBy(*keys).agg(F.collect_list("ap").alias("aps"))
+    ap = total.select(*keys, added(F.col("aps"), "double").alias("ap")).join(F.broadcast(plan), list(keys))
+    mean = F.aggregate("ap", F.lit(0.0), lambda a, x: a + x) / draws / F.col("take_pos")
     raw = ranking(pred, keys).select(*keys, F.col("ap").alias("raw_ap"))
-    return ap.join(raw, list(keys)).join(F.broadcast(plan), list(keys)).select(*keys, "raw_ap", "mean_ap", "mode", (F.col("take_pos") + F.col("take_neg")).alias("n_kept"))
+    return ap.join(raw, list(keys)).select(*keys, "raw_ap", mean.alias("mean_ap"), "mode", (F.col("take_pos") + F.col("take_neg")).alias("n_kept"))
 
 
 def prior_gap(matched: DataFrame, reference: DataFrame, cls: str = "class") -> DataFrame:

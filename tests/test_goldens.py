@@ -263,17 +263,3 @@ def test_weighted_logistic_by_newton(spark):
         b = b + np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a / w.sum() + np.diag(ridge), g)
     want = 1 / (1 + np.exp(-(np.column_stack([z, np.ones(400)]) @ b)))
     assert max(abs(got[str(i), "lbl_00"] - want[i]) for i in range(400) if not train[i]) < 5e-3
-
-
-def test_score_ranges_rise_with_the_score(spark):
-    rng = np.random.default_rng(8)
-    x = np.concatenate([rng.normal(size=2000), 10.0 ** rng.uniform(-300, 300, 500), -(10.0 ** rng.uniform(-300, 300, 500)), 2.0 ** np.arange(-60, 60), np.nextafter(2.0 ** np.arange(-60, 60), 0), [0.0, -0.0, np.inf, -np.inf], np.arange(1000)])
-    df = spark.createDataFrame([(float(v),) for v in x], "score double")
-    got = [(r[0], r[1]) for r in df.select("score", metrics.score_range(F.col("score"))).collect()]
-    assert [b for _, b in sorted(got)] == sorted(b for _, b in got)
-    assert len({b for v, b in got if 500 <= v < 1000}) > 7
-    pred = spark.createDataFrame([(float(v), int(v * 7) % 3 == 0) for v in rng.normal(size=3000)], "score double, y boolean").selectExpr("score", "cast(y AS int) AS true_label")
-    c = sorted((r["score"], r["tp"], r["k"]) for r in metrics.curve(pred, []).collect())
-    s, y = np.array([(r[0], r[1]) for r in pred.collect()]).T
-    order = np.argsort(s)
-    assert [k for _, _, k in c] == list(range(3000, 0, -1)) and [t for _, t, _ in c] == list(np.cumsum(y[order][::-1])[::-1])
