@@ -62,18 +62,21 @@ def encode(a: np.ndarray, deflate: bool = True) -> bytes:
 
 
 def decode_column(content: Column, zero_fill: int | None = None) -> Column:
-    """struct(height, width, values array<int>) of a band; null where it cannot be decoded, or zero_fill^2 zeros if asked for (which hides damage)."""
+    """struct(height, width, values array<int>) of a band, the values of a batch in one buffer; null where it cannot be decoded, or zero_fill^2 zeros if asked for (which hides damage)."""
     @F.arrow_udf("height int, width int, values array<int>")
     def run(column: pa.Array) -> pa.Array:
-        out = []
-        for data in column.to_pylist():
+        images: list[np.ndarray | None] = []
+        for data in column:
             try:
-                a = decode(data)
-                out.append({"height": a.shape[0], "width": a.shape[1], "values": a.astype(np.int64).ravel().tolist()})
-            except (ValueError, TypeError, KeyError, IndexError, struct.error, zlib.error):
-                out.append({"height": zero_fill, "width": zero_fill, "values": [0] * zero_fill**2} if zero_fill else None)
-        kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("values", pa.list_(pa.int32()))])
-        return pa.array(out, kind)
+                images.append(decode(data.as_buffer().to_pybytes()))
+            except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error, zlib.error):
+                images.append(np.zeros((zero_fill, zero_fill), np.uint16) if zero_fill else None)
+        lost = np.array([a is None for a in images], bool)
+        ends = np.cumsum([0, *(0 if a is None else a.size for a in images)])
+        flat = [a.ravel().astype(np.uint32).view(np.int32) for a in images if a is not None]  # 32 bits keep their pattern
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+        size = [pa.array([0 if a is None else a.shape[k] for a in images], pa.int32()) for k in (0, 1)]
+        return pa.StructArray.from_arrays([*size, values], names=["height", "width", "values"], mask=pa.array(lost))
 
     return run(content)
 

@@ -209,13 +209,19 @@ def test_tiff_round_trip():
 
 
 def test_archive_filters(spark, tmp_path):
-    from patchwright.plans.evaluation import build_archive
+    from patchwright.sources import seekable
 
-    build_archive(f"{tmp_path}/a.tar.zst")
+    images = [(f"top/folder{p % 2}/patch{p}/patch{p}_{b}.tif", tiff.encode(np.full((4, 4), 100 * p, np.uint16))) for p in range(6) for b in ("B02", "B8A", "B11")]
+    with open(f"{tmp_path}/a.tar.zst", "wb") as f:
+        seekable.write(f, [*images, ("top/readme.txt", b"")])
     got = archive.read(spark, str(tmp_path), ["path", "band", "patch_id"]).where("band IN ('B02', 'B11') AND patch_id = 'patch1'").collect()
     assert sorted(r["band"] for r in got) == ["B02", "B11"]
     whole = archive.read(spark, str(tmp_path)).select(tiff.decode_column(F.col("content")).alias("i")).select("i.*").collect()
     assert len(whole) == 18 and all(r["height"] == 4 for r in whole)
+    odd = spark.createDataFrame([(None,), (b"no tiff",), (tiff.encode(np.array([[1, 65535]], np.uint16)),)], "content binary")
+    got = [r[0] and (r[0].height, r[0].width, list(r[0]["values"])) for r in odd.select(tiff.decode_column(F.col("content"))).collect()]
+    assert got == [None, None, (1, 2, [1, 65535])]
+    assert [list(r[0]["values"]) for r in odd.select(tiff.decode_column(F.col("content"), 2)).collect()] == [[0] * 4, [0] * 4, [1, 65535]]
 
 
 def test_runs():
