@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_int
 from ..sources import archive, seekable, tiff
 from ..sources.storage import new_path
+from ..streaming import complete_groups as groups
 from .registry import query
 from .standin import table
 
@@ -93,3 +94,27 @@ def archive_bands(spark, sf):
     members = archive.read(spark, written(spark, band_members(spark, sf)), range_bytes=RANGE_BYTES).where("folder = 'folder0' AND band IN ('B02', 'B8A')")
     cells = members.select("patch_id", "band", F.explode(tiff.decode_column(F.col("content"))["values"]).alias("v"))
     return cells.groupBy("patch_id", "band").agg(F.min(F.col("v").cast("double")).alias("low"), F.max(F.col("v").cast("double")).alias("high"), F.count("*").alias("cells"))
+
+
+@query("""WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS user_day FROM events), k AS (SELECT count(DISTINCT event_type) AS n, max(ts) AS now FROM events),
+l AS (SELECT user_day, event_type, max({'ts': ts, 'id': event_id}) AS m, min(ts) AS t0 FROM e GROUP BY 1, 2),
+u AS (SELECT user_day, count(*) AS n, min(t0) AS t0, string_agg(event_type || '=' || m.id, ',' ORDER BY event_type) AS members, list(event_type) AS have FROM l GROUP BY 1)
+SELECT user_day, u.n = k.n AS complete, members, (SELECT coalesce(string_agg(t, ',' ORDER BY t), '') FROM (SELECT DISTINCT event_type AS t FROM events) x WHERE NOT list_contains(u.have, t)) AS missing
+FROM u, k WHERE u.n = k.n OR u.t0 + INTERVAL 10 DAY <= k.now""")
+def expiring_groups_stream(spark, sf):
+    """The events of a user's day as a stream with an end of ten days: complete ones with their last event of each kind, and those that expired incomplete, with what is missing."""
+    batch = table(spark, sf, "events")
+    kinds = [r[0] for r in batch.select("event_type").distinct().orderBy("event_type").collect()]  # the kinds of a complete group
+    root = new_path(spark, "groups")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, groups.ROCKSDB)
+    try:
+        events = spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+        events = events.withColumn("user_day", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd"))).withWatermark("ts", "0 seconds")
+        out = groups.groups_with_expiry(events, "user_day", "event_type", "event_id", "ts", kinds, 10 * 86_400_000)
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    found = spark.read.schema("user_day string, complete boolean, kinds array<string>, last array<bigint>, missing array<string>").parquet(f"{root}/out")
+    pair = F.transform(F.arrays_zip("kinds", "last"), lambda x: F.concat_ws("=", x["kinds"], x["last"].cast("string")))
+    return found.select("user_day", "complete", F.array_join(pair, ",").alias("members"), F.array_join("missing", ",").alias("missing"))

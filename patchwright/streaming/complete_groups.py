@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def complete_groups(events: DataFrame, key: str, kind: str, value: str, order: str, kinds: Sequence[str]) -> DataFrame:
@@ -45,3 +47,76 @@ def complete_groups_stream(events: DataFrame, key: str, kind: str, kinds: Sequen
 
     kept = dict(events.dtypes)[key]
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kept}, n_events bigint, complete boolean", "seen string, n bigint, done boolean", "append", how)
+
+
+#: The state store that keyed state with timers needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Groups(StatefulProcessor):
+    """State of a key: kind -> last value and its time, whether the group has been emitted, and the time of the timer."""
+
+    def __init__(self, kinds: Sequence[str], key: str, kind: str, value: str, time: str, value_type: str, expires_ms: int) -> None:
+        self.kinds, self.names, self.value_type, self.expires_ms = list(kinds), (key, kind, value, time), value_type, expires_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.members = handle.getMapState("members", "kind string", f"value {self.value_type}, at timestamp")
+        self.progress = handle.getValueState("progress", "done boolean, timer bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, kind, value, time = self.names
+        done, timer = self.progress.get() if self.progress.exists() else (False, None)
+        last: dict[str, tuple[datetime, object]] = {}
+        for part in rows:
+            first = int(part[time].min().timestamp() * 1000) + self.expires_ms
+            if timer is None or first < timer:  # the earliest turn of the key decides
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                timer = first
+                self.handle.registerTimer(timer)
+            if not done:
+                for k, own in part[part[kind].isin(self.kinds)].groupby(kind):
+                    row = max(zip(own[time], own[value], strict=True))
+                    last[k] = max(last.get(k, row), row)
+        if not done:
+            for k, (at, v) in last.items():
+                old = self.members.getValue((k,)) if self.members.containsKey((k,)) else None
+                if old is None or (pd.Timestamp(old[1]), old[0]) <= (pd.Timestamp(at), v):
+                    self.members.updateValue((k,), (v, at.to_pydatetime()))
+            have = {k[0]: v[0] for k, v in self.members.iterator()}
+            if len(have) == len(self.kinds):
+                done = True
+                self.members.clear()
+                yield self.row(key, True, have)
+        self.progress.update((done, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done = self.progress.exists() and self.progress.get()[0]
+        have = {} if done else {k[0]: v[0] for k, v in self.members.iterator()}
+        self.members.clear()
+        self.progress.clear()
+        if not done:
+            yield self.row(key, False, have)
+
+    def row(self, key, complete: bool, have: dict) -> pd.DataFrame:
+        order = sorted(have)
+        missing = [k for k in self.kinds if k not in have]
+        return pd.DataFrame({self.names[0]: [key[0]], "complete": [complete], "kinds": [order], "last": [[have[k] for k in order]], "missing": [missing]})
+
+    def close(self) -> None:
+        pass
+
+
+def groups_with_expiry(events: DataFrame, key: str, kind: str, value: str, time: str, kinds: Sequence[str], expires_ms: int) -> DataFrame:
+    """Streaming groups with an end: (key, complete, kinds, last, missing).
+
+    A key is emitted once when its last kind has come, with the last value of each kind by time (equal times: the greatest
+    value); or, if the watermark passes its first event by expires_ms before that, once as incomplete, with what has come
+    and what is missing. Then its state is dropped, done or not, so state holds keys of the last expires_ms
+    only, at most a value a kind each. Later events of the key begin anew. events carry a watermark on `time`; the session
+    uses the RocksDB state store (ROCKSDB)."""
+    types = dict(events.dtypes)
+    schema = f"{key} {types[key]}, complete boolean, kinds array<string>, last array<{types[value]}>, missing array<string>"
+    processor = _Groups(kinds, key, kind, value, time, types[value], expires_ms)
+    return events.select(key, kind, value, time).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
