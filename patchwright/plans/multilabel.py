@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import seeded_int
 from ..functions.labels import evaluated_roles
-from ..operators import metrics, ml, multilabel
+from ..operators import ablation, metrics, ml, multilabel
 from ..sources.storage import materialise
-from .evaluation import _vectors
+from .evaluation import PIXELS, _training, _vectors
 from .registry import query, rounded
 from .standin import SQL
 
@@ -91,3 +92,40 @@ def layered_ap(spark, sf):
     """Macro AP and AUROC of binary relevance, stacking, the chain and the ensemble, beside each other. Values are held against NumPy in tests."""
     pred = layered(spark, sf).withColumn("score", F.round("probability", 6))
     return rounded(metrics.macro(metrics.ranking(pred, ["model", "role", "label_name"]), ["model", "role"], ["ap", "auroc"]))
+
+
+#: Groups of the stand-in's four features, by their place.
+GROUPS = {"quantity": [0], "price": [1], "discount": [2], "size": [3], "all": [0, 1, 2, 3]}
+#: Small blocks, so that the permutation of small tables has several as that of large ones does.
+BLOCK_ROWS = 200
+
+
+def ablated(spark, sf, regime: str) -> tuple[DataFrame, list[str]]:
+    """Test rows of a regime scored with each group of features permuted, by a model of its training rows."""
+    rows, labels, classes = _training(spark, sf)
+    rows = rows.withColumn("role", F.col(f"{regime}_split"))
+    vectors = ml.feature_vectors(rows, PIXELS, ["patch_id", "role"], ["patch_id", "role", *labels])
+    data = materialise(multilabel.training_table(vectors, labels, 1, SEED), "training")
+    model = multilabel.fit(data, labels, [labels], 1)
+    return ablation.permuted(data.where("role = 'test'"), model, labels, GROUPS, SEED, BLOCK_ROWS), classes
+
+
+@query(SQL + f""", t AS (SELECT DISTINCT patch_id::VARCHAR AS patch_id FROM pred WHERE s2_split = 'test'), b AS (SELECT greatest(1, ceil(count(*) / {BLOCK_ROWS}.0))::BIGINT AS n FROM t),
+d AS (SELECT patch_id, md5('{SEED}:' || patch_id) AS h, ('0x' || substr(md5('{SEED}:block:' || patch_id), 1, 8))::BIGINT % b.n AS block FROM t, b),
+r AS (SELECT patch_id, block, row_number() OVER (PARTITION BY block ORDER BY h, patch_id) - 1 AS r, count(*) OVER (PARTITION BY block) AS n FROM d),
+g AS (SELECT unnest({[*GROUPS]}) AS grp), m AS (SELECT r.*, grp, CASE WHEN n > 1 THEN 1 + ('0x' || substr(md5('{SEED}:' || grp), 1, 8))::BIGINT % (n - 1) ELSE 0 END AS s FROM r, g)
+SELECT m.grp AS "group", count(*) AS n, count(DISTINCT o.patch_id) AS n_donors, sum((o.patch_id = m.patch_id)::INT)::BIGINT AS n_own, sum(('0x' || substr(md5('pair:' || m.patch_id || ':' || o.patch_id), 1, 8))::BIGINT)::BIGINT AS checksum
+FROM m JOIN r o ON o.block = m.block AND o.r = (m.r + m.s) % m.n GROUP BY 1""")
+def ablation_donors(spark, sf):
+    """The permutation behind the ablation: per group of features the rows, their donors, rows that are their own donor, and a checksum of all pairs."""
+    out = ablated(spark, sf, "s2")[0].where("group <> ''")
+    pair = seeded_int("pair", F.col("patch_id"), F.col("donor"))
+    return out.groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("donor").alias("n_donors"), F.sum((F.col("donor") == F.col("patch_id")).cast("bigint")).alias("n_own"), F.sum(pair).alias("checksum"))
+
+
+@query()
+def feature_ablation(spark, sf):
+    """Macro AP that is lost by permuting each group of features, under both regimes with an official test part. Values are held against NumPy in tests."""
+    parts = [(r, *ablated(spark, sf, r)) for r in ("s1", "s2")]
+    every = reduce(DataFrame.unionByName, (p.withColumn("regime", F.lit(r)) for r, p, _ in parts))
+    return rounded(ablation.importance(every, parts[0][2], ["regime"]))
