@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, ids: Sequence[str])
     w = Window.partitionBy(*keys)  # at most 256 rows
     sizes = sizes.withColumn("_before", F.sum("_size").over(w.orderBy("_range")) - F.col("_size")).withColumn("_n", F.sum("_size").over(w)).drop("_size")
     within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_h", ids[-1]))
-    placed = hashed.withColumn("_within", within).join(sizes, [*keys, "_range"])
+    sizes = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, "_range")), "_before", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_range")]
+    placed = hashed.withColumn("_within", within).join(sizes, reduce(lambda a, b: a & b, same))
     return placed.withColumn("_rank", F.col("_before") + F.col("_within")).select(*df.columns, "_h", "_rank", "_n")
 
 

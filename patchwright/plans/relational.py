@@ -469,3 +469,23 @@ def morans_i(spark, sf):
 def tile_shares(spark, sf):
     return rounded(splits.shares(standin.patches(spark, sf), ["tile", "country"]))
 
+
+
+GRID = SQL + f""", px AS (SELECT l_orderkey AS patch_id, round(avg(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1),
+pl AS (SELECT tile, patch_id % 8 AS x, patch_id // 8 % 8 AS y, avg(v) AS v FROM patch JOIN px USING (patch_id) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY md5('{standin.SEED}:' || tile || ':' || x || ':' || y), x || ':' || y) - 1 AS r, count(*) OVER (PARTITION BY tile) AS n, avg(v) OVER (PARTITION BY tile) AS mean, var_pop(v) OVER (PARTITION BY tile) AS spread FROM pl),
+lk AS (SELECT a.tile, a.r AS i, b.r AS j FROM r a JOIN r b ON a.tile = b.tile AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))),
+dr AS (SELECT -1 AS d, 0::BIGINT AS h UNION ALL SELECT d, 1 + ('0x' || substr(md5('{standin.SEED}:' || d), 1, 8))::BIGINT FROM (SELECT unnest(range(99)) AS d)),
+st AS (SELECT tile, n, d, CASE WHEN d < 0 OR n = 1 THEN 0 ELSE 1 + (h - 1) % (n - 1) END AS s FROM (SELECT DISTINCT tile, n FROM r), dr),
+mo AS (SELECT lk.tile, d, count(*) AS links, round(sum((p.v - p.mean) * (q.v - p.mean)) / count(*) / any_value(p.spread), 9) AS i FROM lk JOIN st USING (tile) JOIN r p ON p.tile = lk.tile AND p.r = (lk.i + s) % st.n JOIN r q ON q.tile = lk.tile AND q.r = (lk.j + s) % st.n GROUP BY 1, 2)
+"""
+
+
+@query(GRID + "SELECT o.tile, any_value(r.n) AS n, o.links, round(o.i, 6) AS moran, round(-1.0::DOUBLE / (any_value(r.n) - 1), 6) AS expected, (SELECT sum((m.i >= o.i)::INT) / 100.0::DOUBLE FROM mo m WHERE m.tile = o.tile) AS p FROM mo o JOIN r USING (tile) WHERE o.d = -1 GROUP BY o.tile, o.links, o.i")
+def morans_grid(spark, sf):
+    """Moran's I of the patches' mean price over their places in the tile, with p from 99 permutations."""
+    from ..operators import spatial
+
+    price = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.round(F.avg("l_extendedprice"), 2).alias("v"))
+    places = standin.patches(spark, sf).join(price, "patch_id").select("tile", (F.col("patch_id") % 8).alias("gx"), (F.floor(F.col("patch_id") / 8) % 8).alias("gy"), "v")
+    return rounded(spatial.morans_grid(places, ["tile"], "v"))
