@@ -2,8 +2,9 @@
 
 Reading plans whole files into partitions of about `partitionBytes`, takes record-type and header
 predicates from the plan (`pushFilters`, where `spark.sql.python.filterPushdown.enabled` is set)
-or from options, parses the headers of a record first, and steps over the payloads of records that fail or
-whose schema has no payload column. Writing gives each task attempt its own files of at most
+or from options, parses the headers of a record first, and neither reads nor inflates the payloads of records that fail or
+whose schema has no payload column: each gzip member names its own length in its header, so only a head is
+inflated before the next member is sought. (Members of other writers, without that length, are inflated whole and stepped over.) Writing gives each task attempt its own files of at most
 `recordsPerFile` records and about `bytesPerFile` bytes. The driver's commit is one small file, renamed into place, that lists the
 files that count; readers pass over written files that no such list has. So a write is there as a whole
 or not at all, and a task that is repeated or lost leaves nothing that is read.
@@ -18,10 +19,10 @@ is an empty target; a record without a header has null there; a broken record ra
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..sources.storage import store
 from .common import materialise, new_path, table
 
 FORMAT = "patchwright_warc"
@@ -52,15 +54,6 @@ HEADERS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def store(path: str):
-    """(filesystem, path in it) of a folder."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 class Members:
     """The uncompressed bytes of a gzip (of one or many members) or plain file, read forward; memory is one block."""
 
@@ -110,6 +103,85 @@ class Members:
         return b"".join(got) if keep else None
 
 
+#: The subfield of a gzip header that holds its member's whole length, and the bytes in front of the deflated data.
+SUBFIELD, FRONT = b"PW", 24
+READ, STEP = 1 << 16, 2048
+
+
+def pack(data: bytes, level: int = 3) -> bytes:
+    """A gzip member that names its own length, which any reader of gzip passes over."""
+    engine = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = engine.compress(data) + engine.flush()
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    front = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + SUBFIELD + struct.pack("<HQ", 8, FRONT + len(body) + len(tail))
+    return front + body + tail
+
+
+class Seeking:
+    """The records of a file of such members: a head is inflated in small steps, and what is not wanted is never read or inflated."""
+
+    def __init__(self, raw, size: int) -> None:
+        self.raw, self.size, self.start, self.held, self.inflated = raw, size, 0, b"", 0
+
+    def view(self, at: int, n: int) -> bytes:
+        """n bytes from a place, or what there is; of one read ahead if they are in it."""
+        if not (self.start <= at and at + n <= self.start + len(self.held)):
+            self.raw.seek(at)
+            self.start, self.held = at, self.raw.read(min(max(n, READ), self.size - at))
+        return self.held[at - self.start : at - self.start + n]
+
+    def length(self, at: int) -> int | None:
+        """The length of the member that begins here, if it names it."""
+        front = self.view(at, FRONT)
+        known = len(front) == FRONT and front[:4] == b"\x1f\x8b\x08\x04" and front[10:16] == struct.pack("<H", 12) + SUBFIELD + struct.pack("<H", 8)
+        return struct.unpack("<Q", front[16:])[0] if known else None
+
+    def member(self, at: int, n: int, wanted) -> tuple[dict[str, str], bytes | None] | None:
+        """(headers, payload) of the member; wanted(headers) tells whether the payload is inflated."""
+        engine, place, end, data, rest = zlib.decompressobj(31), at, at + n, b"", b""
+        while (stop := data.find(b"\r\n\r\n")) < 0:
+            if not rest:
+                if place >= end:
+                    raise ValueError("broken WARC record: no end of its headers")
+                rest = self.view(place, min(STEP, end - place))
+                place += len(rest)
+                if not rest:
+                    raise ValueError("broken WARC record: short file")
+            more = engine.decompress(rest, STEP)
+            rest, data = engine.unconsumed_tail, data + more
+            self.inflated += len(more)
+        h = headers_of(data[:stop])
+        if not wanted(h):
+            return h, None
+        parts = [data[stop + 4 :]]
+        for block in (rest, self.view(place, end - place)):
+            parts.append(engine.decompress(block))
+            self.inflated += len(parts[-1])
+        payload, size = b"".join(parts), int(h["content-length"])
+        if len(payload) != size + 4:
+            raise ValueError("broken WARC record: short payload")
+        return h, payload[:size]
+
+
+def records_of(raw, size: int, packed: bool, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload if wanted) of all records of a file. From the first member on that does not name its length, as in files of other writers, all bytes are inflated."""
+    at = 0
+    if packed:
+        ahead = Seeking(raw, size)
+        while at < size and (n := ahead.length(at)) is not None:
+            yield ahead.member(at, n, wanted)
+            at += n
+        if at >= size:
+            return
+    raw.seek(at)
+    members = Members(raw, packed)
+    while (head := members.head()) is not None:
+        h = headers_of(head)
+        payload = members.take(int(h["content-length"]), keep=wanted(h))
+        members.take(4, keep=False)
+        yield h, payload
+
+
 def headers_of(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -164,17 +236,15 @@ class WarcReader(DataSourceReader):
         where, _ = store(self.options["path"])
         names = [HEADERS.get(n, "").lower() for n in self.names]
         whole = "payload" in self.names
+
+        def fits(h: dict[str, str]) -> bool:
+            return all(value_of(n, h.get(HEADERS[n].lower())) in v for n, v in self.wanted.items())
+
         for path in partition.paths:
-            with where.open_input_stream(path, compression=None) as raw:
-                members = Members(raw, path.endswith(".gz"))
-                while (head := members.head()) is not None:
-                    h = headers_of(head)
-                    row = {n: value_of(n, h.get(x)) for n, x in zip(self.names, names, strict=True) if x}
-                    fits = all((row[n] if n in row else value_of(n, h.get(HEADERS[n].lower()))) in v for n, v in self.wanted.items())
-                    payload = members.take(int(h["content-length"]), keep=fits and whole)
-                    members.take(4, keep=False)
-                    if fits:
-                        yield tuple(payload if n == "payload" else row[n] for n in self.names)
+            with where.open_input_file(path) as raw:
+                for h, payload in records_of(raw, raw.size(), path.endswith(".gz"), lambda h: whole and fits(h)):
+                    if payload is not None or fits(h):
+                        yield tuple(payload if n == "payload" else value_of(n, h.get(x)) for n, x in zip(self.names, names, strict=True))
 
 
 def value_of(name: str, text: str | None):
@@ -207,7 +277,7 @@ class WarcWriter(DataSourceWriter):
                         out.close()
                     done.append(f"part-{task.partitionId():05d}-{len(done):03d}-{self.job}-{task.taskAttemptId()}.warc.gz")
                     out, n, size = where.open_output_stream(f"{base}/{done[-1]}", compression=None), 0, 0
-                packed = gzip.compress(record(row.asDict()), 3, mtime=0)
+                packed = pack(record(row.asDict()))
                 out.write(packed)
                 n, size = n + 1, size + len(packed)
         finally:
@@ -322,12 +392,9 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, **opt
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(records(table(spark, sf_dir, "pages")), path)
-    seen = read(spark, path, ["record_type", "payload_digest", "payload_bytes", "page_id", "refers_to", "payload"])
-    own = F.col("record_type") == "response"  # of a response the figures of the payload that is there, of a revisit its headers'
-    return seen.select(
-        "page_id",
-        F.when(own, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(own, digest(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        F.when(~own, F.substring_index("refers_to", ":", -1).cast("bigint")).alias("refers_to"),
-    )
+    # responses with their payloads, revisits by their headers alone: both filters reach the reader
+    found = read(spark, path, ["record_type", "page_id", "payload"]).where("record_type = 'response'")
+    again = read(spark, path, ["record_type", "payload_digest", "payload_bytes", "page_id", "refers_to"]).where("record_type = 'revisit'")
+    none = F.lit(None).cast("bigint").alias("refers_to")
+    responses = found.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), digest(F.col("payload")).alias("payload_digest"), "record_type", none)
+    return responses.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", F.substring_index("refers_to", ":", -1).cast("bigint").alias("refers_to")))

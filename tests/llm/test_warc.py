@@ -1,5 +1,8 @@
 import base64
 import gzip
+import io
+import random
+import zlib
 import hashlib
 import os
 
@@ -91,3 +94,48 @@ def test_the_query_counts_each_page_once(spark, tmp_path):
     out = warc.op1(spark, str(tmp_path)).collect()
     got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in out}
     assert len(out) == 9 and got == {i: ("response", None) if i >= 6 else ("revisit", 6 + i % 3) for i in range(9)}
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.file, self.got = io.BytesIO(data), 0
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, n=-1):
+        data = self.file.read(n)
+        self.got += len(data)
+        return data
+
+
+def test_unwanted_payloads_are_neither_read_nor_inflated():
+    noise = random.Random(5)
+    rows = [{"record_type": "revisit" if k % 10 == 0 else "response", "page_id": k, "payload": b"" if k % 10 == 0 else noise.randbytes(300_000)} for k in range(40)]
+    data = b"".join(warc.pack(warc.record(r)) for r in rows)
+    assert gzip.decompress(data) == b"".join(map(warc.record, rows))  # any reader of gzip reads it
+    heads = sum(len(warc.record(r)) - len(r["payload"]) for r in rows)
+    raw = Counted(data)
+    ahead, at, found = warc.Seeking(raw, len(data)), 0, []
+    while at < len(data):
+        n = ahead.length(at)
+        h, payload = ahead.member(at, n, lambda h: False)
+        assert payload is None
+        found.append(int(h["x-page-id"]))
+        at += n
+    assert found == list(range(40))
+    assert heads <= ahead.inflated <= heads + 40 * warc.STEP
+    assert raw.got <= 40 * warc.READ < len(data) / 4
+    kept = list(warc.records_of(Counted(data), len(data), True, lambda h: h["warc-type"] == "response"))
+    assert [p for _, p in kept] == [None if k % 10 == 0 else r["payload"] for k, r in enumerate(rows)]
+
+
+def test_own_and_other_members_in_one_file():
+    own, other = warc.record({"record_type": "response", "page_id": 1, "payload": b"x" * 5000}), warc.record({"record_type": "response", "page_id": 2, "payload": b"y" * 70})
+    data = warc.pack(own) + gzip.compress(other) + warc.pack(own)
+    assert [p for _, p in warc.records_of(io.BytesIO(data), len(data), True, lambda h: True)] == [b"x" * 5000, b"y" * 70, b"x" * 5000]
+    for cut in (len(data) - 30, 40):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records_of(io.BytesIO(data[:cut]), cut, True, lambda h: True))
