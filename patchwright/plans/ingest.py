@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,6 +98,41 @@ def archive_bands(spark, sf):
     return cells.groupBy("patch_id", "band").agg(F.min(F.col("v").cast("double")).alias("low"), F.max(F.col("v").cast("double")).alias("high"), F.count("*").alias("cells"))
 
 
+def write_files(members: DataFrame, root: str) -> None:
+    """Each row (path, content) as a file of its own under the root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = archive.store(root)
+        n = 0
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where.create_dir(f"{base}/{path.rpartition('/')[0]}", recursive=True)
+                with where.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(body)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    members.select("path", "content").mapInArrow(run, "n bigint").collect()  # a row a task
+
+
+@query("""WITH v AS (SELECT vec_id, embedding, b.band, b.k, CASE WHEN (vec_id + k) % 5 = 0 THEN 'missing' WHEN (vec_id + k) % 7 = 0 THEN 'damaged' WHEN (vec_id + k) % 3 = 0 THEN 'fallback' ELSE 'named' END AS status FROM embeddings, (VALUES ('B02', 0), ('B8A', 1), ('B11', 2)) b(band, k)),
+c AS (SELECT band, status, vec_id, unnest(embedding) AS x, k FROM v)
+SELECT band, status, count(DISTINCT vec_id) AS n, count(*) AS n_values, sum(CASE WHEN status IN ('missing', 'damaged') THEN 0 ELSE round(x::DOUBLE * 1000) + 2000 + k END)::BIGINT AS total FROM c GROUP BY 1, 2""")
+def band_files(spark, sf):
+    """Bands of all embeddings as single files, some under the second name, damaged or missing: by band and status the images, their cells (zeros where there is none) and sum."""
+    where = F.substring_index("path", "/", -2)
+    k = F.when(F.col("path").contains("_B02"), 0).when(F.col("path").contains("_B8A"), 1).otherwise(2)
+    member = F.regexp_extract("path", r"patch(\d+)_", 1).cast("bigint") + k
+    second = F.concat(F.substring_index(where, "/", 1), F.lit("/"), F.substring_index("path", "_", -1))
+    own = band_members(spark, sf).where(member % 5 != 0).select(F.when((member % 7 != 0) & (member % 3 == 0), second).otherwise(where).alias("path"), F.when(member % 7 == 0, F.lit(b"II*")).otherwise(F.col("content")).alias("content"))
+    root = new_path(spark, "bands")
+    write_files(own, root)
+    patches = table(spark, sf, "embeddings").select(F.concat(F.lit("patch"), F.col("vec_id").cast("string")).alias("patch_id"))
+    values = F.aggregate("image.values", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    out = tiff.bands(spark, root, patches, BANDS, zero_fill=8)
+    return out.groupBy("band", "status").agg(F.count("*").alias("n"), F.sum(F.size("image.values")).cast("bigint").alias("n_values"), F.sum(values).alias("total"))
+
+
 @query("""WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y%m%d') AS user_day FROM events), k AS (SELECT count(DISTINCT event_type) AS n, max(ts) AS now FROM events),
 l AS (SELECT user_day, event_type, max({'ts': ts, 'id': event_id}) AS m, min(ts) AS t0 FROM e GROUP BY 1, 2),
 u AS (SELECT user_day, count(*) AS n, min(t0) AS t0, string_agg(event_type || '=' || m.id, ',' ORDER BY event_type) AS members, list(event_type) AS have FROM l GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,25 @@ def decode_column(content: Column, zero_fill: int | None = None) -> Column:
 def files(spark, path: str, band_glob: str = "*.tif") -> DataFrame:
     """Unpacked rasters: path and content of the files of the wanted bands."""
     return spark.read.format("binaryFile").option("pathGlobFilter", band_glob).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def bands(spark, path: str, patches: DataFrame, wanted: Sequence[str], zero_fill: int | None = None) -> DataFrame:
+    """(patch_id, band, status, image) of every wanted band of every patch (column patch_id) from <path>/<patch>/<patch>_<band>.tif, or else <path>/<patch>/<band>.tif.
+
+    status: `named`, `fallback` (by the second name), `damaged` (no readable raster) or `missing` (no file): what fails is a row as well.
+    With zero_fill, images of the last two are zero_fill^2 zeros, and the status still says so; else they are null."""
+    part = lambda k: F.element_at(F.split("path", "/"), -k)
+    found = files(spark, path).select(part(2).alias("patch"), F.regexp_replace(part(1), r"\.tif$", "").alias("stem"), "content")
+    own = F.col("stem") == F.concat_ws("_", "patch", F.substring_index("stem", "_", -1))
+    band = F.when(own, F.substring_index("stem", "_", -1)).otherwise(F.col("stem"))
+    found = found.select("patch", band.alias("b"), own.alias("own"), "content").where(F.col("b").isin(list(wanted)))
+    best = found.groupBy("patch", "b").agg(F.max_by(F.struct("own", "content"), F.col("own")).alias("file"))  # at most two files
+    cells = patches.select(F.col("patch_id").cast("string").alias("patch_id")).distinct().select("patch_id", F.explode(F.array(*map(F.lit, wanted))).alias("band"))
+    joined = cells.join(best, (F.col("patch_id") == F.col("patch")) & (F.col("band") == F.col("b")), "left")
+    image = joined.select("patch_id", "band", F.col("file.own").alias("own"), F.col("file").isNotNull().alias("there"), decode_column(F.col("file.content")).alias("image"))
+    status = F.when(~F.col("there"), "missing").when(F.col("image").isNull(), "damaged").when(F.col("own"), "named").otherwise("fallback")
+    out = image.select("patch_id", "band", status.alias("status"), "image")
+    if zero_fill is None:
+        return out
+    zeros = F.struct(F.lit(zero_fill).alias("height"), F.lit(zero_fill).alias("width"), F.array_repeat(F.lit(0), zero_fill**2).alias("values"))
+    return out.withColumn("image", F.coalesce("image", zeros))

@@ -94,3 +94,25 @@ def test_stream_goes_on_at_its_offset(spark, tmp_path):
     build(f"{source}/a.tar.zst", 10)  # a later arrival of an earlier name
     assert run() == sorted([("b.tar.zst", m[0]) for m in members(30)] + [("a.tar.zst", m[0]) for m in members(10)])
     assert len(run()) == 40
+
+
+def test_bands_by_either_name_and_what_is_lost(spark, tmp_path):
+    import numpy as np
+
+    from patchwright.sources import tiff
+
+    def put(name, data):
+        LOCAL.create_dir(f"{tmp_path}/bands/{name.rpartition('/')[0]}")
+        open(f"{tmp_path}/bands/{name}", "wb").write(data)
+
+    one, two = (tiff.encode(np.full((2, 3), k, np.uint16)) for k in (1, 2))
+    put("p/p_B02.tif", one)
+    put("p/B02.tif", two)
+    put("p/B03.tif", two)
+    put("q/q_B02.tif", b"II*")
+    put("other/B02.tif", one)
+    patches = spark.createDataFrame([("p",), ("p",), ("q",), (None,)], "patch_id string")
+    for fill in (None, 2):
+        got = {(r.patch_id, r.band): (r.status, r.image and list(r.image["values"])) for r in tiff.bands(spark, f"{tmp_path}/bands", patches, ["B02", "B03"], fill).collect()}
+        none = [0] * 4 if fill else None
+        assert got == {("p", "B02"): ("named", [1] * 6), ("p", "B03"): ("fallback", [2] * 6), ("q", "B02"): ("damaged", none), ("q", "B03"): ("missing", none), (None, "B02"): ("missing", none), (None, "B03"): ("missing", none)}
