@@ -1,9 +1,9 @@
 """LM scoring: cross-entropy difference of matched n-gram models, each document left out of its own.
 
 Tokens are words as they are written, runs of marks and line breaks. Two bigram models, one of the target
-documents and one of all documents (background), share one vocabulary: the WORDS tokens of most documents, one
-symbol for the others of each shape (capitals, digits, marks), one for a text's begin. They are matched in
-vocabulary, smoothing and size. With background counts scaled to the target's tokens, b(.), and the target's t(.):
+documents and one of all documents (background), share one vocabulary: every token of every document, a symbol for a
+text's begin, and SPARE symbols that none has. They are matched in vocabulary, smoothing and size. With background
+counts scaled to the target's tokens, b(.), and the target's t(.):
 
     background: c = (1 + MIX) * b        target: c = t + MIX * b
     P(w)   = (c(w) + 1) / (N + vocabulary)
@@ -15,17 +15,19 @@ in the smaller target would count as if it were absent from it.
 Counts come from every document, less the scored document's own (of the target's, if it is one). A document's
 score is its mean loss per token under the target model less that under the background model, in nats: low is target-like.
 
-How it runs: words are counted, and the vocabulary comes to the driver (WORDS rows). Each task takes its texts in chunks
-of about CHUNK tokens and sends the different bigrams of each document, packed, to slots by bigram; the number of slots
-follows the tokens. A slot adds up its bigrams and scores them, and each chunk gets its sums back. So all that is gathered
-grows with the input, the text itself is not shuffled, and a slot or chunk holds a fixed number of bigrams.
-Bigrams that many documents have would fill one slot: those of HOT or more documents among SAMPLE are counted by the tasks
-and scored in place, at most SAMPLE * (mean different bigrams) / HOT of them. That list decides where a bigram
-is counted, not how.
+How it runs: texts are tokenised once and written as chunks of about CHUNK tokens: the chunk's different words as 64-bit
+hashes, and each token as a place among them. A chunk asks for the counts of its words and bigrams (grams), which are
+64-bit keys: one row per chunk and gram, less than tokens, with what the chunk itself has of it. Spark adds up
+each key's rows, and the sums of grams that another chunk has too go back to the chunks that asked. So rows grow with the input
+and not with chunks times partitions; no list of words or counts comes to the driver or into one task. A key has as many rows as
+chunks have it, whatever its documents.
+Grams that many documents have (HOT or more among about SAMPLE) are counted by the tasks, without rows per chunk: at most
+SAMPLE * (mean different grams of a document) / HOT of them, however large the input. That list decides where a gram is
+counted, not how.
 
 Defined cases: null or wordless texts have no tokens and score 0; without a target all scores are 0; of
 several labels of a doc_id any of quality 1 makes it target; a null doc_id is never target; repeated rows count and come
-back as often as they came; other columns are ignored.
+back as often as they came; other columns are ignored. Two different grams may share a key with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -36,261 +38,216 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, small_batches, table, text_key
-from .textops import SHAPES, blocks, mix, token_hashes
+from .common import bounded, materialise, small_batches, table
+from .textops import blocks, mix, token_hashes
 
-BEGIN = SHAPES  # symbols: the shapes of unknown tokens, a text's begin, then the words
-WORDS, PRIOR, MIX = (1 << 16) - BEGIN - 1, 100.0, 1.0
-CHUNK, SLOT, SAMPLE, HOT = 800_000, 800_000, 5_000, 10
+SPARE, PRIOR, MIX = 9, 100.0, 1.0
+CHUNK, SAMPLE, HOT = 800_000, 5_000, 10
+BEGIN = np.uint64(0x6A09E667F3BCC908)  # the hash of a text's begin
+LOW = np.uint64((1 << 32) - 1)
+TOKENS = "chunk bigint, n_tokens bigint, n_target bigint, ids array<bigint>, targets array<boolean>, sizes array<bigint>, words binary, places binary"
+ROWS = 1 << 16
 
 
-@dataclass
-class Chunk:
-    """Some documents of a task: the word hashes of all, the bounds of each, ids and marks."""
-
-    number: int
-    ids: list = field(default_factory=list)
-    target: list = field(default_factory=list)
-    hashes: list = field(default_factory=list)
-    sizes: list = field(default_factory=list)
-
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, document, target mark of the document) of each word."""
-        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
-        doc = np.repeat(np.arange(len(self.ids)), np.concatenate(self.sizes) if self.sizes else 0)
-        return h, doc, np.array(self.target, bool)[doc]
-
-
-def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
-    """Of batches of (doc_id, text, is_target)."""
-    part, seen, n = TaskContext.get().partitionId(), 0, 0
-    chunk = Chunk(part << 32)
+def tokenised(marked: DataFrame, chunk: int) -> DataFrame:
+    """(doc_id, text, is_target) as written chunks: documents with their sizes, the different words and each token's place among them."""
+
+    def batch_of(number: int, ids: list, targets: list, hashes: list, sizes: list) -> pa.RecordBatch:
+        words, places = np.unique(np.concatenate(hashes), return_inverse=True)
+        size = np.concatenate(sizes)
+        of_target = int(size[np.array(targets, bool)].sum())
+        row = (number, len(places), of_target, ids, targets, size, words.tobytes(), places.astype(np.uint32).tobytes())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in TOKENS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, held = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
+        for batch in batches:
+            ids, targets = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, j, h, bounds in blocks(batch.column(1), token_hashes):
+                held[0].extend(ids[i:j])
+                held[1].extend(targets[i:j])
+                held[2].append(h)
+                held[3].append(np.diff(bounds))
+                n += len(h)
+                if n >= chunk:
+                    yield batch_of(number, *held)
+                    number, n, held = number + 1, 0, ([], [], [], [])
+        if held[0]:
+            yield batch_of(number, *held)
+
+    return materialise(marked.mapInArrow(run, TOKENS), "tokens")
+
+
+class Grams:
+    """The words (the last one is the begin) and bigrams of a chunk, or of some of its documents.
+
+    keys: of all words, then of all bigrams; sums: tokens of each by model (background, target); docs: the documents of each.
+    Entries are the different bigrams of each document: doc, pair (among bigrams), n (times), nv and nw (tokens of
+    the first and second word in the document)."""
+
+    def __init__(self, row: dict, some: np.ndarray | None = None):
+        sizes, target = np.array(row["sizes"], np.int64), np.array(row["targets"], bool)
+        w = np.frombuffer(row["places"], np.uint32).astype(np.uint64)
+        if some is not None:
+            w = w[np.repeat(some, sizes)]
+            sizes, target = sizes[some], target[some]
+        words = np.append(np.frombuffer(row["words"], np.uint64), BEGIN)
+        begin, full = np.uint64(len(words) - 1), np.flatnonzero(sizes)
+        high = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32)
+        v = np.roll(w, 1)
+        v[(np.cumsum(sizes) - sizes)[full]] = begin
+        pairs, place = np.unique((v << np.uint64(32)) | w, return_inverse=True)
+        self.first, self.second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & LOW).astype(np.int64)
+        self.n_words, self.n_docs = len(words), len(sizes)
+        self.keys = np.concatenate([words, mix(mix(words[self.first]) * np.uint64(3) + words[self.second])])
+        each, self.n = np.unique(high | place.astype(np.uint64), return_counts=True)
+        self.doc, self.pair = (each >> np.uint64(32)).astype(np.int64), (each & LOW).astype(np.int64)
+        own, of = np.unique(np.concatenate([high | w, (full.astype(np.uint64) << np.uint64(32)) | begin]), return_counts=True)
+        self.target = target[self.doc].astype(np.int64)
+        of_doc = each & ~LOW
+        self.nv, self.nw = (of[np.searchsorted(own, of_doc | x[self.pair].astype(np.uint64))] for x in (self.first, self.second))
+        word, marked = (own & LOW).astype(np.int64), target[(own >> np.uint64(32)).astype(np.int64)]
+        two = ((word, of, marked, len(words)), (self.pair, self.n, self.target, len(pairs)))
+        self.sums = np.stack([np.concatenate([np.bincount(at, n * m, k) for at, n, m, k in two]) for two in ([(a, n, 1, k) for a, n, _, k in two], two)])
+        self.docs = np.concatenate([np.bincount(at, minlength=k) for at, _, _, k in two])
+
+
+def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Grams]]:
     for batch in batches:
-        ids, target = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for i, j, h, bounds in blocks(batch.column(1), token_hashes):
-            chunk.ids += ids[i:j]
-            chunk.target += target[i:j]
-            chunk.hashes.append(h)
-            chunk.sizes.append(np.diff(bounds))
-            n += len(h)
-            if n >= size:
-                yield chunk
-                seen, n = seen + 1, 0
-                chunk = Chunk((part << 32) + seen)
-    if chunk.ids:
-        yield chunk
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row["chunk"], Grams(row)
 
 
-@dataclass
-class Vocabulary:
-    """Sorted word hashes with their symbols; by symbol the tokens of the background and of the target."""
-
-    hashes: np.ndarray
-    symbols: np.ndarray
-    counts: np.ndarray  # 2 x symbols
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
-    hot_counts: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-
-    def symbols_of(self, h: np.ndarray) -> np.ndarray:
-        unknown = (h % np.uint64(SHAPES)).astype(np.uint32)
-        if not len(self.hashes):
-            return unknown
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.symbols[at], unknown).astype(np.uint32)
-
-    def is_hot(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hot, key), max(len(self.hot) - 1, 0))
-        return at, (self.hot[at] == key) if len(self.hot) else np.zeros(len(key), bool)
-
-
-def bigrams(words: tuple[np.ndarray, np.ndarray, np.ndarray], voc: Vocabulary) -> tuple[np.ndarray, ...]:
-    """The different bigrams of each document: (key, document, times, tokens of the first word in the document, of the second)."""
-    h, doc, _ = words
-    if not len(h):
-        return np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(4))
-    w = voc.symbols_of(h)
-    v = np.concatenate([[BEGIN], w[:-1]]).astype(np.uint32)
-    v[np.flatnonzero(np.diff(doc, prepend=-1))] = BEGIN
-    d = doc.astype(np.uint64)
-    each, n = np.unique((d << np.uint64(32)) | (v.astype(np.uint64) << np.uint64(16)) | w, return_counts=True)
-    own, of_word = np.unique((d << np.uint64(16)) | w, return_counts=True)
-    at, key = each >> np.uint64(32), (each & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-    def tokens(symbol: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(own, (at << np.uint64(16)) | symbol), len(own) - 1)
-        return np.where(symbol == BEGIN, 1, of_word[k])
-
-    return key, at.astype(np.int64), n, tokens(key >> np.uint32(16)), tokens(key & np.uint32(0xFFFF))
-
-
-def losses(key: np.ndarray, n: np.ndarray, nv: np.ndarray, nw: np.ndarray, target: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Per entry: loss under the target model less that under the background model, n times. pair: counts of the key by model, word: by symbol."""
-    v, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
-    tokens = word.sum(axis=1) - word[:, BEGIN]
-    scale = tokens[1] / tokens[0]
-    p = []
-    for rate, share in (((1 + MIX) * scale, 0.0), (MIX * scale, 1.0)):
-        count = lambda c, own: rate * (c[0] - own) + share * (c[1] - target * own)  # noqa: B023, E731
-        one = (count(word[:, w], nw) + 1) / ((1 + MIX) * tokens[1] + word.shape[1])
-        p.append((count(pair, n) + PRIOR * one) / (count(word[:, v], nv) + PRIOR))
-    return n * np.log(p[0] / p[1])
-
-
-def vocabulary(marked: DataFrame, words: int = WORDS, chunk: int = CHUNK) -> Vocabulary:
-    """The words of most documents, with token counts of both models; counts of all words merge per chunk before the shuffle."""
-    schema = "word bigint, docs bigint, background bigint, target bigint"
+def columns(**cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of bigint columns."""
+    whole = {name: np.ascontiguousarray(c).astype(np.int64) for name, c in cols.items()}
+    for k in range(0, len(next(iter(whole.values()))), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in whole.values()], names=[*whole])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, chunk):
-            h, doc, mark = c.words()
-            word, at, n = np.unique(h, return_inverse=True, return_counts=True)
-            held = np.unique((doc.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-            docs, target = np.bincount(held.astype(np.int64), minlength=len(word)), np.bincount(at, mark, len(word)).astype(np.int64)
-            # a row without a word: the documents, for the begin of a text
-            full = np.unique(doc)
-            word, cols = np.append(word.view(np.int64), 0), (np.append(docs, -1), np.append(n, len(full)), np.append(target, np.array(c.target, bool)[full].sum()))
-            for k in range(0, len(word), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].astype(np.int64)) for x in (word, *cols)], names=["word", "docs", "background", "target"])
-
-    part = marked.mapInArrow(run, schema)
-    sums = [F.sum(c).alias(c) for c in ("docs", "background", "target")]
-    counted = materialise(part.groupBy("word", (F.col("docs") > 0).alias("is_word")).agg(*sums), "word-counts")
-    top = counted.where("is_word").orderBy(F.desc("docs"), "word").limit(words)
-    top = top.select("word", "background", "target").toArrow()
-    word, background, target = (top.column(k).to_numpy() for k in range(3))
-    counts = np.zeros((2, len(word) + BEGIN + 1))
-    counts[:, BEGIN + 1 :] = background, target
-    of_shape = counted.groupBy("is_word", F.pmod("word", F.lit(SHAPES)).cast("int").alias("shape")).agg(*sums[1:])
-    for r in of_shape.collect():  # tokens of each shape, and the begun texts
-        counts[:, r["shape"] if r["is_word"] else BEGIN] = r["background"], r["target"]
-    shape = (word.view(np.uint64) % np.uint64(SHAPES)).astype(np.int64)
-    for m in (0, 1):
-        counts[m, :SHAPES] -= np.bincount(shape, counts[m, BEGIN + 1 :], SHAPES)
-    order = np.argsort(word.view(np.uint64))
-    return Vocabulary(word.view(np.uint64)[order], (order + BEGIN + 1).astype(np.uint32), counts)
-
-
-def find_hot(marked: DataFrame, voc: Vocabulary, sample: int, hot: int, chunk: int) -> np.ndarray:
-    """The bigrams that at least `hot` of about `sample` documents have; marked: with the column h."""
-    shared = marked.sparkSession.sparkContext.broadcast(voc)
+
+@dataclass
+class Model:
+    """Tokens of the background and of the target, the vocabulary's size; sorted keys of hot grams and their sums by model."""
+
+    tokens: tuple[int, int]
+    vocabulary: int
+    hot: np.ndarray
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the hot grams, whether it is one) of each key."""
+        at = np.minimum(np.searchsorted(self.hot, keys), max(len(self.hot) - 1, 0))
+        return at, (self.hot[at] == keys) if len(self.hot) else np.zeros(len(keys), bool)
+
+    def scores(self, g: Grams, sums: np.ndarray) -> np.ndarray:
+        """Per document the loss under the target model less that under the background model. sums: by model and gram, over all documents."""
+        scale, pair = self.tokens[1] / max(self.tokens[0], 1), g.n_words + g.pair
+        v, w = g.first[g.pair], g.second[g.pair]
+        p = []
+        for rate, share in (((1 + MIX) * scale, 0.0), (MIX * scale, 1.0)):
+            count = lambda at, own: rate * (sums[0, at] - own) + share * (sums[1, at] - g.target * own)  # noqa: B023, E731
+            one = (count(w, g.nw) + 1) / ((1 + MIX) * self.tokens[1] + self.vocabulary)
+            p.append((count(pair, g.n) + PRIOR * one) / (count(v, g.nv) + PRIOR))
+        return np.bincount(g.doc, g.n * np.log(p[0] / p[1]), g.n_docs)
+
+
+def find_hot(tokens: DataFrame, documents: int, sample: int, hot: int) -> np.ndarray:
+    """The grams that at least `hot` of about `sample` documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, chunk):
-            key, docs = np.unique(bigrams(c.words(), shared.value)[0], return_counts=True)
-            for k in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)].astype(np.int64)) for x in (key, docs)], names=["key", "docs"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                number = mix(np.array([row["chunk"]], np.uint64)) + np.arange(len(row["ids"]), dtype=np.uint64)
+                g = Grams(row, mix(number) % np.uint64(max(documents, 1)) < sample)
+                some = np.flatnonzero(g.docs)
+                yield from columns(key=g.keys[some].view(np.int64), docs=g.docs[some])
 
-    n = max(1, marked.count())
-    some = marked.where(F.pmod("h", F.lit(n)) < sample).select("doc_id", "text", "is_target")
-    found = some.mapInArrow(run, "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= hot)
-    return np.sort(found.select("key").toArrow().column(0).to_numpy()).astype(np.uint32)
+    found = tokens.mapInArrow(run, "key bigint, docs bigint").groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= hot)
+    return np.sort(found.select("key").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def count_hot(marked: DataFrame, voc: Vocabulary, chunk: int) -> np.ndarray:
-    """Counts of the hot bigrams by model: each task adds up its own."""
-    shared = marked.sparkSession.sparkContext.broadcast(voc)
+def count_hot(tokens: DataFrame, shared) -> np.ndarray:
+    """Sums of the hot grams by model: each task adds up its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, len(shared.value.hot)))
-        for c in chunks(batches, chunk):
-            key, doc, n, _, _ = bigrams(c.words(), shared.value)
-            at, is_hot = shared.value.is_hot(key)
-            for m, mark in enumerate((np.ones(len(c.ids)), np.array(c.target, float))):
-                sums[m] += np.bincount(at[is_hot], (n * mark[doc])[is_hot], sums.shape[1])
+        for _, g in grams(batches):
+            at, is_hot = shared.value.places(g.keys)
+            sums[:, at[is_hot]] += g.sums[:, is_hot]
         some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (some, sums[0, some], sums[1, some])], names=["at", "background", "target"])
+        yield from columns(at=some, background=sums[0, some], target=sums[1, some])
 
-    out = np.zeros((2, len(voc.hot)))
-    if len(voc.hot):
-        got = marked.mapInArrow(run, "at bigint, background bigint, target bigint").groupBy("at").agg(F.sum("background"), F.sum("target")).toArrow()
+    out = np.zeros((2, len(shared.value.hot)))
+    if len(shared.value.hot):
+        got = tokens.mapInArrow(run, "at bigint, background bigint, target bigint").groupBy("at").agg(F.sum("background"), F.sum("target")).toArrow()
         out[:, got.column(0).to_numpy()] = got.column(1).to_numpy(), got.column(2).to_numpy()
     return out
 
 
-PACKED = "slot int, chunk bigint, entries binary, ids array<bigint>, n_tokens array<bigint>, sums array<double>"
+def count_words(tokens: DataFrame) -> int:
+    """Different words of all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0):
+                yield from columns(word=np.frombuffer(words.as_py(), np.int64))
+
+    return tokens.select("words").mapInArrow(run, "word bigint").distinct().count()
+
+
+def asked(tokens: DataFrame, shared) -> DataFrame:
+    """One row per chunk and gram that is not hot: its key, its place in the chunk and what the chunk has of it by model."""
 
-def send(voc, slots: int, chunk: int):
-    """Per chunk a row of entries for each slot, and one of its documents with the sums of their hot bigrams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, chunk):
-            words, target = c.words(), np.array(c.target, np.int64)
-            key, doc, n, nv, nw = bigrams(words, voc.value)
-            at, k = voc.value.is_hot(key)
-            own = np.zeros(len(c.ids))
-            if k.any():
-                own += np.bincount(doc[k], losses(key[k], n[k], nv[k], nw[k], target[doc[k]], voc.value.hot_counts[:, at[k]], voc.value.counts), len(own))
-            cold = np.flatnonzero(~k)
-            slot = (mix(key[cold].astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
-            order = cold[np.lexsort((key[cold], slot))]
-            present, cuts = np.unique(np.sort(slot), return_index=True)
-            packed = np.stack([key, (2 * doc + target[doc]).astype(np.uint32), n.astype(np.uint32), nv.astype(np.uint32), nw.astype(np.uint32)])
-            parts = np.split(order, cuts[1:])
-            rows = [(int(s), c.number, packed[:, k].tobytes(), None, None, None) for s, k in zip(present, parts, strict=False)]
-            sizes = np.bincount(words[1], minlength=len(c.ids))
-            rows.append((int(mix(np.array([c.number], np.uint64))[0] % np.uint64(slots)), c.number, None, c.ids, sizes.tolist(), own.tolist()))
-            for k in range(0, len(rows), 64):
-                yield batch_of(rows[k : k + 64])
+        for chunk, g in grams(batches):
+            cold = np.flatnonzero(~shared.value.places(g.keys)[1])
+            yield from columns(chunk=np.full(len(cold), chunk), place=cold, key=g.keys[cold].view(np.int64), background=g.sums[0, cold], target=g.sums[1, cold])
 
-    return run
+    return tokens.mapInArrow(run, "chunk bigint, place bigint, key bigint, background bigint, target bigint")
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
-
-
-def score_slot(voc):
-    """Adds up a slot's bigrams over all chunks and scores them: per chunk a row of documents (as entries) and their sums."""
-    def run(key, rows):
-        out, given = [], sorted(rows.to_pylist(), key=lambda r: (r["chunk"], r["entries"] is None))
-        packed = [np.frombuffer(r["entries"], np.uint32).reshape(5, -1) for r in given if r["entries"] is not None]
-        if packed:
-            k, at, n, nv, nw = np.concatenate(packed, axis=1)
-            doc, target, n, nv, nw = at >> np.uint32(1), (at & np.uint32(1)).astype(np.int64), n.astype(np.int64), nv.astype(np.int64), nw.astype(np.int64)
-            each, place = np.unique(k, return_inverse=True)
-            pair = np.stack([np.bincount(place, n, len(each)), np.bincount(place, n * target, len(each))])
-            loss = losses(k, n, nv, nw, target, pair[:, place], voc.value.counts)
-        start = 0
-        for r in given:
-            if r["entries"] is None:
-                out.append((r["slot"], r["chunk"], None, r["ids"], r["n_tokens"], r["sums"]))
-            else:
-                some = slice(start, start := start + len(r["entries"]) // 20)
-                docs, where = np.unique(doc[some], return_inverse=True)
-                out.append((r["slot"], r["chunk"], docs.astype(np.uint32).tobytes(), None, None, np.bincount(where, loss[some]).tolist()))
-        return pa.Table.from_batches([batch_of(out)])
+def answered(rows: DataFrame) -> DataFrame:
+    """The sums of all chunks for each row of a gram that more than one chunk has; the others' are the chunk's own."""
+    same = Window.partitionBy("key")
+    sums = rows.select("chunk", "place", F.count("*").over(same).alias("chunks"), *(F.sum(c).over(same).alias(c) for c in ("background", "target")))
+    return sums.where("chunks > 1").drop("chunks")
 
-    return run
 
+def score_chunk(shared):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        g, model = Grams(row), shared.value
+        at, is_hot = model.places(g.keys)
+        sums = g.sums.astype(np.float64)
+        sums[:, is_hot] = model.counts[:, at[is_hot]]
+        sums[:, right["place"].to_numpy()] = right["background"].to_numpy(), right["target"].to_numpy()
+        n = np.array(row["sizes"], np.int64)
+        score = model.scores(g, sums) / np.maximum(n, 1)
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(n), "score": pa.array(score)})
 
-def join_chunk(key, rows):
-    """The documents of a chunk with the sums of all slots."""
-    given = sorted(rows.to_pylist(), key=lambda r: (r["entries"] is not None, r["slot"]))
-    ids, n, total = given[0]["ids"], np.array(given[0]["n_tokens"]), np.array(given[0]["sums"])
-    for r in given[1:]:
-        total[np.frombuffer(r["entries"], np.uint32)] += r["sums"]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(total / np.maximum(n, 1))})
+    return run
 
 
-def scored(docs: DataFrame, target_ids: DataFrame, words: int = WORDS, chunk: int = CHUNK, slot: int = SLOT, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
+def scored(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, score. target_ids: doc_id of the target documents."""
     small_batches(docs.sparkSession)
     ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
     ids = bounded(materialise(ids, "target-ids"))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = plain.join(ids, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
-    voc = vocabulary(joined, words, chunk)
-    voc.hot = find_hot(joined.withColumn("h", F.xxhash64("doc_id", text_key("text"))), voc, sample, hot, chunk)
-    voc.hot_counts = count_hot(joined, voc, chunk)
-    slots = max(1, -(-int(voc.counts[0].sum()) // slot))
-    shared = docs.sparkSession.sparkContext.broadcast(voc)
-    sent = joined.mapInArrow(send(shared, slots, chunk), PACKED)
-    part = sent.groupBy("slot").applyInArrow(score_slot(shared), PACKED)
-    return part.groupBy("chunk").applyInArrow(join_chunk, "doc_id bigint, n_tokens bigint, score double")
+    tokens = tokenised(plain.join(ids, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target")), chunk)
+    sizes = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_target", F.size("ids")))).first()
+    model = Model((sizes[0], sizes[1]), count_words(tokens) + SPARE, find_hot(tokens, sizes[2], sample, hot))
+    share = docs.sparkSession.sparkContext.broadcast
+    model.counts = count_hot(tokens, share(model))
+    shared = share(model)
+    given = answered(asked(tokens, shared))
+    return tokens.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score_chunk(shared), "doc_id bigint, n_tokens bigint, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

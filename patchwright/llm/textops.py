@@ -82,26 +82,16 @@ _TOKEN_KIND = np.where(_IS_WORD, 1, 2).astype(np.uint8)
 _TOKEN_KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 0
 _TOKEN_KIND[0x0A] = 3
 _RAW_VALUE = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_UPPER = np.zeros(256, np.int64)
-_UPPER[65:91] = 1
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
-SHAPES = 8
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for tokens as they are written: words, runs of marks, runs of line breaks.
-
-    A hash's value modulo SHAPES is the token's shape: 0 marks, 1 line breaks, else 2 and more by capitals (none, one, several) and digits."""
+    """The same for tokens as they are written: words, runs of marks, runs of line breaks."""
     lo = int(offsets[0])
     b, off = data[lo : int(offsets[-1])], offsets - lo
     if not len(b):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    kind = _TOKEN_KIND[b]
-    s, e, h = _runs(b, off, kind, _RAW_VALUE)
-    within = lambda x: (t := np.concatenate([[0], np.cumsum(x[b])]))[e + 1] - t[s]
-    shape = np.where(kind[s] == 1, 2 + np.minimum(within(_UPPER), 2) + 3 * (within(_DIGIT) > 0), kind[s] == 3).astype(np.uint64)
-    return (h & ~np.uint64(SHAPES - 1)) | shape, np.searchsorted(s, off)
+    s, _, h = _runs(b, off, _TOKEN_KIND[b], _RAW_VALUE)
+    return h, np.searchsorted(s, off)
 
 
 def blocks(texts: pa.Array, hashes=word_hashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

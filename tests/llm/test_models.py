@@ -147,24 +147,16 @@ def plain_tokens(t):
     return re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+|\n+|[^0-9A-Za-z\x80-\U0010FFFF\s\x1c-\x1f]+(?:[\x1c-\x1f]+[^0-9A-Za-z\x80-\U0010FFFF\s\x1c-\x1f]*)*", t or "")
 
 
-def plain_shape(w):
-    if w[0] == "\n":
-        return 1
-    if not re.match(r"[0-9A-Za-z\x80-\U0010FFFF]", w):
-        return 0
-    return 2 + min(len(re.findall("[A-Z]", w)), 2) + 3 * bool(re.search("[0-9]", w))
-
-
-def plain_scores(docs, target, known=None):
-    """doc_id -> (tokens, score) by the formulas, over strings; known: the vocabulary (None: all tokens)."""
-    texts = [(i, [w if known is None or w in known else plain_shape(w) for w in plain_tokens(t)]) for i, t in docs]
+def plain_scores(docs, target):
+    """doc_id -> (tokens, score) by the formulas, over strings."""
+    texts = [(i, plain_tokens(t)) for i, t in docs]
     is_target = lambda i: i is not None and i in target
     models = []
     for some in (texts, [(i, x) for i, x in texts if is_target(i)]):
         one = Counter(w for _, x in some for w in ["begin", *x][: len(x) + 1 if x else 0])
         models.append((one, Counter(p for _, x in some for p in zip(["begin", *x], x, strict=False))))
     size, whole = (sum(m[0].values()) - m[0]["begin"] for m in (models[1], models[0]))
-    symbols = 9 + len({w for _, x in texts for w in x if isinstance(w, str)})
+    symbols = 9 + len({w for _, x in texts for w in x})
     scale = size / max(1, whole)
     out = []
     for i, x in texts:
@@ -194,28 +186,43 @@ def same(rows, want):
 
 def test_lm_scores_by_brute_force(spark, small, documents):
     target = {i for (i,) in duckdb.sql(f"SELECT doc_id FROM '{small}/labels.parquet' WHERE quality = 1").fetchall()}
-    assert len({w for t in documents.values() for w in plain_tokens(t)}) < lm_scoring.WORDS
     want = plain_scores(documents.items(), target)
     same(queries()["op8_lm_scoring"](spark, small).collect(), want)
     ids = spark.createDataFrame([(i,) for i in target], "doc_id bigint")
-    # the same in small chunks and slots, with many bigrams taken for hot ones, and with none
+    # the same in small chunks, with many grams taken for hot ones, and with none
     docs = table(spark, small, "documents")
-    same(lm_scoring.scored(docs, ids, chunk=3000, slot=2000, hot=2).collect(), want)
-    same(lm_scoring.scored(docs, ids, chunk=50000, slot=9000, hot=10**9).collect(), want)
+    same(lm_scoring.scored(docs, ids, chunk=3000, hot=2).collect(), want)
+    same(lm_scoring.scored(docs, ids, chunk=50000, hot=10**9).collect(), want)
 
 
-def test_lm_small_vocabulary_and_edge_cases(spark, odd):
+def test_lm_edge_cases(spark, odd):
     docs = [(1, "a b a b c"), (2, "a b, a d! E"), (3, None), (4, ""), (5, "b a c"), (5, "b a c"), (None, "a c")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     target = spark.createDataFrame([(1,), (5,), (9,), (None,)], "doc_id bigint")
     same(lm_scoring.scored(df, target).collect(), plain_scores(docs, {1, 5}))
-    same(lm_scoring.scored(df, target, words=3).collect(), plain_scores(docs, {1, 5}, {"a", "b", "c"}))
     shapes = [(1, "x Abc ABC a1 A1 AB12 !! \n\n é ÉA"), (2, "x y z"), (3, "x y"), (4, "y x")]
-    same(lm_scoring.scored(spark.createDataFrame(shapes, df.schema), target, words=2).collect(), plain_scores(shapes, {1, 5}, {"x", "y"}))
+    same(lm_scoring.scored(spark.createDataFrame(shapes, df.schema), target, chunk=2).collect(), plain_scores(shapes, {1, 5}))
     assert all(r["score"] == 0 for r in lm_scoring.scored(df, target.limit(0)).collect())
     assert len(lm_scoring.scored(odd, target).collect()) == 9 and lm_scoring.scored(odd.limit(0), target).count() == 0
 
 
+def test_lm_rows_follow_the_tokens(spark):
+    """What is shuffled: at most a row a chunk and gram; five times the input has about five times the rows, and rare words count as they are written."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', pmod(xxhash64(id, k), 40000)))) AS text").repartition(4)
+
+    def rows(some, copies):
+        tokens = lm_scoring.tokenised(some.selectExpr("doc_id", "text", "doc_id % 3 = 0 AS is_target"), 600)
+        model = lm_scoring.Model((1, 1), 1, np.zeros(0, np.uint64))
+        asked = lm_scoring.asked(tokens, spark.sparkContext.broadcast(model))
+        assert asked.groupBy("chunk", "place").count().where("count > 1").isEmpty()
+        assert lm_scoring.count_words(tokens) == some.selectExpr("explode(split(text, ' ')) AS w").distinct().count()
+        return asked.count() / (copies * 200 * 60)
+
+    one = rows(docs, 1)
+    five = rows(docs.unionByName(docs).unionByName(docs).unionByName(docs).unionByName(docs), 5)
+    assert one <= 2.1 and five <= 1.1 * one
+
+
 def test_lm_scores_tell_quality(spark):
     """Each document is left out of the models that score it, so the labels are not seen."""
     label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{MIDDLE}/labels.parquet'").fetchall())
