@@ -16,11 +16,12 @@ Counts come from every document, less the scored document's own (of the target's
 score is its mean loss per token under the target model less that under the background model, in nats: low is target-like.
 
 How it runs: texts are tokenised once and written as chunks of about CHUNK tokens: the chunk's different words as 64-bit
-hashes, and each token as a place among them. A chunk asks for the counts of its words and bigrams (grams), which are
-64-bit keys: one row per chunk and gram, less than tokens, with what the chunk itself has of it. Spark adds up
-each key's rows, and the sums of grams that another chunk has too go back to the chunks that asked. So rows grow with the input
-and not with chunks times partitions; no list of words or counts comes to the driver or into one task. A key has as many rows as
-chunks have it, whatever its documents.
+hashes, the most frequent first, and each token as a place among them. A chunk asks for the counts of its words and
+bigrams (grams), which are 64-bit keys: it sends each key with what the chunk itself has of it to the key's slot, a range
+of keys; the number of slots follows the tokens. A slot adds up its keys and answers each chunk with the sums of the grams that another chunk
+has too. So what is sent is one entry per chunk and gram, less than two a token, packed in rows by chunk and slot (at
+most a row an entry), and no list of words or counts comes to the driver or into one task. A key has as many
+entries as chunks have it, whatever its documents.
 Grams that many documents have (HOT or more among about SAMPLE) are counted by the tasks, without rows per chunk: at most
 SAMPLE * (mean different grams of a document) / HOT of them, however large the input. That list decides where a gram is
 counted, not how.
@@ -37,31 +38,50 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, materialise, small_batches, table
 from .textops import blocks, mix, token_hashes
 
 SPARE, PRIOR, MIX = 9, 100.0, 1.0
-CHUNK, SAMPLE, HOT = 800_000, 5_000, 10
+CHUNK, SLOT, SAMPLE, HOT = 800_000, 800_000, 5_000, 10
 BEGIN = np.uint64(0x6A09E667F3BCC908)  # the hash of a text's begin
 LOW = np.uint64((1 << 32) - 1)
 TOKENS = "chunk bigint, n_tokens bigint, n_target bigint, ids array<bigint>, targets array<boolean>, sizes array<bigint>, words binary, places binary"
+ASKED = "slot int, chunk bigint, data binary"
 ROWS = 1 << 16
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
+
+
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw, sizes = np.frombuffer(zstandard.decompress(data), np.uint8), [np.dtype(k).itemsize for k in kinds]
+    n, cuts = len(raw) // sum(sizes), np.cumsum([0, *sizes])
+    return [np.ascontiguousarray(raw[n * i : n * j].reshape(j - i, n).T).view(kind).ravel() for kind, i, j in zip(kinds, cuts, cuts[1:], strict=False)]
+
+
+def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, t in enumerate(types)], names=list(names))
+
+
 def tokenised(marked: DataFrame, chunk: int) -> DataFrame:
     """(doc_id, text, is_target) as written chunks: documents with their sizes, the different words and each token's place among them."""
 
     def batch_of(number: int, ids: list, targets: list, hashes: list, sizes: list) -> pa.RecordBatch:
-        words, places = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, places, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order, rank = np.argsort(-n, kind="stable"), np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
         size = np.concatenate(sizes)
         of_target = int(size[np.array(targets, bool)].sum())
-        row = (number, len(places), of_target, ids, targets, size, words.tobytes(), places.astype(np.uint32).tobytes())
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in TOKENS.split(", ")])
+        return rows_of(TOKENS, [(number, len(places), of_target, ids, targets, size, words[order].tobytes(), pack(rank[places]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n, held = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
@@ -91,7 +111,7 @@ class Grams:
 
     def __init__(self, row: dict, some: np.ndarray | None = None):
         sizes, target = np.array(row["sizes"], np.int64), np.array(row["targets"], bool)
-        w = np.frombuffer(row["places"], np.uint32).astype(np.uint64)
+        w = unpack(row["places"], np.uint32)[0].astype(np.uint64)
         if some is not None:
             w = w[np.repeat(some, sizes)]
             sizes, target = sizes[some], target[some]
@@ -201,32 +221,54 @@ def count_words(tokens: DataFrame) -> int:
     return tokens.select("words").mapInArrow(run, "word bigint").distinct().count()
 
 
-def asked(tokens: DataFrame, shared) -> DataFrame:
-    """One row per chunk and gram that is not hot: its key, its place in the chunk and what the chunk has of it by model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, g in grams(batches):
-            cold = np.flatnonzero(~shared.value.places(g.keys)[1])
-            yield from columns(chunk=np.full(len(cold), chunk), place=cold, key=g.keys[cold].view(np.int64), background=g.sums[0, cold], target=g.sums[1, cold])
-
-    return tokens.mapInArrow(run, "chunk bigint, place bigint, key bigint, background bigint, target bigint")
+def by_slot(keys: np.ndarray, cold: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cold places in the order of their keys, and where each slot begins and the last ends."""
+    order = cold[np.argsort(keys[cold])]
+    slot = ((keys[order] >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+    return order, np.searchsorted(slot, np.arange(slots + 1, dtype=np.uint64))
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """The sums of all chunks for each row of a gram that more than one chunk has; the others' are the chunk's own."""
-    same = Window.partitionBy("key")
-    sums = rows.select("chunk", "place", F.count("*").over(same).alias("chunks"), *(F.sum(c).over(same).alias(c) for c in ("background", "target")))
-    return sums.where("chunks > 1").drop("chunks")
+def asked(tokens: DataFrame, shared, slots: int) -> DataFrame:
+    """Per chunk and slot the grams that are not hot: steps of the sorted keys and what the chunk has of each by model."""
 
-
-def score_chunk(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, g in grams(batches):
+            order, cuts = by_slot(g.keys, np.flatnonzero(~shared.value.places(g.keys)[1]), slots)
+            some, (background, target) = np.flatnonzero(np.diff(cuts)), g.sums.astype(np.uint64)
+            for k in range(0, len(some), 64):
+                parts = [(int(i), order[cuts[i] : cuts[i + 1]]) for i in some[k : k + 64]]
+                yield rows_of(ASKED, [(i, chunk, pack(np.diff(g.keys[at], prepend=np.uint64(0)), background[at], target[at])) for i, at in parts])
+
+    return tokens.mapInArrow(run, ASKED)
+
+
+def answer(rows: pa.Table) -> pa.Table:
+    """The sums over all chunks of the grams that more than one chunk has, for each chunk that asked: steps of the places in its row, sums by model."""
+    given = [unpack(data.as_py(), np.uint64, np.uint64, np.uint64) for data in rows["data"]]
+    sizes = [len(x[0]) for x in given]
+    keys, place, chunks = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in given]), return_inverse=True, return_counts=True)
+    sums = [np.bincount(place, np.concatenate([x[k] for x in given]), len(keys)).astype(np.uint64) for k in (1, 2)]
+    out, start = [], 0
+    for slot, chunk, size in zip(rows["slot"].to_pylist(), rows["chunk"].to_pylist(), sizes, strict=True):
+        own = place[start : start + size]
+        start += size
+        at = np.flatnonzero(chunks[own] > 1).astype(np.uint32)
+        if len(at):
+            out.append((slot, chunk, pack(np.diff(at, prepend=np.uint32(0)), *(x[own[at]] for x in sums))))
+    return pa.Table.from_batches([rows_of(ASKED, out)])
+
+
+def score_chunk(shared, slots: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         g, model = Grams(row), shared.value
         at, is_hot = model.places(g.keys)
         sums = g.sums.astype(np.float64)
         sums[:, is_hot] = model.counts[:, at[is_hot]]
-        sums[:, right["place"].to_numpy()] = right["background"].to_numpy(), right["target"].to_numpy()
+        order, cuts = by_slot(g.keys, np.flatnonzero(~is_hot), slots)
+        for slot, data in zip(right["slot"].to_pylist(), right["data"], strict=True):
+            steps, *two = unpack(data.as_py(), np.uint32, np.uint64, np.uint64)
+            sums[:, order[cuts[slot] + np.cumsum(steps, dtype=np.int64)]] = two
         n = np.array(row["sizes"], np.int64)
         score = model.scores(g, sums) / np.maximum(n, 1)
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": pa.array(n), "score": pa.array(score)})
@@ -234,7 +276,7 @@ def score_chunk(shared):
     return run
 
 
-def scored(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
+def scored(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, slot: int = SLOT, sample: int = SAMPLE, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, score. target_ids: doc_id of the target documents."""
     small_batches(docs.sparkSession)
     ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
@@ -246,8 +288,9 @@ def scored(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, sample: i
     share = docs.sparkSession.sparkContext.broadcast
     model.counts = count_hot(tokens, share(model))
     shared = share(model)
-    given = answered(asked(tokens, shared))
-    return tokens.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score_chunk(shared), "doc_id bigint, n_tokens bigint, score double")
+    slots = max(1, -(-sizes[0] // slot))
+    given = asked(tokens, shared, slots).groupBy("slot").applyInArrow(answer, ASKED)
+    return tokens.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(score_chunk(shared, slots), "doc_id bigint, n_tokens bigint, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

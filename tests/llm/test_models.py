@@ -191,8 +191,8 @@ def test_lm_scores_by_brute_force(spark, small, documents):
     ids = spark.createDataFrame([(i,) for i in target], "doc_id bigint")
     # the same in small chunks, with many grams taken for hot ones, and with none
     docs = table(spark, small, "documents")
-    same(lm_scoring.scored(docs, ids, chunk=3000, hot=2).collect(), want)
-    same(lm_scoring.scored(docs, ids, chunk=50000, hot=10**9).collect(), want)
+    same(lm_scoring.scored(docs, ids, chunk=3000, slot=2000, hot=2).collect(), want)
+    same(lm_scoring.scored(docs, ids, chunk=50000, slot=9000, hot=10**9).collect(), want)
 
 
 def test_lm_edge_cases(spark, odd):
@@ -201,26 +201,33 @@ def test_lm_edge_cases(spark, odd):
     target = spark.createDataFrame([(1,), (5,), (9,), (None,)], "doc_id bigint")
     same(lm_scoring.scored(df, target).collect(), plain_scores(docs, {1, 5}))
     shapes = [(1, "x Abc ABC a1 A1 AB12 !! \n\n é ÉA"), (2, "x y z"), (3, "x y"), (4, "y x")]
-    same(lm_scoring.scored(spark.createDataFrame(shapes, df.schema), target, chunk=2).collect(), plain_scores(shapes, {1, 5}))
+    same(lm_scoring.scored(spark.createDataFrame(shapes, df.schema), target, chunk=2, slot=3).collect(), plain_scores(shapes, {1, 5}))
     assert all(r["score"] == 0 for r in lm_scoring.scored(df, target.limit(0)).collect())
     assert len(lm_scoring.scored(odd, target).collect()) == 9 and lm_scoring.scored(odd.limit(0), target).count() == 0
 
 
-def test_lm_rows_follow_the_tokens(spark):
-    """What is shuffled: at most a row a chunk and gram; five times the input has about five times the rows, and rare words count as they are written."""
+def test_lm_entries_follow_the_tokens(spark):
+    """What is sent: at most two entries a token; five times the input has five times the entries and bytes, and every word counts as it is written."""
     docs = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', pmod(xxhash64(id, k), 40000)))) AS text").repartition(4)
 
-    def rows(some, copies):
-        tokens = lm_scoring.tokenised(some.selectExpr("doc_id", "text", "doc_id % 3 = 0 AS is_target"), 600)
+    def sent(copies):
+        some = docs.crossJoin(spark.range(copies)).selectExpr("doc_id", "text", "doc_id % 3 = 0 AS is_target")
+        tokens = lm_scoring.tokenised(some, 600)
         model = lm_scoring.Model((1, 1), 1, np.zeros(0, np.uint64))
-        asked = lm_scoring.asked(tokens, spark.sparkContext.broadcast(model))
-        assert asked.groupBy("chunk", "place").count().where("count > 1").isEmpty()
-        assert lm_scoring.count_words(tokens) == some.selectExpr("explode(split(text, ' ')) AS w").distinct().count()
-        return asked.count() / (copies * 200 * 60)
-
-    one = rows(docs, 1)
-    five = rows(docs.unionByName(docs).unionByName(docs).unionByName(docs).unionByName(docs), 5)
-    assert one <= 2.1 and five <= 1.1 * one
+        rows = lm_scoring.asked(tokens, spark.sparkContext.broadcast(model), 4 * copies).collect()
+        entries = [len(lm_scoring.unpack(r["data"], np.uint64, np.uint64, np.uint64)[0]) for r in rows]
+        assert min(entries) > 0 and lm_scoring.count_words(tokens) == some.selectExpr("explode(split(text, ' ')) AS w").distinct().count()
+        return np.array([sum(entries), sum(map(len, (r["data"] for r in rows)))]) / (copies * 200 * 60)
+
+    one, five = sent(1), sent(5)
+    assert one[0] <= 2.1 and five[0] <= 2.1 and five[1] <= 1.5 * one[1]
+
+
+def test_lm_packing_is_exact():
+    for n in (0, 1, 1000):
+        a, b = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64), np.arange(n, dtype=np.uint32)
+        x, y = lm_scoring.unpack(lm_scoring.pack(a, b), np.uint64, np.uint32)
+        assert (x == a).all() and (y == b).all() and len(x) == len(y) == n
 
 
 def test_lm_scores_tell_quality(spark):
