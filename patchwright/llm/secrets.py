@@ -3,11 +3,13 @@
 Base spans are the three fixed forms. The method looks at the other candidates, runs of MIN_CHARS or more
 token characters with a letter and a digit, or mixed case, that have a sensitive word up to REACH characters
 before them. Zstandard is primed with an identifier dictionary and the code around the candidate
-(CONTEXT characters before and behind it, with it and its copies blanked); the bytes that the candidate adds to the
-compressed form of its surroundings, over those of a random string of its length and alphabet, are its novelty,
-as written or as lower-case words, whichever is less. A candidate that hardly
-compresses more than that (novelty of MIN_NOVELTY or more) is reported as `novel`. A candidate that overlaps a base
-span is not looked at again.
+(CONTEXT characters before and behind it, with it and its copies blanked). Its novelty is the bytes that it adds to the
+compressed form of ORDINARY, a fixed run of letters as frequent as in words, over its length, as written or as
+lower-case words, whichever is less. Beside ORDINARY a candidate's letters are coded by the frequencies of words at any
+length, where alone a short one would be stored as it is. Candidates are measured in even pieces of up to PIECE
+characters, each primed with those before it, so one score holds for all lengths and its cost grows with the length.
+A candidate of novelty MIN_NOVELTY or more is reported as `novel`. A candidate that overlaps a base
+span is not looked at again, nor is an embedded file: base64 of a data URI, or one that begins as a known file format does.
 
 Documents without any such form are recognised by one pattern in the JVM, and their texts never
 reach Python.
@@ -29,9 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-MIN_CHARS, REACH, CONTEXT, MIN_NOVELTY, LEVEL = 16, 48, 256, 0.85, 9
-#: Shorter strings zstandard leaves as literals, so a random one costs its length; random strings that price a longer one.
-CODED, PRICES = 64, 4
+MIN_CHARS, REACH, CONTEXT, PIECE, MIN_NOVELTY, LEVEL = 16, 48, 256, 40, 0.8, 9
 KINDS = ("assign", "access", "hex", "novel")
 # The base forms and the words that make a context sensitive.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -49,39 +49,39 @@ IDENTIFIERS = (
     "import from return function class public static final string value const let var null none true false http https localhost example.com index name type data key file path"
 ).encode()
 
-# Alphabets of one case in which secrets are written, narrowest first, and the classes of the others.
-ALPHABETS = ("0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567")
-MARKS = "+/_=- "
-CLASSES = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Frequent words of code.
+WORDS = (
+    "about abstract access account action active add address after all any app append apply archive area array async attribute auth auto back base batch begin block body boolean box branch buffer build button byte "
+    "cache call cancel change channel char check child class clean clear client clock close cluster code collection color column command common compare complete condition connect context control convert copy core count "
+    "create current date debug decode default define delete detail device directory dispatch document download driver element empty enable encode end engine entity entry error event exception execute exit export factory "
+    "field filter find first flag folder format frame future generate get global group handler hash height image index input instance item iterator join label language last level library line list load local log long "
+    "manager map match message method model module next node number object option order output package page parent parse path process property protocol query queue range read record remove report reset result return role row "
+    "search select send server service size sort start state status stream structure table target task test thread time total type update user valid version view wait window worker write"
+)
+# How base64 of PNG, JPEG, GIF, PDF, ZIP and gzip files begins.
+EMBEDDED = ("iVBORw0KGgo", "/9j/", "R0lGOD", "JVBERi0", "UEsDB", "H4sI")
+_draw = random.Random(0)
+#: The words with their letters in random order, so that the dictionary does not have them.
+ORDINARY = " ".join("".join(_draw.sample(w, len(w))) for w in WORDS.split()).encode()[:1000] + b" "
+DICTIONARY = WORDS.encode() + b" " + IDENTIFIERS
 
 
 def novelty(candidate: str, before: str, behind: str) -> float:
-    """Marginal compressed bytes of the candidate in its primed surroundings, over those of a random string; the lesser of both spellings."""
+    """Marginal compressed bytes of the candidate in its primed surroundings, over its length: the sum of its pieces, each in the lesser of both spellings."""
     # no content size, checksum or dictionary id: the frame is all payload
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + before.encode() + b"\n" + behind.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
-    press = zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
-    none = len(press.compress(b""))
+    step, total = -(-len(candidate) // -(-len(candidate) // PIECE)), 0
+    for k in range(0, len(candidate), step):
+        piece, near = candidate[k : k + step], (before + candidate[max(0, k - CONTEXT) : k])[-CONTEXT:]
+        primed = zstandard.ZstdCompressionDict(DICTIONARY + near.encode() + b"\n" + behind.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        press = zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
+        total += min(len(press.compress(ORDINARY + x.encode())) for x in (piece, spelled(piece))) - len(press.compress(ORDINARY))
+    return total / len(candidate)
 
-    def cost(s: str) -> float:
-        return (len(press.compress(s.encode())) - none) / max(len(s), 1)
 
-    def relative(s: str) -> float:
-        own = cost(s)
-        if own >= MIN_NOVELTY or len(s) < CODED:
-            return own
-        return own / min(1.0, *(cost(alike(s, k)) for k in range(PRICES)))
-
-    return min(relative(candidate), relative(spelled(candidate)))
-
-
-def alike(s: str, seed: int) -> str:
-    """A random string of the length and alphabet of s; marks and blanks stay in place."""
-    own = set(s) - set(MARKS)
-    narrow = next((a for a in ALPHABETS if own <= set(a)), None)
-    alphabet = narrow or "".join(a for a in CLASSES if own & set(a))
-    draw = random.Random(seed)
-    return "".join(c if c in MARKS else draw.choice(alphabet) for c in s)
+def embedded(text: str, a: int) -> bool:
+    """Whether a file in base64 begins at a."""
+    return text[max(0, a - 7) : a] == "base64," or text.startswith(EMBEDDED, a)
 
 
 def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
@@ -118,7 +118,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             while k < len(taken) and taken[k][0] < b:
                 reach = max(reach, taken[k][1])
                 k += 1
-            if w and a - words[w - 1] <= REACH and reach <= a and mixed(m[0]):
+            if w and a - words[w - 1] <= REACH and reach <= a and mixed(m[0]) and not embedded(text, a):
                 if novelty(m[0], *surroundings(text, a, b)) >= MIN_NOVELTY:
                     spans.append((a, b, "novel"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

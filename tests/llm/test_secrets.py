@@ -1,5 +1,9 @@
+import base64
+import pathlib
 import random
+import re
 import string
+import sysconfig
 
 import duckdb
 
@@ -96,6 +100,34 @@ def test_long_random_secrets():
     assert secrets.find("private_key of " + "path/to/your/config/settings/example/token/data/file/index1/" * 4) == []
 
 
+def test_names_of_code_are_not_secrets():
+    """Of the long mixed-case names in the standard library, which the dictionary was not made from, few are reported."""
+    root = pathlib.Path(sysconfig.get_paths()["stdlib"])
+    files = [p for d in ("unittest", "xml", "email", "http", "logging", "asyncio", "importlib", "ctypes", "urllib", "multiprocessing") for p in (root / d).rglob("*.py")]
+    names = {n for p in files for n in re.findall(r"[A-Za-z_][A-Za-z0-9_]{15,}", p.read_text(errors="ignore"))}
+    names = sorted(n for n in names if secrets.mixed(n) and not secrets.HEX.search(n) and not secrets.SENSITIVE.search(n))
+    found = [n for n in names if secrets.find(f"Authorization: Bearer {n} end")]
+    assert len(names) > 200 and len(found) < 0.06 * len(names), found
+    for n in ("ThisIsAVeryLongClassNameForTesting1", "getUserAccountSettingsById2", "src/main/resources/templates/Order1/index"):
+        assert secrets.find(f"token of {n} end") == []
+
+
+def test_one_score_for_all_lengths():
+    draw = random.Random(5)
+    mean = []
+    for n in (40, 60, 63, 64, 65, 80, 120, 400):
+        some = ["".join(draw.choice(string.ascii_letters + string.digits) for _ in range(n)) for _ in range(60)]
+        mean.append(sum(secrets.novelty(x, "key ", " end") for x in some) / 60)
+    assert max(mean) - min(mean) < 0.1
+
+
+def test_embedded_files_and_long_candidates():
+    blob = base64.b64encode(random.Random(1).randbytes(30_000)).decode()
+    assert secrets.find(f"token image data:image/webp;base64,{blob} end") == []
+    assert secrets.find(f"token image iVBORw0KGgo{blob} end") == []
+    assert [k for *_, k in secrets.find(f"token of {blob} end")] == ["novel"]
+
+
 def test_repeated_secret():
     secret = "aB3dE5fG7hJ9kL2mN4pQ6rS8tU"
     kinds = [k for _, _, k in secrets.find(f"Authorization: Bearer {secret}\nAuthorization: Bearer {secret}\nsignature of {secret.lower()}")]
