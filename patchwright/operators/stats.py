@@ -4,23 +4,40 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+from .metrics import cumulated
+
 MAX_PAIRS = 200  # the exact test counts up to n (n + 1) rank sums
 
 
-def average_rank(value: Column, keys: Sequence[str] = ()) -> Column:
-    """Rank from the smallest up; ties share the mean of their ranks."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value) if keys else Window.partitionBy(value)) - 1) / 2.0
+def value_ranks(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """counts (keys, score, n: rows of each distinct score, further columns) with `rank`: from the smallest up, ties share the mean of their ranks.
+
+    Ranks come from running sums in balanced ranges of the scores, so neither a key nor the whole is one task."""
+    down = cumulated(counts, keys, {"_k": "n"})
+    sizes = counts.groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(F.sum("n").alias("_size"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    joined = down.join(sizes, reduce(lambda a, b: a & b, same)) if keys else down.crossJoin(F.broadcast(sizes))  # no keys: one row
+    return joined.select(*counts.columns, (F.col("_size") - F.col("_k") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
+def with_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with the average rank of each row's value, which must not be null."""
+    ranks = value_ranks(df.groupBy(*keys, F.col(value).alias("score")).agg(F.count("*").alias("n")), keys)
+    ranks = ranks.select(*(F.col(c).alias(f"_in_{c}") for c in keys), F.col("score").alias("_score"), F.col("rank").alias(out))
+    same = [F.col(value) == F.col("_score"), *(F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in keys)]
+    return df.join(ranks, reduce(lambda a, b: a & b, same)).select(*(F.col(f"`{c}`") for c in df.columns), out)
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, n, rho, p_value); rho is null under two rows, p under three."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_x", average_rank(F.col(x), keys)).withColumn("_y", average_rank(F.col(y), keys))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked = with_rank(with_rank(both, x, "_x", keys), y, "_y", keys)
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.corr("_x", "_y")).alias("rho"))
     df_ = F.col("n") - 2
     t = F.col("rho") * F.sqrt(df_ / (1 - F.col("rho") * F.col("rho")))
@@ -52,17 +69,15 @@ def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
 
     Up to MAX_PAIRS pairs the test is exact: the sign patterns with each rank sum are counted, rank by rank (sums are whole
     numbers of halves). Beyond, it is the normal approximation with the correction for ties; `method` says which."""
-    ranked = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(F.col(delta).alias("d"))
-    ranked = ranked.withColumn("r", average_rank(F.abs("d")))
-    one = ranked.agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.sum(F.col("r") * F.col("r")).alias("squares"),
-    )
+    some = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(F.col(delta).alias("d"))
+    counts = some.groupBy(F.abs("d").alias("score")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("plus"))
+    ranked = materialise(value_ranks(counts), "ranks")
+    r, n, plus = F.col("rank"), F.col("n"), F.col("plus")
+    one = ranked.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.sum(plus * r).alias("w_plus"), F.sum((n - plus) * r).alias("w_minus"), F.sum(n * r * r).alias("squares"))
     one = one.where("n > 0").withColumn("statistic", F.least("w_plus", "w_minus"))
-    # few rows: no more than MAX_PAIRS ranks are listed
-    small = ranked.limit(MAX_PAIRS + 1).agg(F.sort_array(F.collect_list((2 * F.col("r")).cast("int"))).alias("ranks"))
+    # few rows: no more than MAX_PAIRS ranks, each at most MAX_PAIRS + 1 times, are listed; more are not used
+    repeated = F.array_repeat((2 * r).cast("int"), F.least(n, F.lit(MAX_PAIRS + 1)).cast("int"))
+    small = ranked.limit(MAX_PAIRS + 1).agg(F.sort_array(F.flatten(F.collect_list(repeated))).alias("ranks"))
     one = one.crossJoin(F.broadcast(small))
     size = (2 * (F.col("w_plus") + F.col("w_minus"))).cast("int")
 
