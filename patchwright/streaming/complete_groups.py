@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -53,70 +53,116 @@ def complete_groups_stream(events: DataFrame, key: str, kind: str, kinds: Sequen
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt to so many buckets by hash; a bucket is what Python and the state store handle at once.
+BUCKETS = 1_024
+
+
 class _Groups(StatefulProcessor):
-    """State of a key: kind -> last value and its time, whether the group has been emitted, and the time of the timer."""
+    """State of a bucket of keys: a row a key (its end, and whether it has been emitted) and a row a key and kind (the last value and its time), read and written as wholes. The only timer of a bucket is its earliest end."""
 
-    def __init__(self, kinds: Sequence[str], key: str, kind: str, value: str, time: str, value_type: str, expires_ms: int) -> None:
-        self.kinds, self.names, self.value_type, self.expires_ms = list(kinds), (key, kind, value, time), value_type, expires_ms
+    def __init__(self, kinds: Sequence[str], names: tuple[str, str, str], expires_ms: int) -> None:
+        self.kinds, self.names, self.expires_ms = list(kinds), names, expires_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.members = handle.getMapState("members", "kind string", f"value {self.value_type}, at timestamp")
-        self.progress = handle.getValueState("progress", "done boolean, timer bigint")
+        # tables as Arrow bytes: the state API turns single rows to bytes one by one
+        self.state = handle.getValueState("bucket", "ends binary, members binary")
+
+    def load(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if not self.state.exists():
+            return pd.DataFrame({"key": [], "until": [], "done": []}), pd.DataFrame({"key": [], "kind": [], "value": [], "at": []})
+        ends, members = (pa.ipc.open_stream(bytes(b)).read_pandas() for b in self.state.get())
+        return ends, members
+
+    def keep(self, ends: pd.DataFrame, members: pd.DataFrame) -> None:
+        if not len(ends):
+            self.state.clear()
+            return
+        out = []
+        for rows in (ends, members):
+            table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            out.append(sink.getvalue().to_pybytes())
+        self.state.update(tuple(out))
+
+    @staticmethod
+    def latest(members: pd.DataFrame) -> pd.DataFrame:
+        """The last row of each key and kind; of equal times that with the greatest value."""
+        return members.sort_values(["at", "value"], kind="stable", na_position="first").drop_duplicates(["key", "kind"], keep="last")
+
+    @staticmethod
+    def joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        some = [p for p in parts if len(p)]
+        return pd.concat(some, ignore_index=True) if some else parts[0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        _, kind, value, time = self.names
-        done, timer = self.progress.get() if self.progress.exists() else (False, None)
-        last: dict[str, tuple[datetime, object]] = {}
+        ends, members = self.load()
+        timer = int(ends["until"].min()) if len(ends) else None
         for part in rows:
-            first = int(part[time].min().timestamp() * 1000) + self.expires_ms
-            if timer is None or first < timer:  # the earliest turn of the key decides
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-                timer = first
-                self.handle.registerTimer(timer)
-            if not done:
-                for k, own in part[part[kind].isin(self.kinds)].groupby(kind):
-                    row = max(zip(own[time], own[value], strict=True))
-                    last[k] = max(last.get(k, row), row)
-        if not done:
-            for k, (at, v) in last.items():
-                old = self.members.getValue((k,)) if self.members.containsKey((k,)) else None
-                if old is None or (pd.Timestamp(old[1]), old[0]) <= (pd.Timestamp(at), v):
-                    self.members.updateValue((k,), (v, at.to_pydatetime()))
-            have = {k[0]: v[0] for k, v in self.members.iterator()}
-            if len(have) == len(self.kinds):
-                done = True
-                self.members.clear()
-                yield self.row(key, True, have)
-        self.progress.update((done, timer))
+            # by place, as names with a leading underscore are not kept
+            part = part.iloc[:, [0, 1, 2, 4]].set_axis(["key", "kind", "value", "at"], axis=1)
+            first = part.groupby("key", dropna=False, as_index=False)["at"].min()
+            first = pd.DataFrame({"key": first["key"], "until": first["at"] // 1000 + self.expires_ms, "done": False})
+            ends = self.joined([ends, first]).groupby("key", dropna=False, as_index=False).agg({"until": "min", "done": "max"})  # the earliest turn of a key decides
+            members = self.latest(self.joined([members, part[part["kind"].isin(self.kinds)]]))
+        members = members[~members["key"].isin(ends["key"][ends["done"].astype(bool)])]
+        whole = members.groupby("key", dropna=False)["kind"].transform("size") == len(self.kinds)
+        full = ends["key"].isin(members["key"][whole])
+        found = self.rows(ends["key"][full], members[whole], True)
+        ends = ends.assign(done=ends["done"].astype(bool) | full)
+        self.keep(ends, members[~whole])
+        self.wake(timer, ends)
+        if len(found):
+            yield found
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = self.progress.exists() and self.progress.get()[0]
-        have = {} if done else {k[0]: v[0] for k, v in self.members.iterator()}
-        self.members.clear()
-        self.progress.clear()
-        if not done:
-            yield self.row(key, False, have)
-
-    def row(self, key, complete: bool, have: dict) -> pd.DataFrame:
-        order = sorted(have)
-        missing = [k for k in self.kinds if k not in have]
-        return pd.DataFrame({self.names[0]: [key[0]], "complete": [complete], "kinds": [order], "last": [[have[k] for k in order]], "missing": [missing]})
+        ends, members = self.load()
+        # all ends that the watermark has passed: those of this timer and those that would come after it in this batch
+        over = ends["until"] <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        gone = members["key"].isin(ends["key"][over])
+        open_ = ends["key"][over & ~ends["done"].astype(bool)]
+        found = self.rows(open_, members[gone], False)
+        self.keep(ends[~over], members[~gone])
+        self.wake(None, ends[~over])
+        if len(found):
+            yield found
+
+    def wake(self, timer: int | None, ends: pd.DataFrame) -> None:
+        """Sets the timer to the earliest end."""
+        until = int(ends["until"].min()) if len(ends) else None
+        if until != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if until is not None:
+                self.handle.registerTimer(until)
+
+    def rows(self, keys: pd.Series, members: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        have: dict = {k: {} for k in keys.tolist()}
+        for k, kind, v in zip(*(members[c].tolist() for c in ("key", "kind", "value")), strict=True):
+            if k in have:
+                have[k][kind] = v
+        kinds = [sorted(h) for h in have.values()]
+        missing = [[k for k in self.kinds if k not in h] for h in have.values()]
+        return pd.DataFrame({self.names[0]: [*have], "complete": complete, "kinds": kinds, "last": [[h[k] for k in own] for h, own in zip(have.values(), kinds, strict=True)], "missing": missing})
 
     def close(self) -> None:
         pass
 
 
-def groups_with_expiry(events: DataFrame, key: str, kind: str, value: str, time: str, kinds: Sequence[str], expires_ms: int) -> DataFrame:
+def groups_with_expiry(events: DataFrame, key: str, kind: str, value: str, time: str, kinds: Sequence[str], expires_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """Streaming groups with an end: (key, complete, kinds, last, missing).
 
     A key is emitted once when its last kind has come, with the last value of each kind by time (equal times: the greatest
     value); or, if the watermark passes its first event by expires_ms before that, once as incomplete, with what has come
     and what is missing. Then its state is dropped, done or not, so state holds keys of the last expires_ms
     only, at most a value a kind each. Later events of the key begin anew. events carry a watermark on `time`; the session
-    uses the RocksDB state store (ROCKSDB)."""
+    uses the RocksDB state store (ROCKSDB). Events without a time are passed over.
+
+    State and calls into Python are by bucket of keys: a batch costs a call for each bucket it touches, and reads and writes
+    the state of that bucket. More buckets suit many keys at a time and small batches."""
     types = dict(events.dtypes)
     schema = f"{key} {types[key]}, complete boolean, kinds array<string>, last array<{types[value]}>, missing array<string>"
-    processor = _Groups(kinds, key, kind, value, time, types[value], expires_ms)
-    return events.select(key, kind, value, time).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    processor = _Groups(kinds, (key, kind, value), expires_ms)
+    dealt = events.where(F.col(time).isNotNull()).select(key, kind, value, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, schema, "append", "EventTime")

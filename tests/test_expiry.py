@@ -49,6 +49,27 @@ def test_complete_expired_and_anew(stream):
     assert got == sorted([*two, ("b", True, (("x", 8), ("y", 10)), ()), ("a", False, (("x", 7),), ("y",)), ("d", False, (("x", 1),), ("y",)), ("e", True, (("x", 1), ("y", 1)), ())])
 
 
+def test_bucket_of_many_keys(spark, tmp_path):
+    """What comes out does not depend on the number of buckets, and Python is called by bucket, not by key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", groups.ROCKSDB)
+    rows = [(f"k{i}", "xyz"[(i * 7 + j) % 3], i * 10 + j, at(i % 50 + j)) for i in range(300) for j in range(1 + i % 3)] + [("k1", "x", 5, None)]
+    spark.createDataFrame(rows, "k string, kind string, v bigint, t timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    found, calls = [], []
+    for buckets in (2, 5000):
+        events = spark.readStream.schema("k string, kind string, v bigint, t timestamp").parquet(f"{tmp_path}/in").withWatermark("t", "0 seconds")
+        out = groups.groups_with_expiry(events, "k", "kind", "v", "t", ["x", "y"], 10 * 3_600_000, buckets)
+        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out{buckets}").option("checkpointLocation", f"{tmp_path}/state{buckets}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        calls.append(max(int(s["customMetrics"].get("numRegisteredTimers", 0)) for p in query.recentProgress for s in p["stateOperators"]))
+        found.append(sorted(map(str, spark.read.parquet(f"{tmp_path}/out{buckets}").collect())))
+    first = {i: min(at(i % 50 + j) for j in range(1 + i % 3)) for i in range(300)}
+    have = {i: {"xyz"[(i * 7 + j) % 3] for j in range(1 + i % 3)} for i in range(300)}
+    last = max(at(i % 50 + j) for i in range(300) for j in range(1 + i % 3))
+    assert found[0] == found[1]
+    assert len(found[0]) == sum({"x", "y"} <= have[i] or first[i] + timedelta(hours=10) <= last for i in range(300))
+    assert 0 < calls[0] <= 4 < calls[1]
+
+
 def test_no_events(stream, spark):
     assert stream([]) == []
     assert spark.range(1).select(F.lit(1)).count() == 1
