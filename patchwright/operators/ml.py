@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import seeded_int
 from ..functions.labels import class_weight, evaluated_roles, role
 from ..schema import require_features
+from ..sources.storage import materialise
 from ..sources.tables import json_documents, parquet_or_none, write_json
 from . import multilabel
 from .accounting import measured
@@ -151,22 +152,67 @@ def _record(spark: SparkSession, run: Run, rows: int, counts: dict[str, tuple[in
 def run_all(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], labels: Sequence[str], names: Sequence[str], runs: Sequence[Run], root: str) -> tuple[DataFrame, DataFrame]:
     """(predictions with run_id, run records) of several runs over rows with the split columns; each run's predictions go to a folder of its own under root.
 
-    A run whose folder has been written whole is not trained again: a ladder that broke off goes on where it stopped."""
-    out, records = [], []
-    for run in runs:
-        path = f"{root}/predictions/{run.run_id}"
-        with_role = rows.withColumn("role", role(run.regime, run.fold)).where(F.col("role").isNotNull())
-        if parquet_or_none(rows.sparkSession, path) is None:
+    A run whose folder has been written whole is not trained again: a ladder that broke off goes on where it stopped.
+    Logistic runs with equal parameters are fitted together (`relevance_runs`)."""
+    spark = rows.sparkSession
+    path = lambda run: f"{root}/predictions/{run.run_id}"
+    todo = [run for run in runs if parquet_or_none(spark, path(run)) is None]
+    records, alike = [], {}
+    for run in todo:
+        alike.setdefault((run.reg_param, run.max_iter) if run.learner == "lr" else run.run_id, []).append(run)
+    for group in alike.values():
+        for some in (group[k : k + RUNS] for k in range(0, len(group), RUNS)):
+            if len(some) > 1:
+                records += relevance_runs(rows, columns, metadata, labels, names, some, path, lambda run: f"{root}/records/{run.run_id}")
+                continue
+            run = some[0]
+            with_role = rows.withColumn("role", role(run.regime, run.fold)).where(F.col("role").isNotNull())
             vectors = feature_vectors(with_role, columns, [*metadata, "role"], ["patch_id", "role", *labels])
-            predictions, record = binary_relevance(vectors, labels, run, names, path)
+            record = binary_relevance(vectors, labels, run, names, path(run))[1]
             write_json(record, f"{root}/records/{run.run_id}")
             records.append(record)
-        else:
-            predictions = rows.sparkSession.read.schema(PREDICTIONS).parquet(path)
-        out.append(predictions.withColumn("run_id", F.lit(run.run_id)))
+    out = [spark.read.schema(PREDICTIONS).parquet(path(run)).withColumn("run_id", F.lit(run.run_id)) for run in runs]
     return reduce(DataFrame.unionByName, out), reduce(DataFrame.unionByName, records) if records else None
 
 
+#: So many logistic runs share the passes of a fit.
+RUNS = 24
+
+
+def relevance_runs(rows: DataFrame, columns: Sequence[str], metadata: Sequence[str], labels: Sequence[str], names: Sequence[str], runs: Sequence[Run], path, record_path) -> list[DataFrame]:
+    """The records of logistic runs that differ in regime and fold only: every pass over the rows serves all of them, then each run's predictions are written.
+
+    Features are scaled once, by all rows that train in any run: the penalty is on coefficients of unit deviation of a run's own
+    training rows, so its models do not depend on the scale. Costs of the common passes are shared out evenly."""
+    spark = rows.sparkSession
+    roles = [role(run.regime, run.fold) for run in runs]
+    bits = reduce(lambda a, b: a + b, (F.when(r == "train", 1 << k).otherwise(0) for k, r in enumerate(roles)))
+    of = [f"_role{k}" for k in range(len(runs))]
+    with_roles = rows.select("*", *(r.alias(c) for r, c in zip(roles, of, strict=True)), bits.cast("int").alias("_bits"))
+    with_roles = with_roles.withColumn("role", F.when(F.col("_bits") != 0, "train").otherwise("none"))
+    with measured(spark) as common:
+        vectors = feature_vectors(with_roles, columns, [*metadata, "role", "_bits", *of], ["patch_id", "role", "_bits", *of, *labels])
+        table = vectors.select(F.col("patch_id").cast("string").alias("patch_id"), vector_to_array("features").alias("x"), F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in labels)).alias("y"), F.col("_bits").alias("fold"), *of)
+        table = materialise(table, "runs")
+        trains = [F.col(c) == "train" for c in of]
+        sums = [F.sum(F.when(t, F.get("y", i))).alias(f"p{k}_{i}") for k, t in enumerate(trains) for i in range(len(labels))]
+        counted = table.agg(*(F.count(c).alias(f"n{k}") for k, c in enumerate(of)), *(F.count_if(t).alias(f"t{k}") for k, t in enumerate(trains)), *sums).first()
+        able = [[c for i, c in enumerate(labels) if (counted[f"p{k}_{i}"] or 0) > 0] for k in range(len(runs))]
+        models = multilabel.fit_runs(table, labels, able, runs[0].reg_param, runs[0].max_iter) if any(able) else []
+    out = []
+    for k, run in enumerate(runs):
+        with measured(spark) as own:
+            scores = multilabel.predictions(table.withColumn("role", F.col(of[k])), models[k], labels, names, evaluated_roles(run.regime)) if able[k] else spark.createDataFrame([], PREDICTIONS)
+            scores.write.mode("overwrite").parquet(path(run))
+        cpu, share = own.used.cpu_seconds + common.used.cpu_seconds / len(runs), common.wall_seconds / len(runs)
+        part = lambda f: f(own.used) + f(common.used) / len(runs)  # noqa: E731, B023
+        times = {"wall_clock_seconds": own.wall_seconds + share, "total_executor_cpu_time_seconds": cpu, "energy_kwh": part(lambda u: u.energy_kwh()), "co2e_grams": part(lambda u: u.co2e_grams())}
+        record = _record(spark, run, counted[f"n{k}"], {c: (counted[f"t{k}"], 0) for c in labels}, times)
+        write_json(record, record_path(run))
+        out.append(record)
+    return out
+
+
 def records(spark: SparkSession, root: str) -> DataFrame:
     """The records that the runs under a root have left, one row a run."""
     return json_documents(spark, f"{root}/records/*", RECORD)

@@ -101,8 +101,9 @@ def summed(data: DataFrame, per_batch, n: int) -> np.ndarray:
         return pd.DataFrame({"row": group["row"][:1].to_numpy(), "task": group["task"][:1].to_numpy(), "sums": [total.tobytes()]})
 
     parts = data.select("x", "y", "fold").mapInArrow(tasks, schema)
-    some = parts.groupBy("row", F.expr(f"task % {FAN}")).applyInPandas(lambda g: add(g), schema)
-    rows = some.groupBy("row").applyInPandas(lambda g: add(g), schema).collect()  # as many as models
+    if data.rdd.getNumPartitions() > FAN:  # else the first step has nothing to add
+        parts = parts.groupBy("row", F.expr(f"task % {FAN}")).applyInPandas(lambda g: add(g), schema)
+    rows = parts.groupBy("row").applyInPandas(lambda g: add(g), schema).collect()  # as many as models
     return np.stack([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.row)]) if rows else np.zeros((n, 0))
 
 
@@ -111,11 +112,27 @@ def fit_layer(data: DataFrame, before: Layers, columns: Sequence[int], labels: S
     held = [*(range(before.folds) if out_of_fold else ()), -2]
     models = [(c, f) for c in columns for f in held]
     place, left_out = np.array([c for c, _ in models]), np.array([f for _, f in models])
-    n_models = len(models)
 
     def inputs(x, y, fold):
         return before.extended(x, fold), y[:, place], fold[:, None] != left_out[None, :]
 
+    points = newton(data, inputs, len(models), reg, passes, tolerance)
+    return Layer(tuple(labels), points.reshape(len(columns), len(held), -1))
+
+
+def fit_runs(data: DataFrame, vocabulary: Sequence[str], able: Sequence[Sequence[str]], reg: float = 0.01, passes: int = 30, tolerance: float = 1e-11) -> list[Layers]:
+    """A model of binary relevance for each of several runs, over the same rows, all fitted in the same passes.
+
+    data: x, y in the order of the vocabulary, and fold: the number whose bit k says that run k trains on the row (at most 31 runs). able: labels of each run."""
+    models = [(vocabulary.index(c), k) for k, labels in enumerate(able) for c in labels]
+    place, bit = np.array([c for c, _ in models]), np.array([1 << k for _, k in models])
+    points = newton(data.where("fold <> 0"), lambda x, y, fold: (x, y[:, place], (fold[:, None] & bit[None, :]) != 0), len(models), reg, passes, tolerance)
+    ends = np.cumsum([len(labels) for labels in able])[:-1]
+    return [Layers((Layer(tuple(labels), own[:, None, :]),), 1) for labels, own in zip(able, np.split(points, ends), strict=True)]
+
+
+def newton(data: DataFrame, inputs, n_models: int, reg: float, passes: int, tolerance: float) -> np.ndarray:
+    """Coefficients [model, input and intercept] of weighted logistic models; inputs(x, y, fold) gives x, y by model, and which rows a model uses."""
     def moments(x, y, fold):
         x, y, used = inputs(x, y, fold)
         pos, neg = (y * used).T, ((1 - y) * used).T
@@ -168,7 +185,7 @@ def fit_layer(data: DataFrame, before: Layers, columns: Sequence[int], labels: S
         loss = np.where(better, new_loss, loss)
         points, gradient = (np.where(better[:, None], a, b) for a, b in ((trial, points), (new_gradient, gradient)))
         hessian = np.where(better[:, None, None], new_hessian, hessian)
-    return Layer(tuple(labels), points.reshape(len(columns), len(held), d + 1))
+    return points
 
 
 def fit(data: DataFrame, vocabulary: Sequence[str], layers: Sequence[Sequence[str]], folds: int = 5, reg: float = 0.01, passes: int = 30, tolerance: float = 1e-11) -> Layers:

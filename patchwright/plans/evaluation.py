@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accounting, audit, metrics, ml, sampling, stats
-from ..sources.storage import new_path
+from ..sources.storage import materialise, new_path
 from . import standin
 from .registry import query, rounded
 from .standin import SEED, SQL, ranking_sql, table
@@ -301,7 +301,7 @@ PIXELS = ("f_000", "f_001", "f_002", "f_003")
 
 
 def _training(spark, sf):
-    """(rows, label columns, classes): four pixel statistics per patch as features, six labels, all split columns."""
+    """(written rows, label columns, classes): four pixel statistics per patch as features, six labels, all split columns. What scales, fits and scores reads them again."""
     px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("f_000"), F.avg("l_extendedprice").alias("f_001"), F.max("l_discount").alias("f_002"), F.count("*").cast("double").alias("f_003"))
     classes = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the class vocabulary
     lists = standin.labels(spark, sf).groupBy("patch_id").agg(F.collect_set("class").alias("labels"))
@@ -309,7 +309,8 @@ def _training(spark, sf):
     splits = standin.split(spark, sf).select("patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold")
     rows = px.join(lists, "patch_id").join(splits, "patch_id")
     names = [f"lbl_{i:02d}" for i in range(len(classes))]
-    return rows.select("patch_id", *PIXELS, "s1_split", "s2_split", F.col("s3_fold").cast("string").alias("s3_fold"), "s4_fold", *hot), names, classes
+    rows = rows.select("patch_id", *PIXELS, "s1_split", "s2_split", F.col("s3_fold").cast("string").alias("s3_fold"), "s4_fold", *hot)
+    return materialise(rows, "rows"), names, classes
 
 
 def _vectors(spark, sf):

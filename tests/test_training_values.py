@@ -62,3 +62,32 @@ def test_single_label_forest_beats_the_commonest_class(spark):
     assert accuracy > 0.95 > common + 0.3
     names = {r.label_index: r.y for r in found.select("label_index", "y").distinct().collect()}
     assert abs(accuracy - np.mean([names[r.prediction] == r.y for r in found.collect()])) < 1e-12
+
+
+def test_runs_of_a_ladder_share_their_passes(spark, tmp_path, monkeypatch):
+    """Runs that differ in regime and fold only are fitted in the same passes, as many as one run takes, with the values that each has alone."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 2)) * [1.0, 50.0]
+    part = lambda: rng.choice(["train", "train", "validation", "test"], 400)
+    s1, s2, fold = part(), part(), rng.choice(["a", "b", "c"], 400)
+    y = (x[:, 0] + x[:, 1] / 50 + rng.normal(size=400) > 0).astype(int)
+    rare = ((fold == "a") & (y == 1)).astype(int)  # no training positive where a is held out
+    rows = [(i, float(x[i, 0]), float(x[i, 1]), str(s1[i]), None if i == 7 else str(s2[i]), str(fold[i]), int(y[i]), int(rare[i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "patch_id bigint, f_0 double, f_1 double, s1_split string, s2_split string, s4_fold string, lbl_00 int, lbl_01 int")
+    args = (df, ["f_0", "f_1"], ["patch_id", "s1_split", "s2_split", "s4_fold"], ["lbl_00", "lbl_01"], ["one", "two"])
+    runs = ml.ladder({"s1": [None], "s2": [None], "s4": ["a", "b", "c"]}, ml.Run("s1"))
+    calls, summed = [], multilabel.summed
+    monkeypatch.setattr(multilabel, "summed", lambda *a: calls.append(1) or summed(*a))
+    read = lambda p: {(r.run_id, r.patch_id, r.role, r.label_name): (r.true_label, r.probability) for r in p.collect()}
+    together, records = ml.run_all(*args, runs, f"{tmp_path}/all")
+    passes = len(calls)
+    alone, single = {}, {}
+    for run in runs:
+        p, record = ml.run_all(*args, [run], f"{tmp_path}/alone")
+        alone |= read(p)
+        single |= {r.run_id: (r.n_joined_rows, r.n_train_rows) for r in record.collect()}
+    together = read(together)
+    assert together.keys() == alone.keys() and not any(k[0].startswith("s4_a_") and k[3] == "two" for k in alone)
+    assert all(v[0] == alone[k][0] and abs(v[1] - alone[k][1]) < 1e-6 for k, v in together.items())
+    assert {r.run_id: (r.n_joined_rows, r.n_train_rows) for r in records.collect()} == single
+    assert passes < 2 * (len(calls) - passes) / len(runs)
