@@ -155,7 +155,7 @@ def prior_gap(matched: DataFrame, reference: DataFrame, cls: str = "class") -> D
     return both.agg(gap("raw").alias("raw_gap"), gap("matched").alias("matched_gap"), (gap("raw") - gap("matched")).alias("explained"))
 
 
-def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], cluster: str, replicates: int, seed: int, cls: str = "class") -> DataFrame:
+def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], cluster: str, replicates: int, seed: int, cls: str = "class", weight: str | None = None) -> DataFrame:
     """(keys, replicate, ap_macro, auroc_macro): whole clusters drawn with replacement, as row weights; classes undefined in a replicate are skipped there.
 
     Clusters are numbered in hash order. Draw j of a replicate takes cluster number hash(seed, replicate, j) mod n."""
@@ -165,7 +165,8 @@ def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], cluster: str, replic
     draws = draws.withColumn("number", seeded_int(seed, F.col("replicate"), F.col("j")) % F.col("n"))
     times = draws.groupBy(*keys, "replicate", "number").agg(F.count("*").alias("times")).join(named.drop("n"), [*keys, "number"]).select(*keys, "replicate", cluster, "times")
     # one row per (cluster, class, score) before replicates multiply them; the joins pick their own form by size
-    small = pred.groupBy(*keys, cluster, cls, "score").agg(F.sum("true_label").alias("pos"), F.count("*").alias("n"))
+    own = F.lit(1) if weight is None else F.col(weight)
+    small = pred.groupBy(*keys, cluster, cls, "score").agg(F.sum(own * F.col("true_label")).alias("pos"), F.sum(own).alias("n"))
     weighted = small.join(times, [*keys, cluster])
     weight = F.col("times") * F.when(F.col("true_label") == 1, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
     rows = weighted.withColumn("true_label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", weight).where("w > 0")
@@ -182,13 +183,102 @@ def interval(replicates: DataFrame, keys: Sequence[str], values: Sequence[str] =
     return replicates.groupBy(*keys).agg(F.count("*").alias("n_replicates"), *out)
 
 
+#: Clusters of a block, draws of a task, and distinct (class, score) that a task holds numbers of at once.
+BLOCK, DRAWN, CELLS = 65_536, 4_000_000, 2_000_000
+
+
+def blocked_bootstrap(small: DataFrame, cluster: str, replicates: int, seed: int, cls: str, block: int = BLOCK, drawn: int = DRAWN, max_cells: int = CELLS) -> DataFrame:
+    """cluster_bootstrap without keys for many clusters, with the same draws, from small (cluster, cls, score, pos, n).
+
+    Clusters are numbered in hash order and dealt to blocks of their numbers. A task makes some draws of one replicate and
+    sends, a block, how often each of its clusters was drawn, as packed bytes; a block weighs its rows by them and sends, a
+    replicate, its sums by class and score; a replicate adds those. Nothing is multiplied by replicates as rows.
+    With more than max_cells distinct classes and scores, joins do the same."""
+    spark = small.sparkSession
+    small = materialise(small, "small")
+    cells = small.select(cls, "score").distinct()
+    if cells.limit(max_cells + 1).count() > max_cells:
+        whole = small.select(cluster, cls, "score", F.explode(F.array(F.struct(F.lit(1).alias("true_label"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("true_label"), (F.col("n") - F.col("pos")).alias("w")))).alias("c")).select(cluster, cls, "score", "c.*")
+        return cluster_bootstrap(whole.where("w > 0"), [], cluster, replicates, seed, cls, weight="w")
+    names = small.select(cluster).distinct()
+    n = names.count()
+    # places of cells in order of class and falling score; at most max_cells rows
+    order = Window.orderBy(cls, F.desc("score"))
+    kinds = F.dense_rank().over(Window.orderBy(cls))
+    cells = materialise(cells.select(cls, "score", (F.row_number().over(order) - 1).cast("int").alias("cell"), kinds.cast("int").alias("kind")), "cells")
+    number = hash_rank(names, [], seed, [cluster]).select(cluster, (F.col("_rank") - 1).alias("number"))
+    placed = small.join(number, cluster).join(cells, [small[cls].eqNullSafe(cells[cls]), small["score"].eqNullSafe(cells["score"])])
+    rows = placed.select(F.floor(F.col("number") / block).cast("int").alias("block"), (F.col("number") % block).cast("int").alias("at"), "cell", F.col("pos").cast("double").alias("pos"), F.col("n").cast("double").alias("n"))
+    packed = lambda a: pa.compress(a.tobytes(), "zstd", asbytes=True)
+
+    def unpacked(body: bytes, size: int, kind) -> np.ndarray:
+        return np.frombuffer(pa.decompress(body, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digests = b"".join(hashlib.md5(b"%d:%d:%d" % (seed, r, j)).digest()[:4] for j in range(start, min(start + drawn, n)))
+                numbers = np.sort(np.frombuffer(digests, ">u4").astype(np.int64) % n)
+                blocks = range(-(-n // block))
+                ends = np.searchsorted(numbers, [b * block for b in (*blocks, len(blocks))])
+                for b in blocks:
+                    if ends[b] < ends[b + 1]:
+                        times = np.bincount(numbers[ends[b] : ends[b + 1]] - b * block, minlength=block).astype(np.int32)
+                        yield pa.RecordBatch.from_pylist([{"block": b, "replicate": r, "times": packed(times)}], schema=pa.schema([("block", pa.int32()), ("replicate", pa.int64()), ("times", pa.binary())]))
+
+    def weigh(own: pa.Table, times: pa.Table) -> pa.Table:
+        own = own.sort_by("cell")
+        at, cell, pos, count = (own.column(c).to_numpy() for c in ("at", "cell", "pos", "n"))
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        out = []
+        times = times.sort_by("replicate")
+        which = times.column("replicate").to_numpy()
+        starts = np.append(np.flatnonzero(np.diff(which, prepend=-1)), len(which))
+        held = packed(cell[first].astype(np.int32))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            w = sum(unpacked(times.column("times")[i].as_py(), block, np.int32) for i in range(a, b))[at]
+            sums = np.concatenate([np.add.reduceat(x * w, first) for x in (pos, count)])
+            out.append({"replicate": int(which[a]), "size": len(first), "cells": held, "sums": packed(sums)})
+        return pa.Table.from_pylist(out, schema=pa.schema([("replicate", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("sums", pa.binary())]))
+
+    total = cells.count()
+    kind_of = np.empty(total, np.int32)
+    for batch in cells.select("cell", "kind").toArrow().to_batches():  # at most max_cells
+        kind_of[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    shared_kinds = spark.sparkContext.broadcast(np.append(np.flatnonzero(np.diff(kind_of, prepend=-1)), total))
+
+    def finish(own: pa.Table) -> pa.Table:
+        p, m = np.zeros(total), np.zeros(total)
+        for size, held, body in zip(*(own.column(c).to_pylist() for c in ("size", "cells", "sums")), strict=True):
+            where, sums = unpacked(held, size, np.int32), unpacked(body, 2 * size, np.float64)
+            p[where] += sums[:size]
+            m[where] += sums[size:]
+        ap, auc = [], []
+        ends = shared_kinds.value
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            x, y = p[a:b], m[a:b]
+            tp, seen = np.cumsum(x), np.cumsum(y)
+            if tp[-1] > 0:
+                ap.append((x * tp / np.maximum(seen, 1e-300)).sum() / tp[-1])
+            if 0 < tp[-1] < seen[-1]:
+                auc.append(((y - x) * (tp - x / 2)).sum() / (tp[-1] * (seen[-1] - tp[-1])))
+        return pa.Table.from_pylist([{"replicate": own.column("replicate")[0].as_py(), "ap_macro": float(np.mean(ap)) if ap else None, "auroc_macro": float(np.mean(auc)) if auc else None}], schema=pa.schema([("replicate", pa.int64()), ("ap_macro", pa.float64()), ("auroc_macro", pa.float64())]))
+
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(n - 1, 0)).cast("bigint"), F.lit(drawn).cast("bigint")))
+    jobs = spark.range(replicates if n else 0).select(F.col("id").alias("replicate"), starts.alias("start"))
+    jobs = jobs.repartition(min(1000, replicates * -(-n // drawn) or 1), "replicate", "start")
+    times = materialise(jobs.mapInArrow(draw, "block int, replicate bigint, times binary"), "times")
+    sums = rows.groupBy("block").cogroup(times.groupBy("block")).applyInArrow(weigh, "replicate bigint, size int, cells binary, sums binary")
+    return sums.groupBy("replicate").applyInArrow(finish, "replicate bigint, ap_macro double, auroc_macro double")
+
+
 def bootstrap_many(pred: DataFrame, cluster: str, replicates: int, seed: int, cls: str = "class", max_counts: int = MAX_COUNTS) -> DataFrame:
     """cluster_bootstrap without keys for a thousand replicates, with the same draws: counts per (cluster, class, score) go once to each task as arrays.
 
-    The arrays are as large as clusters x classes x distinct scores, which is counted; beyond max_counts cluster_bootstrap does it."""
+    The arrays are as large as clusters x classes x distinct scores, which is counted; beyond max_counts blocked_bootstrap does it."""
     small = pred.groupBy(cluster, cls, "score").agg(F.sum("true_label").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
     if small.limit(max_counts + 1).count() > max_counts:
-        return cluster_bootstrap(pred, [], cluster, replicates, seed, cls)
+        return blocked_bootstrap(small, cluster, replicates, seed, cls)
     t = small.orderBy(cls, F.desc("score"), cluster).toArrow()
     names, at = np.unique(t.column(cluster).to_numpy(zero_copy_only=False), return_inverse=True)
     order = sorted(range(len(names)), key=lambda k: (hashlib.md5(f"{seed}:{names[k]}".encode()).hexdigest(), names[k]))

@@ -38,3 +38,19 @@ def test_bootstrap_forms_agree(spark):
     few, many = (sampling.bootstrap_many(pred, "tile", 12, 3, max_counts=m).toPandas().sort_values("replicate") for m in (10**6, 10))
     for c in ("replicate", "ap_macro", "auroc_macro"):
         assert np.allclose(few[c].astype(float), many[c].astype(float), atol=1e-12)
+
+
+def test_blocked_bootstrap(spark, monkeypatch):
+    """Many clusters in blocks, draws over several tasks: the values of the joins, and no row a draw."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 150, f"c{i % 3}", int(rng.integers(0, 2)), float(rng.integers(0, 20))) for i in range(700)]
+    pred = spark.createDataFrame(rows, "patch bigint, class string, true_label int, score double")
+    small = pred.groupBy("patch", "class", "score").agg({"true_label": "sum", "*": "count"}).toDF("patch", "class", "score", "a", "b")
+    small = small.selectExpr("patch", "class", "score", "double(least(a, b)) pos", "double(greatest(a, b)) n")
+    want = sampling.cluster_bootstrap(pred, [], "patch", 9, 3).toPandas().sort_values("replicate")
+    for how in ({"block": 40, "drawn": 64}, {"max_cells": 5}):
+        got = sampling.blocked_bootstrap(small, "patch", 9, 3, "class", **how).toPandas().sort_values("replicate")
+        for c in ("replicate", "ap_macro", "auroc_macro"):
+            assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-12)
+    monkeypatch.setattr(sampling, "cluster_bootstrap", None)  # beyond the bound on counts no row is a draw
+    assert sampling.bootstrap_many(pred, "patch", 9, 3, max_counts=10).count() == 9
