@@ -21,7 +21,7 @@ from ..functions.labels import class_weight, evaluated_roles, role
 from ..schema import require_features
 from ..sources.storage import materialise
 from ..sources.tables import json_documents, parquet_or_none, write_json
-from . import multilabel
+from . import forest, multilabel
 from .accounting import measured
 
 
@@ -104,11 +104,27 @@ def scored(vectors: DataFrame, models: dict[str, object], labels: Sequence[str],
     return out.select(F.col("patch_id").cast("string").alias("patch_id"), "role", F.inline(F.array(*cells)))
 
 
+def forest_votes(vectors: DataFrame, labels: Sequence[str], run: Run) -> DataFrame | None:
+    """(patch_id, role, y, p) of all rows by forests of these labels; None if their features have too many cells."""
+    table = multilabel.training_table(vectors, labels, 1).select("patch_id", "role", "x", "y", (F.col("role") == "train").alias("train"))
+    return forest.scores(materialise(table, "forest"), len(labels), 2, forest.Forest(run.num_trees, run.max_depth, run.seed), weighted=True)
+
+
+def voted(votes: DataFrame, able: Sequence[str], labels: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long predictions of forest_votes."""
+    cells = []
+    for i, c in enumerate(able):
+        k = labels.index(c)
+        cells.append(F.struct(F.lit(k).alias("label_idx"), F.lit(names[k]).alias("label_name"), F.get("y", i).alias("true_label"), F.get(F.get("p", i), 1).alias("probability")))
+    return votes.select("patch_id", "role", F.inline(F.array(*cells)))
+
+
 def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names: Sequence[str] | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, run record): one weighted classifier per label with a training positive.
 
     Logistic models of all labels are fitted together, in as many passes as Newton steps (at most max_iter); forests
-    one by one, in a bounded pool. The vectors are kept for all fits. All labels are scored in one pass, lazily, or,
+    together over the cells of binned features (`forest`), or, with too many cells, one by one by MLlib, in a bounded pool.
+    The vectors are kept for all fits. All labels are scored in one pass, lazily, or,
     with a path, written there, so that the record's times hold the scoring too."""
     spark = vectors.sparkSession
     names = names or labels
@@ -125,6 +141,10 @@ def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names:
 
                 def score(df: DataFrame) -> DataFrame:
                     return multilabel.predictions(multilabel.training_table(df, labels, 1), model, labels, names, evaluated_roles(run.regime))
+            elif run.learner == "rf" and able and (votes := forest_votes(kept, able, run)) is not None:
+
+                def score(_: DataFrame) -> DataFrame:
+                    return voted(wanted(votes), able, labels, names)
             else:
                 models = fitted(kept, labels, run, counts)
 
