@@ -395,8 +395,7 @@ def single_label_forest(spark, sf):
     px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"), F.max("l_discount").alias("c"), F.count("*").cast("double").alias("d"))
     rows = px.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("patch_id"), "o_orderpriority"), "patch_id")
     train, test = ml.hash_split(rows, 0.75, SEED)
-    model = ml.single_label(train, ["a", "b", "c", "d"], "o_orderpriority")
-    return model.transform(test).select("patch_id", "o_orderpriority", "label_index", "prediction")
+    return ml.single_label_votes(train, test, ["a", "b", "c", "d"], "o_orderpriority").select("patch_id", "o_orderpriority", "label_index", "prediction")
 
 
 @query("SELECT user_id, true AS complete FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")

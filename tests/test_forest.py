@@ -74,3 +74,17 @@ def test_result_does_not_depend_on_partitions_and_cells_have_a_bound(spark):
     assert read(1) == read(5)
     assert all((r[1][1] > 0.5) == (r[0] % 7 < 3) for r in read(1)) and all(abs(sum(p) - 1) < 1e-12 for r in read(1) for p in r[1:])
     assert forest.scores(df, 2, 3, forest.Forest(9, 4), max_cells=76) is None and forest.scores(df, 2, 3, forest.Forest(9, 4), max_cells=77) is not None
+
+
+def test_single_label_votes_are_no_passes_over_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 2))
+    y = np.where(np.abs(x[:, 0]) < 0.7, "mid", np.where(x[:, 1] > 0, "up", "down"))
+    df = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), None if i == 5 else str(y[i])) for i in range(1200)], "patch_id bigint, a double, b double, y string")
+    train, test = ml.hash_split(df, 0.75, 42)
+    test = test.unionByName(spark.createDataFrame([(-1, 0.0, 0.0, "unseen")], df.schema))
+    want = {r.patch_id: r.label_index for r in ml.single_label(train, ["a", "b"], "y", trees=20, depth=6).transform(test).collect()}
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *a: pytest.fail("a fit over rows"))
+    found = ml.single_label_votes(train, test, ["a", "b"], "y", trees=20, depth=6)
+    assert {r.patch_id: r.label_index for r in found.collect()} == want
+    assert ml.single_label_metrics(found)["accuracy"] > 0.95
