@@ -35,8 +35,7 @@ def upsample(a: Column, n: int, size: int) -> Column:
         return a
     index = nearest_index(n, size)
     at = F.array(*(F.lit(i) for i in index))
-    rows = F.transform(at, lambda r: F.transform(at, lambda c: F.get(a, r * n + c)))
-    return F.flatten(rows)
+    return bind(a, lambda x: F.flatten(F.transform(at, lambda r: F.transform(at, lambda c: F.get(x, r * n + c)))))
 
 
 def _reflect(i: Column, n: int) -> Column:
