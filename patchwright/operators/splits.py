@@ -48,11 +48,16 @@ def leave_tile_out(patches: DataFrame, folds: int = 5, tile: str = "tile") -> Da
     return patches.join(F.broadcast(fold), tile)
 
 
-def all_roles(patches: DataFrame, s3_folds: int = 5) -> DataFrame:
-    """(patch_id, regime, fold, role) of every evaluated cell: one frame for all regimes. patches: s1_split, s2_split, s3_fold, s4_fold."""
+def roles_list() -> Column:
+    """The (regime, fold, role) of every evaluated cell of a patch with s1_split, s2_split, s3_fold, s4_fold, as an array."""
     plain = F.array(*(F.struct(F.lit(r).alias("regime"), F.lit("all").alias("fold"), F.col(f"{r}_split").alias("role")) for r in ("s1", "s2")))
     own = F.array(F.struct(F.lit("s3").alias("regime"), F.col("s3_fold").cast("string").alias("fold"), F.lit("test").alias("role")), F.struct(F.lit("s4").alias("regime"), F.col("s4_fold").alias("fold"), F.lit("test").alias("role")))
-    return patches.select("patch_id", F.inline(F.concat(plain, own)))
+    return F.concat(plain, own)
+
+
+def all_roles(patches: DataFrame, s3_folds: int = 5) -> DataFrame:
+    """(patch_id, regime, fold, role) of every evaluated cell: one frame for all regimes. patches: s1_split, s2_split, s3_fold, s4_fold."""
+    return patches.select("patch_id", F.inline(roles_list()))
 
 
 def validity(roles: DataFrame, all_patches: DataFrame, patch: str = "patch_id", role: str = "role") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_int
 from ..operators import splits
+from ..sources.storage import materialise
 
 SEED = 42
 BANDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -40,17 +41,21 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    """The patches under all four regimes."""
-    p = patches(spark, sf)
+    """The patches under all four regimes. The patches are written once; sizes, ranks and joins read them again."""
+    p = materialise(patches(spark, sf), "patches")
     return splits.leave_tile_out(p, 5).join(splits.exact_random(p, SEED), "patch_id").withColumn("s4_fold", F.col("country"))
 
 
 def label_cells(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
-    """(all columns of `of`, class, label 0 or 1): every patch with every class."""
+    """(all columns of `of`, class, label 0 or 1): every patch with every class.
+
+    A patch is joined to its own classes as one list; its cells are made afterwards, so no join or shuffle carries a row a cell."""
     lab = labels(spark, sf)
-    every = lab.select("class").distinct()
-    grid = of.crossJoin(F.broadcast(every))  # class names only
-    return grid.join(lab.withColumn("label", F.lit(1)), ["patch_id", "class"], "left").fillna(0, ["label"])
+    every = lab.agg(F.collect_set("class").alias("_every"))  # class names only
+    own = lab.groupBy("patch_id").agg(F.collect_set("class").alias("_own"))
+    listed = of.join(own, "patch_id", "left").crossJoin(F.broadcast(every))
+    cells = listed.select(*of.columns, "_own", F.explode("_every").alias("class"))
+    return cells.select(*of.columns, "class", F.coalesce(F.array_contains("_own", F.col("class")), F.lit(False)).cast("int").alias("label"))
 
 
 def predictions(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
@@ -60,10 +65,14 @@ def predictions(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    """(patch_id, tile, country, regime, fold, class, true_label, score) of all test cells of all regimes, from one pass."""
+    """(patch_id, tile, country, regime, fold, class, true_label, score) of all test cells of all regimes, from one pass.
+
+    A patch carries the regimes that test it as a list until its cells are scored."""
     p = split(spark, sf)
-    roles = splits.all_roles(p).where("role = 'test'").select("patch_id", "regime", "fold")
-    return predictions(spark, sf, p.select("patch_id", "tile", "country")).join(roles, "patch_id")
+    tests = F.filter(splits.roles_list(), lambda r: r["role"] == "test")
+    cells = predictions(spark, sf, p.select("patch_id", "tile", "country", tests.alias("_tests")))
+    out = cells.select("patch_id", "tile", "country", "class", "true_label", "score", F.explode("_tests").alias("_test"))
+    return out.select("patch_id", "tile", "country", "class", "true_label", "score", F.col("_test.regime").alias("regime"), F.col("_test.fold").alias("fold"))
 
 
 SQL = """
