@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from .storage import discard, materialise
+
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -69,17 +71,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, key: Sequence[str]) -> int:
-    """Appends the rows whose key is not yet there: the resume of an interrupted run. Returns how many."""
+    """Appends the rows whose key is not yet there: the resume of an interrupted run. Returns how many.
+
+    They are written aside before, so that what is counted is what is appended."""
     done = parquet_or_none(df.sparkSession, path)
-    fresh = df if done is None else df.join(done.select(*key).distinct(), list(key), "left_anti")
-    fresh = fresh.persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").parquet(path)
-        return n
-    finally:
-        fresh.unpersist()
+    fresh = materialise(df if done is None else df.join(done.select(*key), list(key), "left_anti"), "fresh")
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(path)
+    discard(fresh)
+    return n
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
