@@ -271,14 +271,14 @@ def single_label(train: DataFrame, columns: Sequence[str], label: str, learner:
 def single_label_votes(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str, trees: int = 100, depth: int = 20, seed: int = 42) -> DataFrame:
     """test with label_index and prediction, by a forest as `single_label` fits it; rows of labels that train has not are left out."""
     indexer = StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="skip").fit(train)
-    both = indexer.transform(train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False))))
-    table = both.select(*test.columns, "label_index", "train", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.array("label_index").alias("y"))
+    both = indexer.transform(train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False))))
+    table = both.select(F.struct(*test.columns, "label_index").alias("row"), F.col("_train").alias("train"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.array("label_index").alias("y"))
     votes = forest.scores(materialise(table, "forest"), 1, len(indexer.labels), forest.Forest(trees, depth, seed))
     if votes is None:
         return single_label(train, columns, label, "rf", trees, depth, seed).transform(test).select(*test.columns, "label_index", "prediction")
     p = F.get("p", 0)
     most = F.array_position(p, F.array_max(p)) - 1  # of equals the first
-    return votes.where("NOT train").select(*test.columns, "label_index", most.cast("double").alias("prediction"))
+    return votes.where("NOT train").select("row.*", most.cast("double").alias("prediction"))
 
 
 def single_label_metrics(predicted: DataFrame) -> dict[str, float]:
