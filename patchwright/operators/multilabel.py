@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_int
@@ -68,9 +68,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
+def fold_of(role: Column, folds: int, seed: int = 42, patch: str = "patch_id") -> Column:
+    """The fold of a training row, by hash; -1 for other rows."""
+    return F.when(role == "train", seeded_int(seed, F.col(patch)) % max(folds, 1)).otherwise(-1).cast("int")
+
+
 def training_table(vectors: DataFrame, labels: Sequence[str], folds: int, seed: int = 42, patch: str = "patch_id") -> DataFrame:
     """(patch_id, role, x array<double>, y array<double>, fold): training rows get a fold by hash, others -1."""
-    fold = F.when(F.col("role") == "train", seeded_int(seed, F.col(patch)) % max(folds, 1)).otherwise(-1).cast("int")
+    fold = fold_of(F.col("role"), folds, seed, patch)
     y = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in labels))
     return vectors.select(F.col(patch).cast("string").alias("patch_id"), "role", vector_to_array("features").alias("x"), y.alias("y"), fold.alias("fold"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as labels_of
 from ..operators import accounting, audit, metrics, ml, sampling, stats
 from ..sources.storage import materialise, new_path
 from . import standin
@@ -300,22 +301,34 @@ def ranking_loss_coverage(spark, sf):
 PIXELS = ("f_000", "f_001", "f_002", "f_003")
 
 
-def _training(spark, sf):
-    """(written rows, label columns, classes): four pixel statistics per patch as features, six labels, all split columns. What scales, fits and scores reads them again."""
-    px = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("f_000"), F.avg("l_extendedprice").alias("f_001"), F.max("l_discount").alias("f_002"), F.count("*").cast("double").alias("f_003"))
+def _training_rows(spark, sf, regimes=labels_of.REGIMES):
+    """(rows, label columns, classes): four pixel statistics per patch as features, six labels, the split columns of these regimes.
+
+    Pixels are reduced to a row a patch before anything is joined to it, labels to bits; a patch without a known label has zeros.
+    The official split is a column of the patch; the others need sizes and ranks over all patches, which are written for them."""
+    items = table(spark, sf, "lineitem")
+    px = items.groupBy(F.col("l_orderkey").alias("patch_id")).agg(F.avg("l_quantity").alias("f_000"), F.avg("l_extendedprice").alias("f_001"), F.max("l_discount").alias("f_002"), F.count("*").cast("double").alias("f_003"))
     classes = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the class vocabulary
-    lists = standin.labels(spark, sf).groupBy("patch_id").agg(F.collect_set("class").alias("labels"))
-    hot = [F.array_contains("labels", c).cast("int").alias(f"lbl_{i:02d}") for i, c in enumerate(classes)]
-    splits = standin.split(spark, sf).select("patch_id", "s1_split", "s2_split", "s3_fold", "s4_fold")
-    rows = px.join(lists, "patch_id").join(splits, "patch_id")
     names = [f"lbl_{i:02d}" for i in range(len(classes))]
-    rows = rows.select("patch_id", *PIXELS, "s1_split", "s2_split", F.col("s3_fold").cast("string").alias("s3_fold"), "s4_fold", *hot)
+    bits = standin.label_bits(spark, sf, classes)
+    patches = standin.places(spark, sf).join(px, "patch_id").join(bits, "patch_id", "left")
+    if set(regimes) <= {"s2"}:
+        splits_of = ["s2_split"]
+    else:
+        patches = standin.split_of(materialise(patches, "patches")).withColumn("s3_fold", F.col("s3_fold").cast("string"))
+        splits_of = ["s1_split", "s2_split", "s3_fold", "s4_fold"]
+    return patches.select("patch_id", *PIXELS, *splits_of, *(standin.has_bit(i).alias(c) for i, c in enumerate(names))), names, classes
+
+
+def _training(spark, sf, regimes=labels_of.REGIMES):
+    """The same, written: what scales, fits and scores reads them again."""
+    rows, names, classes = _training_rows(spark, sf, regimes)
     return materialise(rows, "rows"), names, classes
 
 
 def _vectors(spark, sf):
     """The same as scaled vectors, with the official roles."""
-    rows, names, classes = _training(spark, sf)
+    rows, names, classes = _training(spark, sf, ("s2",))
     rows = rows.withColumn("role", F.col("s2_split"))
     return ml.feature_vectors(rows, PIXELS, ["patch_id", "role"], ["patch_id", "role", *names]), names, classes
 

@@ -42,10 +42,34 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
     """The patches under all four regimes. The patches are written once; sizes, ranks and joins read them again."""
-    p = materialise(patches(spark, sf), "patches")
+    return split_of(materialise(patches(spark, sf), "patches"))
+
+
+def split_of(p: DataFrame) -> DataFrame:
+    """Written patches under all four regimes."""
     return splits.leave_tile_out(p, 5).join(splits.exact_random(p, SEED), "patch_id").withColumn("s4_fold", F.col("country"))
 
 
+#: Classes a word of label bits holds.
+WORD = 62
+
+
+def label_bits(spark: SparkSession, sf: str, classes: list[str]) -> DataFrame:
+    """(patch_id, _bits0, ...): a patch's classes as bits, in the order of `classes`. No row a label is shuffled, and none is made distinct."""
+    at = F.array_position(F.array(*map(F.lit, classes)), F.col("p_type")).cast("int") - 1
+    words = range(-(-len(classes) // WORD))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at") % WORD)
+    part = table(spark, sf, "part").select("p_partkey", at.alias("_at")).select("p_partkey", *(F.when((F.col("_at") / WORD).cast("int") == w, bit).alias(f"_bits{w}") for w in words))
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("patch_id"), "l_partkey")
+    return items.join(part, items["l_partkey"] == part["p_partkey"]).groupBy("patch_id").agg(*(F.bit_or(f"_bits{w}").alias(f"_bits{w}") for w in words))
+
+
+def has_bit(i: int):
+    """1 if class i is among a patch's label_bits, else 0 (also without any)."""
+    own = F.coalesce(F.col(f"_bits{i // WORD}"), F.lit(0).cast("bigint"))
+    return (own.bitwiseAND(F.lit(1 << i % WORD).cast("bigint")) != 0).cast("int")
+
+
 def label_cells(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
     """(all columns of `of`, class, label 0 or 1): every patch with every class.
 
