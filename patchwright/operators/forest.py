@@ -58,13 +58,21 @@ def cuts(train: DataFrame, width: int, bins: int = BINS) -> list[np.ndarray]:
 
 def grow(bins: np.ndarray, counts: np.ndarray, depth: int, rng: np.random.Generator) -> np.ndarray:
     """The shares of the classes [cell, class] in the leaf of each cell, of one tree on these (drawn and weighted) counts [cell, class]."""
+    return grow_to(bins, counts, [depth], rng)[0]
+
+
+def grow_to(bins: np.ndarray, counts: np.ndarray, depths: Sequence[int], rng: np.random.Generator) -> list[np.ndarray]:
+    """The same at several rising depths of one tree: a deeper tree begins as the shallower one."""
     m, d = bins.shape
     k, tried, width = counts.shape[1], int(np.ceil(np.sqrt(d))), int(bins.max(initial=0)) + 1
     total = counts.sum(axis=0, keepdims=True)
     out = np.repeat(total / max(total.sum(), 1e-300), m, axis=0)
     cell, node = np.arange(m), np.zeros(m, np.int64)  # cells of open nodes, in order of their nodes
-    sums = total
-    for _ in range(depth):
+    column, drawn = np.ascontiguousarray(bins.T), np.ascontiguousarray(counts.T)
+    sums, found = total, []
+    for level in range(depths[-1]):
+        if level in depths:
+            found.append(out.copy())
         split = np.flatnonzero((sums > 0).sum(axis=1) > 1)  # nodes of one class are leaves
         if not len(split):
             break
@@ -79,6 +87,7 @@ def grow(bins: np.ndarray, counts: np.ndarray, depth: int, rng: np.random.Genera
         some = max(1, ENTRIES // (width * k))
         for low in range(0, len(sums), some):
             a, b = np.searchsorted(node, [low, low + some])
+            mass = drawn[:, cell[a:b]]
             for j in range(d):
                 mine = np.flatnonzero((pick[low : low + some] == j).any(axis=1)) + low
                 if not len(mine):
@@ -86,10 +95,9 @@ def grow(bins: np.ndarray, counts: np.ndarray, depth: int, rng: np.random.Genera
                 place = np.full(min(low + some, len(sums)) - low, -1)
                 place[mine - low] = np.arange(len(mine))
                 p = place[node[a:b] - low]
-                has = p >= 0
-                flat = p[has] * width + bins[cell[a:b][has], j]
-                own = counts[cell[a:b][has]]
-                h = np.stack([np.bincount(flat, own[:, c], len(mine) * width).reshape(len(mine), width) for c in range(k)], axis=2)
+                has = np.flatnonzero(p >= 0)
+                flat = p[has] * width + column[j][cell[a:b][has]]
+                h = np.stack([np.bincount(flat, mass[c][has], len(mine) * width).reshape(len(mine), width) for c in range(k)], axis=2)
                 left = np.cumsum(h, axis=1)[:, :-1]
                 right = sums[mine][:, None] - left
                 wl, wr = left.sum(axis=2), right.sum(axis=2)
@@ -107,19 +115,16 @@ def grow(bins: np.ndarray, counts: np.ndarray, depth: int, rng: np.random.Genera
         if not len(cell):
             break
         child = node * 2 + (bins[cell, feature[node]] > border[node])
-        order = np.argsort(child, kind="stable")
-        cell, (names, node) = cell[order], np.unique(child[order], return_inverse=True)
-        sums = np.stack([np.bincount(node, counts[cell, c], len(names)) for c in range(k)], axis=1)
+        order = np.argsort(child.astype(np.uint16) if len(sums) < 2**15 else child, kind="stable")  # short numbers sort faster
+        cell, child = cell[order], child[order]
+        node = np.cumsum(np.diff(child, prepend=child[0]) > 0)
+        sums = np.stack([np.bincount(node, drawn[c][cell], node[-1] + 1) for c in range(k)], axis=1)
         out[cell] = (sums / sums.sum(axis=1, keepdims=True))[node]
-    return out
+    return found + [out] * (len(depths) - len(found))
 
 
-def scores(data: DataFrame, labels: int, classes: int, forest: Forest, weighted: bool = False, max_cells: int = MAX_CELLS) -> DataFrame | None:
-    """data with `p` array<array<double>>: per label the shares of its classes, mean over trees. None with more than max_cells cells.
-
-    data: x array<double> of one length without nulls, y array<int> (a class from 0 per label) and train boolean. weighted: classes of
-    a label weigh alike. A label without training rows of a second class is a constant. data is read several times: pass a written table."""
-    spark = data.sparkSession
+def binned(data: DataFrame) -> DataFrame:
+    """data with `cell`, the bins of x by the training rows. data is read several times: pass a written table."""
     first = data.select(F.size("x").alias("d")).first()
     width = first.d if first else 0
     borders = cuts(data.where("train"), width)
@@ -130,7 +135,13 @@ def scores(data: DataFrame, labels: int, classes: int, forest: Forest, weighted:
         found = np.stack([np.searchsorted(b, rows[:, j], "left") for j, b in enumerate(borders)], axis=1).astype(np.uint8)
         return pa.array([r.tobytes() for r in found], pa.binary())
 
-    rows = data.withColumn("cell", cell("x") if width else F.lit(b""))
+    return data.withColumn("cell", cell("x") if width else F.lit(b""))
+
+
+def votes(rows: DataFrame, labels: int, classes: int, forests: Sequence[Forest], weighted: bool = False, max_cells: int = MAX_CELLS) -> tuple[DataFrame, int] | None:
+    """((cell, label, p array<double>: the shares of the classes, mean over trees, of one forest after the other), number of cells) of `binned` rows.
+
+    Forests of one seed share their trees: of more trees or a greater depth, one goes on where the other ends."""
     of = lambda i, c: F.count_if(F.col("train") & (F.get("y", i) == c))
     counted = rows.groupBy("cell").agg(F.array(*(of(i, c) for i in range(labels) for c in range(classes))).alias("n"))
     counted = materialise(counted, "cells")
@@ -140,7 +151,8 @@ def scores(data: DataFrame, labels: int, classes: int, forest: Forest, weighted:
     total = np.array(counted.agg(F.array(*(F.sum(F.get("n", i)) for i in range(labels * classes)))).first()[0] or [0] * labels * classes, float).reshape(labels, classes)
     with np.errstate(divide="ignore", invalid="ignore"):
         weights = np.where(total > 0, total.sum(axis=1, keepdims=True) / (classes * total), 1.0) if weighted else np.ones_like(total)
-    groups = min(GROUPS, forest.trees)
+    most = max(f.trees for f in forests)
+    groups = min(GROUPS, most)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("cell")  # one order of draws
@@ -148,20 +160,37 @@ def scores(data: DataFrame, labels: int, classes: int, forest: Forest, weighted:
         bins = np.frombuffer(b"".join(names.to_pylist()), np.uint8).reshape(len(names), -1)
         n = t.column("n").combine_chunks().flatten().to_numpy().reshape(len(names), classes)
         label, group = (t.column(c)[0].as_py() for c in ("label", "group"))
-        p = np.zeros((len(names), classes))
-        for tree in range(group, forest.trees, groups):
-            rng = np.random.default_rng([forest.seed, label, tree])
-            p += grow(bins, rng.poisson(n) * weights[label], forest.depth, rng)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * classes, pa.int32()), pa.array(p.ravel()))
+        p = np.zeros((len(names), len(forests), classes))
+        for tree in range(group, most, groups):
+            for seed in sorted({f.seed for f in forests if tree < f.trees}):
+                depths = sorted({f.depth for f in forests if f.seed == seed and tree < f.trees})
+                rng = np.random.default_rng([seed, label, tree])
+                grown = dict(zip(depths, grow_to(bins, rng.poisson(n) * weights[label], depths, rng), strict=True))
+                for k, f in enumerate(forests):
+                    if f.seed == seed and tree < f.trees:
+                        p[:, k] += grown[f.depth]
+        wide = len(forests) * classes
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * wide, pa.int32()), pa.array(p.ravel()))
         return pa.table([t.column("cell"), t.column("label"), t.column("group"), listed], names=["cell", "label", "group", "p"])
 
     slices = F.array(*(F.struct(F.lit(i).alias("label"), F.lit(g).alias("group"), F.slice("n", i * classes + 1, classes).alias("n")) for i in range(labels) for g in range(groups)))
     dealt = counted.select("cell", F.inline(slices))
-    width_of = max(labels * groups, 1)
-    shares = dealt.repartition(width_of, "label", "group").groupBy("label", "group").applyInArrow(run, "cell binary, label int, group int, p array<double>")
+    shares = dealt.repartition(max(labels * groups, 1), "label", "group").groupBy("label", "group").applyInArrow(run, "cell binary, label int, group int, p array<double>")
     ordered = F.array_sort(F.collect_list(F.struct("group", "p")))  # one order of addition
-    mean = lambda c: F.aggregate(ordered, F.lit(0.0), lambda a, s: a + F.get(s["p"], c)) / forest.trees
-    per_label = shares.groupBy("cell", "label").agg(F.array(*(mean(c) for c in range(classes))).alias("p"))
+    mean = lambda k, c: F.aggregate(ordered, F.lit(0.0), lambda a, s: a + F.get(s["p"], k * classes + c)) / forests[k].trees
+    return shares.groupBy("cell", "label").agg(F.array(*(mean(k, c) for k in range(len(forests)) for c in range(classes))).alias("p")), n_cells
+
+
+def scores(data: DataFrame, labels: int, classes: int, forest: Forest, weighted: bool = False, max_cells: int = MAX_CELLS) -> DataFrame | None:
+    """data with `p` array<array<double>>: per label the shares of its classes, mean over trees. None with more than max_cells cells.
+
+    data: x array<double> of one length without nulls, y array<int> (a class from 0 per label) and train boolean. weighted: classes of
+    a label weigh alike. A label without training rows of a second class is a constant. data is read several times: pass a written table."""
+    rows = binned(data)
+    voted = votes(rows, labels, classes, [forest], weighted, max_cells)
+    if voted is None:
+        return None
+    per_label, n_cells = voted
     per_cell = per_label.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda s: s["p"]).alias("p"))
     found = materialise(per_cell, "votes")
     small = n_cells * labels * classes <= 2_000_000

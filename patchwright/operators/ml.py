@@ -21,7 +21,7 @@ from ..functions.labels import class_weight, evaluated_roles, role
 from ..schema import require_features
 from ..sources.storage import materialise
 from ..sources.tables import json_documents, parquet_or_none, write_json
-from . import forest, multilabel
+from . import forest, metrics, multilabel, packed
 from .accounting import measured
 
 
@@ -161,6 +161,47 @@ def binary_relevance(vectors: DataFrame, labels: Sequence[str], run: Run, names:
     return out, _record(spark, run, n_rows, counts, times)
 
 
+def grid_cells(vectors: DataFrame, labels: Sequence[str], names: Sequence[str], runs: Sequence[Run], role: str = "validation", digits: int = 6) -> DataFrame:
+    """(run_id, label_name, n, n_pos, ap, auroc) of every point of a grid on the rows of a role, over rounded probabilities.
+
+    Logistic points of one max_iter are fitted in the same passes, forests share their cells and what is alike in their trees.
+    Rows are scored by all logistic points at once; forests are ranked over the rows counted by cell. With too many cells MLlib
+    fits and scores the forests one by one."""
+    table = materialise(multilabel.training_table(vectors, labels, 1), "grid")
+    sums = table.where("role = 'train'").agg(*(F.sum(F.get("y", i)).alias(c) for i, c in enumerate(labels))).first()
+    able = [c for c in labels if (sums[c] or 0) > 0]
+    own = dict(zip(labels, names, strict=True))
+    found = []
+    if not able:
+        return vectors.sparkSession.createDataFrame([], "run_id string, label_name string, n bigint, n_pos bigint, ap double, auroc double")
+    for steps in sorted({r.max_iter for r in runs if r.learner == "lr"}):
+        some = [r for r in runs if r.learner == "lr" and r.max_iter == steps]
+        models = multilabel.fit_penalties(table, labels, able, [r.reg_param for r in some], steps)
+        pieces = multilabel.score_pieces(table, multilabel.values(models, labels), [role], digits)
+        found.append(packed.ranking(pieces, [(r.run_id, own[c]) for r in some for c in labels], ["run_id", "label_name"]))
+    forests = [r for r in runs if r.learner == "rf"]
+    if forests:
+        y = F.array(*(F.get("y", labels.index(c)) for c in able))
+        rows = forest.binned(materialise(table.select("role", "x", y.alias("y"), (F.col("role") == "train").alias("train")), "forest"))
+        voted = forest.votes(rows, len(able), 2, [forest.Forest(r.num_trees, r.max_depth, r.seed) for r in forests], weighted=True)
+        if voted is None:
+            for r in forests:
+                p = scored(vectors.where(F.col("role") == role), fitted(vectors, labels, r, {c: class_counts(vectors, [c])[c] for c in labels}), labels, names)
+                p = p.withColumn("score", F.round("probability", digits)).withColumn("run_id", F.lit(r.run_id))
+                found.append(metrics.ranking(p, ["run_id", "label_name"]))
+        else:
+            held = rows.where(F.col("role") == role).groupBy("cell").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("y", i)) for i in range(len(able)))).alias("pos"))
+            points = F.array(*(F.struct(F.lit(r.run_id).alias("run_id"), F.round(F.get("p", 2 * k + 1), digits).alias("score")) for k, r in enumerate(forests)))
+            label = F.get(F.array(*(F.lit(own[c]) for c in able)), F.col("label")).alias("label_name")
+            each = voted[0].join(held, "cell").select(label, "n", F.get("pos", F.col("label")).alias("pos"), F.inline(points))
+            keys = ["run_id", "label_name"]
+            counts = each.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+            ap, auroc = metrics.rank_sums()
+            curve = metrics.cumulated(counts, keys, {"tp": "pos", "k": "n"}).groupBy(*keys)
+            found.append(curve.agg(F.sum("n").alias("n"), F.sum("pos").cast("bigint").alias("n_pos"), ap.alias("ap"), auroc.alias("auroc")))
+    return reduce(DataFrame.unionByName, found)
+
+
 RECORD = "run_id string, regime string, fold string, learner string, seed int, max_iter int, reg_param double, num_trees int, max_depth int, threads int, n_joined_rows bigint, n_train_rows bigint, wall_clock_seconds double, total_executor_cpu_time_seconds double, energy_kwh double, co2e_grams double"
 
 

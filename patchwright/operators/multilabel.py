@@ -10,10 +10,11 @@ Inputs from earlier layers are cross-fitted: training rows have a fold by hash,
 fitted without its fold, so a layer trains on outputs of models that have not seen the row. Other rows get the outputs
 of the models fitted on all training rows.
 
-A pass over the data gives loss, gradient and Hessian of all models of a layer (every label, with every fold left
-out) at one trial point each: one matrix product per Arrow batch, sums per task, then sums of tasks in two steps. The
-driver takes a Newton step per model from these sums, whose size depends on features and models only. So jobs are as
-many as layers x Newton steps (about eight), whatever the number of labels.
+Training rows are written once as blocks of one fold, as bytes of their matrices. A pass over them gives loss, gradient
+and Hessian of all models of a layer (every label, with every fold left out, of every chain that is fitted beside) at one
+trial point each: matrix products per block, sums per task, then sums of tasks in two steps. The driver takes a Newton
+step per model from these sums, whose size depends on features and models only. So jobs are as many as layers x Newton
+steps (about eight), whatever the number of labels and of models side by side.
 
 Weights are balanced per class, the penalty is on coefficients of weighted unit deviation, the intercept is free.
 Labels without a training positive are left out by the caller's counts (`able`). Null labels count as 0.
@@ -33,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_int
+from ..sources.storage import discard, materialise
+from . import packed
 
 #: Tasks' sums are added in two steps, through so many groups a model.
 FAN = 64
 #: The intercept of a label that has one class only: no finite one is the best.
 ONE_CLASS = 30.0
+#: Rows of a block, and rows that a task gathers before it hands blocks on.
+BLOCK, HELD = 4096, 262_144
 
 
 @dataclass(frozen=True)
@@ -57,10 +62,19 @@ class Layers:
 
     def extended(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """The inputs with the outputs of all layers behind them, one column a label; fold -1: no training row."""
+        if len(fold) and (fold == fold[0]).all():
+            return self.extended_alike(x, int(fold[0]))
+        width = x.shape[1] + sum(len(layer.labels) for layer in self.layers)
+        out = np.empty((len(x), width))
+        for f in np.unique(fold):
+            out[fold == f] = self.extended_alike(x[fold == f], int(f))
+        return out
+
+    def extended_alike(self, x: np.ndarray, fold: int) -> np.ndarray:
+        """The same for rows of one fold."""
         for layer in self.layers:
-            z = np.einsum("ni,lki->nlk", x, layer.coefficients[:, :, :-1]) + layer.coefficients[None, :, :, -1]
-            pick = np.broadcast_to(np.where(fold < 0, layer.coefficients.shape[1] - 1, fold)[:, None, None], (len(x), z.shape[1], 1))
-            x = np.concatenate([x, sigmoid(np.take_along_axis(z, pick, 2)[:, :, 0])], axis=1)
+            c = layer.coefficients[:, -1 if fold < 0 else fold]
+            x = np.concatenate([x, sigmoid(x @ c[:, :-1].T + c[:, -1])], axis=1)
         return x
 
 
@@ -86,16 +100,46 @@ def matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return wide(batch.column(0)), wide(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
 
 
-def summed(data: DataFrame, per_batch, n: int) -> np.ndarray:
-    """The sums over all rows of per_batch(x, y, fold) -> [n, m]: added per task, then by FAN groups of tasks a row, then by row."""
+def blocks(data: DataFrame) -> DataFrame:
+    """(fold, n, x, y), written: the rows in blocks of one fold, as the bytes of their matrices, which all passes read."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def out(folds):
+            rows = []
+            for f in folds:
+                x, y = (np.concatenate(m) for m in zip(*held.pop(f), strict=True))
+                rows += [(f, len(x[a : a + BLOCK]), x[a : a + BLOCK].tobytes(), y[a : a + BLOCK].tobytes()) for a in range(0, len(x), BLOCK)]
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["fold", "n", "x", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, fold = matrices(batch)
+            for f in np.unique(fold).tolist():
+                held.setdefault(f, []).append((x[fold == f], y[fold == f]))
+            size += len(x)
+            if size >= HELD:
+                yield out(sorted(held))
+                size = 0
+        if held:
+            yield out(sorted(held))
+
+    return materialise(data.select("x", "y", "fold").mapInArrow(packed, "fold int, n int, x binary, y binary"), "blocks")
+
+
+def summed(data: DataFrame, per_block, n: int) -> list[np.ndarray]:
+    """The sums over all blocks of per_block(x, y, fold), a list of n arrays: added per task, then by FAN groups of tasks an array, then by array. Empty without rows."""
     schema = "row int, task int, sums binary"
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if batch.num_rows:
-                own = per_batch(*matrices(batch))
-                total = own if total is None else total + own
+            for fold, rows, x, y in zip(*(batch.column(c).to_pylist() for c in ("fold", "n", "x", "y")), strict=True):
+                own = per_block(np.frombuffer(x).reshape(rows, -1), np.frombuffer(y).reshape(rows, -1), fold)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
         if total is not None:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"row": pa.array(range(n), pa.int32()), "task": pa.array([task] * n, pa.int32()), "sums": pa.array([r.tobytes() for r in total], pa.binary())})
@@ -105,102 +149,210 @@ def summed(data: DataFrame, per_batch, n: int) -> np.ndarray:
         total = np.sum([np.frombuffer(b) for b in group["sums"]], axis=0)
         return pd.DataFrame({"row": group["row"][:1].to_numpy(), "task": group["task"][:1].to_numpy(), "sums": [total.tobytes()]})
 
-    parts = data.select("x", "y", "fold").mapInArrow(tasks, schema)
+    parts = data.mapInArrow(tasks, schema)
     if data.rdd.getNumPartitions() > FAN:  # else the first step has nothing to add
         parts = parts.groupBy("row", F.expr(f"task % {FAN}")).applyInPandas(lambda g: add(g), schema)
-    rows = parts.groupBy("row").applyInPandas(lambda g: add(g), schema).collect()  # as many as models
-    return np.stack([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.row)]) if rows else np.zeros((n, 0))
+    rows = parts.groupBy("row").applyInPandas(lambda g: add(g), schema).collect()  # as many as parts
+    return [np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.row)]
 
 
-def fit_layer(data: DataFrame, before: Layers, columns: Sequence[int], labels: Sequence[str], out_of_fold: bool, reg: float, passes: int, tolerance: float) -> Layer:
-    """One layer over the training rows: for each label (a place in y) the models without each fold, if asked for, and the one on all."""
-    held = [*(range(before.folds) if out_of_fold else ()), -2]
-    models = [(c, f) for c in columns for f in held]
-    place, left_out = np.array([c for c, _ in models]), np.array([f for _, f in models])
-
-    def inputs(x, y, fold):
-        return before.extended(x, fold), y[:, place], fold[:, None] != left_out[None, :]
-
-    points = newton(data, inputs, len(models), reg, passes, tolerance)
-    return Layer(tuple(labels), points.reshape(len(columns), len(held), -1))
+@dataclass(frozen=True)
+class Part:
+    """Models with the same inputs: the place of each one's label in y, what it leaves out or trains on, its penalty.
+
+    `key` is a number a model: with `bits` it is the bit that a fold must have, else the fold that is left out."""
+
+    before: Layers
+    place: np.ndarray
+    key: np.ndarray
+    reg: np.ndarray
+    bits: bool = False
+
+    def uses(self, fold: int) -> np.ndarray:
+        return (fold & self.key) != 0 if self.bits else self.key != fold
+
+
+def fit_many(data: DataFrame, vocabulary: Sequence[str], models: Sequence[Sequence[Sequence[str]]], folds: int = 5, reg: float = 0.01, passes: int = 30, tolerance: float = 1e-11) -> list[Layers]:
+    """Several models of layers, from a `training_table` whose y is in the order of the vocabulary: the k-th layers of all of them are fitted in the same passes, what begins alike once."""
+    table = blocks(data.where("role = 'train'"))
+    done: dict[tuple, Layers] = {(): Layers((), folds)}
+    models = [tuple(tuple(labels) for labels in layers) for layers in models]
+    for k in range(max(map(len, models))):
+        wanted: dict[tuple, list] = {}
+        for m in models:
+            if len(m) > k:
+                labels, held = wanted.setdefault(m[:k], [[], False])
+                labels += [c for c in m[k] if c not in labels]
+                wanted[m[:k]][1] = held or len(m) > k + 1
+        parts, shapes = [], []
+        for before, (labels, cross) in wanted.items():
+            left_out = [*(range(folds) if cross else ()), -2]
+            each = [(vocabulary.index(c), f) for c in labels for f in left_out]
+            parts.append(Part(done[before], np.array([c for c, _ in each], int), np.array([f for _, f in each], int), np.full(len(each), reg)))
+            shapes.append((before, labels, len(left_out)))
+        found = newton(table, parts, passes, tolerance)
+        of = {before: (labels, points.reshape(len(labels), n, -1)) for (before, labels, n), points in zip(shapes, found, strict=True)}
+        for m in models:
+            if len(m) > k:
+                labels, points = of[m[:k]]
+                own = points[[labels.index(c) for c in m[k]]]
+                done[m[: k + 1]] = Layers((*done[m[:k]].layers, Layer(m[k], own)), folds)
+    discard(table)
+    return [done[m] for m in models]
 
 
 def fit_runs(data: DataFrame, vocabulary: Sequence[str], able: Sequence[Sequence[str]], reg: float = 0.01, passes: int = 30, tolerance: float = 1e-11) -> list[Layers]:
     """A model of binary relevance for each of several runs, over the same rows, all fitted in the same passes.
 
     data: x, y in the order of the vocabulary, and fold: the number whose bit k says that run k trains on the row (at most 31 runs). able: labels of each run."""
-    models = [(vocabulary.index(c), k) for k, labels in enumerate(able) for c in labels]
-    place, bit = np.array([c for c, _ in models]), np.array([1 << k for _, k in models])
-    points = newton(data.where("fold <> 0"), lambda x, y, fold: (x, y[:, place], (fold[:, None] & bit[None, :]) != 0), len(models), reg, passes, tolerance)
+    models = [(vocabulary.index(c), 1 << k) for k, labels in enumerate(able) for c in labels]
+    part = Part(Layers((), 1), np.array([c for c, _ in models], int), np.array([b for _, b in models], int), np.full(len(models), reg), bits=True)
+    table = blocks(data.where("fold <> 0"))
+    points = newton(table, [part], passes, tolerance)[0]
+    discard(table)
     ends = np.cumsum([len(labels) for labels in able])[:-1]
     return [Layers((Layer(tuple(labels), own[:, None, :]),), 1) for labels, own in zip(able, np.split(points, ends), strict=True)]
 
 
-def newton(data: DataFrame, inputs, n_models: int, reg: float, passes: int, tolerance: float) -> np.ndarray:
-    """Coefficients [model, input and intercept] of weighted logistic models; inputs(x, y, fold) gives x, y by model, and which rows a model uses."""
-    def moments(x, y, fold):
-        x, y, used = inputs(x, y, fold)
-        pos, neg = (y * used).T, ((1 - y) * used).T
-        return np.concatenate([pos.sum(axis=1)[:, None], neg.sum(axis=1)[:, None], pos @ x, neg @ x, pos @ x**2, neg @ x**2], axis=1)
-
-    m = summed(data, moments, n_models)
-    if not m.shape[1]:
+def fit_penalties(data: DataFrame, vocabulary: Sequence[str], labels: Sequence[str], regs: Sequence[float], passes: int = 30, tolerance: float = 1e-11) -> list[Layers]:
+    """A model of binary relevance for each penalty, all fitted in the same passes."""
+    part = Part(Layers((), 1), np.array([vocabulary.index(c) for _ in regs for c in labels], int), np.full(len(regs) * len(labels), -2), np.repeat(np.array(regs, float), len(labels)))
+    table = blocks(data.where("role = 'train'"))
+    points = newton(table, [part], passes, tolerance)[0]
+    discard(table)
+    return [Layers((Layer(tuple(labels), own[:, None, :]),), 1) for own in np.split(points, len(regs))]
+
+
+def newton(table: DataFrame, parts: Sequence[Part], passes: int, tolerance: float) -> list[np.ndarray]:
+    """Coefficients [model, input and intercept] of the weighted logistic models of each part, from `blocks`. A pass serves all models that have not settled."""
+    def moments(x0, y, fold):
+        out = []
+        for part in parts:
+            x, use = part.before.extended_alike(x0, fold), part.uses(fold)
+            s = np.zeros((len(part.place), 2 + 4 * x.shape[1]))
+            pos = y[:, part.place[use]].T
+            neg = 1 - pos
+            s[use] = np.concatenate([pos.sum(axis=1)[:, None], neg.sum(axis=1)[:, None], pos @ x, neg @ x, pos @ x**2, neg @ x**2], axis=1)
+            out.append(s)
+        return out
+
+    sums = summed(table, moments, len(parts))
+    if not sums:
         raise ValueError("no training rows")
-    d = (m.shape[1] - 2) // 4
-    n_pos, n_neg = m[:, 0], m[:, 1]
-    n = n_pos + n_neg
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w_pos, w_neg = np.where(n_pos > 0, n / (2 * n_pos), 1.0), np.where(n_neg > 0, n / (2 * n_neg), 1.0)
-    total = w_pos * n_pos + w_neg * n_neg
-    first, second = (w_pos[:, None] * m[:, 2 + a * d : 2 + (a + 1) * d] + w_neg[:, None] * m[:, 2 + (a + 1) * d : 2 + (a + 2) * d] for a in (0, 2))
-    spread = total - (w_pos**2 * n_pos + w_neg**2 * n_neg) / total
-    variance = np.maximum(second - first**2 / total[:, None], 0) / spread[:, None]
-    ridge = np.concatenate([reg * variance, np.zeros((n_models, 1))], axis=1)
-
-    def at(points: np.ndarray):
-        def pass_(x, y, fold):
-            x, y, used = inputs(x, y, fold)
-            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-            z = x @ points.T
-            w = np.where(y == 1, w_pos, w_neg) * used
-            p = sigmoid(z)
-            loss = (w * (np.logaddexp(0, z) - y * z)).sum(axis=0)
-            gradient = (w * (p - y)).T @ x
-            curve = w * p * (1 - p)
-            hessian = np.stack([(x * curve[:, [k]]).T @ x for k in range(n_models)])
-            return np.concatenate([loss[:, None], gradient, hessian.reshape(n_models, -1)], axis=1)
-
-        s = summed(data, pass_, n_models) / total[:, None]
-        loss = s[:, 0] + 0.5 * (ridge * points**2).sum(axis=1)
-        return loss, s[:, 1 : d + 2] + ridge * points, s[:, d + 2 :].reshape(n_models, d + 1, d + 1) + ridge[:, None] * np.eye(d + 1)
-
-    points = np.zeros((n_models, d + 1))
-    points[:, -1] = np.where(n_neg == 0, ONE_CLASS, np.where(n_pos == 0, -ONE_CLASS, 0.0))
-    loss, gradient, hessian = at(points)
-    scale = np.ones(n_models)
+    n_of = [len(p.place) for p in parts]
+    dims, weights, totals, ridges = [], [], [], []
+    for part, s, k in zip(parts, sums, n_of, strict=True):
+        m = s.reshape(k, -1)
+        d = (m.shape[1] - 2) // 4
+        n_pos, n_neg = m[:, 0], m[:, 1]
+        n = n_pos + n_neg
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w_pos, w_neg = np.where(n_pos > 0, n / (2 * n_pos), 1.0), np.where(n_neg > 0, n / (2 * n_neg), 1.0)
+            total = w_pos * n_pos + w_neg * n_neg
+            first, second = (w_pos[:, None] * m[:, 2 + a * d : 2 + (a + 1) * d] + w_neg[:, None] * m[:, 2 + (a + 1) * d : 2 + (a + 2) * d] for a in (0, 2))
+            spread = total - (w_pos**2 * n_pos + w_neg**2 * n_neg) / total
+            variance = np.maximum(second - first**2 / total[:, None], 0) / spread[:, None]
+        dims.append(d)
+        weights.append((w_pos, w_neg, n_pos, n_neg))
+        totals.append(total)
+        ridges.append(np.concatenate([part.reg[:, None] * variance, np.zeros((k, 1))], axis=1))
+    upper = [np.triu_indices(d + 1) for d in dims]
+
+    def at(points: list[np.ndarray], active: list[np.ndarray]):
+        def pass_(x0, y0, fold):
+            out = []
+            for part, point, on, (w_pos, w_neg, *_), (i, j) in zip(parts, points, active, weights, upper, strict=True):
+                s = np.zeros((len(on), 1 + point.shape[1] + len(i)))
+                use = np.flatnonzero(on & part.uses(fold))
+                if len(use):
+                    x = np.concatenate([part.before.extended_alike(x0, fold), np.ones((len(x0), 1))], axis=1)
+                    y = y0[:, part.place[use]]
+                    z = x @ point[use].T
+                    e = np.exp(-np.abs(z))
+                    p = np.where(z >= 0, 1.0, e) / (1 + e)
+                    w = np.where(y == 1, w_pos[use], w_neg[use])
+                    loss = (w * (np.log1p(e) + np.maximum(z, 0) - y * z)).sum(axis=0)
+                    gradient = (w * (p - y)).T @ x
+                    s[use] = np.concatenate([loss[:, None], gradient, (w * (e / (1 + e) ** 2)).T @ (x[:, i] * x[:, j])], axis=1)
+                out.append(s)
+            return out
+
+        found = []
+        for s, point, total, ridge, (i, j) in zip(summed(table, pass_, len(parts)), points, totals, ridges, upper, strict=True):
+            s = s.reshape(len(point), -1) / total[:, None]
+            d = point.shape[1]
+            hessian = np.zeros((len(point), d, d))
+            hessian[:, i, j] = hessian[:, j, i] = s[:, d + 1 :]
+            found.append((s[:, 0] + 0.5 * (ridge * point**2).sum(axis=1), s[:, 1 : d + 1] + ridge * point, hessian + ridge[:, None] * np.eye(d)))
+        return found
+
+    points = [np.zeros((k, d + 1)) for k, d in zip(n_of, dims, strict=True)]
+    for p, (_, _, n_pos, n_neg) in zip(points, weights, strict=True):
+        p[:, -1] = np.where(n_neg == 0, ONE_CLASS, np.where(n_pos == 0, -ONE_CLASS, 0.0))
+    active = [np.ones(k, bool) for k in n_of]
+    state = at(points, active)
+    scale = [np.ones(k) for k in n_of]
     for _ in range(passes):
-        step = -np.stack([np.linalg.lstsq(h, g, rcond=1e-14)[0] for h, g in zip(hessian, gradient, strict=True)])
-        gain = -(step * gradient).sum(axis=1)
-        if (gain < tolerance).all():
+        trial = []
+        for p, (_, gradient, hessian), on, size in zip(points, state, active, scale, strict=True):
+            step = -np.stack([np.linalg.lstsq(h, g, rcond=1e-14)[0] for h, g in zip(hessian, gradient, strict=True)])
+            on &= ~(-(step * gradient).sum(axis=1) < tolerance)
+            trial.append(p + np.where(on, size, 0.0)[:, None] * step)
+        if not any(on.any() for on in active):
             break
-        trial = points + np.where(gain < tolerance, 0.0, scale)[:, None] * step
-        new_loss, new_gradient, new_hessian = at(trial)
-        better = new_loss <= loss + 1e-12 * (1 + np.abs(loss))
-        scale = np.where(better, np.minimum(1.0, scale * 2), scale / 4)
-        loss = np.where(better, new_loss, loss)
-        points, gradient = (np.where(better[:, None], a, b) for a, b in ((trial, points), (new_gradient, gradient)))
-        hessian = np.where(better[:, None, None], new_hessian, hessian)
+        for q, (p, now, new, on) in enumerate(zip(list(points), state, at(trial, active), active, strict=True)):
+            better = on & (new[0] <= now[0] + 1e-12 * (1 + np.abs(now[0])))
+            scale[q] = np.where(better, np.minimum(1.0, scale[q] * 2), scale[q] / 4)
+            points[q] = np.where(better[:, None], trial[q], p)
+            state[q] = tuple(np.where(better.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(new, now, strict=True))
     return points
 
 
 def fit(data: DataFrame, vocabulary: Sequence[str], layers: Sequence[Sequence[str]], folds: int = 5, reg: float = 0.01, passes: int = 30, tolerance: float = 1e-11) -> Layers:
     """The model of these layers, from a `training_table` whose y is in the order of the vocabulary."""
-    train = data.where("role = 'train'")
-    out = Layers((), folds)
-    for k, labels in enumerate(layers):
-        layer = fit_layer(train, out, [vocabulary.index(c) for c in labels], labels, k + 1 < len(layers), reg, passes, tolerance)
-        out = Layers((*out.layers, layer), folds)
-    return out
+    return fit_many(data, vocabulary, [layers], folds, reg, passes, tolerance)[0]
+
+
+def values(models: Sequence[Layers], vocabulary: Sequence[str]):
+    """f(x) -> [model, row, label of the vocabulary]: probabilities of rows that are not trained on; NaN for labels without a model."""
+    found = []
+    for model in models:
+        widths = np.cumsum([0, *(len(layer.labels) for layer in model.layers)])
+        last = {c: int(widths[k]) + i for k, layer in enumerate(model.layers) for i, c in enumerate(layer.labels)}
+        found.append((model, [k for k, c in enumerate(vocabulary) if c in last], [last[c] for c in vocabulary if c in last]))
+
+    def score(x: np.ndarray) -> np.ndarray:
+        out = np.full((len(found), len(x), len(vocabulary)), np.nan)
+        for q, (model, has, places) in enumerate(found):
+            out[q][:, has] = model.extended_alike(x, -1)[:, x.shape[1] :][:, places]
+        return out
+
+    return score
+
+
+def score_pieces(data: DataFrame, score, roles: Sequence[str], digits: int = 6) -> DataFrame:
+    """Written pieces (`packed`) of all scores of the rows of these roles: key (q x roles + role) x labels + label, where score(x) gives [q, row, label]; NaN is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, role = matrices(batch)
+                p = score(x)
+                for r in np.unique(role).tolist():
+                    mine = role == r
+                    for q in range(len(p)):
+                        for k in range(p.shape[2]):
+                            own = p[q, mine, k]
+                            some = ~np.isnan(own)
+                            if some.any():
+                                yield (q * len(roles) + r) * p.shape[2] + k, packed.numbers(own[some], y[mine, k][some], digits)
+
+        yield from packed.gather(found())
+
+    number = F.array_position(F.array(*map(F.lit, roles)), F.col("role")).cast("int") - 1
+    rows = data.where(F.col("role").isin(*roles)).select("x", "y", number.alias("role"))
+    return materialise(rows.mapInArrow(run, packed.PIECES), "pieces")
 
 
 def probabilities(data: DataFrame, model: Layers, vocabulary: Sequence[str], out_of_fold: bool = False) -> DataFrame:
@@ -229,6 +381,21 @@ def predictions(data: DataFrame, model: Layers, labels: Sequence[str], names: Se
     return scored.select("patch_id", "role", F.inline(F.filter(cells, lambda c: c["probability"].isNotNull())))
 
 
+def beside(data: DataFrame, score, models: Sequence[str], labels: Sequence[str], names: Sequence[str], roles: Sequence[str]) -> DataFrame:
+    """Long predictions of several models, with `model`: a row is scored by all of them at once, where score(x) gives [model, row, label]; NaN is left out."""
+    @F.arrow_udf("array<double>")
+    def flat(x: pa.Array) -> pa.Array:
+        p = score(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1))
+        wide = p.transpose(1, 0, 2).reshape(len(x), -1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * wide.shape[1], pa.int32()), pa.array(wide.ravel(), from_pandas=True))
+
+    scored = data.where(F.col("role").isin(*roles)).withColumn("p", flat("x"))
+    n = len(labels)
+    name = lambda values, k: F.get(F.array(*map(F.lit, values)), k)
+    cells = F.transform("p", lambda p, i: F.struct(name(models, (i / n).cast("int")).alias("model"), (i % n).cast("int").alias("label_idx"), name(names, (i % n).cast("int")).alias("label_name"), F.get("y", i % n).alias("true_label"), p.alias("probability")))
+    return scored.select("patch_id", "role", F.inline(F.filter(cells, lambda c: c["probability"].isNotNull())))
+
+
 def averaged(parts: Sequence[DataFrame]) -> DataFrame:
     """An ensemble: the mean probability of several models' long predictions, which hold the same cells."""
     every = parts[0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -358,14 +356,8 @@ def training_scored(spark, sf):
 def hp_grid(spark, sf):
     """Macro AP on the validation part for each point of the grid of both learners, over all labels."""
     v, labels, classes = _vectors(spark, sf)
-    kept = v.persist()
-    out = []
-    for run in ml.grid(ml.Run("s2")):
-        p = ml.binary_relevance(kept, labels, run, classes, new_path(spark, run.run_id))[0]
-        p = p.where("role = 'validation'").withColumn("score", F.round("probability", 6))
-        out.append(metrics.macro(metrics.ranking(p, ["label_name"]), [], ["ap"]).withColumn("run_id", F.lit(run.run_id)))
-    kept.unpersist()
-    return rounded(reduce(DataFrame.unionByName, out))
+    cells = ml.grid_cells(v, labels, classes, ml.grid(ml.Run("s2")))
+    return rounded(metrics.macro(cells, ["run_id"], ["ap"]).select("ap_macro", "ap_used", "run_id"))
 
 
 @query(SQL + """, t AS (SELECT count(DISTINCT patch_id) AS n, count(DISTINCT patch_id) FILTER (s2_split = 'train') AS n_train FROM pred)
