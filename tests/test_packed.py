@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchwright.operators import metrics, ml, multilabel, packed
+from patchwright.operators import ablation, metrics, ml, multilabel, packed
 from patchwright.plans import QUERIES
+from patchwright.plans import multilabel as plans
 
 LABELS = ["a", "b", "c"]
 
@@ -81,6 +82,16 @@ def test_layered_meets_no_scores_by_a_shuffle(spark, small, monkeypatch):
     assert QUERIES["layered_ap"](spark, small).count() == 8
 
 
+def test_donors_are_those_of_the_scores_and_need_no_model(spark, small, monkeypatch):
+    data = table(spark).where("role = 'test'")
+    model = multilabel.Layers((multilabel.Layer(tuple(LABELS), np.ones((3, 1, 4))),), 1)
+    groups = {"one": [0], "two": [1, 2]}
+    key = lambda d: sorted((r.patch_id, r.group, r.donor) for r in d.select("patch_id", "group", "donor").collect())
+    assert key(ablation.donors(data, groups, 7, 40)) == key(ablation.permuted(data, model, LABELS, groups, 7, 40).where("group <> ''"))
+    monkeypatch.setattr(multilabel, "newton", lambda *a: pytest.fail("a model"))
+    assert plans.ablation_donors(spark, small).count() == len(plans.GROUPS)
+
+
 def test_grid_shares_fits_and_trees(spark, monkeypatch):
     """Each point as it is alone: one fit for all penalties, trees that deeper and larger forests have in common grown once."""
     x = F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double"))
